@@ -9,8 +9,9 @@ A document is its set of distinct shingles of five words, as 64-bit hashes; docu
 3. Lists: within a bucket, shingles that one document has are dropped. Each other list pairs all its documents with one
    of them, so a list of m gives m - 1 pairs. Pairs pass the length and the positional filter; then, each pair once, the suffix
    filter on the histograms (unlike counts bound the symmetric difference from below); then they are verified on whole sets.
-4. Lists whose documents lie in different components after that are unresolved. While their open pairs are many, each pairs its documents with
-   another of its members, as long as that finds links; at last all open pairs of different components are verified. So a large group of near copies never
+4. Lists whose documents lie in different components after that are unresolved. While their open pairs are many, and get fewer, each pairs its
+   documents with another of its members. At last all pairs of different components that may still link are verified; for large components
+   the triangle inequality of Jaccard distance tells which (see ``crossing``). So a large group of near copies never
    becomes all its pairs, and no link between components is missed.
 
 Components come from rounds of the least label with pointer jumping on written tables.
@@ -35,8 +36,11 @@ SHINGLE, PERCENT = 5, 80
 COUNTER_BITS, BLOCKS, PARTS = 20, 64, 64
 #: Prefix shingles of a bucket, about; ids of candidates that are broadcast at most.
 BUCKET_ROWS, BROADCAST_IDS = 1_000_000, 1_000_000
-#: Open pairs, for each row of the unresolved lists, up to which all are verified.
+#: Open pairs, for each row of the unresolved lists, up to which no more turns are taken.
 OPEN_PAIRS = 4
+#: Documents of a component that gets a pivot; how much nearer to it a document may be than one that it links with.
+LARGE, REACH, BLOCK = 16, 0.2 + 1e-9, 200
+COLUMNS = ("id", "pos", "n", "c")
 MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
 #: The multiplier's inverse modulo 2^64.
 BACK = np.uint64(pow(int(MULT), -1, 1 << 64))
@@ -242,8 +246,8 @@ def plausible(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     return both.select("rep_x", "rep_y", "n_x", "n_y", "parts_x", "parts_y").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose whole sets link. Only rows of ids in a pair are looked at."""
+def compared(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """a, b, common, whole: the sizes of intersection and union of the whole sets of each pair (a, b). Only rows of ids in a pair are looked at."""
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), "ids")
     small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
 
@@ -256,19 +260,18 @@ def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     def test(batches):
         for batch in batches:
             held: dict = {}
-            ok = []
+            common, whole = [], []
             for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 if a not in held:
                     held = {a: np.frombuffer(x.as_buffer(), np.uint64)}
-                s, t = held[a], np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([s, t])
+                both = np.concatenate([held[a], np.frombuffer(y.as_buffer(), np.uint64)])
                 both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * common >= PERCENT * (len(both) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+                common.append(int((both[1:] == both[:-1]).sum()))
+                whole.append(len(both) - common[-1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ints(common), ints(whole)], ["a", "b", "common", "whole"])
 
     with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("t")), "b")
-    return with_b.join(sets.select(F.col("id").alias("a"), "s"), "a").select("a", "b", "s", "t").mapInArrow(test, "a bigint, b bigint")
+    return with_b.join(sets.select(F.col("id").alias("a"), "s"), "a").select("a", "b", "s", "t").mapInArrow(test, "a bigint, b bigint, common bigint, whole bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -289,6 +292,81 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("id", "component")
 
 
+def star(postings: DataFrame, turn: int) -> DataFrame:
+    """x, y: the documents of each list (sh, id, pos, n, c) with one of them, another in each turn."""
+    key = F.xxhash64("id", F.lit(turn))
+    lead = postings.groupBy("sh").agg(F.min(F.struct(key, *COLUMNS)).alias("s")).select("sh", *(F.col(f"s.{c}").alias(f"{c}2") for c in COLUMNS))
+    return filtered(postings.join(lead, "sh").where("c <> c2"))
+
+
+def filtered(cross: DataFrame) -> DataFrame:
+    length = "100 * least(n, n2) >= 80 * greatest(n, n2)"
+    place = "180 * (least(pos, pos2) + least(n - pos, n2 - pos2)) >= 80 * (n + n2)"
+    return cross.where(length).where(place).select(F.least("id", "id2").alias("x"), F.greatest("id", "id2").alias("y")).distinct()
+
+
+def distances(pairs: DataFrame, rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """id, p, common, whole, d (the Jaccard distance) of pairs (id, p); a pair of one document has distance 0."""
+    ends = pairs.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).where("a < b").distinct()
+    found = compared(written(ends, "pivots"), rows)
+    both = found.select(F.col("a").alias("id"), F.col("b").alias("p"), "common", "whole").union(found.select("b", "a", "common", "whole"))
+    return pairs.join(both, ["id", "p"], "left").withColumn("d", F.coalesce(1 - F.col("common") / F.col("whole"), F.lit(0.0)))
+
+
+def crossing(postings: DataFrame, parts: DataFrame, links: DataFrame, rows: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (x, y) that cover all that may still link components, and links (a, b) found on the way.
+
+    Jaccard distance is a metric. Each component of ``LARGE`` documents has a pivot, that with most links. A document of
+    another component that shares a list with it is compared with the pivot once. If it is more than 0.2 farther away than any member, it links with
+    none; else it is tested against the members in blocks, and only pairs that pass the filters leave a block.
+    """
+    sizes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= LARGE)
+    degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("links"))
+    pivot = parts.join(sizes, "component").join(degree, "id").groupBy("component", "size").agg(F.min(F.struct(-F.col("links"), "id")).alias("s"))
+    pivot = written(pivot.select(F.col("component").alias("c"), "size", F.col("s.id").alias("p")), "pivots")
+    known = written(postings.join(pivot, "c", "left").withColumn("size", F.coalesce("size", F.lit(0))), "postings")
+    small = known.where("p is null")
+    other = small.select("sh", *(F.col(c).alias(f"{c}2") for c in COLUMNS))
+    plain = filtered(small.join(other, "sh").where("c < c2"))
+
+    members = known.where("p is not null").select("sh", *COLUMNS, "p", "size")
+    apart = distances(members.select("id", "p").distinct(), rows, facts).select(F.col("id").alias("id2"), "p", F.col("d").alias("d2"))
+    apart = written(apart, "distances")
+    near = members.select("sh", F.col("c").alias("c2"), "p", F.col("size").alias("size2")).distinct()
+    outside = written(known.drop("p").join(near, "sh").where("c <> c2 and (size2 > size or size2 = size and c2 > c)"), "outside")
+    far = written(distances(outside.select("id", "p").distinct(), rows, facts), "distances")
+    radius = apart.groupBy("p").agg(F.max("d2").alias("r"))
+    reach = far.join(radius, "p").where(F.col("d") <= F.col("r") + REACH).select("id", "p", "d")
+    shell = blocked(far.join(radius, "p").where(F.col("d") <= F.col("r") + REACH).select("id", "p", "d"), apart, facts)
+    linked = far.where(f"100 * common >= {PERCENT} * whole").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))
+    return plain.union(shell).distinct(), linked
+
+
+def blocked(outside: DataFrame, members: DataFrame, facts: DataFrame) -> DataFrame:
+    """x, y: pairs of outside (id, p, d) and members (id2, p, d2) of one pivot that pass length, triangle and suffix filters, tested in blocks of BLOCK rows of either."""
+    n_out = outside.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("ko"))
+    n_in = members.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("ki"))
+    blocks = written(n_out.join(n_in, "p"), "blocks")
+    known = facts.where("doc_id = rep").groupBy(F.col("doc_id").alias("id")).agg(F.first("n").alias("n"), F.first("parts").alias("parts"))
+    spread = lambda df, own, other: written(df.join(known, "id").join(blocks, "p").select("p", "id", "n", "parts", "d", F.pmod(F.xxhash64("id"), own).alias(own), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other)), "blocks")
+
+    def test(out: pa.Table, inside: pa.Table) -> pa.Table:
+        a, n, d = (out.column(c).to_numpy() for c in ("id", "n", "d"))
+        b, m, e = (inside.column(c).to_numpy() for c in ("id", "n", "d"))
+        p, q = (np.frombuffer(b"".join(t.column("parts").to_pylist()), np.uint8).reshape(-1, PARTS).astype(np.int16) for t in (out, inside))
+        x, y = [], []
+        for i in range(len(a)):
+            ok = (100 * np.minimum(n[i], m) >= PERCENT * np.maximum(n[i], m)) & (np.abs(d[i] - e) <= REACH)
+            ok[ok] = np.abs(q[ok] - p[i]).sum(axis=1) <= n[i] + m[ok] - 2 * least_common(np.full(ok.sum(), n[i]), m[ok])
+            x.append(np.minimum(a[i], b[ok]))
+            y.append(np.maximum(a[i], b[ok]))
+        return pa.table({"x": ints(np.concatenate([np.zeros(0, np.int64), *x])), "y": ints(np.concatenate([np.zeros(0, np.int64), *y]))})
+
+    left = spread(outside, "ko", "ki").groupBy("p", "ko", "ki")
+    right = spread(members.select(F.col("id2").alias("id"), "p", F.col("d2").alias("d")), "ki", "ko").groupBy("p", "ko", "ki")
+    return left.cogroup(right).applyInArrow(test, "x bigint, y bigint")
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``docs``."""
     spark = docs.sparkSession
@@ -302,40 +380,33 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * (100 - PERCENT) // 100 // BUCKET_ROWS))
     found = written(lists(prefixes(rows, shared, buckets)), "lists")
 
-    # an id that several rows have counts with the first of its sets
     one = facts.where("doc_id is not null and n > 0")
+    linking = lambda pairs: compared(pairs, rows).where(f"100 * common >= {PERCENT} * whole").select("a", "b")
     tested = written(plausible(found.where("pos is null").select("x", "y"), one), "pairs")
-    links = written(verified(tested, rows), "links")
+    links = written(linking(tested), "links")
     parts = components(links)
     postings = found.where("pos is not null").join(one.select(F.col("doc_id").alias("y"), "rep"), "y").groupBy(F.col("x").alias("sh"), F.col("rep").alias("id")).agg(F.min(F.struct("pos", "n")).alias("p")).select("sh", "id", "p.pos", "p.n")
-    postings, turn, stuck = written(postings, "postings"), 0, False
-    while True:
-        labelled = postings.join(parts, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    turn, before, last = 0, None, False
+    while not last:
+        labelled = written(postings.join(parts, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component"), "postings")
         size = labelled.groupBy("sh", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("sh").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("sh", "k", "kk")
         size = written(size, "open")
         rows_open, pairs_open = size.agg(F.sum("k"), F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2)).first()
         if not rows_open:
             break
-        last = stuck or pairs_open <= max(OPEN_PAIRS * rows_open, 100_000)
-        postings = written(labelled.join(size.select("sh"), "sh", "left_semi"), "postings")
+        last = pairs_open <= OPEN_PAIRS * rows_open or before is not None and pairs_open > 0.8 * before
+        before, turn = pairs_open, turn + 1
+        postings = labelled.join(size.select("sh"), "sh", "left_semi").select("sh", *COLUMNS)
         if last:
-            other = postings.select("sh", *(F.col(c).alias(f"{c}2") for c in ("id", "pos", "n", "c")))
-            cross = postings.join(other, "sh").where("c < c2")
+            pairs, more = crossing(written(postings, "postings"), parts, links, rows, one)
         else:
-            key = F.xxhash64("id", F.lit(turn))
-            lead = postings.groupBy("sh").agg(F.min(F.struct(key, "id", "pos", "n", "c")).alias("s")).select("sh", *(F.col(f"s.{c}").alias(f"{c}2") for c in ("id", "pos", "n", "c")))
-            cross = postings.join(lead, "sh").where("c <> c2")
-        length = "100 * least(n, n2) >= 80 * greatest(n, n2)"
-        place = "180 * (least(pos, pos2) + least(n - pos, n2 - pos2)) >= 80 * (n + n2)"
-        pairs = cross.where(length).where(place).select(F.least("id", "id2").alias("x"), F.greatest("id", "id2").alias("y")).distinct()
+            pairs, more = star(postings, turn), None
         fresh = written(plausible(pairs, one).join(tested, ["a", "b"], "left_anti"), "pairs")
-        more = written(verified(fresh, rows), "links")
+        more = written(linking(fresh) if more is None else linking(fresh).union(more), "links")
         if not more.isEmpty():
             links = written(links.union(more), "links")
             parts = components(links)
-        if last:
-            break
-        tested, turn, postings, stuck = tested.union(fresh), turn + 1, postings.drop("c"), more.isEmpty()
+        tested, postings = tested.union(fresh), postings.drop("c")
     return facts.join(parts, facts["rep"] == parts["id"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 
 
