@@ -2,8 +2,8 @@
 
 A document is its set of distinct shingles of five words, as 64-bit hashes; documents link when 100 x common >= 80 x all.
 
-1. Sizes, a 128-bit digest and a 64-part histogram of each set. Equal digests are one class, whose least id stands for it. Shingle
-   frequencies over all documents are added up in a table of 2^20 counters, which is all that is broadcast.
+1. Sizes, a 128-bit digest and a histogram of each set, of 64 to 4096 parts. Equal digests are one class, whose least id stands for it. Shingle
+   frequencies over all documents are added up in a table of 2^22 counters, which is all that is broadcast.
 2. Prefixes: each set is ordered by frequency, rarest first; two sets that link share one of the first n - ceil(0.8 n) + 1.
    Each task packs its prefix shingles by bucket into compressed blobs, a copy within the task once; this is the only large shuffle.
 3. Lists: within a bucket, shingles that one document has are dropped. Each other list pairs all its documents with one
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import delete, slices, table, written
 
 SHINGLE, PERCENT = 5, 80
-COUNTER_BITS, BLOCKS, PARTS = 20, 64, 64
+COUNTER_BITS, BLOCKS = 22, 64
 #: Prefix shingles of a bucket, about; ids of candidates that are broadcast at most.
 BUCKET_ROWS, BROADCAST_IDS = 1_000_000, 1_000_000
 #: Open pairs, for each row of the unresolved lists, up to which no more turns are taken.
@@ -113,6 +113,21 @@ def ints(values) -> pa.Array:
     return pa.array(np.asarray(values, dtype=np.int64))
 
 
+def histogram(s: np.ndarray) -> bytes:
+    """How many hashes begin with each pattern of 6, 8, 10 or 12 bits, more bits for larger sets."""
+    bits = 6 + 2 * sum(len(s) >= k for k in (512, 2048, 8192))
+    return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 65535).astype(np.uint16).tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """At most the number of elements that two sets with these histograms don't share."""
+    p, q = (np.frombuffer(h, np.uint16).astype(np.int64) for h in (x, y))
+    if len(p) != len(q):
+        k = min(len(p), len(q))
+        p, q = p.reshape(k, -1).sum(axis=1), q.reshape(k, -1).sum(axis=1)
+    return int(np.abs(p - q).sum())
+
+
 SUMMARY = "doc_id bigint, n bigint, c1 bigint, c2 bigint, parts binary, block int, counts binary"
 
 
@@ -125,7 +140,7 @@ def summaries(rows: DataFrame) -> DataFrame:
         for batch, texts in slices(batches, "_text"):
             sets = shingle_sets(texts)
             counters += np.bincount((np.concatenate(sets) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=len(counters)).astype(np.uint32)
-            parts = [np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes() for s in sets]
+            parts = [histogram(s) for s in sets]
             d = np.array([digest(s) for s in sets], np.int64).reshape(-1, 2)
             none = pa.nulls(len(texts), pa.int32()), pa.nulls(len(texts), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), ints([len(s) for s in sets]), ints(d[:, 0]), ints(d[:, 1]), pa.array(parts, pa.binary()), *none], names)
@@ -138,7 +153,7 @@ def summaries(rows: DataFrame) -> DataFrame:
 
 
 def frequencies(summary: DataFrame) -> np.ndarray:
-    """The counters of all tasks added up: 2^20 numbers, whatever the input is."""
+    """The counters of all tasks added up: 2^22 numbers, whatever the input is."""
 
     def add(part: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(zstandard.decompress(x), np.uint32).astype(np.uint64) for x in part.column("counts").to_pylist())
@@ -234,13 +249,13 @@ def lists(blobs: DataFrame) -> DataFrame:
 def plausible(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     """a, b: the pairs (x, y) as representatives, each once, that pass the suffix filter. facts: doc_id, rep, n, parts; one row an id."""
     side = lambda k: facts.select(*(F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "rep", "n", "parts")))
-    both = pairs.join(side("x"), F.col("x") == F.col("doc_id_x")).join(side("y"), F.col("y") == F.col("doc_id_y")).where("rep_x <> rep_y")
+    both = pairs.distinct().join(side("x"), F.col("x") == F.col("doc_id_x")).join(side("y"), F.col("y") == F.col("doc_id_y")).where("rep_x <> rep_y")
 
     def run(batches):
         for batch in batches:
             a, b, n, m = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            p, q = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, PARTS).astype(np.int64) for i in (4, 5))
-            ok = np.abs(p - q).sum(axis=1) <= n + m - 2 * least_common(n, m)
+            unlike = np.array([apart(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)], np.int64)
+            ok = unlike <= n + m - 2 * least_common(n, m)
             yield pa.RecordBatch.from_arrays([ints(np.minimum(a, b)[ok]), ints(np.maximum(a, b)[ok])], ["a", "b"])
 
     return both.select("rep_x", "rep_y", "n_x", "n_y", "parts_x", "parts_y").mapInArrow(run, "a bigint, b bigint").distinct()
@@ -271,7 +286,10 @@ def compared(pairs: DataFrame, rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ints(common), ints(whole)], ["a", "b", "common", "whole"])
 
     with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("t")), "b")
-    return with_b.join(sets.select(F.col("id").alias("a"), "s"), "a").select("a", "b", "s", "t").mapInArrow(test, "a bigint, b bigint, common bigint, whole bigint")
+    out = with_b.join(sets.select(F.col("id").alias("a"), "s"), "a").select("a", "b", "s", "t").mapInArrow(test, "a bigint, b bigint, common bigint, whole bigint")
+    out = written(out, "compared")
+    delete(rows.sparkSession, ids, sets)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -330,14 +348,14 @@ def crossing(postings: DataFrame, parts: DataFrame, links: DataFrame, rows: Data
     plain = filtered(small.join(other, "sh").where("c < c2"))
 
     members = known.where("p is not null").select("sh", *COLUMNS, "p", "size")
-    apart = distances(members.select("id", "p").distinct(), rows, facts).select(F.col("id").alias("id2"), "p", F.col("d").alias("d2"))
-    apart = written(apart, "distances")
+    inside = distances(members.select("id", "p").distinct(), rows, facts).select(F.col("id").alias("id2"), "p", F.col("d").alias("d2"))
+    inside = written(inside, "distances")
     near = members.select("sh", F.col("c").alias("c2"), "p", F.col("size").alias("size2")).distinct()
     outside = written(known.drop("p").join(near, "sh").where("c <> c2 and (size2 > size or size2 = size and c2 > c)"), "outside")
     far = written(distances(outside.select("id", "p").distinct(), rows, facts), "distances")
-    radius = apart.groupBy("p").agg(F.max("d2").alias("r"))
+    radius = inside.groupBy("p").agg(F.max("d2").alias("r"))
     reach = far.join(radius, "p").where(F.col("d") <= F.col("r") + REACH).select("id", "p", "d")
-    shell = blocked(far.join(radius, "p").where(F.col("d") <= F.col("r") + REACH).select("id", "p", "d"), apart, facts)
+    shell = blocked(far.join(radius, "p").where(F.col("d") <= F.col("r") + REACH).select("id", "p", "d"), inside, facts)
     linked = far.where(f"100 * common >= {PERCENT} * whole").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))
     return plain.union(shell).distinct(), linked
 
@@ -353,11 +371,12 @@ def blocked(outside: DataFrame, members: DataFrame, facts: DataFrame) -> DataFra
     def test(out: pa.Table, inside: pa.Table) -> pa.Table:
         a, n, d = (out.column(c).to_numpy() for c in ("id", "n", "d"))
         b, m, e = (inside.column(c).to_numpy() for c in ("id", "n", "d"))
-        p, q = (np.frombuffer(b"".join(t.column("parts").to_pylist()), np.uint8).reshape(-1, PARTS).astype(np.int16) for t in (out, inside))
+        p, q = (t.column("parts").to_pylist() for t in (out, inside))
         x, y = [], []
         for i in range(len(a)):
             ok = (100 * np.minimum(n[i], m) >= PERCENT * np.maximum(n[i], m)) & (np.abs(d[i] - e) <= REACH)
-            ok[ok] = np.abs(q[ok] - p[i]).sum(axis=1) <= n[i] + m[ok] - 2 * least_common(np.full(ok.sum(), n[i]), m[ok])
+            most = n[i] + m - 2 * least_common(np.full(len(m), n[i]), m)
+            ok[ok] = [apart(p[i], q[j]) <= most[j] for j in np.nonzero(ok)[0]]
             x.append(np.minimum(a[i], b[ok]))
             y.append(np.maximum(a[i], b[ok]))
         return pa.table({"x": ints(np.concatenate([np.zeros(0, np.int64), *x])), "y": ints(np.concatenate([np.zeros(0, np.int64), *y]))})
@@ -376,6 +395,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     sets = summary.where("block is null").drop("block", "counts")
     classes = written(sets.where("n > 0 and doc_id is not null").groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k"), "classes")
     facts = written(sets.join(classes, ["c1", "c2", "n"], "left").select("doc_id", "n", "parts", F.coalesce("rep", "doc_id").alias("rep")), "facts")
+    delete(spark, summary, classes)
     total = facts.agg(F.sum("n")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * (100 - PERCENT) // 100 // BUCKET_ROWS))
     found = written(lists(prefixes(rows, shared, buckets)), "lists")
@@ -385,20 +405,25 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     tested = written(plausible(found.where("pos is null").select("x", "y"), one), "pairs")
     links = written(linking(tested), "links")
     parts = components(links)
-    postings = found.where("pos is not null").join(one.select(F.col("doc_id").alias("y"), "rep"), "y").groupBy(F.col("x").alias("sh"), F.col("rep").alias("id")).agg(F.min(F.struct("pos", "n")).alias("p")).select("sh", "id", "p.pos", "p.n")
+    postings = found.where("pos is not null").select(F.col("x").alias("sh"), F.col("y").alias("id"), "pos", "n")
     turn, before, last = 0, None, False
     while not last:
-        labelled = written(postings.join(parts, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component"), "postings")
-        size = labelled.groupBy("sh", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("sh").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("sh", "k", "kk")
+        label = one.join(parts, one["rep"] == parts["id"], "left").where("component is not null or doc_id <> rep").select(F.col("doc_id").alias("id"), F.coalesce("component", "rep").alias("c"))
+        labelled = written(postings.join(label.distinct(), "id", "left").withColumn("c", F.coalesce("c", "id")), "labelled")
+        if not turn:
+            delete(spark, found)
+        # as an open list has at least one document of each component, its pairs are estimated by the square of its size
+        size = labelled.groupBy("sh").agg(F.count(F.lit(1)).alias("k"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("sh", "k")
         size = written(size, "open")
-        rows_open, pairs_open = size.agg(F.sum("k"), F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2)).first()
+        rows_open, pairs_open = size.agg(F.sum("k"), F.sum(F.col("k") * F.col("k") / 2)).first()
         if not rows_open:
             break
         last = pairs_open <= OPEN_PAIRS * rows_open or before is not None and pairs_open > 0.8 * before
         before, turn = pairs_open, turn + 1
-        postings = labelled.join(size.select("sh"), "sh", "left_semi").select("sh", *COLUMNS)
+        postings = written(labelled.join(size.select("sh"), "sh", "left_semi").select("sh", *COLUMNS), "postings")
+        delete(spark, labelled, size)
         if last:
-            pairs, more = crossing(written(postings, "postings"), parts, links, rows, one)
+            pairs, more = crossing(postings, parts, links, rows, one)
         else:
             pairs, more = star(postings, turn), None
         fresh = written(plausible(pairs, one).join(tested, ["a", "b"], "left_anti"), "pairs")
