@@ -1,4 +1,207 @@
-"""Named queries over the driver's tables, with equivalent SQL."""
+"""Named queries over the driver's tables, with equivalent SQL.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+``events`` stands for event trains (a unit is a user), ``embeddings`` for waveforms of clusters. The labelling that is scored
+is the unit modulo 10 with one event in five dealt elsewhere.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .operators import hierarchy, scoring, templates, trains
+from .sources.tables import table, trains as event_trains, waves
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+E = "e AS (SELECT event_id AS event, user_id AS unit, epoch_us(ts) AS t, event_type AS kind, value AS amp FROM events)"
+G = E + ", g AS (SELECT *, t - lag(t) OVER (PARTITION BY unit ORDER BY t, event) AS gap FROM e)"
+L = "l AS (SELECT event_id AS event, user_id % 10 AS truth, CASE WHEN event_id % 5 = 0 THEN event_id % 7 ELSE user_id % 10 END AS found FROM events), c AS (SELECT truth, found, count(*) AS n FROM l GROUP BY 1, 2)"
+W = "x AS (SELECT vec_id AS event, label AS cluster, unnest(range(1, 65)) - 1 AS k, unnest(embedding::DOUBLE[]) AS x FROM embeddings), t AS (SELECT cluster, k, avg(x) AS m, var_pop(x) AS v, count(*) AS n FROM x GROUP BY 1, 2)"
+H, D, M = 3_600_000_000, 86_400_000_000, 60_000_000
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def labels(spark, d):
+    e = table(spark, d, "events")
+    return e.select(F.col("event_id").alias("event"), (F.col("user_id") % 10).alias("truth"), F.when(F.col("event_id") % 5 == 0, F.col("event_id") % 7).otherwise(F.col("user_id") % 10).alias("found"))
+
+
+@query(f"WITH {G} SELECT unit, count(*) AS n, count(*) FILTER (gap > {M} AND gap <= {H}) AS n_violations, coalesce(round(count(*) FILTER (gap > {M} AND gap <= {H}) / nullif(count(*) - 1, 0), 6), 0) AS fraction FROM g GROUP BY unit")
+def isi_violation(spark, d):
+    return trains.violations(event_trains(spark, d))
+
+
+@query(f"WITH {G}, s AS (SELECT unit, count(*) AS n, count(*) FILTER (gap >= {M} AND gap < {H}) AS b, count(*) FILTER (gap < {M}) AS d FROM g GROUP BY unit) SELECT unit, n, CASE WHEN n >= 10 THEN round(b * 100 / (n - 1), 6) END AS band_pct, CASE WHEN n >= 10 THEN round(d * 100 / (n - 1), 6) END AS dup_pct FROM s")
+def band_and_dup_pct(spark, d):
+    return trains.band_percent(event_trains(spark, d))
+
+
+PRESENCE = "p AS (SELECT unit, round(count(DISTINCT least(floor((t - t0) * 120 / greatest(t1 - t0, 1)), 119)) / 120, 6) AS presence FROM e, (SELECT min(t) AS t0, max(t) AS t1 FROM e) GROUP BY unit)"
+
+
+@query(f"WITH {E}, {PRESENCE} SELECT unit, presence FROM p")
+def presence_ratio(spark, d):
+    return trains.presence(event_trains(spark, d))
+
+
+@query(f"""WITH {G}, {PRESENCE}, v AS (SELECT unit, count(*) AS n, coalesce(round(count(*) FILTER (gap > {M} AND gap <= {H}) / nullif(count(*) - 1, 0), 6), 0) AS fraction FROM g GROUP BY unit)
+SELECT unit, n, fraction, presence, concat_ws(',', CASE WHEN fraction > 0.02 THEN 'isi' END, CASE WHEN presence < 0.1 THEN 'presence' END, CASE WHEN n < 20 THEN 'few' END) AS flags FROM v JOIN p USING (unit)""")
+def qc_flags(spark, d):
+    return trains.quality(event_trains(spark, d))
+
+
+@query(f"""WITH {G}, s AS (SELECT unit, count(*) AS n, avg((gap < {H})::INT) AS b, avg(gap / 1e6) AS m, stddev_pop(gap / 1e6) AS sd, count(*) FILTER (gap < {H}) AS rpv, (max(t) - min(t)) / 1e6 AS dur FROM g GROUP BY unit), q AS (SELECT *, rpv * dur / (2 * n * n * 3600.0) AS q FROM s)
+SELECT unit, n, CASE WHEN n > 10 THEN round(b, 6) END AS burst, CASE WHEN n > 10 THEN round(sd / (m + 1e-9), 6) END AS cv, CASE WHEN n > 10 AND q <= 0.25 THEN round(0.5 * (1 - sqrt(1 - 4 * q)), 6) END AS hill_fp FROM q""")
+def burst_cv(spark, d):
+    return trains.burst(event_trains(spark, d))
+
+
+COINCIDE = f"p AS (SELECT a.unit AS a, b.unit AS b, count(*) AS n FROM e a JOIN e b ON a.unit < b.unit AND b.t BETWEEN a.t - {H} AND a.t + {H} WHERE abs(a.t - b.t) > {M} GROUP BY 1, 2)"
+
+
+@query(f"WITH {E}, {COINCIDE} SELECT a, b, n FROM p")
+def coincidences(spark, d):
+    return trains.coincidences(event_trains(spark, d))
+
+
+@query(f"""WITH {E}, {COINCIDE}, u AS (SELECT unit, count(*) AS k FROM e GROUP BY 1), x AS (SELECT p.*, round({2.0 * (H - M)} * x.k * y.k / (SELECT max(t) - min(t) FROM e), 6) AS expected FROM p JOIN u x ON x.unit = a JOIN u y ON y.unit = b)
+SELECT a, b, n, expected, CASE WHEN expected < 5 THEN 'abstain' WHEN n > 0.3 * expected THEN 'veto' ELSE 'allow' END AS verdict FROM x""")
+def refractory_gate(spark, d):
+    return trains.refractory_gate(event_trains(spark, d))
+
+
+@query(f"WITH {E}, p AS (SELECT a.unit AS a, b.unit AS b, b.t - a.t AS lag FROM e a JOIN e b ON a.unit < b.unit AND b.t BETWEEN a.t - {12 * H} AND a.t + {12 * H}) SELECT a, b, " + ", ".join(f"round(count(*) FILTER ((lag >= {lo * H} AND lag < {hi * H}) OR (lag >= {-hi * H} AND lag < {-lo * H})) / {2 * (hi - lo)}, 6) AS band_{k}" for k, (lo, hi) in enumerate(((0, 1), (1, 2), (2, 6), (6, 12)))) + " FROM p GROUP BY 1, 2")
+def ccg_bands(spark, d):
+    return trains.lag_bands(event_trains(spark, d))
+
+
+@query(f"""WITH {E}, f AS (SELECT unit, t AS u FROM e WHERE kind = 'click'), h AS (SELECT e.unit, e.t, f.u FROM (SELECT * FROM e WHERE kind = 'purchase') e ASOF LEFT JOIN f ON e.unit = f.unit AND e.t >= f.u), r AS (SELECT unit, count(*) AS k FROM f GROUP BY 1)
+SELECT unit, n, n_after, round(n_after / n, 6) AS observed, round(1 - exp(-coalesce(k, 0) * {float(H)} / (SELECT max(t) - min(t) FROM e)), 6) AS expected FROM (SELECT unit, count(*) AS n, count(*) FILTER (t - u <= {H}) AS n_after FROM h GROUP BY 1) LEFT JOIN r USING (unit)""")
+def latency_enrichment(spark, d):
+    return trains.latency(event_trains(spark, d), "click", "purchase")
+
+
+@query(f"WITH {E}, r AS (SELECT (t - lag(t) OVER w) // {6 * H} AS bin, amp / nullif(lag(amp) OVER w, 0) AS r FROM e WINDOW w AS (PARTITION BY unit ORDER BY t, event)) SELECT bin, count(*) AS n, round(avg(r), 6) AS amp_ratio FROM r WHERE bin < 8 GROUP BY 1")
+def recovery_curve(spark, d):
+    return trains.recovery(event_trains(spark, d))
+
+
+@query(f"WITH {G}, s AS (SELECT *, sum((coalesce(gap, 0) > {D})::INT) OVER (PARTITION BY unit ORDER BY t, event) AS episode FROM g) SELECT unit, episode::BIGINT AS episode, count(*) AS n, max(t) - min(t) AS length FROM s GROUP BY 1, 2")
+def episodes(spark, d):
+    return trains.episodes(event_trains(spark, d))
+
+
+@query(f"WITH {E} SELECT event, round(avg(amp) OVER (PARTITION BY unit ORDER BY t RANGE BETWEEN {D} PRECEDING AND {D} FOLLOWING), 6) AS center FROM e")
+def local_center(spark, d):
+    return trains.local_center(event_trains(spark, d))
+
+
+@query(f"""WITH {E}, m AS (SELECT unit, count(amp) AS n, avg(amp) AS a, avg(amp ** 2) AS b, avg(amp ** 3) AS c, avg(amp ** 4) AS d FROM e GROUP BY 1)
+SELECT unit, n, round((((c - 3 * a * b + 2 * a ** 3) ** 2) / ((b - a * a) ** 3) + 1) / ((d - 4 * a * c + 6 * a ** 2 * b - 3 * a ** 4) / ((b - a * a) ** 2)), 4) AS coefficient FROM m WHERE n >= 10""")
+def bimodality(spark, d):
+    return trains.bimodality(event_trains(spark, d))
+
+
+@query(f"""WITH {E}, f AS (SELECT unit, t // {D} AS day FROM e), z AS (SELECT unit, day, count(f.unit) AS n FROM (SELECT DISTINCT unit FROM f) u CROSS JOIN (SELECT unnest(range(min(day), max(day) + 1)) AS day FROM f) k LEFT JOIN f USING (unit, day) GROUP BY 1, 2)
+SELECT a.unit AS a, b.unit AS b, round(corr(a.n, b.n), 6) AS r FROM z a JOIN z b ON a.day = b.day AND a.unit < b.unit GROUP BY 1, 2""")
+def rate_corr(spark, d):
+    return trains.rate_correlation(event_trains(spark, d))
+
+
+@query(f"""WITH {E}, k AS (SELECT event, t, t0, (t - t0) // {D} AS k FROM e, (SELECT min(t) AS t0 FROM e)), x AS (SELECT *, unnest([k - 1, k, k + 1]) AS chunk FROM k)
+SELECT event, chunk, chunk = k AS core FROM x WHERE chunk >= 0 AND t >= t0 + chunk * {D} - {8 * H} AND t < t0 + (chunk + 1) * {D} + {8 * H}""")
+def chunk_core_ext(spark, d):
+    return trains.chunks(event_trains(spark, d))
+
+
+@query(f"WITH {L} SELECT truth, found, n FROM c")
+def contingency(spark, d):
+    return scoring.contingency(labels(spark, d))
+
+
+@query(f"""WITH {L}, x AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM c) AS s, (SELECT sum(n) FROM c) AS total, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM c GROUP BY truth)) AS st, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM c GROUP BY found)) AS sf),
+y AS (SELECT *, st * sf / (total * (total - 1) / 2) AS expected, (st + sf) / 2 AS top FROM x) SELECT round(s / sf, 6) AS precision, round(s / st, 6) AS recall, round(2 * s / (st + sf), 6) AS f1, round((s - expected) / (top - expected), 6) AS ari FROM y""")
+def pairwise_prf(spark, d):
+    return scoring.pairwise(labels(spark, d))
+
+
+@query(f"""WITH {L}, x AS (SELECT n, sum(n) OVER (PARTITION BY truth) AS nt, sum(n) OVER (PARTITION BY found) AS nf, sum(n) OVER () AS total FROM c), y AS (SELECT 1 - sum(-n / total * ln(n / nf)) / sum(-n / total * ln(nt / total)) AS h, 1 - sum(-n / total * ln(n / nt)) / sum(-n / total * ln(nf / total)) AS k FROM x)
+SELECT round(h, 6) AS homogeneity, round(k, 6) AS completeness, round(2 * h * k / (h + k), 6) AS v FROM y""")
+def v_measure(spark, d):
+    return scoring.v_measure(labels(spark, d))
+
+
+@query(f"""WITH {L}, x AS (SELECT *, sum(n) OVER (PARTITION BY truth) AS nt, sum(n) OVER (PARTITION BY found) AS nf, row_number() OVER (PARTITION BY truth ORDER BY n DESC, found) AS k FROM c)
+SELECT truth, found AS best, n, round(n / nt, 6) AS recall, round(n / nf, 6) AS precision, n / nt < 0.8 AS split FROM x WHERE k = 1""")
+def unit_match(spark, d):
+    return scoring.unit_match(labels(spark, d))
+
+
+@query(f"WITH {L}, x AS (SELECT *, sum(n) OVER (PARTITION BY found) AS nf FROM c) SELECT found, count(*) AS n_truths FROM x WHERE n >= 0.2 * nf GROUP BY 1 HAVING count(*) >= 2")
+def merged_candidates(spark, d):
+    return scoring.merged(labels(spark, d))
+
+
+@query(f"WITH {W}, n AS (SELECT cluster, sqrt(sum(m * m)) AS norm FROM t GROUP BY 1) SELECT a.cluster AS a, b.cluster AS b, round(sum(a.m * b.m) / (x.norm * y.norm), 6) AS cosine, round(sqrt(sum((a.m - b.m) ** 2) / 64), 6) AS rms FROM t a JOIN t b ON a.k = b.k AND a.cluster < b.cluster JOIN n x ON x.cluster = a.cluster JOIN n y ON y.cluster = b.cluster GROUP BY 1, 2, x.norm, y.norm")
+def template_cosine(spark, d):
+    return templates.likeness(templates.templates(waves(spark, d)))
+
+
+@query(f"""WITH {W}, n AS (SELECT cluster, sqrt(sum(m * m)) AS norm FROM t GROUP BY 1), p AS (SELECT a.cluster AS a, b.cluster AS b, round(sum(a.m * b.m) / (x.norm * y.norm), 6) AS cosine FROM t a JOIN t b ON a.k = b.k AND a.cluster <> b.cluster JOIN n x ON x.cluster = a.cluster JOIN n y ON y.cluster = b.cluster GROUP BY 1, 2, x.norm, y.norm),
+r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY cosine DESC, b) AS i, row_number() OVER (PARTITION BY b ORDER BY cosine DESC, a) AS j FROM p) SELECT a, b, cosine FROM r WHERE i = 1 AND j = 1 AND a < b""")
+def mutual_nn(spark, d):
+    return templates.mutual_pairs(templates.templates(waves(spark, d)))
+
+
+@query(f"WITH {W} SELECT cluster, max(n) AS n, round(avg(v), 6) AS dispersion, round(max(m) - min(m), 6) AS ptp FROM t GROUP BY 1")
+def dispersion(spark, d):
+    return templates.dispersion(waves(spark, d))
+
+
+@query(f"""WITH {W}, n AS (SELECT cluster, sqrt(sum(m * m)) AS norm FROM t GROUP BY 1), p AS (SELECT x.event, x.cluster, t.cluster AS best, round(sum(x.x * t.m) / (sqrt(sum(x.x * x.x)) * n.norm), 6) AS cosine FROM x JOIN t USING (k) JOIN n ON n.cluster = t.cluster GROUP BY 1, 2, 3, n.norm)
+SELECT event, cluster, best, cosine FROM p QUALIFY row_number() OVER (PARTITION BY event ORDER BY cosine DESC, best) = 1""")
+def template_match(spark, d):
+    w = waves(spark, d)
+    return templates.assigned(w, templates.templates(w))
+
+
+@query("SELECT vec_id AS event, round(list_max(e) - list_min(e), 6) AS ptp, list_position(m, list_max(m)) - 1 AS peak_at FROM (SELECT vec_id, embedding::DOUBLE[] AS e, list_transform(embedding::DOUBLE[], lambda x: abs(x)) AS m FROM embeddings)")
+def wave_shape(spark, d):
+    return templates.shapes(waves(spark, d))
+
+
+@query("WITH r AS (SELECT label, row_number() OVER (ORDER BY label) + 1 AS new FROM (SELECT DISTINCT label FROM embeddings WHERE label <> 0)) SELECT vec_id AS event, e.label, coalesce(new, 0) AS new FROM embeddings e LEFT JOIN r ON r.label = e.label")
+def relabel_compact(spark, d):
+    return hierarchy.compact(waves(spark, d).select("event", F.col("cluster").alias("label")))
+
+
+@query("SELECT vec_id AS event, CASE WHEN label = 0 OR label % 4 = 3 THEN 0 ELSE label // 2 END AS label FROM embeddings")
+def hierarchy_refiberize(spark, d):
+    parents = spark.range(10).where("id % 4 <> 3").select(F.col("id").cast("int").alias("child"), F.floor(F.col("id") / 2).cast("int").alias("parent"))
+    return hierarchy.refiberize(waves(spark, d).select("event", F.col("cluster").alias("label")), parents)
+
+
+@query("""WITH l AS (SELECT user_id AS grp, event_id AS event, event_id % 3 AS label FROM events), i AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY event) - row_number() OVER (PARTITION BY grp, label ORDER BY event) AS island FROM l)
+SELECT grp, label, min(event) AS first, max(event) AS last, count(*) AS n FROM i GROUP BY grp, label, island""")
+def atom_islands(spark, d):
+    e = table(spark, d, "events")
+    return hierarchy.islands(e.select(F.col("user_id").alias("grp"), F.col("event_id").alias("event"), (F.col("event_id") % 3).alias("label")))
+
+
+@query("""SELECT coalesce(event_type, '*') AS kind, coalesce((user_id % 4)::VARCHAR, '*') AS part, count(*) AS n, round(sum(value), 4) AS total, round(median(value), 6) AS mid FROM events GROUP BY CUBE (event_type, user_id % 4)""")
+def kind_cube(spark, d):
+    e = table(spark, d, "events").withColumn("part", (F.col("user_id") % 4).cast("string"))
+    return e.cube("event_type", "part").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"), F.round(F.percentile("value", 0.5), 6).alias("mid")).select(F.coalesce("event_type", F.lit("*")).alias("kind"), F.coalesce("part", F.lit("*")).alias("part"), "n", "total", "mid")
