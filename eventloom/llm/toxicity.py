@@ -31,8 +31,8 @@ from .common import by_text, held_out, table
 WINDOW = 4
 #: Labelled rows learnt from, at most about so many (taken by a hash of the id), and characters of the longest text learnt from.
 TRAIN_ROWS, TRAIN_CHARS = 8_000, 200_000
-#: A segment of the toxic dictionary: so many contexts, so many times as frequent; so many segments.
-CONTEXTS, RATIO, SEGMENTS = 0.012, 8, 200
+#: A segment of the toxic dictionary: so many contexts for each toxic text, so many times as frequent; so many segments.
+CONTEXTS, RATIO, SEGMENTS = 0.025, 8, 200
 ORDINARY_BYTES = 32_768
 THRESHOLDS = (1, 2, 3, 4, 5, 6, 8)
 
