@@ -116,7 +116,7 @@ def bimodality(spark, d):
 
 
 @query(f"""WITH {E}, f AS (SELECT unit, t // {D} AS day FROM e), z AS (SELECT unit, day, count(f.unit) AS n FROM (SELECT DISTINCT unit FROM f) u CROSS JOIN (SELECT unnest(range(min(day), max(day) + 1)) AS day FROM f) k LEFT JOIN f USING (unit, day) GROUP BY 1, 2)
-SELECT a.unit AS a, b.unit AS b, round(corr(a.n, b.n), 6) AS r FROM z a JOIN z b ON a.day = b.day AND a.unit < b.unit GROUP BY 1, 2""")
+SELECT a.unit AS a, b.unit AS b, round(corr(a.n, b.n), 6) + 0.0 AS r FROM z a JOIN z b ON a.day = b.day AND a.unit < b.unit GROUP BY 1, 2""")
 def rate_corr(spark, d):
     return trains.rate_correlation(event_trains(spark, d))
 
