@@ -17,7 +17,6 @@ one; null labels are left out. Repeated rows are scored one by one.
 from __future__ import annotations
 
 import heapq
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -73,17 +72,22 @@ def features(texts: list[str], ordinary: zs.ZstdCompressor, toxic: zs.ZstdCompre
 def segments(toxic: list[str], ordinary: list[str]) -> list[bytes]:
     """Words that recur in toxic text, in many contexts, and hardly in ordinary text."""
 
-    def contexts(texts):
-        seen = set()
-        for t in texts:
-            w = [b"", *t.lower().encode("utf-8", "replace").split(), b""]
-            seen.update(zip(w, w[1:], w[2:], strict=False))
-        return Counter(x[1] for x in seen), max(len(seen), 1)
+    number: dict[bytes, int] = {b"": 0}
 
-    (t, nt), (o, no) = contexts(toxic), contexts(ordinary)
+    def contexts(texts):
+        """How many distinct pairs of neighbours each word has, and their sum. Words are numbered, so that a word and its neighbours are one integer."""
+        ids = np.concatenate([np.array([0, *(number.setdefault(w, len(number)) for w in t.lower().encode("utf-8", "replace").split()), 0], np.uint64) for t in texts])
+        key = (ids[:-2] * np.uint64(0x9E3779B97F4A7C15) + ids[2:]) * np.uint64(0xBF58476D1CE4E5B9) + ids[1:-1]
+        first = np.unique(key, return_index=True)[1]
+        seen = ids[1:-1][first].astype(np.int64)
+        return np.bincount(seen[seen > 0], minlength=len(number)), max(int((seen > 0).sum()), 1)
+
+    (o, no), (t, nt) = contexts(ordinary), contexts(toxic)
+    o = np.concatenate([o, np.zeros(len(number) - len(o), np.int64)])
     least = max(3, CONTEXTS * len(toxic))
-    found = [w for w in t if len(w) >= 4 and t[w] >= least and t[w] / nt >= RATIO * (o[w] + 0.5) / no]
-    return sorted(heapq.nlargest(SEGMENTS, found, key=lambda w: (t[w], w)), key=lambda w: (t[w], w))
+    can = (t >= least) & (t / nt >= RATIO * (o + 0.5) / no)
+    found = [(int(t[k]), w) for w, k in number.items() if can[k] and len(w) >= 4]
+    return [w for _, w in sorted(heapq.nlargest(SEGMENTS, found))]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
