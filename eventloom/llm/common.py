@@ -8,10 +8,11 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Characters of text that one step of a Python stage holds at a time.
+#: Bytes of text that one step of a Python stage holds at a time.
 SLICE_CHARS = 1_000_000
 
 
@@ -54,18 +55,17 @@ def held_out(doc_id: Column) -> Column:
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Pieces of the batches, of whole rows, whose texts have ``limit`` characters together or are one text; each with its texts."""
+    """Pieces of the batches, of whole rows, whose texts have ``limit`` bytes together or are one text; each with its texts, which become Python strings piece by piece."""
     for batch in batches:
-        texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+        column = batch.column(batch.schema.get_field_index(text))
         start = held = 0
-        for i, t in enumerate(texts):
-            n = len(t or "")
+        for i, n in enumerate(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
             if i > start and held + n > limit:
-                yield batch.slice(start, i - start), texts[start:i]
+                yield batch.slice(start, i - start), column.slice(start, i - start).to_pylist()
                 start, held = i, 0
             held += n
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+        if start < batch.num_rows:
+            yield batch.slice(start), column.slice(start).to_pylist()
 
 
 def by_text(df: DataFrame, keep: list[Column], text: str, fn: Callable, schema: str, limit: int = SLICE_CHARS) -> DataFrame:

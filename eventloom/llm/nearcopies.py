@@ -36,6 +36,8 @@ SHINGLE, PERCENT = 5, 80
 COUNTER_BITS, BLOCKS = 22, 64
 #: Prefix shingles of a bucket, about; ids of candidates that are broadcast at most.
 BUCKET_ROWS, BROADCAST_IDS = 1_000_000, 1_000_000
+#: Bytes of text, and prefix shingles, that a task holds at a time.
+SLICE, HELD = 300_000, 500_000
 #: Open pairs, for each row of the unresolved lists, up to which no more turns are taken.
 OPEN_PAIRS = 4
 #: Documents of a component that gets a pivot; how much nearer to it a document may be than one that it links with.
@@ -137,9 +139,10 @@ def summaries(rows: DataFrame) -> DataFrame:
 
     def run(batches):
         counters = np.zeros(1 << COUNTER_BITS, np.uint32)
-        for batch, texts in slices(batches, "_text"):
+        for batch, texts in slices(batches, "_text", SLICE):
             sets = shingle_sets(texts)
-            counters += np.bincount((np.concatenate(sets) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=len(counters)).astype(np.uint32)
+            at, times = np.unique(np.concatenate(sets) >> np.uint64(64 - COUNTER_BITS), return_counts=True)
+            counters[at.astype(np.int64)] += times.astype(np.uint32)
             parts = [histogram(s) for s in sets]
             d = np.array([digest(s) for s in sets], np.int64).reshape(-1, 2)
             none = pa.nulls(len(texts), pa.int32()), pa.nulls(len(texts), pa.binary())
@@ -178,7 +181,7 @@ def prefixes(rows: DataFrame, shared, buckets: int) -> DataFrame:
 
     def run(batches):
         seen, held, size = set(), [], 0
-        for batch, texts in slices(batches, "_text"):
+        for batch, texts in slices(batches, "_text", SLICE):
             for doc, s in zip(batch.column(0).to_pylist(), shingle_sets(texts), strict=True):
                 if doc is None or not len(s) or (d := digest(s)) in seen:
                     continue
@@ -189,7 +192,7 @@ def prefixes(rows: DataFrame, shared, buckets: int) -> DataFrame:
                 first = s[np.lexsort((s, f))[:k]]
                 held.append((first, np.full(k, doc, np.int64), np.arange(k, dtype=np.uint32), np.full(k, len(s), np.uint32)))
                 size += k
-            if size >= 2_000_000:
+            if size >= HELD:
                 yield from packed(held)
                 held, size = [], 0
         if held:
@@ -267,7 +270,7 @@ def compared(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
 
     def run(batches):
-        for batch, texts in slices(batches, "_text"):
+        for batch, texts in slices(batches, "_text", SLICE):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())], ["id", "s"])
 
     sets = written(rows.join(F.broadcast(ids) if small else ids, "_id", "left_semi").mapInArrow(run, "id bigint, s binary"), "sets")
