@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import delete, slices, table, written
+from .common import delete, settings, slices, table, written
 
 SHINGLE, PERCENT = 5, 80
 COUNTER_BITS, BLOCKS = 22, 64
@@ -38,6 +38,8 @@ COUNTER_BITS, BLOCKS = 22, 64
 BUCKET_ROWS, BROADCAST_IDS = 1_000_000, 1_000_000
 #: Bytes of text, and prefix shingles, that a task holds at a time.
 SLICE, HELD = 300_000, 500_000
+#: Batches between the JVM and Python are small, as long texts and whole sets pass.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 #: Open pairs, for each row of the unresolved lists, up to which no more turns are taken.
 OPEN_PAIRS = 4
 #: Documents of a component that gets a pivot; how much nearer to it a document may be than one that it links with.
@@ -390,7 +392,12 @@ def blocked(outside: DataFrame, members: DataFrame, facts: DataFrame) -> DataFra
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of ``docs``."""
+    """doc_id, n_shingles, component_id for each row of ``docs``. All Python stages have run when this returns."""
+    with settings(docs.sparkSession, ARROW):
+        return joined(docs, id_col, text)
+
+
+def joined(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text).cast("string").alias("_text"))
     summary = written(summaries(rows), "summary")
