@@ -8,6 +8,7 @@ pseudonyms in all documents and different ones differ; separators and the kinds
 kind   | valid if                                         | permuted among
 card   | 13-19 digits, plain or 4-4-4-4, Luhn digit right | numbers of that length with a right Luhn digit
 phone  | area and exchange of 10 digits begin with 2-9    | such numbers
+phone  | written +1 or (area), area begins with 0 or 1     | numbers of that area
 ssn    | ddd-dd-dddd, no part zero, area under 900        | such numbers
 ip     | four numbers up to 255                           | all addresses
 date   | a day of 1900-2099; year first, or day first     | days of 1900-2099
@@ -33,7 +34,7 @@ CANDIDATE = "|".join(
         FREE + r"(?:19|20)[0-9]{2}([-/.])[0-9]{2}\1[0-9]{2}" + END,
         FREE + r"[0-9]{2}([-/.])[0-9]{2}\2(?:19|20)[0-9]{2}" + END,
         FREE + r"(?<![0-9]\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9A-Za-z])",
-        r"(?:\+1[ .-]?|" + FREE + r")(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}" + END,
+        r"(?:\+1[ .-]?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])|" + FREE + r"\([0-9]{3}\) ?|" + FREE + r"[2-9][0-9]{2}[ .-])[0-9]{3}[ .-][0-9]{4}" + END,
         FREE + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + END,
         FREE + r"[0-9]{4}([ -])[0-9]{4}\3[0-9]{4}\3[0-9]{4}" + END,
         FREE + r"[0-9]{13,19}" + END,
@@ -86,7 +87,7 @@ def kind(m: str) -> str:
         when {m} rlike '^[0-9]+([.][0-9]+){{3}}$' then if(forall(split({m}, '[.]'), x -> int(x) < 256), 'ip', null)
         when {m} rlike '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' then if(substr({d}, 1, 3) not in ('000') and substr({d}, 1, 1) <> '9' and substr({d}, 4, 2) <> '00' and substr({d}, 6, 4) <> '0000', 'ssn', null)
         when length({d}) >= 13 then if(({luhn_sum(f"substr({d}, 1, length({d}) - 1)")} + int(right({d}, 1))) % 10 = 0, 'card', null)
-        else 'phone' end"""
+        when substr(right({d}, 10), 1, 1) < '2' or substr(right({d}, 10), 4, 1) > '1' then 'phone' end"""
 
 
 def card(m: str, key: str) -> str:
@@ -100,6 +101,9 @@ def phone(m: str, key: str) -> str:
     d = f"right({bare(m)}, 10)"
     v = f"((bigint(substr({d}, 1, 3)) - 200) * 800 + bigint(substr({d}, 4, 3)) - 200) * 10000 + bigint(substr({d}, 7, 4))"
     out = f"element_at(transform(array({feistel(f'({v})', '640000', '10000', key, q('phone'))}), v -> concat(cast(v div 8000000 + 200 as string), cast((v div 10000) % 800 + 200 as string), lpad(cast(v % 10000 as string), 4, '0'))), 1)"
+    # an area that begins with 0 or 1 isn't in the plan; it stays, so that such numbers stay apart from those in the plan
+    rest = f"concat(substr({d}, 1, 3), lpad(cast({feistel(f'bigint(substr({d}, 4, 7))', '1000', '10000', key, f"concat('phone', substr({d}, 1, 3))")} as string), 7, '0'))"
+    out = f"if(substr({d}, 1, 1) < '2', {rest}, {out})"
     lead = f"if(length({bare(m)}) > 10, substr({bare(m)}, 1, length({bare(m)}) - 10), '')"
     return f"element_at(transform(array({out}), p -> {filled(m, f'concat({lead}, p)')}), 1)"
 

@@ -366,6 +366,13 @@ def test_pseudonyms_differ_for_different_values(spark):
     assert len(set(got)) == 400 and all(map(luhn, got)) and {len(x) for x in got} == {16}
 
 
+def test_phones_outside_the_plan(spark):
+    texts = ["+1 (069) 555-1234 (169) 155-1234 (269) 155-1234 069-555-1234", *(f"+1 (012) 555-{k:04}" for k in range(300))]
+    got = {r.doc_id: r for r in privacy.pseudonymised(docs(spark, texts, list(range(len(texts)))), "key").collect()}
+    assert re.fullmatch(r"\+1 \(069\) \d{3}-\d{4} \(169\) \d{3}-\d{4} \(269\) 155-1234 069-555-1234", got[0].text) and got[0].n_phone == 2
+    assert "555-1234 (169" not in got[0].text and len({r.text for r in got.values()}) == 301
+
+
 def test_private_operators_are_native(spark):
     for name in ("op7_pii", "op8_chat"):
         plan = llm.QUERIES[name](spark, SF)._jdf.queryExecution().toString()
