@@ -13,7 +13,7 @@ def compact(labels: DataFrame, first: int = 2) -> DataFrame:
     return labels.join(F.broadcast(ranked), "label", "left").select("event", "label", F.coalesce("new", F.lit(0)).alias("new"))
 
 
-def refiberize(labels: DataFrame, parents: DataFrame) -> DataFrame:
+def reparent(labels: DataFrame, parents: DataFrame) -> DataFrame:
     """event, label: each child's parent; child 0 and children without one go to 0."""
     p = parents.select(F.col("child").alias("label"), "parent")
     return labels.join(p, "label", "left").select("event", F.when(F.col("label") == 0, 0).otherwise(F.coalesce("parent", F.lit(0))).alias("label"))

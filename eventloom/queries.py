@@ -189,9 +189,9 @@ def relabel_compact(spark, d):
 
 
 @query("SELECT vec_id AS event, CASE WHEN label = 0 OR label % 4 = 3 THEN 0 ELSE label // 2 END AS label FROM embeddings")
-def hierarchy_refiberize(spark, d):
+def hierarchy_reparent(spark, d):
     parents = spark.range(10).where("id % 4 <> 3").select(F.col("id").cast("int").alias("child"), F.floor(F.col("id") / 2).cast("int").alias("parent"))
-    return hierarchy.refiberize(waves(spark, d).select("event", F.col("cluster").alias("label")), parents)
+    return hierarchy.reparent(waves(spark, d).select("event", F.col("cluster").alias("label")), parents)
 
 
 @query("""WITH l AS (SELECT user_id AS grp, event_id AS event, event_id % 3 AS label FROM events), i AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY event) - row_number() OVER (PARTITION BY grp, label ORDER BY event) AS island FROM l)
