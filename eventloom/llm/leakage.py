@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_text, table
+from .common import by_text, slices, table
 
 WINDOW = 10
 LIMIT_CHARS = 64_000_000
@@ -137,13 +137,12 @@ def part_scanned(rows: DataFrame, shared, last: bool) -> DataFrame:
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, that no window of an item occurs in."""
-    at = docs.columns.index("text")
     for part in blocks(items, "item_id", "text"):
         shared = docs.sparkSession.sparkContext.broadcast(Windows([tuple(r) for r in part.collect()]))
 
         def run(batches, shared=shared):
-            for batch in batches:
-                yield batch.filter(pa.array([not shared.value.matches(normal(t).split()) for t in batch.column(at).to_pylist()], pa.bool_()))
+            for batch, texts in slices(batches, "text"):
+                yield batch.filter(pa.array([not shared.value.matches(normal(t).split()) for t in texts], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

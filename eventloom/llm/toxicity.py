@@ -25,7 +25,7 @@ import zstandard as zs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_text, held_out, table
+from .common import by_text, held_out, slices, table
 
 WINDOW = 4
 #: Labelled rows learnt from, at most about so many (taken by a hash of the id), and characters of the longest text learnt from.
@@ -145,13 +145,10 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs``, with all their columns, that score below 0.5."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
 
     def run(batches):
-        for batch in batches:
-            texts = batch.column(at).to_pylist()
-            keep = [p < 0.5 for i in range(0, len(texts), 200) for p in score(texts[i : i + 200], shared.value)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+        for batch, texts in slices(batches, "text"):
+            yield batch.filter(pa.array(score(texts, shared.value) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
 
