@@ -23,3 +23,10 @@ def islands(labels: DataFrame) -> DataFrame:
     """label, island, first, last, n: runs of neighbouring events of one label."""
     a = F.row_number().over(Window.partitionBy("grp").orderBy("event")) - F.row_number().over(Window.partitionBy("grp", "label").orderBy("event"))
     return labels.withColumn("island", a).groupBy("grp", "label", "island").agg(F.min("event").alias("first"), F.max("event").alias("last"), F.count(F.lit(1)).alias("n")).drop("island")
+
+
+def lifted(labels: DataFrame) -> DataFrame:
+    """atom, parent, n, straddles: the fiber with most of an atom's events (atom, fiber), ties to the smaller; straddles if it has others. Atom 0 is left out."""
+    c = labels.where("atom <> 0").groupBy("atom", "fiber").agg(F.count(F.lit(1)).alias("n"))
+    best = c.groupBy("atom").agg(F.max(F.struct("n", (-F.col("fiber")).alias("f"))).alias("b"), F.count(F.lit(1)).alias("fibers"), F.sum("n").alias("n"))
+    return best.select("atom", (-F.col("b.f")).alias("parent"), "n", (F.col("fibers") > 1).alias("straddles"))

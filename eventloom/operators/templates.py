@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import cosine, peak_to_peak, rms_difference
+from ..functions.arrays import cosine, dot, norm, peak_to_peak, rms_difference
 from .joins import mutual_best
 
 
@@ -47,3 +47,47 @@ def shapes(waves: DataFrame) -> DataFrame:
     """event, ptp, peak_at (element of the largest magnitude, from 0)."""
     mag = F.transform("w", lambda x: F.abs(x))
     return waves.select("event", F.round(peak_to_peak(F.col("w")), 6).alias("ptp"), (F.array_position(mag, F.array_max(mag)) - 1).alias("peak_at"))
+
+
+def by_element(waves: DataFrame, *more) -> DataFrame:
+    return waves.select("event", "cluster", *more, F.posexplode("w").alias("k", "x"))
+
+
+def radii(waves: DataFrame, under: float = 0.8, over: float = 1.25) -> DataFrame:
+    """cluster, n, radius (root mean square distance to the template), energy (the template's), verdict: under, like or over, by the ratio to the median radius."""
+    v = by_element(waves).groupBy("cluster", "k").agg(F.var_pop("x").alias("v"), F.avg("x").alias("m"), F.count(F.lit(1)).alias("n"))
+    r = v.groupBy("cluster").agg(F.max("n").alias("n"), F.sqrt(F.sum("v")).alias("r"), F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("e"))
+    q = r.crossJoin(F.broadcast(r.agg(F.percentile("r", F.lit(0.5)).alias("mid")))).withColumn("q", F.col("r") / F.nullif("mid", F.lit(0.0)))
+    verdict = F.when(F.col("q") < under, "under").when(F.col("q") > over, "over").otherwise("like")
+    return q.select("cluster", "n", F.round("r", 6).alias("radius"), F.round("e", 6).alias("energy"), verdict.alias("verdict"))
+
+
+def constancy(radii: DataFrame, least: int = 4) -> DataFrame:
+    """n, slope, r2 of the logarithm of the radius by that of the energy; null for fewer than ``least`` clusters."""
+    x, y = F.log10("energy"), F.log10("radius")
+    s = radii.where("radius > 0 and energy > 0").agg(F.count(F.lit(1)).alias("n"), F.regr_slope(y, x).alias("s"), F.corr(y, x).alias("c"))
+    on = F.col("n") >= least
+    return s.select("n", F.when(on, F.round("s", 5)).alias("slope"), F.when(on, F.round(F.col("c") * F.col("c"), 5)).alias("r2"))
+
+
+def top_variance(waves: DataFrame, top: int = 3) -> DataFrame:
+    """cluster, variance: the mean of the ``top`` largest variances of elements."""
+    v = by_element(waves).groupBy("cluster", "k").agg(F.var_pop("x").alias("v")).groupBy("cluster").agg(F.slice(F.sort_array(F.collect_list("v"), False), 1, top).alias("vs"))
+    return v.select("cluster", F.round(F.aggregate("vs", F.lit(0.0), lambda s, x: s + x) / F.size("vs"), 8).alias("variance"))
+
+
+def half_distance(waves: DataFrame) -> DataFrame:
+    """cluster, distance: 1 less the correlation of the templates of the first and the second half of a cluster's events."""
+    half = waves.withColumn("half", F.ntile(2).over(Window.partitionBy("cluster").orderBy("event")))
+    of = lambda h: F.avg(F.when(F.col("half") == h, F.col("x"))).alias(f"m{h}")
+    m = by_element(half, "half").groupBy("cluster", "k").agg(of(1), of(2))
+    return m.groupBy("cluster").agg(F.round(1 - F.corr("m1", "m2"), 6).alias("distance"))
+
+
+def rolled_likeness(templates: DataFrame) -> DataFrame:
+    """a, b (a < b), cosine, shift: the best cosine over circular shifts of b to the left; ties go to the smaller shift. There are as many templates as clusters."""
+    a, b = templates.select(F.col("cluster").alias("a"), F.col("w").alias("v")), templates.select(F.col("cluster").alias("b"), "w")
+    roll = lambda s: F.concat(F.slice("w", s + 1, F.size("w")), F.slice("w", F.lit(1), s))
+    score = lambda s: F.struct(F.round(dot(F.col("v"), roll(s)) / F.nullif(norm(F.col("v")) * norm(F.col("w")), F.lit(0.0)), 6).alias("c"), (-s).alias("s"))
+    p = a.join(b, F.col("a") < F.col("b")).select("a", "b", F.array_max(F.transform(F.sequence(F.lit(0), F.size("w") - 1), score)).alias("x"))
+    return p.select("a", "b", F.col("x.c").alias("cosine"), (-F.col("x.s")).alias("shift"))

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import hierarchy, scoring, templates, trains
+from .operators import graphs, hierarchy, scoring, states, templates, trains
 from .sources.tables import table, trains as event_trains, waves
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -205,3 +205,116 @@ def atom_islands(spark, d):
 def kind_cube(spark, d):
     e = table(spark, d, "events").withColumn("part", (F.col("user_id") % 4).cast("string"))
     return e.cube("event_type", "part").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"), F.round(F.percentile("value", 0.5), 6).alias("mid")).select(F.coalesce("event_type", F.lit("*")).alias("kind"), F.coalesce("part", F.lit("*")).alias("part"), "n", "total", "mid")
+
+
+LOAD = "SELECT a.event, a.unit, coalesce(sum(exp((b.t - a.t) / {tau}::DOUBLE)), 0) AS load FROM e a LEFT JOIN e b ON a.unit = b.unit AND (b.t < a.t OR (b.t = a.t AND b.event < a.event)) GROUP BY 1, 2"
+
+
+@query(f"WITH {E}, l AS ({LOAD.format(tau=12 * H)}) SELECT event, round(load, 6) AS load FROM l")
+def decaying_load(spark, d):
+    return states.decaying(event_trains(spark, d), 12 * H).select("event", F.round("load", 6).alias("load"))
+
+
+@query(f"""WITH {E}, l AS ({" UNION ALL ".join(f"SELECT *, {tau} AS tau FROM ({LOAD.format(tau=tau)})" for tau in (6 * H, D, 4 * D))}), k AS (SELECT event, 1 - row_number() OVER (PARTITION BY unit ORDER BY amp, event) AS rank FROM e),
+r AS (SELECT unit, tau, round(corr(load, rank), 6) + 0.0 AS r FROM l JOIN k USING (event) GROUP BY 1, 2 HAVING count(*) >= 10) SELECT unit, tau, r FROM r QUALIFY row_number() OVER (PARTITION BY unit ORDER BY abs(r) DESC, tau) = 1""")
+def adaptation(spark, d):
+    return states.adaptation(event_trains(spark, d), (6 * H, D, 4 * D))
+
+
+@query(f"""WITH {G}, b AS (SELECT unit, amp, CASE WHEN gap IS NULL THEN 7 ELSE {" + ".join(f"(gap >= {H << k})::INT" for k in range(7))} END AS bin FROM g), u AS (SELECT unit, count(*) AS n, avg(amp) AS m, var_pop(amp) AS v FROM b GROUP BY 1),
+k AS (SELECT unit, bin, count(*) AS k, avg(amp) AS mk FROM b GROUP BY 1, 2), x AS (SELECT unit, n, v, sum(k * (mk - m) ** 2) / n AS w FROM k JOIN u USING (unit) WHERE n >= 10 GROUP BY 1, 2, 3) SELECT unit, n, round(w / v, 6) AS share, round(sqrt(v), 4) AS radius, round(sqrt(w), 4) AS "between" FROM x""")
+def isi_share(spark, d):
+    return states.gap_share(event_trains(spark, d))
+
+
+@query(f"""WITH {E}, g AS (SELECT *, t - lag(t) OVER w AS gap, amp - lag(amp) OVER w AS step, min(t) OVER (PARTITION BY unit) AS t0, max(t) OVER (PARTITION BY unit) AS t1 FROM e WINDOW w AS (PARTITION BY unit ORDER BY t, event)),
+p AS (SELECT *, least((t - t0) * 12 // greatest(t1 - t0, 1), 11) AS part FROM g), u AS (SELECT unit, count(*) AS n, avg(amp) AS m, var_pop(amp) AS v, avg(step * step / 2) FILTER (gap < {D}) AS f FROM p GROUP BY 1 HAVING count(*) >= 10), b AS (SELECT unit, count(*) AS k, avg(amp) AS mk FROM p GROUP BY unit, part)
+SELECT unit, n, round(v, 4) AS v_total, round(f, 4) AS v_fast, round(v - f, 4) AS v_slow, round(sum(k * (mk - m) ** 2) / n, 4) AS v_drift FROM u JOIN b USING (unit) GROUP BY unit, n, v, f""")
+def fast_slow(spark, d):
+    return states.fast_slow(event_trains(spark, d))
+
+
+@query(f"""WITH {E}, g AS (SELECT unit, t - lag(t) OVER w AS gap, (amp - lag(amp) OVER w) ** 2 / 2 AS half FROM e WINDOW w AS (PARTITION BY unit ORDER BY t, event)), s AS (SELECT unit, count(half) FILTER (gap >= 0 AND gap < {6 * H}) AS n_near, count(half) FILTER (gap >= {12 * H} AND gap < {48 * H}) AS n_far,
+avg(half) FILTER (gap >= 0 AND gap < {6 * H}) AS a, avg(half) FILTER (gap >= {12 * H} AND gap < {48 * H}) AS b FROM g GROUP BY 1) SELECT unit, n_near, n_far, CASE WHEN n_near >= 3 AND n_far >= 3 THEN round(b - a, 4) END AS variance FROM s""")
+def shared_state_variance(spark, d):
+    return states.shared_state(event_trains(spark, d), least=3)
+
+
+@query(f"""WITH {E} SELECT a.event, count(b.event) FILTER ((b.t, b.event) > (a.t, a.event)) - count(b.event) FILTER ((b.t, b.event) < (a.t, a.event)) AS position FROM e a JOIN e b ON a.unit = b.unit AND b.t BETWEEN a.t - {D} AND a.t + {D} GROUP BY 1""")
+def episode_position(spark, d):
+    return states.episode_position(event_trains(spark, d))
+
+
+@query(f"""WITH RECURSIVE {E}, o AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY t, event) AS i FROM e), s AS (SELECT unit, i, event, t, amp, NULL::BIGINT AS done FROM o WHERE i = 1 UNION ALL
+SELECT o.unit, o.i, CASE WHEN o.t - s.t >= {D} OR o.amp > s.amp THEN o.event ELSE s.event END, CASE WHEN o.t - s.t >= {D} OR o.amp > s.amp THEN o.t ELSE s.t END, CASE WHEN o.t - s.t >= {D} OR o.amp > s.amp THEN o.amp ELSE s.amp END, CASE WHEN o.t - s.t >= {D} THEN s.event END FROM s JOIN o ON o.unit = s.unit AND o.i = s.i + 1)
+SELECT done AS event FROM s WHERE done IS NOT NULL UNION ALL (SELECT event FROM s QUALIFY row_number() OVER (PARTITION BY unit ORDER BY i DESC) = 1)""")
+def dedup_keep(spark, d):
+    return states.without_repeats(event_trains(spark, d), D).select("event")
+
+
+@query(f"""WITH {E}, x AS (SELECT unit % 20 AS unit, (t - (SELECT min(t) FROM e)) // {3 * D} AS chunk, avg(amp) AS depth FROM e GROUP BY 1, 2), b AS (SELECT unit, median(depth) AS base FROM x GROUP BY 1), m AS (SELECT chunk, median(depth - base) AS d FROM x JOIN b USING (unit) GROUP BY 1)
+SELECT chunk, round(d - (SELECT arg_min(d, chunk) FROM m), 6) + 0.0 AS drift FROM m""")
+def drift_alternation(spark, d):
+    e = event_trains(spark, d)
+    chunk = F.floor((F.col("t") - F.col("t0")) / (3 * D)).alias("chunk")
+    return states.drift(e.crossJoin(F.broadcast(e.agg(F.min("t").alias("t0")))).groupBy((F.col("unit") % 20).alias("unit"), chunk).agg(F.avg("amp").alias("depth")))
+
+
+ANCHOR = f"""k AS (SELECT event, unit, t, t0, (t - t0) // {D} AS k FROM e, (SELECT min(t) AS t0 FROM e)), x AS (SELECT *, unnest([k - 1, k, k + 1]) AS chunk FROM k),
+l AS (SELECT event, chunk, CASE WHEN (event + chunk) % 5 = 0 THEN event % 5 ELSE (unit + chunk) % 5 END AS label FROM x WHERE chunk >= 0 AND t >= t0 + chunk * {D} - {8 * H} AND t < t0 + (chunk + 1) * {D} + {8 * H}),
+c AS (SELECT a.chunk, a.label AS f, b.label AS g, count(*) AS n FROM l a JOIN l b ON a.event = b.event AND b.chunk = a.chunk + 1 GROUP BY 1, 2, 3),
+w AS (SELECT *, sum(n) OVER (PARTITION BY chunk, f) AS nf, sum(n) OVER (PARTITION BY chunk, g) AS ng, row_number() OVER (PARTITION BY chunk, f ORDER BY n DESC, g) AS rf, row_number() OVER (PARTITION BY chunk, g ORDER BY n DESC, f) AS rg FROM c),
+h AS (SELECT chunk, f, g, n FROM w WHERE rf = 1 AND rg = 1 AND n >= 2 AND n >= 0.5 * nf AND n >= 0.5 * ng)"""
+
+
+def chunk_anchors(spark, d):
+    e = event_trains(spark, d)
+    label = F.when((F.col("event") + F.col("chunk")) % 5 == 0, F.col("event") % 5).otherwise((F.col("unit") + F.col("chunk")) % 5)
+    return graphs.anchors(trains.chunks(e).join(e.select("event", "unit"), "event").select("event", "chunk", label.alias("label")), least=2)
+
+
+@query(f"WITH {E}, {ANCHOR} SELECT chunk, f, g, n FROM h")
+def overlap_anchor(spark, d):
+    return chunk_anchors(spark, d)
+
+
+@query(f"""WITH RECURSIVE {E}, {ANCHOR}, q AS (SELECT chunk * 100 + f AS u, (chunk + 1) * 100 + g AS v FROM h), z AS (SELECT u, v FROM q UNION ALL SELECT v, u FROM q), r AS (SELECT u AS node, u AS c FROM z UNION SELECT z.v, r.c FROM r JOIN z ON z.u = r.node)
+SELECT node, min(c) AS component FROM r GROUP BY 1""")
+def gid_components(spark, d):
+    return graphs.components(chunk_anchors(spark, d).select((F.col("chunk") * 100 + F.col("f")).alias("a"), ((F.col("chunk") + 1) * 100 + F.col("g")).alias("b")))
+
+
+R = W + ", r AS (SELECT cluster, max(n) AS n, sqrt(sum(v)) AS radius, sqrt(sum(m * m)) AS energy FROM t GROUP BY 1)"
+
+
+@query(f"WITH {R}, q AS (SELECT *, radius / (SELECT median(radius) FROM r) AS q FROM r) SELECT cluster, n, round(radius, 6) AS radius, round(energy, 6) AS energy, CASE WHEN q < 0.8 THEN 'under' WHEN q > 1.25 THEN 'over' ELSE 'like' END AS verdict FROM q")
+def feature_radius(spark, d):
+    return templates.radii(waves(spark, d))
+
+
+@query(f"WITH {R}, l AS (SELECT log10(round(energy, 6)) AS x, log10(round(radius, 6)) AS y FROM r) SELECT count(*) AS n, round(regr_slope(y, x), 5) AS slope, round(corr(y, x) ** 2, 5) AS r2 FROM l")
+def constancy(spark, d):
+    return templates.constancy(templates.radii(waves(spark, d)))
+
+
+@query(f"WITH {W} SELECT cluster, round(avg(v), 8) AS variance FROM (SELECT cluster, v FROM t QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY v DESC, k) <= 3) GROUP BY 1")
+def top_variance(spark, d):
+    return templates.top_variance(waves(spark, d))
+
+
+@query("""WITH h AS (SELECT label AS cluster, ntile(2) OVER (PARTITION BY label ORDER BY vec_id) AS half, embedding::DOUBLE[] AS w FROM embeddings), x AS (SELECT cluster, half, unnest(range(1, 65)) AS k, unnest(w) AS x FROM h),
+m AS (SELECT cluster, k, avg(x) FILTER (half = 1) AS a, avg(x) FILTER (half = 2) AS b FROM x GROUP BY 1, 2) SELECT cluster, round(1 - corr(a, b), 6) AS distance FROM m GROUP BY 1""")
+def split_half_noise(spark, d):
+    return templates.half_distance(waves(spark, d))
+
+
+@query(f"""WITH {W}, n AS (SELECT cluster, sqrt(sum(m * m)) AS norm FROM t GROUP BY 1), p AS (SELECT a.cluster AS a, b.cluster AS b, s.s AS shift, round(sum(a.m * b.m) / (x.norm * y.norm), 6) AS cosine FROM t a CROSS JOIN (SELECT unnest(range(64)) AS s) s JOIN t b ON b.k = (a.k + s.s) % 64 AND a.cluster < b.cluster
+JOIN n x ON x.cluster = a.cluster JOIN n y ON y.cluster = b.cluster GROUP BY 1, 2, 3, x.norm, y.norm) SELECT a, b, cosine, shift FROM p QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY cosine DESC, shift) = 1""")
+def rolled_cosine(spark, d):
+    return templates.rolled_likeness(templates.templates(waves(spark, d)))
+
+
+@query("""WITH c AS (SELECT user_id AS atom, event_id % 3 AS fiber, count(*) AS n FROM events WHERE user_id <> 0 GROUP BY 1, 2) SELECT atom, arg_max(fiber, (n, -fiber)) AS parent, sum(n)::BIGINT AS n, count(*) > 1 AS straddles FROM c GROUP BY 1""")
+def lift_atoms(spark, d):
+    e = table(spark, d, "events")
+    return hierarchy.lifted(e.select(F.col("user_id").alias("atom"), (F.col("event_id") % 3).alias("fiber")))
