@@ -91,3 +91,14 @@ def rolled_likeness(templates: DataFrame) -> DataFrame:
     score = lambda s: F.struct(F.round(dot(F.col("v"), roll(s)) / F.nullif(norm(F.col("v")) * norm(F.col("w")), F.lit(0.0)), 6).alias("c"), (-s).alias("s"))
     p = a.join(b, F.col("a") < F.col("b")).select("a", "b", F.array_max(F.transform(F.sequence(F.lit(0), F.size("w") - 1), score)).alias("x"))
     return p.select("a", "b", F.col("x.c").alias("cosine"), (-F.col("x.s")).alias("shift"))
+
+
+def gated(waves: DataFrame, gate: float, floor: float = 1e-12, noise: int = 1) -> DataFrame:
+    """event, cluster, d2, label: the squared distance to the own cluster's template by its variances; beyond ``gate`` the label is the nearest other cluster's inside it, else ``noise``. Models are as few as clusters and are broadcast."""
+    v = by_element(waves).groupBy("cluster", "k").agg(F.avg("x").alias("m"), F.greatest(F.var_pop("x"), F.lit(floor)).alias("v"))
+    model = v.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("k", "m", "v"))).alias("p")).select(F.col("cluster").alias("other"), "p")
+    d2 = F.aggregate(F.zip_with("w", "p", lambda x, p: (x - p["m"]) * (x - p["m"]) / p["v"]), F.lit(0.0), lambda s, x: s + x)
+    p = waves.join(F.broadcast(model), F.lit(True)).select("event", "cluster", "other", F.round(d2, 4).alias("d"))
+    own, other = F.max(F.when(F.col("other") == F.col("cluster"), F.col("d"))), F.min(F.when((F.col("other") != F.col("cluster")) & (F.col("d") <= gate), F.struct("d", "other")))
+    s = p.groupBy("event", "cluster").agg(own.alias("d2"), other.alias("near"))
+    return s.select("event", "cluster", "d2", F.when(F.col("d2") <= gate, F.col("cluster")).otherwise(F.coalesce("near.other", F.lit(noise))).alias("label"))

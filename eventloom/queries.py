@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import graphs, hierarchy, scoring, states, templates, trains
+from .operators import curves, graphs, hierarchy, scoring, states, templates, trains
 from .sources.tables import table, trains as event_trains, waves
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -178,12 +178,12 @@ def template_match(spark, d):
     return templates.assigned(w, templates.templates(w))
 
 
-@query("SELECT vec_id AS event, round(list_max(e) - list_min(e), 6) AS ptp, list_position(m, list_max(m)) - 1 AS peak_at FROM (SELECT vec_id, embedding::DOUBLE[] AS e, list_transform(embedding::DOUBLE[], lambda x: abs(x)) AS m FROM embeddings)")
+@query("SELECT vec_id AS event, round(list_max(e) - list_min(e), 6) AS ptp, (list_position(m, list_max(m)) - 1)::BIGINT AS peak_at FROM (SELECT vec_id, embedding::DOUBLE[] AS e, list_transform(embedding::DOUBLE[], lambda x: abs(x)) AS m FROM embeddings)")
 def wave_shape(spark, d):
     return templates.shapes(waves(spark, d))
 
 
-@query("WITH r AS (SELECT label, row_number() OVER (ORDER BY label) + 1 AS new FROM (SELECT DISTINCT label FROM embeddings WHERE label <> 0)) SELECT vec_id AS event, e.label, coalesce(new, 0) AS new FROM embeddings e LEFT JOIN r ON r.label = e.label")
+@query("WITH r AS (SELECT label, row_number() OVER (ORDER BY label) + 1 AS new FROM (SELECT DISTINCT label FROM embeddings WHERE label <> 0)) SELECT vec_id AS event, e.label, coalesce(new, 0)::INT AS new FROM embeddings e LEFT JOIN r ON r.label = e.label")
 def relabel_compact(spark, d):
     return hierarchy.compact(waves(spark, d).select("event", F.col("cluster").alias("label")))
 
@@ -309,7 +309,7 @@ def split_half_noise(spark, d):
 
 
 @query(f"""WITH {W}, n AS (SELECT cluster, sqrt(sum(m * m)) AS norm FROM t GROUP BY 1), p AS (SELECT a.cluster AS a, b.cluster AS b, s.s AS shift, round(sum(a.m * b.m) / (x.norm * y.norm), 6) AS cosine FROM t a CROSS JOIN (SELECT unnest(range(64)) AS s) s JOIN t b ON b.k = (a.k + s.s) % 64 AND a.cluster < b.cluster
-JOIN n x ON x.cluster = a.cluster JOIN n y ON y.cluster = b.cluster GROUP BY 1, 2, 3, x.norm, y.norm) SELECT a, b, cosine, shift FROM p QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY cosine DESC, shift) = 1""")
+JOIN n x ON x.cluster = a.cluster JOIN n y ON y.cluster = b.cluster GROUP BY 1, 2, 3, x.norm, y.norm) SELECT a, b, cosine, shift::INT AS shift FROM p QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY cosine DESC, shift) = 1""")
 def rolled_cosine(spark, d):
     return templates.rolled_likeness(templates.templates(waves(spark, d)))
 
@@ -318,3 +318,30 @@ def rolled_cosine(spark, d):
 def lift_atoms(spark, d):
     e = table(spark, d, "events")
     return hierarchy.lifted(e.select(F.col("user_id").alias("atom"), (F.col("event_id") % 3).alias("fiber")))
+
+
+@query(f"""WITH {W}, p AS (SELECT x.event, x.cluster, t.cluster AS other, round(sum((x.x - t.m) ** 2 / greatest(t.v, 1e-12)), 4) AS d FROM x JOIN t USING (k) GROUP BY 1, 2, 3),
+s AS (SELECT event, cluster, max(d) FILTER (other = cluster) AS d2, arg_min(other, (d, other)) FILTER (other <> cluster AND d <= 70) AS near FROM p GROUP BY 1, 2) SELECT event, cluster, d2, CASE WHEN d2 <= 70 THEN cluster ELSE coalesce(near, 1) END AS label FROM s""")
+def mahalanobis_gate(spark, d):
+    return templates.gated(waves(spark, d), 70.0)
+
+
+def scaled(spark, d):
+    """Waveforms of many norms, as those of the table all have norm 1."""
+    return waves(spark, d).withColumn("w", F.transform("w", lambda x: x * (1 + F.col("event") % 97 / 97.0)))
+
+
+@query()
+def curve_assignment(spark, d):
+    w = scaled(spark, d)
+    return curves.nearest(w, curves.fit(w)).select("event", "cluster", "best", F.round("residual", 6).alias("residual"), F.round("posterior", 6).alias("posterior"))
+
+
+@query()
+def exclusive_bundles(spark, d):
+    """Labels of chunks, linked to those of the next two chunks by the events' order; two of a chunk never share a bundle."""
+    a = chunk_anchors(spark, d).select((F.col("chunk") * 100 + F.col("f")).alias("a"), ((F.col("chunk") + 1) * 100 + F.col("g")).alias("b"), F.col("n").cast("double").alias("strength"))
+    more = a.select("a", (F.col("b") - F.col("b") % 100 + (F.col("b") + 1) % 5).alias("b"), (F.col("strength") / 2).alias("strength"))
+    links = a.union(more)
+    nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().withColumn("chunk", F.floor(F.col("node") / 100))
+    return graphs.exclusive_bundles(nodes, links)
