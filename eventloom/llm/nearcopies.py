@@ -9,6 +9,7 @@ A document is its set of distinct shingles of five words, as 64-bit hashes; docu
 3. Lists: within a bucket, shingles that one document has are dropped. Each other list pairs all its documents with one
    of them, so a list of m gives m - 1 pairs. Pairs pass the length and the positional filter; then, each pair once, the suffix
    filter on the histograms (unlike counts bound the symmetric difference from below); then they are verified on whole sets.
+   Ids in lists and pairs become those of their classes' representatives.
 4. Lists whose documents lie in different components after that are unresolved. While their open pairs are many, and get fewer, each pairs its
    documents with another of its members. At last all pairs of different components that may still link are verified; for large components
    the triangle inequality of Jaccard distance tells which (see ``crossing``). So a large group of near copies never
@@ -415,11 +416,12 @@ def joined(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     tested = written(plausible(found.where("pos is null").select("x", "y"), one), "pairs")
     links = written(linking(tested), "links")
     parts = components(links)
-    postings = found.where("pos is not null").select(F.col("x").alias("sh"), F.col("y").alias("id"), "pos", "n")
+    # a task posts the copy that it reads first; from here on ids are those of representatives
+    reps = one.select(F.col("doc_id").alias("y"), F.col("rep").alias("id")).distinct()
+    postings = found.where("pos is not null").join(reps, "y").select(F.col("x").alias("sh"), "id", "pos", "n").distinct()
     turn, before, last = 0, None, False
     while not last:
-        label = one.join(parts, one["rep"] == parts["id"], "left").where("component is not null or doc_id <> rep").select(F.col("doc_id").alias("id"), F.coalesce("component", "rep").alias("c"))
-        labelled = written(postings.join(label.distinct(), "id", "left").withColumn("c", F.coalesce("c", "id")), "labelled")
+        labelled = written(postings.join(parts.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id")), "labelled")
         if not turn:
             delete(spark, found)
         # as an open list has at least one document of each component, its pairs are estimated by the square of its size

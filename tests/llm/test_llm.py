@@ -475,6 +475,23 @@ def test_near_copies_by_all_pairs(spark, monkeypatch, large, open_pairs, bits):
     assert got == by_pairs(texts)
 
 
+@pytest.mark.parametrize("large", [3, 16])
+def test_near_copies_whose_representative_is_read_last(spark, monkeypatch, large):
+    """Each text has a copy, ids descend in one task, and the last step (crossing) comes at once."""
+    monkeypatch.setattr(nearcopies, "LARGE", large)
+    monkeypatch.setattr(nearcopies, "OPEN_PAIRS", 1e9)
+    r = random.Random(large)
+    texts = []
+    for g in range(6):
+        base = [f"g{g}w{k}" for k in range(100)] + [f"p{k}" for k in range(60)] * (g % 2)
+        texts += [mutated(r, base, r.choice([1, 2, 3, 4, 5, 6])) for _ in range(25)]
+    r.shuffle(texts)
+    texts += texts
+    d = docs(spark, texts, list(range(len(texts)))).coalesce(1).sortWithinPartitions(F.desc("doc_id"))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in nearcopies.near_copies(d).collect()}
+    assert got == by_pairs(texts)
+
+
 def test_near_copies_odd_rows(spark):
     d = docs(spark).union(docs(spark))
     got = nearcopies.near_copies(d).collect()
