@@ -1,8 +1,8 @@
 """Secret scan: fixed patterns, and a linear-chain conditional random field for what they miss.
 
 Tokens are runs of characters that aren't white space. The field tags each with B (a secret begins), I (it goes on) or O,
-from the token's shape, the words beside it and features of the whole text, and is decoded by Viterbi. Tokens without a digit,
-``=`` or ``_`` are O by constraint, so chains are runs of the others. B and I need ``LEAST`` characters.
+from the token's shape, the words beside it and features of the whole text, and is decoded by Viterbi. B and I need ``LEAST``
+characters, so shorter tokens are O by constraint; chains are runs of the others and of those with a digit, ``=`` or ``_``.
 
 The field is trained by gradient ascent on the conditional likelihood, on a bounded sample of the corpus labelled by the
 fixed patterns and on lines made by rule: secrets of other forms, and look-alikes (numbers, addresses, versions, dates).
@@ -31,11 +31,12 @@ KINDS = ("assign", "access", "hex", "crf")
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
-TRIGGER = re.compile(r"[0-9=_]\S*")
 WORD_BEFORE, WORD_AFTER = re.compile(r"(\S{1,40})\s*$"), re.compile(r"\s*(\S{1,40})")
 EDGES = "\"'`<>()[]{},;:."
 FEATURES, TAGS = 1 << 13, 3  # O, B, I
 LEAST = 12
+TOKEN = re.compile(rf"(?<!\S)(?:\S{{{LEAST},}}+|[^\s0-9=_]*+[0-9=_]\S*+)")
+TRIGGER = re.compile("[0-9=_]")
 TRAIN_ROWS, EPOCHS, RATE, DECAY = 2_000, 12, 0.3, 1e-4
 REPLACEMENT = "[SECRET]"
 
@@ -48,12 +49,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def chains(text: str) -> list[list[tuple[int, int]]]:
-    """Runs of neighbouring tokens that aren't O by constraint."""
+    """Runs of neighbouring tokens that have ``LEAST`` characters, or a digit, ``=`` or ``_``."""
     out: list[list[tuple[int, int]]] = []
-    for m in TRIGGER.finditer(text):
+    for m in TOKEN.finditer(text):
+        if len(m[0].strip(EDGES)) < LEAST and not TRIGGER.search(m[0]):
+            continue
         start, end = m.span()
-        while start and not text[start - 1].isspace():
-            start -= 1
         if out and not text[out[-1][-1][1] : start].strip():
             out[-1].append((start, end))
         else:
@@ -194,10 +195,13 @@ def made_lines(n: int = 1500, seed: int = 7) -> list[tuple[str, list[tuple[int,
     some = lambda letters, k: "".join(r.choice(letters) for _ in range(k))
     alnum, b64, low = string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_lowercase
     word = lambda: some("aeiorstnlhd", r.randint(2, 9))
+    long = lambda: "".join(word() for _ in range(4))
     secret = [
         lambda: "ghp_" + some(alnum, 36), lambda: "sk-" + some(alnum, r.randint(32, 48)), lambda: "xoxb-" + some(string.digits, 11) + "-" + some(alnum, 24),
         lambda: "eyJ" + some(alnum, 20) + "." + some(alnum + "_-", 40) + "." + some(alnum + "_-", 30), lambda: some(b64, 40), lambda: some(alnum, r.randint(20, 44)),
         lambda: some(b64, 42) + "==", lambda: "AIza" + some(alnum + "_-", 35), lambda: "glpat-" + some(alnum, 20),
+        lambda: some(string.ascii_letters, r.randint(LEAST, 44)), lambda: some(string.ascii_letters, r.randint(16, 40)), lambda: some(string.ascii_letters + "+/.-", 30) + some(string.ascii_letters, 2),
+        lambda: "".join(c.upper() if k % 2 else c for k, c in enumerate(some(low, r.randint(LEAST, 24)))).swapcase(),
     ]
     lead = ["key", "access key:", "Authorization: Bearer", "credential", "client_secret:", "passphrase", "auth", "private key", ""]
     other = [
@@ -207,6 +211,7 @@ def made_lines(n: int = 1500, seed: int = 7) -> list[tuple[str, list[tuple[int,
         lambda: f"{word()}{r.randint(1, 9999)}", lambda: f"{word()}={word()}", lambda: "=" * r.randint(3, 40), lambda: "_" * r.randint(3, 40), lambda: f"{word().title()}{word()}{r.randint(10, 99)}.html",
         lambda: f"{some('0123456789abcdef', 8)}-{some('0123456789abcdef', 4)}-4{some('0123456789abcdef', 3)}-a{some('0123456789abcdef', 3)}-{some('0123456789abcdef', 12)}", lambda: f"${r.randint(1, 99)},{r.randint(100, 999)}.{r.randint(10, 99)}",
         lambda: f"{word()}-{word()}-{word()}-{r.randint(1, 99)}", lambda: some(low, 18) + str(r.randint(1, 9)), lambda: f"/usr/{word()}/{word()}{r.randint(1, 9)}/{word()}.so.{r.randint(1, 9)}",
+        lambda: long(), lambda: long().title(), lambda: long().upper(), lambda: "-".join(word() for _ in range(4)), lambda: "".join(word().title() for _ in range(4)), lambda: f"{word()}/{long()}.{word()}",
     ]
     out = []
     for _ in range(n):
@@ -245,7 +250,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text: str = "text", train_row
     """A field for these texts; at most about ``train_rows`` of them, and of 50,000 characters at most, come to the driver."""
     n = docs.select(F.lit(1)).count()
     some = docs.select(F.col(id_col).alias("_id"), F.col(text).cast("string").alias("_text")).where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < int((1 << 20) * min(1, train_rows / max(n, 1))))
-    some = some.where((F.length("_text") <= 50_000) & F.col("_text").rlike("[0-9=_]"))
+    some = some.where(F.length("_text") <= 50_000)
     return train(sorted({r[0] for r in some.select("_text").collect()}))
 
 

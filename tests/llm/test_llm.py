@@ -259,6 +259,16 @@ def test_field_finds_other_forms_and_leaves_look_alikes(field):
     assert hit > 0.9 * sum(bool(s) for _, s in made) and wrong <= 0.03 * sum(not s for _, s in made)
 
 
+def test_field_finds_secrets_of_letters_alone(field):
+    r = random.Random(12)
+    some = lambda k: "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(k))
+    made = [(lead, some(r.randint(14, 40))) for lead in ("the passphrase ", "Authorization: Bearer ", "our key = ") for _ in range(60)]
+    assert field.spans("the passphrase QwErTzUiOpLkJhGf is old") == [(15, 31)]
+    assert sum(field.spans(f"{a}{b} is old") == [(len(a), len(a) + len(b))] for a, b in made) > 0.9 * len(made)
+    plain = "Responsibilities of the Donaudampfschifffahrtsgesellschaft are internationalization, counterrevolutionary UNDERSTANDINGS and state-of-the-art telecommunications."
+    assert field.spans(plain) == []
+
+
 def test_viterbi_by_brute_force():
     import itertools
 
