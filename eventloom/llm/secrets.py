@@ -7,8 +7,8 @@ characters, so shorter tokens are O by constraint; chains are runs of the others
 The field is trained by gradient ascent on the conditional likelihood, on a bounded sample of the corpus labelled by the
 fixed patterns and on lines made by rule: secrets of other forms, and look-alikes (numbers, addresses, versions, dates).
 
-Defined results: a null text is empty and has no span. Spans that the field finds and that overlap a pattern's span are that
-pattern's already and are left out. Repeated rows are answered one by one.
+Defined results: a null text is empty and has no span. Spans that the field finds are left out where all but
+their punctuation lies in patterns' spans, and else are kept whole, so they may overlap those. Repeated rows are answered one by one.
 """
 
 from __future__ import annotations
@@ -202,6 +202,7 @@ def made_lines(n: int = 1500, seed: int = 7) -> list[tuple[str, list[tuple[int,
         lambda: some(b64, 42) + "==", lambda: "AIza" + some(alnum + "_-", 35), lambda: "glpat-" + some(alnum, 20),
         lambda: some(string.ascii_letters, r.randint(LEAST, 44)), lambda: some(string.ascii_letters, r.randint(16, 40)), lambda: some(string.ascii_letters + "+/.-", 30) + some(string.ascii_letters, 2),
         lambda: "".join(c.upper() if k % 2 else c for k, c in enumerate(some(low, r.randint(LEAST, 24)))).swapcase(),
+        lambda: r.choice(("password", "passwd", "secret", "token", "api_key")) + r.choice("=:") + some(alnum, r.randint(6, 16)) + r.choice("$!#%&*~^@") + some(alnum, r.randint(6, 16)),
     ]
     lead = ["key", "access key:", "Authorization: Bearer", "credential", "client_secret:", "passphrase", "auth", "private key", ""]
     other = [
@@ -258,7 +259,18 @@ def spans(text: str | None, field: Field) -> list[tuple[int, int, int]]:
     """(start, kind, end) of all spans, by start, then kind."""
     text = text or ""
     base = base_spans(text)
-    return sorted(base + [(a, 3, b) for a, b in field.spans(text) if not any(s < b and a < e for s, _, e in base)])
+    return sorted(base + [(a, 3, b) for a, b in field.spans(text) if beyond(text, a, b, base)])
+
+
+def beyond(text: str, a: int, b: int, base: list[tuple[int, int, int]]) -> bool:
+    """Whether the text from a to b has more than white space and ``EDGES`` outside the spans ``base``, which are in order."""
+    for s, _, e in base:
+        if s >= b:
+            break
+        if s > a and text[a:s].strip(EDGES + string.whitespace):
+            return True
+        a = max(a, e)
+    return bool(text[a:b].strip(EDGES + string.whitespace))
 
 
 def joined(found: list[tuple[int, int, int]]) -> str:

@@ -269,6 +269,26 @@ def test_field_finds_secrets_of_letters_alone(field):
     assert field.spans(plain) == []
 
 
+class Fixed:
+    """In place of a field: always these spans."""
+
+    def __init__(self, *found):
+        self.found = found
+
+    def spans(self, text):
+        return self.found
+
+
+def test_spans_of_the_field_beyond_the_patterns_stay(field):
+    text = "password=Abc12345$Zxcv9876Qw"
+    assert secrets.spans(text, Fixed((0, 28))) == [(0, 0, 17), (0, 3, 28)] and secrets.redacted(text, Fixed((0, 28))) == "[SECRET]"
+    assert secrets.redacted(f"x {text} y", field) == "x [SECRET] y"
+    several = f"Zxcv9876Qwer {'0a' * 16} Tyui5432Qwer"
+    assert secrets.redacted(several, Fixed((0, len(several)))) == "[SECRET]"
+    assert secrets.spans('password="Abc12345"; ' + "0a" * 16, Fixed((0, 53))) == [(0, 0, 18), (21, 2, 53)]
+    assert secrets.spans("0a" * 16, Fixed((0, 32))) == [(0, 2, 32)]
+
+
 def test_viterbi_by_brute_force():
     import itertools
 
