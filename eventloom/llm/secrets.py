@@ -1,6 +1,6 @@
 """Secret scan: fixed patterns, and a linear-chain conditional random field for what they miss.
 
-Tokens are runs of characters that aren't white space. The field tags each with B (a secret begins), I (it goes on) or O,
+Tokens are runs of characters that are neither white space nor quotes, brackets, commas or semicolons. The field tags each with B (a secret begins), I (it goes on) or O,
 from the token's shape, the words beside it and features of the whole text, and is decoded by Viterbi. B and I need ``LEAST``
 characters, so shorter tokens are O by constraint; chains are runs of the others and of those with a digit, ``=`` or ``_``.
 
@@ -31,11 +31,13 @@ KINDS = ("assign", "access", "hex", "crf")
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
-WORD_BEFORE, WORD_AFTER = re.compile(r"(\S{1,40})\s*$"), re.compile(r"\s*(\S{1,40})")
 EDGES = "\"'`<>()[]{},;:."
+#: What parts tokens, in a class of characters; between a key and its value there may also be : and =.
+PARTS = r"\s\"'`<>()\[\]{},;"
+WORD_BEFORE, WORD_AFTER = re.compile(rf"([^{PARTS}]{{1,40}})([{PARTS}:=]*)$"), re.compile(rf"[{PARTS}]*([^{PARTS}]{{1,40}})")
 FEATURES, TAGS = 1 << 13, 3  # O, B, I
 LEAST = 12
-TOKEN = re.compile(rf"(?<!\S)(?:\S{{{LEAST},}}+|[^\s0-9=_]*+[0-9=_]\S*+)")
+TOKEN = re.compile(rf"(?<![^{PARTS}])(?:[^{PARTS}]{{{LEAST},}}+|[^{PARTS}0-9=_]*+[0-9=_][^{PARTS}]*+)")
 TRIGGER = re.compile("[0-9=_]")
 TRAIN_ROWS, EPOCHS, RATE, DECAY = 2_000, 12, 0.3, 1e-4
 REPLACEMENT = "[SECRET]"
@@ -65,10 +67,10 @@ def chains(text: str) -> list[list[tuple[int, int]]]:
 def shape(token: str) -> list[str]:
     core = token.strip(EDGES)
     n = len(core)
-    kinds = ["".join(k for k, on in zip("lud", (c.islower(), c.isupper(), c.isdigit()), strict=True) if on) or "s" for c in core[:200]]
+    kinds = ["".join(k for k, on in zip("lud", (c.islower(), c.isupper(), c.isdigit()), strict=True) if on) or "s" for c in core]
     share = Counts(kinds, n)
     turns = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False))
-    seen = len(set(core[:200])) / max(1, min(n, 200))
+    seen = len(set(core)) / max(1, n)
     return [
         f"n{min(n, 64) // 4}",
         f"mix{share}",
@@ -78,7 +80,6 @@ def shape(token: str) -> list[str]:
         f"num{core.replace('.', '').replace('-', '').replace('/', '').replace(':', '').isdigit()}",
         f"p{core[:3].lower()}",
         *(f"has{c}" for c in "@=/._-:+&%" if c in core),
-        f"quoted{token[:1] in EDGES[:3]}{n >= LEAST}",
         f"key{bool(ASSIGN.search(token)) or any(k in core.lower() for k in ('key', 'pass', 'secret', 'token', 'auth'))}",
     ]
 
@@ -87,7 +88,7 @@ class Counts:
     """Which kinds of characters a token has, by eighths."""
 
     def __init__(self, kinds: list[str], n: int):
-        self.text = "".join(f"{k}{8 * kinds.count(k) // max(1, min(n, 200))}" for k in "luds" if k in kinds)
+        self.text = "".join(f"{k}{8 * kinds.count(k) // max(1, n)}" for k in "luds" if k in kinds)
 
     def __str__(self):
         return self.text
@@ -102,12 +103,12 @@ def observed(text: str, chain: list[tuple[int, int]]) -> list[np.ndarray]:
         before = WORD_BEFORE.search(text, max(0, a - 60), a)
         before2 = WORD_BEFORE.search(text, max(0, a - 100), before.start()) if before else None
         after = WORD_AFTER.match(text, b, b + 60)
-        s = shape(text[a:b][:400])
+        s = shape(text[a:b])
         names = [
-            *s, "bias", dense, lines,
+            *s, "bias", dense, lines, f"quoted{a > 0 and text[a - 1] in EDGES[:3]}{len(text[a:b].strip(EDGES)) >= LEAST}",
             f"w-1{before[1].strip(EDGES + '=').lower() if before else ''}",
             f"w-2{before2[1].strip(EDGES + '=').lower() if before2 else ''}",
-            f"w-1eq{bool(before and before[1][-1] in ':=')}:{len(text[a:b].strip(EDGES)) >= LEAST}",
+            f"w-1eq{bool(before and (before[1][-1] in ':=' or ':' in before[2] or '=' in before[2]))}:{len(text[a:b].strip(EDGES)) >= LEAST}",
             f"w+1{'' if not after else 'a' if after[1][0].isalpha() else 'd' if after[1][0].isdigit() else 's'}",
             f"place{min(i, 2)}",
         ]

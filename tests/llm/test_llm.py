@@ -269,6 +269,17 @@ def test_field_finds_secrets_of_letters_alone(field):
     assert field.spans(plain) == []
 
 
+def test_field_finds_secrets_in_text_without_spaces(field):
+    values = ",".join(f'"{k}":"plain"' for k in range(200))
+    for text in (f'{{{values},"credential":"sk-Zx81LmQ0vTb7KpR4sWn2YcD6hJf9GaEu","next":[1,2,3]}}', f"f({values});g('ghp_0a1B2c3D4e5F6g7H8i9J0kLmNoPqRsTuVwXy');h(1,2)"):
+        ((a, b),) = field.spans(text)
+        assert a > 1000 and text[a:b] in ("sk-Zx81LmQ0vTb7KpR4sWn2YcD6hJf9GaEu", "ghp_0a1B2c3D4e5F6g7H8i9J0kLmNoPqRsTuVwXy")
+
+
+def test_shape_is_of_the_whole_token():
+    assert secrets.shape("a" * 1000) != secrets.shape("a" * 500 + "B7" * 250)
+
+
 class Fixed:
     """In place of a field: always these spans."""
 
