@@ -6,7 +6,7 @@ How many windows pass each threshold, calibrated by logistic regression on the l
 
 The ordinary dictionary is made by zstandard's own trainer. The toxic one extends it by segments that recur in toxic text:
 zstandard's trainer ranks segments by frequency alone, and so picks copies and common syllables; here a segment counts
-once for each pair of neighbouring words, and must be ``RATIO`` times as frequent as in ordinary text. Both share the rest, so that
+once for each pair of neighbouring words, and must be ``RATIO`` times as frequent as in ordinary text, beyond chance (``ALPHA``). Both share the rest, so that
 ordinary windows have equal lengths and only toxic segments make a difference.
 
 Defined results: null and empty texts have no window above a threshold and get the score of such a text. If the sample lacks
@@ -30,8 +30,10 @@ from .common import by_text, held_out, slices, table
 WINDOW = 4
 #: Labelled rows learnt from, at most about so many (taken by a hash of the id), and characters of the longest text learnt from.
 TRAIN_ROWS, TRAIN_CHARS = 8_000, 200_000
-#: A segment of the toxic dictionary: so many contexts for each toxic text, so many times as frequent; so many segments.
-CONTEXTS, RATIO, SEGMENTS = 0.025, 8, 200
+#: A segment of the toxic dictionary: so many contexts at least, so many times as frequent; so many segments.
+CONTEXTS, RATIO, SEGMENTS = 3, 8, 200
+#: The bound on the chance that any word as frequent in ordinary text becomes a segment.
+ALPHA = 0.01
 ORDINARY_BYTES = 32_768
 THRESHOLDS = (1, 2, 3, 4, 5, 6, 8)
 
@@ -84,8 +86,11 @@ def segments(toxic: list[str], ordinary: list[str]) -> list[bytes]:
 
     (o, no), (t, nt) = contexts(ordinary), contexts(toxic)
     o = np.concatenate([o, np.zeros(len(number) - len(o), np.int64)])
-    least = max(3, CONTEXTS * len(toxic))
-    can = (t >= least) & (t / nt >= RATIO * (o + 0.5) / no)
+    # Chernoff's bound: the chance that so many of a word's contexts are toxic is e^-far at most
+    both, q = np.maximum(t + o, 1), nt / (nt + no)
+    part = t / both
+    far = t * np.log(np.maximum(part, 1e-300) / q) + o * np.log(np.maximum(1 - part, 1e-300) / (1 - q))
+    can = (t >= CONTEXTS) & (t / nt >= RATIO * (o + 0.5) / no) & (far >= np.log(len(number) / ALPHA))
     found = [(int(t[k]), w) for w, k in number.items() if can[k] and len(w) >= 4]
     return [w for _, w in sorted(heapq.nlargest(SEGMENTS, found))]
 

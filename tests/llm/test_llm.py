@@ -103,6 +103,14 @@ def test_toxic_segments_count_contexts():
     assert toxicity.segments(toxic, [f"plain{k} words{k} here" for k in range(200)]) == [b"scum"]
 
 
+def test_toxic_segments_need_no_share_of_the_texts():
+    r = random.Random(3)
+    fill = lambda: " ".join(f"w{r.randrange(500)}" for _ in range(12))
+    toxic = [f"{fill()} scum {fill()}" if k < 12 else fill() for k in range(1000)]
+    assert toxicity.segments(toxic, [fill() for _ in range(9000)]) == [b"scum"]
+    assert toxicity.segments(toxic[:3] + toxic[500:], [fill() for _ in range(500)]) == []  # three may be chance
+
+
 # packing
 
 
