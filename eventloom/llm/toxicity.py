@@ -34,7 +34,8 @@ TRAIN_ROWS, TRAIN_CHARS = 8_000, 200_000
 CONTEXTS, RATIO, SEGMENTS = 3, 8, 200
 #: The bound on the chance that any word as frequent in ordinary text becomes a segment.
 ALPHA = 0.01
-ORDINARY_BYTES = 32_768
+#: The ordinary dictionary: its size, and windows that it is trained on at most, evenly spaced over all of the sample.
+ORDINARY_BYTES, ORDINARY_WINDOWS = 32_768, 40_000
 THRESHOLDS = (1, 2, 3, 4, 5, 6, 8)
 
 
@@ -103,12 +104,18 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
     return w
 
 
-def fit(texts: list[str], labels: list[int]) -> Model:
+def spaced(found: list, most: int) -> list:
+    """``most`` of these at most, evenly spaced from the first to the last."""
+    return found if len(found) <= most else [found[k * (len(found) - 1) // max(most - 1, 1)] for k in range(most)]
+
+
+def fit(texts: list[str], labels: list[int], ordinary_windows: int = ORDINARY_WINDOWS) -> Model:
+    """A model of labelled texts; the ordinary dictionary is trained on ``ordinary_windows`` windows at most."""
     toxic, ordinary = ([t for t, y in zip(texts, labels, strict=True) if t and (y == 1) == k] for k in (True, False))
     if not toxic or not ordinary:
         return Model(b"", b"", *(np.zeros(1),) * 3, constant=float(bool(toxic)))
     try:
-        base = zs.train_dictionary(ORDINARY_BYTES, [w for t in ordinary for w in windows(t, 16)][:40_000]).as_bytes()
+        base = zs.train_dictionary(ORDINARY_BYTES, spaced([w for t in ordinary for w in windows(t, 16)], ordinary_windows)).as_bytes()
     except zs.ZstdError:  # too few samples
         base = b" ".join(t.lower().encode("utf-8", "replace") for t in ordinary)[-ORDINARY_BYTES:]
     base = base or b" " * 8

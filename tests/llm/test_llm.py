@@ -111,6 +111,15 @@ def test_toxic_segments_need_no_share_of_the_texts():
     assert toxicity.segments(toxic[:3] + toxic[500:], [fill() for _ in range(500)]) == []  # three may be chance
 
 
+def test_ordinary_dictionary_is_of_the_whole_sample(monkeypatch):
+    got, train = [], toxicity.zs.train_dictionary
+    monkeypatch.setattr(toxicity.zs, "train_dictionary", lambda size, samples: got.extend(samples) or train(size, samples))
+    toxicity.fit([f"text {k} of plain words" for k in range(50_000)] + ["scum"], [0] * 50_000 + [1])
+    at = [int(w.split()[1]) for w in got]
+    assert len(set(at)) == 40_000 and at[0] == 0 and at[-1] == 49_999 and sum(k >= 25_000 for k in at) == 20_000
+    assert toxicity.spaced([1, 2, 3], 3) == [1, 2, 3] and toxicity.spaced([1, 2, 3], 2) == [1, 3]
+
+
 # packing
 
 
