@@ -111,6 +111,46 @@ def inflate(data: bytes, at: int) -> tuple[bytes, int]:
     return out, len(data) - len(z.unused_data)
 
 
+def partial(data: bytes, at: int) -> tuple[bytes, bool]:
+    """What the broken gzip member at ``at`` gives before its fault, and whether the fault is that it has no end."""
+    z, out, step = zlib.decompressobj(31), [], 1 << 16
+    for i in range(at, len(data), step):
+        before = z.copy()
+        try:
+            out.append(z.decompress(data[i : i + step]))
+        except zlib.error:
+            for k in range(i, i + step):
+                try:
+                    out.append(before.decompress(data[k : k + 1]))
+                except zlib.error:
+                    return b"".join(out), False
+    return b"".join(out), True
+
+
+def inside(data: bytes, at: int) -> tuple[list[Record], int | None, str]:
+    """The records in the member at ``at``, where it ends (null if it is broken), and what is wrong in it.
+
+    Of a broken member those records count that have an id and a digest; not one that is all of it, nor, if it has no end, the last."""
+    try:
+        inner, end = inflate(data, at)
+        cut, wrong = False, ""
+    except ValueError as e:
+        (inner, cut), end, wrong = partial(data, at), None, str(e)
+    found, k = [], 0
+    while k < len(inner):
+        try:
+            record, stop = parse(inner, k)
+        except ValueError as e:
+            wrong = wrong or f"at {k} of the member: {e}"
+            k = m.start() if (m := START.search(inner, k + 1)) else len(inner)
+            continue
+        if end is not None or {"WARC-Block-Digest", "WARC-Record-ID"} <= record.headers.keys() and not (stop == len(inner) and (cut or k == 0)):
+            record.offset = at
+            found.append(record)
+        k = stop
+    return found, end, wrong or ("" if found else "an empty member")
+
+
 def member_head(data: bytes, at: int) -> bool:
     """Whether what begins at ``at`` unpacks to a version line."""
     try:
@@ -120,18 +160,19 @@ def member_head(data: bytes, at: int) -> bool:
 
 
 def salvage(data: bytes) -> Iterator[Record | tuple[int, int, str]]:
-    """The records of an archive and, as (from, to, reason), the byte gaps between them that no valid record covers."""
+    """The records of an archive and, as (from, to, reason), the byte gaps between them that no valid record covers.
+
+    Records of a member have its offset. A member that is broken, or has a fault in it, is a gap whose valid records come before it."""
     at, bad, reason = 0, None, ""
     while at < len(data):
         try:
             if data[at : at + 3] == MAGIC:
-                inner, end = inflate(data, at)
-                record, stop = parse(inner, 0)
-                if stop != len(inner):
-                    raise ValueError("more than one record in a member")
-                record.offset = at
+                records, end, wrong = inside(data, at)
+                if not records:
+                    raise ValueError(wrong)
             else:
                 record, end = parse(data, at)
+                records, wrong = [record], ""
         except ValueError as e:
             bad, reason = (at, str(e)) if bad is None else (bad, reason)
             at = following(data, at + 1)
@@ -139,8 +180,12 @@ def salvage(data: bytes) -> Iterator[Record | tuple[int, int, str]]:
         if bad is not None:
             yield bad, at, reason
             bad = None
-        yield record
-        at = end
+        yield from records
+        if wrong and end is not None:
+            yield at, end, wrong
+        if end is None:
+            bad, reason = at, wrong
+        at = following(data, at + 1) if end is None else end
     if bad is not None:
         yield bad, len(data), reason
 

@@ -229,6 +229,21 @@ def test_salvage_survives_any_flipped_byte():
         assert set(ids(warc.salvage(bytes(broken)))) >= {f"<urn:page:{k}>" for k in range(3) if k != hit}
 
 
+def test_salvage_reads_members_of_several_records():
+    import gzip
+
+    parts = [warc.render(i, f"http://x/{i}", random.Random(i).randbytes(3000), None, False) for i in range(6)]
+    whole = gzip.compress(b"".join(parts))
+    found = list(warc.salvage(whole))
+    assert ids(found) == [f"<urn:page:{i}>" for i in range(6)] and len(found) == 6
+    fault = bytearray(b"".join(parts))
+    fault[len(parts[0]) + len(parts[1]) - 500] ^= 0xFF
+    found = list(warc.salvage(gzip.compress(bytes(fault)) + archive(1)[0]))
+    assert ids(found) == [f"<urn:page:{i}>" for i in (0, 2, 3, 4, 5, 0)] and sum(isinstance(x, tuple) for x in found) == 1
+    cut = list(warc.salvage(whole[: len(whole) // 2] + archive(1)[0]))
+    assert ids(cut)[:2] == ["<urn:page:0>", "<urn:page:1>"] and ids(cut)[-1] == "<urn:page:0>" and sum(isinstance(x, tuple) for x in cut) == 1
+
+
 def test_salvage_of_nothing():
     assert list(warc.salvage(b"")) == [] and list(warc.salvage(b"abc"))[0][:2] == (0, 3)
 
