@@ -1,22 +1,23 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are learnt, one from toxic and one from ordinary text. A text is cut into windows of ``WINDOW``
-words, each window is compressed with either dictionary, and the difference of the two lengths is compared with thresholds.
-How many windows pass each threshold, calibrated by logistic regression on the labelled sample, gives the score.
-
-The ordinary dictionary is made by zstandard's own trainer. The toxic one extends it by segments that recur in toxic text:
-zstandard's trainer ranks segments by frequency alone, and so picks copies and common syllables; here a segment counts
-once for each pair of neighbouring words, and must be ``RATIO`` times as frequent as in ordinary text, beyond chance (``ALPHA``). Both share the rest, so that
-ordinary windows have equal lengths and only toxic segments make a difference.
-
-Defined results: null and empty texts have no window above a threshold and get the score of such a text. If the sample lacks
-one of the two labels, all scores are 0 (no toxic example) or 1 (no other). Repeated labels of one id are learnt from one by
-one; null labels are left out. Repeated rows are scored one by one.
+zstandard's trainer makes two dictionaries: one of ordinary text, and one of toxic text, which is put before the ordinary one. A text is
+cut into windows of ``WINDOW`` words, each is compressed with either, and the difference of the two lengths is compared with
+``THRESHOLDS``. How many windows pass each, calibrated by logistic regression on labelled rows that neither dictionary was trained on, gives
+the score.
+
+The trainer ranks segments by how often they recur, and what recurs most in toxic text is what recurs in all text. So it gets the parts of the toxic
+texts that ordinary text lacks: runs of n-grams of ``GRAM`` bytes in ``RATIO`` times as large a share of the toxic texts as of the
+ordinary ones, beyond chance (``ALPHA``). A part counts once for each pair of neighbours, so that copies of a text don't rule.
+
+Defined results: null and empty texts have one window of no gain, and the score that follows from it. If the sample lacks
+one of the two labels, all scores are 0 (no toxic example) or 1 (no other); with empty tables there is no row. Equal labels of one id count once;
+null labels are left out, and unlike labels of one id are both learnt from. Rows with equal texts and labels are learnt from once and scored one by one.
+A score of 0.5 is toxic. Very long texts are taken window by window. Other columns are ignored, whatever their names, and kept by ``without_toxic``.
 """
 
 from __future__ import annotations
 
-import heapq
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,16 +28,16 @@ from pyspark.sql import functions as F
 
 from .common import by_text, held_out, slices, table
 
-WINDOW = 4
-#: Labelled rows learnt from, at most about so many (taken by a hash of the id), and characters of the longest text learnt from.
-TRAIN_ROWS, TRAIN_CHARS = 8_000, 200_000
-#: A segment of the toxic dictionary: so many contexts at least, so many times as frequent; so many segments.
-CONTEXTS, RATIO, SEGMENTS = 3, 8, 200
-#: The bound on the chance that any word as frequent in ordinary text becomes a segment.
-ALPHA = 0.01
-#: The ordinary dictionary: its size, and windows that it is trained on at most, evenly spaced over all of the sample.
-ORDINARY_BYTES, ORDINARY_WINDOWS = 32_768, 40_000
-THRESHOLDS = (1, 2, 3, 4, 5, 6, 8)
+WINDOW = 6
+#: Labelled rows learnt from, about, and characters of all their texts, about; taken by a hash of id and text. Only these come to the driver.
+TRAIN_ROWS, TRAIN_CHARS = 8_000, 60_000_000
+#: One of so many sampled rows calibrates, the others train the dictionaries.
+CALIBRATING = 3
+#: An n-gram is of toxic text if it is in so many toxic texts, so many times as frequent, and so many n-grams at most would be by chance.
+GRAM, LEAST, RATIO, ALPHA = 8, 3, 8, 1.0
+#: The dictionaries' sizes, the trainer's segment and match lengths, and the ordinary windows trained on at most, evenly spaced over the sample.
+TOXIC_BYTES, ORDINARY_BYTES, SEGMENT, MATCH, ORDINARY_WINDOWS = 3072, 32_768, 20, 8, 40_000
+THRESHOLDS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12)
 
 
 @dataclass
@@ -49,6 +50,10 @@ class Model:
     constant: float | None = None
 
 
+def plain(text: str | None) -> bytes:
+    return b" " + b" ".join((text or "").lower().encode("utf-8", "replace").split()) + b" "
+
+
 def windows(text: str | None, size: int = WINDOW) -> list[bytes]:
     w = (text or "").lower().encode("utf-8", "replace").split()
     return [b" " + b" ".join(w[i : i + size]) + b" " for i in range(0, len(w), size)]
@@ -65,35 +70,65 @@ def compressor(content: bytes) -> zs.ZstdCompressor:
 def features(texts: list[str], ordinary: zs.ZstdCompressor, toxic: zs.ZstdCompressor) -> np.ndarray:
     out = np.zeros((len(texts), 2 * len(THRESHOLDS) + 1))
     for i, t in enumerate(texts):
-        w = windows(t)
-        gain = np.array([len(ordinary.compress(x)) - len(toxic.compress(x)) for x in w] or [0])
+        gain = np.array([len(ordinary.compress(x)) - len(toxic.compress(x)) for x in windows(t)] or [0])
         passed = np.array([(gain >= q).sum() for q in THRESHOLDS])
         out[i] = [*np.log1p(passed), *(passed / len(gain)), np.log(len(gain))]
     return out
 
 
-def segments(toxic: list[str], ordinary: list[str]) -> list[bytes]:
-    """Words that recur in toxic text, in many contexts, and hardly in ordinary text."""
-
-    number: dict[bytes, int] = {b"": 0}
+def grams(text: bytes) -> np.ndarray:
+    """The n-gram that begins at each byte, as a number."""
+    b = np.frombuffer(text, np.uint8).astype(np.uint64)
+    n = max(0, len(b) - GRAM + 1)
+    return sum((b[k : k + n] << np.uint64(8 * (GRAM - 1 - k)) for k in range(GRAM)), np.zeros(n, np.uint64))
 
-    def contexts(texts):
-        """How many distinct pairs of neighbours each word has, and their sum. Words are numbered, so that a word and its neighbours are one integer."""
-        ids = np.concatenate([np.array([0, *(number.setdefault(w, len(number)) for w in t.lower().encode("utf-8", "replace").split()), 0], np.uint64) for t in texts])
-        key = (ids[:-2] * np.uint64(0x9E3779B97F4A7C15) + ids[2:]) * np.uint64(0xBF58476D1CE4E5B9) + ids[1:-1]
-        first = np.unique(key, return_index=True)[1]
-        seen = ids[1:-1][first].astype(np.int64)
-        return np.bincount(seen[seen > 0], minlength=len(number)), max(int((seen > 0).sum()), 1)
 
-    (o, no), (t, nt) = contexts(ordinary), contexts(toxic)
-    o = np.concatenate([o, np.zeros(len(number) - len(o), np.int64)])
-    # Chernoff's bound: the chance that so many of a word's contexts are toxic is e^-far at most
-    both, q = np.maximum(t + o, 1), nt / (nt + no)
-    part = t / both
+def document_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of the texts, in order, and in how many texts each is; added up every few million."""
+    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    held, size = [], 0
+    for i, t in enumerate(texts):
+        held.append(np.unique(grams(plain(t))))
+        size += len(held[-1])
+        if size > 3_000_000 or i == len(texts) - 1:
+            new = np.concatenate([keys, *held])
+            times = np.concatenate([counts, np.ones(size, np.int64)])
+            keys, at = np.unique(new, return_inverse=True)
+            counts = np.bincount(at, times, len(keys)).astype(np.int64)
+            held, size = [], 0
+    return keys, counts
+
+
+def toxic_grams(toxic: list[str], ordinary: list[str]) -> np.ndarray:
+    """The n-grams, in order, that toxic texts have beyond chance and ``RATIO`` times as often as ordinary ones."""
+    (known, times), (keys, t) = document_counts(ordinary), document_counts(toxic)
+    at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
+    o = np.where(known[at] == keys, times[at], 0) if len(known) else np.zeros(len(keys), np.int64)
+    # Chernoff's bound: the chance that so many of an n-gram's texts are toxic is e^-far at most
+    part, q = t / np.maximum(t + o, 1), len(toxic) / (len(toxic) + len(ordinary))
     far = t * np.log(np.maximum(part, 1e-300) / q) + o * np.log(np.maximum(1 - part, 1e-300) / (1 - q))
-    can = (t >= CONTEXTS) & (t / nt >= RATIO * (o + 0.5) / no) & (far >= np.log(len(number) / ALPHA))
-    found = [(int(t[k]), w) for w, k in number.items() if can[k] and len(w) >= 4]
-    return [w for _, w in sorted(heapq.nlargest(SEGMENTS, found))]
+    return keys[(t >= LEAST) & (t / len(toxic) >= RATIO * (o + 0.5) / len(ordinary)) & (far >= np.log(max(len(keys), 1) / ALPHA))]
+
+
+def toxic_parts(toxic: list[str], ordinary: list[str]) -> list[bytes]:
+    """What toxic texts have and ordinary ones lack, each part once for each pair of neighbours, in an order that the texts' order doesn't change."""
+    known, found = toxic_grams(toxic, ordinary), set()
+    for t in toxic if len(known) else []:
+        text = plain(t)
+        g = grams(text)
+        is_in = known[np.minimum(np.searchsorted(known, g), len(known) - 1)] == g
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], is_in.astype(np.int8), [0]])))
+        for a, b in zip(edges[::2], edges[1::2] + GRAM - 1, strict=True):
+            found.add((text[max(0, a - 8) : a], text[a:b], text[b : b + 8]))
+    return [x[1] for x in sorted(found, key=lambda x: (zlib.crc32(b"".join(x)), x))]
+
+
+def trained(size: int, samples: list[bytes], **how) -> bytes:
+    """A dictionary by zstandard's trainer; of samples too few for it, the samples themselves, as far as they fit."""
+    try:
+        return zs.train_dictionary(size, samples, **how).as_bytes()
+    except zs.ZstdError:
+        return b"".join(dict.fromkeys(samples))[:size]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
@@ -109,20 +144,25 @@ def spaced(found: list, most: int) -> list:
     return found if len(found) <= most else [found[k * (len(found) - 1) // max(most - 1, 1)] for k in range(most)]
 
 
+def dictionaries(toxic: list[str], ordinary: list[str], ordinary_windows: int = ORDINARY_WINDOWS) -> tuple[bytes, bytes]:
+    """The ordinary dictionary, and the toxic one that goes before it."""
+    base = trained(ORDINARY_BYTES, spaced([w for t in ordinary for w in windows(t, 16)], ordinary_windows)) or b" " * 8
+    parts = toxic_parts(toxic, ordinary)
+    return base, trained(TOXIC_BYTES, [b"".join(parts[i : i + 4]) for i in range(0, len(parts), 4)], k=SEGMENT, d=MATCH) if parts else b""
+
+
 def fit(texts: list[str], labels: list[int], ordinary_windows: int = ORDINARY_WINDOWS) -> Model:
-    """A model of labelled texts; the ordinary dictionary is trained on ``ordinary_windows`` windows at most."""
-    toxic, ordinary = ([t for t, y in zip(texts, labels, strict=True) if t and (y == 1) == k] for k in (True, False))
-    if not toxic or not ordinary:
-        return Model(b"", b"", *(np.zeros(1),) * 3, constant=float(bool(toxic)))
-    try:
-        base = zs.train_dictionary(ORDINARY_BYTES, spaced([w for t in ordinary for w in windows(t, 16)], ordinary_windows)).as_bytes()
-    except zs.ZstdError:  # too few samples
-        base = b" ".join(t.lower().encode("utf-8", "replace") for t in ordinary)[-ORDINARY_BYTES:]
-    base = base or b" " * 8
-    more = b" " + b" ".join(segments(toxic, ordinary)) + b" " + base
-    x = features(texts, compressor(base), compressor(more))
+    """A model of labelled texts. If the rows that calibrate, or the others, lack a label, all rows do both."""
+    known = [(t, int(y == 1)) for t, y in zip(texts, labels, strict=True) if t]
+    if len({y for _, y in known}) < 2:
+        return Model(b"", b"", *(np.zeros(1),) * 3, constant=float(any(y for _, y in known)))
+    held, rest = known[CALIBRATING - 1 :: CALIBRATING], [x for i, x in enumerate(known) if i % CALIBRATING != CALIBRATING - 1]
+    if any(len({y for _, y in some}) < 2 for some in (held, rest)):
+        held = rest = known
+    base, more = dictionaries([t for t, y in rest if y], [t for t, y in rest if not y], ordinary_windows)
+    x = features([t for t, _ in held], compressor(base), compressor(more + base))
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    return Model(base, more, mean, scale, logistic((x - mean) / scale, np.array(labels) == 1))
+    return Model(base, more + base, mean, scale, logistic((x - mean) / scale, np.array([y for _, y in held]) == 1))
 
 
 def score(texts: list[str], model: Model) -> np.ndarray:
@@ -132,15 +172,19 @@ def score(texts: list[str], model: Model) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(np.c_[x, np.ones(len(x))] @ model.weights, -30, 30)))
 
 
-def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
-    """A model of at most about ``train_rows`` labelled rows that are not held out, and whose texts have TRAIN_CHARS at most; only these come to the driver."""
-    known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_toxic")).where("_id is not null and _toxic is not null").where(~held_out(F.col("_id")))
+def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_chars: int = TRAIN_CHARS) -> Model:
+    """A model of labelled rows that are not held out: about ``train_rows`` of them, with about ``train_chars`` characters together."""
+    known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_toxic")).where("_id is not null and _toxic is not null").where(~held_out(F.col("_id"))).distinct()
     n = known.agg(F.count(F.lit(1))).first()[0]
-    if n > train_rows:
-        known = known.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < int((1 << 20) * train_rows / n))
-    got = docs.select(F.col("doc_id").alias("_doc"), "text").join(F.broadcast(known), F.col("_doc") == F.col("_id")).where(F.col("text").isNotNull() & (F.length("text") <= TRAIN_CHARS))
-    rows = sorted((r[0], r[1], r[2]) for r in got.select("_doc", "text", "_toxic").collect())
-    return fit([r[1] for r in rows], [r[2] for r in rows])
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").alias("_doc"), text.alias("_text")).where(text.isNotNull())
+    taken = lambda df, share, *by: df if share >= 1 else df.where(F.pmod(F.xxhash64(*by), F.lit(1 << 20)) < int((1 << 20) * share))
+    some = taken(known, train_rows / max(n, 1), "_id")
+    got = rows.join(F.broadcast(some), F.col("_doc") == F.col("_id")).select("_doc", "_text", "_toxic")
+    chars = got.agg(F.sum(F.length("_text"))).first()[0] or 0
+    got = taken(got, train_chars / max(chars, 1), "_doc", "_text").groupBy("_toxic", F.md5(F.col("_text").cast("binary")).alias("_md5")).agg(F.min_by("_text", "_doc").alias("_text"), F.min("_doc").alias("_doc"))
+    found = sorted((r[0], r[1], r[2]) for r in got.select("_doc", "_text", "_toxic").collect())
+    return fit([r[1] for r in found], [r[2] for r in found])
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import glob
 import hashlib
+import math
 import os
 import random
 import re
@@ -98,23 +99,62 @@ def test_toxicity_odd_rows(spark):
     assert {r.score for r in toxicity.scored(d, toxicity.learn(d, labels.where("false"))).collect()} == {0.0}
 
 
-def test_toxic_segments_count_contexts():
-    toxic = ["one scum two", "three scum four", "five scum six"] + ["same copy text"] * 50
-    assert toxicity.segments(toxic, [f"plain{k} words{k} here" for k in range(200)]) == [b"scum"]
+def test_toxic_parts_count_contexts():
+    toxic = ["one scumbag two", "three scumbag four", "five scumbag six", "seven scumbag eight", "nine scumbag ten"] + ["same copy text"] * 50
+    parts = toxicity.toxic_parts(toxic, [f"plain{k} words{k} here, same copy text" for k in range(2000)])
+    assert sum(b"scumbag" in p for p in parts) == 5 and not any(b"copy" in p for p in parts)
 
 
-def test_toxic_segments_need_no_share_of_the_texts():
+def test_toxic_parts_are_beyond_chance():
     r = random.Random(3)
     fill = lambda: " ".join(f"w{r.randrange(500)}" for _ in range(12))
-    toxic = [f"{fill()} scum {fill()}" if k < 12 else fill() for k in range(1000)]
-    assert toxicity.segments(toxic, [fill() for _ in range(9000)]) == [b"scum"]
-    assert toxicity.segments(toxic[:3] + toxic[500:], [fill() for _ in range(500)]) == []  # three may be chance
+    toxic = [f"{fill()} scumbag {fill()}" if k < 12 else fill() for k in range(1000)]
+    parts = toxicity.toxic_parts(toxic, [fill() for _ in range(9000)])
+    assert len(parts) == 12 and all(b" scumbag " in p for p in parts)
+    assert toxicity.toxic_parts(toxic[:3] + toxic[500:], [fill() for _ in range(500)]) == []  # three may be chance
+
+
+def test_toxic_grams_by_brute_force():
+    r = random.Random(5)
+    texts = [" ".join(r.choice(("ab", "abc", "idiot", "cde", "ü")) for _ in range(r.randint(0, 9))) for _ in range(300)]
+    sets = [{w[i : i + 8] for w in [b" " + " ".join(t.split()).encode() + b" "] for i in range(len(w) - 7)} for t in texts]
+    want = {}
+    for s in sets:
+        for g in s:
+            want[int.from_bytes(g, "big")] = want.get(int.from_bytes(g, "big"), 0) + 1
+    keys, counts = toxicity.document_counts(texts)
+    assert dict(zip(keys.tolist(), counts.tolist(), strict=True)) == want
+
+
+def test_toxicity_scores_by_brute_force(spark):
+    """Each document scored alone: its windows, their lengths under both dictionaries, how many pass, and the logistic."""
+    d, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.learn(d, labels)
+    small, large = toxicity.compressor(model.ordinary), toxicity.compressor(model.toxic)
+    got = {r.doc_id: r for r in __spark_entry__.queries()["op2_toxicity"](spark, SF).collect()}
+    rows = d.select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    for i, t in rows:
+        words = (t or "").lower().split()
+        gains = [len(small.compress(w)) - len(large.compress(w)) for k in range(0, len(words), 6) for w in [(" " + " ".join(words[k : k + 6]) + " ").encode()]] or [0]
+        passed = [sum(g >= q for g in gains) for q in (1, 2, 3, 4, 5, 6, 7, 8, 10, 12)]
+        x = [*(math.log(1 + p) for p in passed), *(p / len(gains) for p in passed), math.log(len(gains))]
+        z = sum(w * (v - m) / s for w, v, m, s in zip(model.weights, x, model.mean, model.scale, strict=False)) + model.weights[-1]
+        p = 1 / (1 + math.exp(-min(30, max(-30, z))))
+        assert abs(p - got[i].score) < 1e-9 and got[i].predicted == int(p >= 0.5)
+
+
+def test_toxicity_long_texts_are_learnt_from(spark):
+    """A text over the bound of characters leaves by its hash, not by its length."""
+    d = spark.createDataFrame([(k, "nice words here " * 20_000 if k % 2 else "you scumbag " * 20_000) for k in range(1, 40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, 1 - k % 2) for k in range(1, 40)], "doc_id long, quality int, toxic int")
+    assert toxicity.learn(d, labels).constant is None
 
 
 def test_ordinary_dictionary_is_of_the_whole_sample(monkeypatch):
     got, train = [], toxicity.zs.train_dictionary
-    monkeypatch.setattr(toxicity.zs, "train_dictionary", lambda size, samples: got.extend(samples) or train(size, samples))
-    toxicity.fit([f"text {k} of plain words" for k in range(50_000)] + ["scum"], [0] * 50_000 + [1])
+    monkeypatch.setattr(toxicity.zs, "train_dictionary", lambda size, samples, **how: got.extend(samples) or train(size, samples, **how))
+    toxicity.dictionaries(["scum"], [f"text {k} of plain words" for k in range(50_000)])
     at = [int(w.split()[1]) for w in got]
     assert len(set(at)) == 40_000 and at[0] == 0 and at[-1] == 49_999 and sum(k >= 25_000 for k in at) == 20_000
     assert toxicity.spaced([1, 2, 3], 3) == [1, 2, 3] and toxicity.spaced([1, 2, 3], 2) == [1, 3]
