@@ -6,16 +6,19 @@ is added to the other, modulo the number of values that half can take. This is a
 pseudonyms in all documents and different ones differ; separators and the kinds of characters stay.
 
 kind   | valid if                                         | permuted among
-card   | 13-19 digits, plain or 4-4-4-4, Luhn digit right | numbers of that length with a right Luhn digit
+card   | 13-19 digits, plain, 4-4-4-4 or 4-6-5, Luhn digit right | numbers of that length with a right Luhn digit
 phone  | area and exchange of 10 digits begin with 2-9    | such numbers
 phone  | written +1 or (area), area begins with 0 or 1     | numbers of that area
 ssn    | ddd-dd-dddd, no part zero, area under 900        | such numbers
-ip     | four numbers up to 255                           | all addresses
+ip     | four numbers up to 255                           | all addresses; with a leading zero anywhere, all are written with three digits
 date   | a day of 1900-2099; year first, or day first     | days of 1900-2099
+date   | month first, where that isn't a day first        | days 13-28 of all months; of later days only the year changes
 email  | name@host.domain                                 | names with letters and digits in the same places
 
-Defined results: a null text stays null, with counts of 0. Invalid candidates stay as they are. Repeated rows are answered one by one;
-other columns are ignored.
+Defined results: a null text stays null, with counts of 0, and an empty one empty. Invalid candidates stay as they are, as do forms not listed
+(numbers of other countries, dates without leading zeros, IPv6). Candidates don't overlap: the leftmost is taken, of several there the first kind.
+Very long texts are taken whole; no expression recurses or goes back over what it has read. Repeated rows are answered one by one; an empty table gives
+no row; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -30,13 +33,14 @@ ROUNDS = 10
 FREE, END = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
 CANDIDATE = "|".join(
     (
-        r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
+        r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
         FREE + r"(?:19|20)[0-9]{2}([-/.])[0-9]{2}\1[0-9]{2}" + END,
         FREE + r"[0-9]{2}([-/.])[0-9]{2}\2(?:19|20)[0-9]{2}" + END,
         FREE + r"(?<![0-9]\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9A-Za-z])",
         r"(?:\+1[ .-]?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])|" + FREE + r"\([0-9]{3}\) ?|" + FREE + r"[2-9][0-9]{2}[ .-])[0-9]{3}[ .-][0-9]{4}" + END,
         FREE + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + END,
         FREE + r"[0-9]{4}([ -])[0-9]{4}\3[0-9]{4}\3[0-9]{4}" + END,
+        FREE + r"[0-9]{4}([ -])[0-9]{6}\4[0-9]{5}" + END,
         FREE + r"[0-9]{13,19}" + END,
     )
 )
@@ -79,11 +83,17 @@ def day(m: str) -> str:
     return f"datediff(try_to_date(if({m} rlike '^[0-9]{{4}}[^0-9]', {d}, concat(substr({d}, 5, 4), substr({d}, 3, 2), substr({d}, 1, 2))), 'yyyyMMdd'), date'1900-01-01')"
 
 
+def month_first(m: str) -> str:
+    """SQL for the date that m, two digits, two digits and a year, is with its month first; null if there is none."""
+    d = bare(m)
+    return f"try_to_date(concat(substr({d}, 5, 4), substr({d}, 1, 4)), 'yyyyMMdd')"
+
+
 def kind(m: str) -> str:
     """SQL for the kind of a candidate, null if it isn't valid."""
     d = bare(m)
     return f"""case when {m} like '%@%' then 'email'
-        when {m} rlike '^([0-9]{{4}}[-/.][0-9]{{2}}[-/.][0-9]{{2}}|[0-9]{{2}}[-/.][0-9]{{2}}[-/.][0-9]{{4}})$' then if({day(m)} is not null, 'date', null)
+        when {m} rlike '^([0-9]{{4}}[-/.][0-9]{{2}}[-/.][0-9]{{2}}|[0-9]{{2}}[-/.][0-9]{{2}}[-/.][0-9]{{4}})$' then if({day(m)} is not null or {m} not rlike '^[0-9]{{4}}[^0-9]' and {month_first(m)} is not null, 'date', null)
         when {m} rlike '^[0-9]+([.][0-9]+){{3}}$' then if(forall(split({m}, '[.]'), x -> int(x) < 256), 'ip', null)
         when {m} rlike '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' then if(substr({d}, 1, 3) not in ('000') and substr({d}, 1, 1) <> '9' and substr({d}, 4, 2) <> '00' and substr({d}, 6, 4) <> '0000', 'ssn', null)
         when length({d}) >= 13 then if(({luhn_sum(f"substr({d}, 1, length({d}) - 1)")} + int(right({d}, 1))) % 10 = 0, 'card', null)
@@ -116,12 +126,18 @@ def ssn(m: str, key: str) -> str:
 
 def ip(m: str, key: str) -> str:
     v = f"aggregate(split({m}, '[.]'), bigint(0), (s, x) -> s * 256 + bigint(x))"
-    return f"element_at(transform(array({feistel(v, '65536', '65536', key, q('ip'))}), v -> concat_ws('.', v div 16777216, (v div 65536) % 256, (v div 256) % 256, v % 256)), 1)"
+    return f"element_at(transform(array({feistel(v, '65536', '65536', key, q('ip'))}), v -> array_join(transform(array(v div 16777216, (v div 65536) % 256, (v div 256) % 256, v % 256), x -> if({m} rlike '(^|[.])0[0-9]', lpad(cast(x as string), 3, '0'), cast(x as string))), '.')), 1)"
 
 
 def date(m: str, key: str) -> str:
     new = f"date_format(date_add(date'1900-01-01', int({feistel(day(m), str(DAYS[0]), str(DAYS[1]), key, q('date'))})), if({m} rlike '^[0-9]{{4}}[^0-9]', 'yyyyMMdd', 'ddMMyyyy'))"
-    return f"element_at(transform(array({new}), p -> {filled(m, 'p')}), 1)"
+    d = bare(m)
+    v = f"(bigint(substr({d}, 5, 4)) - 1900) * 12 + bigint(substr({d}, 1, 2)) - 1) * 16 + bigint(substr({d}, 3, 2)) - 13"
+    early = f"element_at(transform(array({feistel(f'(({v})', '2400', '16', key, q('month first'))}), v -> concat(lpad(cast((v div 16) % 12 + 1 as string), 2, '0'), lpad(cast(v % 16 + 13 as string), 2, '0'), cast(v div 192 + 1900 as string))), 1)"
+    leap = f"concat('0229', cast(1904 + 4 * {feistel(f'(bigint(substr({d}, 5, 4)) - 1904) div 4', '7', '7', key, q('leap'))} as string))"
+    late = f"concat(substr({d}, 1, 4), cast(1900 + {feistel(f'bigint(substr({d}, 5, 4)) - 1900', '20', '10', key, f'substr({d}, 1, 4)')} as string))"
+    other = f"case when substr({d}, 3, 2) < '29' then {early} when substr({d}, 1, 4) = '0229' then {leap} else {late} end"
+    return f"element_at(transform(array(if({day(m)} is null, {other}, {new})), p -> {filled(m, 'p')}), 1)"
 
 
 def email(m: str, key: str) -> str:
