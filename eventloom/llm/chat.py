@@ -7,13 +7,13 @@ before each control string in its text. The whole conversation is then parsed, a
 difference from the source stops the job. Percent signs and line ends in roles are percent-coded.
 
 Defined results: turns are sorted by turn, nulls first, then role, then text, so ties and repeated rows have one order. A null role or
-text is empty. Rows with a null conv_id are one conversation. A conversation is held in one row, as its digest needs; partial
-lists are made before the shuffle.
+text is empty. Rows with a null conv_id are one conversation. An empty table gives no conversation; other columns, whatever their names, are ignored.
+A conversation is held in one row, as its digest needs, so all its text has 2 GB at most; its turns are sorted on disk where they don't fit.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -52,30 +52,32 @@ def parsed(text: Column) -> Column:
         body = F.substring(part, cut + 1, F.length(part))
         return F.struct(F.when(ok, role).alias("role"), F.when(ok, unescaped(body)).alias("text"))
 
-    return F.transform(F.filter(parts, lambda x, i: (i < F.size(parts) - 1) | (x != "")), turn)
+    # outside the lambda, so that the text is split once and not for each part
+    whole = F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    return F.transform(whole, turn)
 
 
 def formatted(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """conv_id, formatted, spans for each conversation; a span (start, length) is the text of a turn to learn from, in code points from 0."""
     empty = F.lit("")
     rows = turns.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), empty).alias("role"), F.coalesce(F.col(text).cast("string"), empty).alias("text"))
-    plain, marked = rendered(F.col("role"), F.col("text")), rendered(F.col("role"), escaped(F.col("text")))
+    plain = rendered(F.col("role"), F.col("text"))
     source = F.array(F.struct("role", "text"))
     # a text without a control string can't be mistaken for anything, so only the others are parsed to decide
     safe = ~F.col("text").rlike(CONTROL)
-    rows = rows.withColumn("body", F.when(safe, F.col("text")).when(F.coalesce(parsed(plain) == source, F.lit(False)), F.col("text")).otherwise(escaped(F.col("text"))))
-    grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "body"))).alias("t"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
-
-    def add(s: Column, t: Column) -> Column:
-        start = s["at"] + F.length(head(t["role"]))
-        span = F.array(F.struct(start.alias("start"), F.length(t["body"]).alias("length")))
-        return F.struct((start + F.length(t["body"]) + len(CLOSE)).alias("at"), F.when(t["role"] == LEARNT, F.concat(s["spans"], span)).otherwise(s["spans"]).alias("spans"))
+    marked_turn = ~safe & ~F.coalesce(parsed(plain) == source, F.lit(False))
+    rows = rows.withColumn("marked", marked_turn)
+    body = F.when(F.col("marked"), escaped(F.col("text"))).otherwise(F.col("text"))
+    # where each turn begins is a running sum, so a conversation takes time in proportion to its length
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("body", body).withColumn("head", F.length(head(F.col("role")))).withColumn("at", F.coalesce(F.sum(F.col("head") + F.length("body") + len(CLOSE)).over(order), F.lit(0)))
+    turn_at = F.struct("at", F.struct((F.col("at") + F.col("head")).alias("start"), F.length("body").cast("long").alias("length")).alias("span"), "role", "text", "body")
+    grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn_at)).alias("t"))
 
     whole = grouped.select(
         "conv_id",
         F.array_join(F.transform("t", lambda t: rendered(t["role"], t["body"])), "").alias("formatted"),
-        F.aggregate("t", zero, add, lambda s: s["spans"]).alias("spans"),
+        F.transform(F.filter("t", lambda t: t["role"] == LEARNT), lambda t: t["span"]).alias("spans"),
         F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("source"),
     )
     return whole.withColumn("turns", parsed(F.col("formatted"))).select(
@@ -84,8 +86,8 @@ def formatted(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", ro
 
 
 def digests(conversations: DataFrame) -> DataFrame:
-    """What is read back from the formatted text."""
-    learnt = F.array_join(F.transform("spans", lambda s: unescaped(F.substring(F.col("formatted"), s["start"] + 1, s["length"]))), "")
+    """What is read back from the formatted text; the learnt texts are those of the parsed turns, which is what the spans hold, unescaped."""
+    learnt = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == LEARNT), lambda t: t["text"]), "")
     return conversations.withColumn("_learnt", learnt).select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
