@@ -3,14 +3,16 @@
 A document is its token ids and the end id 1. Each task takes the documents of its input split as they come. Full windows are
 cut off a document; the rest is placed whole into the open window whose fill level, raised by it, leaves the smallest sum
 over all levels of the squared number of windows there. The level array holds those numbers. When the split ends, or
-``MAX_OPEN`` windows are open, the pieces of the open windows are cut anew into full windows, and the last tokens into
-windows whose lengths are powers of two, which need no padding. No token moves between tasks, so nothing is shuffled.
+``MAX_OPEN`` windows are open (the bound on a task's memory), the fullest open windows stay as the rule made them and are filled with the tokens of
+the emptiest; the last tokens go into windows whose lengths are powers of two. So nothing is padded, only the emptiest windows'
+documents are cut, and no token moves between tasks: nothing is shuffled.
 
 Ids are those of ``tokenizers`` for byte_bpe_50k.json. Its ranks are run by ``tiktoken``, which gives the same ids in a
 quarter of the time; a text that names a special token goes to ``tokenizers`` itself. Long texts are encoded in pieces that
 end before a space between two words, where no token can span.
 
-Defined results: null and empty texts have the end id alone. A null id stays null. Repeated rows are packed one by one.
+Defined results: null and empty texts have the end id alone. A null id stays null. Repeated rows are packed one by one. An empty table gives no
+row. Equal sums of squares go to the fullest level. Other columns, whatever their names, are ignored. Very long texts are encoded piece by piece.
 sequence_id holds the split in its upper bits, so it is the same when a lost task runs again.
 """
 
@@ -121,21 +123,27 @@ class Packer:
         self.sequences += 1
 
     def flush(self) -> Iterator[tuple]:
-        """Cuts the pieces of all open windows anew, so that none needs padding."""
-        rest = [p for windows in reversed(self.at) for w in windows for p in w]
-        left = sum(len(p[2]) for p in rest)
+        """Fills the fullest open windows with the tokens of the emptiest, so that none needs padding.
+
+        Of n tokens in open windows, n // length windows stay; the others' pieces, the emptiest window's first, fill the room of the
+        kept ones, fullest first, and what is left goes into windows whose lengths are powers of two."""
+        windows = [w for level in reversed(self.at) for w in level]
+        left = sum(len(p[2]) for w in windows for p in w)
         self.levels[:], self.at, self.open = 0, [[] for _ in range(self.length)], 0
-        window, room = [], 0
-        for doc, start, ids, total in rest:
-            while len(ids):
-                if not room:
-                    room = self.length if left >= self.length else 1 << (left.bit_length() - 1)
+        kept, rest = windows[: left // self.length], [p for w in reversed(windows[left // self.length :]) for p in w]
+        taken = iter(rest)
+        doc, start, ids, total = next(taken, (None, 0, (), 0))
+        small = left % self.length
+        sizes = [1 << k for k in range(small.bit_length() - 1, -1, -1) if small >> k & 1]
+        for window, size in [*((w, self.length) for w in kept), *(([], n) for n in sizes)]:
+            room = size - sum(len(p[2]) for p in window)
+            while room:
+                if not len(ids):
+                    doc, start, ids, total = next(taken)
                 n = min(room, len(ids))
                 window.append((doc, start, ids[:n], total))
-                start, ids, room, left = start + n, ids[n:], room - n, left - n
-                if not room:
-                    yield from self.close(window)
-                    window = []
+                start, ids, room = start + n, ids[n:], room - n
+            yield from self.close(window)
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vocabulary: str = "byte_bpe_50k", length: int = LENGTH) -> DataFrame:
