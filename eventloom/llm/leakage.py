@@ -1,20 +1,25 @@
 """Benchmark decontamination with one Aho-Corasick automaton.
 
-Texts are normalised to their words: A-Z lower-cased, runs of ASCII letters, digits and other code points from U+0080. All windows of
-``WINDOW`` item words (a shorter item is one window) go into one automaton over the normalised words with a space on either side, so a
-match begins and ends at words. A document's words are scanned once; matches give its hit words, which ``original_spans``
-maps back to code points of the text.
+Texts are normalised to their words: A-Z lower-cased, runs of ASCII letters, digits and other code points from U+0080. A document word is hit if it is
+inside an occurrence of ``WINDOW`` consecutive words of an item, or of a whole shorter item. The automaton runs over words, as numbers: it
+holds, of each item, the ``ANCHOR`` words from every ``ANCHOR``th word on (any window has one of these whole), and shorter items whole. A document is
+scanned once; each anchor found is extended to either side as far as the item's words agree, and runs of ``WINDOW`` words or more are hits. So it
+holds a node for each item word or less, not all windows. ``original_spans`` maps hit words back to code points of the text.
 
-The windows are broadcast only if they have ``LIMIT_CHARS`` characters at most. Larger benchmarks are dealt by a hash of
-the item into blocks of about that size, and each block's automaton scans the documents in turn, adding to a column of matches.
+The items are broadcast only if they have ``LIMIT_WORDS`` words at most, which take about 250 MB in a Python worker. More are dealt by a hash of
+the item into blocks of about that size; each block scans the documents in turn, and what it finds is written before the next begins, so that one
+automaton lives at a time. An item is in one block, however long.
 
 Defined results: null texts and texts without words have no word and no hit; items without words match nothing. Items with
-a null id count as hits but are not named. Repeated items or documents are answered one by one, an item id once.
+a null id count as hits but are not named. Repeated items or documents are answered one by one, an item id once; equal passages of several items
+name them all. Empty tables give no row, or no hit. Other columns are ignored, whatever their names, and kept by ``without_leaks``.
+Very long texts are scanned whole, one at a time.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
 
 import numpy as np
@@ -22,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_text, slices, table
+from .common import by_text, delete, slices, table, written
 
-WINDOW = 10
-LIMIT_CHARS = 64_000_000
+WINDOW, ANCHOR = 10, 5
+LIMIT_WORDS = 2_000_000
+#: Letters of either alphabet; their square is more than the distinct words that a block can have.
+LETTERS = 1500
 KEEP = re.compile(rb"[0-9a-z\x80-\xff]")
 NORMAL = bytes(b if KEEP.match(bytes([b])) else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
@@ -35,38 +42,79 @@ def normal(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "replace").translate(NORMAL)
 
 
+def lettered(words: np.ndarray) -> str:
+    """Two letters for each word's number, of alphabets that don't meet, so that an automaton's nodes have few children and matches begin at words."""
+    letters = np.stack([(words // LETTERS) % LETTERS + 0x100, words % LETTERS + 0x800], axis=1)
+    return letters.astype("<u2").tobytes().decode("utf-16-le")
+
+
 class Windows:
-    """The windows of items (id, text) and, once it is needed, their automaton."""
+    """The words of items (id, text) and, once it is needed, the automaton of their anchors."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], size: int = WINDOW):
-        self.items: dict[bytes, tuple[int, set]] = {}
+        self.size, self.step = size, max(1, size // 2)
+        self.number: dict[bytes, int] = {}
+        self.items = []
         for item, text in items:
-            words = normal(text).split()
-            for i in range(max(min(1, len(words)), len(words) - size + 1)):
-                w = words[i : i + size]
-                self.items.setdefault(b" " + b" ".join(w) + b" ", (len(w), set()))[1].add(item)
+            if words := normal(text).split():
+                self.items.append((item, np.array([self.number.setdefault(w, len(self.number) + 1) for w in words], np.int32)))
         self.automaton = None
 
     def __getstate__(self):
-        return {"items": self.items, "automaton": None}
-
-    def matches(self, words: list[bytes]) -> list[tuple[int, int, set]]:
-        """(first word, end word, items) of each occurrence of a window."""
-        if self.automaton is None and self.items:
-            import ahocorasick
-
-            self.automaton = ahocorasick.Automaton()
-            for key, value in self.items.items():
-                self.automaton.add_word(key.decode("latin-1"), value)
-            self.automaton.make_automaton()
-        if not words or not self.items:
+        return self.__dict__ | {"automaton": None}
+
+    def built(self):
+        import ahocorasick
+
+        places: dict[str, list] = {}
+        for k, (_, words) in enumerate(self.items):
+            n, text = len(words), lettered(words)
+            if n < self.size:
+                places.setdefault(text, []).append((k, 0))
+            else:
+                for s in range(0, n - self.step + 1, self.step):
+                    places.setdefault(text[2 * s : 2 * (s + self.step)], []).append((k, s))
+        automaton = ahocorasick.Automaton()
+        for key, at in places.items():
+            automaton.add_word(key, (len(key) // 2, at))
+        automaton.make_automaton()
+        return automaton
+
+    def matches(self, words: list[bytes]) -> list[tuple[int, int, int | None]]:
+        """(first word, end word, item) of the longest passages that a document shares with items, of ``size`` words or a whole shorter item."""
+        if not self.items or not words:
             return []
-        found = list(self.automaton.iter((b" " + b" ".join(words) + b" ").decode("latin-1")))
-        if not found:
-            return []
-        ends = np.cumsum([len(w) + 1 for w in words])  # where the space after each word is
-        last = np.searchsorted(ends, [e for e, _ in found])
-        return [(int(j) - k + 1, int(j) + 1, items) for j, (_, (k, items)) in zip(last, found, strict=True)]
+        if self.automaton is None:
+            self.automaton = self.built()
+        known = self.number.get
+        seen = np.fromiter((known(w, 0) for w in words), np.int32, len(words))
+        out, reached = [], {}
+        for letter, (k, places) in self.automaton.iter(lettered(seen)):
+            end = letter // 2
+            at = end - k + 1
+            for item, s in places:
+                name, of = self.items[item]
+                if len(of) < self.size:
+                    out.append((at, end + 1, name))
+                elif reached.get((item, at - s), -1) < end:
+                    back = agreeing(seen[max(0, at - s) : at][::-1], of[max(0, s - at) : s][::-1])
+                    on = agreeing(seen[end + 1 : end + 1 + len(of)], of[s + k :])
+                    reached[item, at - s] = end + on
+                    if back + k + on >= self.size:
+                        out.append((at - back, end + 1 + on, name))
+        return out
+
+
+def agreeing(a: np.ndarray, b: np.ndarray) -> int:
+    """How many elements are equal from the start on."""
+    n, done = min(len(a), len(b)), 0
+    step = 16
+    while done < n:
+        unlike = np.flatnonzero(a[done : min(n, done + step)] != b[done : min(n, done + step)])
+        if len(unlike):
+            return done + int(unlike[0])
+        done, step = min(n, done + step), step * 4
+    return n
 
 
 def covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -81,41 +129,56 @@ def covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def original_spans(text: str, words: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Code points, end exclusive, of spans of words."""
-    places = [m.span() for m in re.finditer(rb"[^ ]+", normal(text))]
+    """Code points, end exclusive, of spans of words, which are in order."""
     raw = text.encode("utf-8", "replace")
-    points = lambda at: len(raw[:at].decode("utf-8", "replace"))
-    return [(points(places[a][0]), points(places[b - 1][1])) for a, b in words]
+    places = [m.span() for m in re.finditer(rb"[^ ]+", raw.translate(NORMAL))]
+    out, at, points = [], 0, 0
+    for a, b in words:
+        ends = []
+        for byte in (places[a][0], places[b - 1][1]):
+            points += len(raw[at:byte].decode("utf-8", "replace"))
+            at = byte
+            ends.append(points)
+        out.append(tuple(ends))
+    return out
 
 
-def blocks(items: DataFrame, id_col: str, text: str, limit: int = LIMIT_CHARS) -> list[DataFrame]:
-    """The items in parts whose windows have about ``limit`` characters at most."""
+def blocks(items: DataFrame, id_col: str, text: str, limit: int = LIMIT_WORDS) -> list[DataFrame]:
+    """The items in parts of about ``limit`` words at most."""
     rows = items.select(F.col(id_col).cast("long").alias("_item"), F.col(text).cast("string").alias("_text"))
-    total = (rows.agg(F.sum(F.length("_text"))).first()[0] or 0) * WINDOW
-    n = -(-total // limit) or 1
+    words = F.regexp_count(F.coalesce("_text", F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
+    n = -(-(rows.agg(F.sum(words)).first()[0] or 0) // limit) or 1
     return [rows] if n == 1 else [rows.where(F.pmod(F.xxhash64("_item", "_text"), F.lit(n)) == k) for k in range(n)]
 
 
-def scanned(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", limit: int = LIMIT_CHARS) -> DataFrame:
+def shared_windows(part: DataFrame):
+    """The items of a block, whose size ``blocks`` bounds, as a broadcast."""
+    return part.sparkSession.sparkContext.broadcast(Windows([tuple(r) for r in part.collect()]))
+
+
+def scanned(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", limit: int = LIMIT_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (code points of hit passages) for each row of ``docs``."""
     out = docs.select(F.col(id_col).cast("long").alias("_doc"), F.lit(None).cast("binary").alias("_found"), F.col(text).cast("string").alias("_text"))
-    parts = blocks(items, item_col, "text", limit)
+    parts, before = blocks(items, item_col, "text", limit), None
     for k, part in enumerate(parts):
-        shared = docs.sparkSession.sparkContext.broadcast(Windows([tuple(r) for r in part.collect()]))
-        out = part_scanned(out, shared, k == len(parts) - 1)
+        out = part_scanned(out, shared_windows(part), k == len(parts) - 1)
+        if k < len(parts) - 1:
+            out = written(out, "scanned")
+            if before is not None:
+                delete(docs.sparkSession, before)
+            before = out
     return out
 
 
 def part_scanned(rows: DataFrame, shared, last: bool) -> DataFrame:
     """Adds a block's matches to ``_found``, or, at the last block, gives the results."""
-    import pickle
 
     def matches(batch, texts):
         for before, t in zip(batch.column(1).to_pylist(), texts, strict=True):
             words = normal(t).split()
             found = shared.value.matches(words)
             old_spans, old_items = pickle.loads(before) if before else ([], set())
-            yield words, covered(old_spans + [(a, b) for a, b, _ in found]), old_items.union(*(x for *_, x in found))
+            yield words, covered(old_spans + [(a, b) for a, b, _ in found]), old_items.union(x for *_, x in found)
 
     def more(batch, texts):
         return [batch.column(0), pa.array([pickle.dumps((s, i)) for _, s, i in matches(batch, texts)], pa.binary()), pa.array(texts, pa.string())]
@@ -135,25 +198,32 @@ def part_scanned(rows: DataFrame, shared, last: bool) -> DataFrame:
     return by_text(rows, keep, "_text", more, "_doc bigint, _found binary, _text string")
 
 
-def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+def without_leaks(docs: DataFrame, items: DataFrame, limit: int = LIMIT_WORDS) -> DataFrame:
     """The rows of ``docs``, with all their columns, that no window of an item occurs in."""
-    for part in blocks(items, "item_id", "text"):
-        shared = docs.sparkSession.sparkContext.broadcast(Windows([tuple(r) for r in part.collect()]))
+    parts, before = blocks(items, "item_id", "text", limit), None
+    for k, part in enumerate(parts):
+        shared = shared_windows(part)
 
         def run(batches, shared=shared):
             for batch, texts in slices(batches, "text"):
                 yield batch.filter(pa.array([not shared.value.matches(normal(t).split()) for t in texts], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if k < len(parts) - 1:
+            docs = written(docs, "clean")
+            if before is not None:
+                delete(docs.sparkSession, before)
+            before = docs
     return docs
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scanned(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
+    found = scanned(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("spans", F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ","))
 
 
 OP9_SQL = r"""
-WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 iw AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM
   (SELECT item_id, w, least(10, len(w)) AS k, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM b WHERE len(w) > 0)),
@@ -161,9 +231,16 @@ ks AS (SELECT DISTINCT k FROM iw),
 dw AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS s FROM
   (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, ks WHERE len(w) >= k)),
 m AS (SELECT dw.doc_id, iw.item_id, dw.k, dw.i FROM dw JOIN iw USING (k, s)),
-h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM m) GROUP BY 1),
-n AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS names FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM m) GROUP BY 1)
+hit AS (SELECT DISTINCT doc_id, unnest(range(i, i + k)) AS p FROM m),
+h AS (SELECT doc_id, count(*) AS n_hit FROM hit GROUP BY 1),
+n AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS names FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM m) GROUP BY 1),
+piece AS (SELECT doc_id, generate_subscripts(g, 1) AS p, length(unnest(g)) AS gap, length(unnest(w)) AS word FROM
+  (SELECT doc_id, w, string_split_regex(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')[1:len(w)] AS g FROM d JOIN h USING (doc_id))),
+place AS (SELECT doc_id, p, sum(gap + word) OVER (PARTITION BY doc_id ORDER BY p) AS stop, word FROM piece),
+island AS (SELECT doc_id, p, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS g FROM hit),
+span AS (SELECT doc_id, min(stop - word) AS a, max(stop) AS z FROM island JOIN place USING (doc_id, p) GROUP BY doc_id, g),
+spans AS (SELECT doc_id, string_agg(a::BIGINT || ':' || z::BIGINT, ',' ORDER BY a) AS spans FROM span GROUP BY 1)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(spans, '') AS spans
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN spans USING (doc_id)
 """
