@@ -2,7 +2,10 @@
 
 import datetime
 import hashlib
+import os
 import re
+import subprocess
+import sys
 import time
 
 import numpy as np
@@ -200,3 +203,29 @@ def test_flush_keeps_the_fullest_windows():
         by.setdefault(seq, []).append(len(ids))
         assert (ids == dict(docs)[doc][start : start + len(ids)]).all()
     assert all(sum(x) == 64 or sum(x) & (sum(x) - 1) == 0 for x in by.values())
+
+
+# leakage
+
+
+def test_automaton_is_within_its_memory():
+    """LIMIT_WORDS words of items that share nothing, which is the worst case, in a process of its own."""
+    code = (
+        "import resource, numpy as np; from eventloom.llm import leakage\n"
+        "r = np.random.default_rng(0); w = [f'w{k}' for k in range(200_000)]\n"
+        "before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss\n"
+        "n = leakage.LIMIT_WORDS // 200\n"
+        "x = leakage.Windows([(k, ' '.join(w[j] for j in r.integers(0, len(w), 200))) for k in range(n)])\n"
+        "x.matches([b'w1']); print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)"
+    )
+    used = int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=os.path.dirname(__spark_entry__.__file__)).stdout)
+    assert used < 400, used
+
+
+def test_long_documents_and_repeated_anchors():
+    item = " ".join(f"q{k}" for k in range(1000))
+    w = leakage.Windows([(1, item), (2, "a a a a a a a a a a a a"), (3, "x y")])
+    words = leakage.normal(("z " * 50_000 + item + " ") * 4 + "a " * 3000 + "x y").split()
+    assert leakage.covered([(a, b) for a, b, i in w.matches(words) if i == 1]) == [(50_000 + k * 51_000, 51_000 + k * 51_000) for k in range(4)]
+    assert leakage.covered([(a, b) for a, b, i in w.matches(words) if i == 2]) == [(204_000, 207_000)]
+    assert [(a, b) for a, b, i in w.matches(words) if i == 3] == [(207_000, 207_002)]
