@@ -5,13 +5,16 @@ own checksum, the version line, Content-Length, and the block and payload digest
 member that begins with a version line, or the next version line in a plain archive, goes on there, and logs the bytes
 between as a quarantined gap.
 
-Which pages repeat a payload is found on digests alone, so payloads aren't shuffled: pages whose digest occurs again are
-revisits, listed in a table that is broadcast if it has ``BROADCAST_ROWS`` at most and joined by shuffle otherwise. Archives
-go to the folder that all executors share through pyarrow's file systems; each task writes names of its own attempt, and only archives in
-the table of finished tasks are read, so the leavings of a lost executor are ignored.
+Archives are written in two steps, at any size alike. Each task first writes every page as a response, and a row (archive, offset, length, digest) for
+it. Which pages repeat a payload is found on these rows, so payloads are never shuffled; then each archive is copied, and members that
+are revisits are written anew. Archives go to the folder that all executors share through pyarrow's file systems; each task writes names of its own
+attempt, and only archives in the table of finished tasks are read, so the leavings of a lost executor are ignored. ``delete_archives`` removes a folder.
+
+The reader holds one archive, and one member unpacked, at a time. Header names are matched in any case; the payload of an ``application/http`` block is
+what follows its headers; digests by an unknown algorithm are not checked. Read strictly, an archive with a gap, or with fewer records than were written, is an error.
 
 Defined results: a null html is an empty payload. A null page_id sorts before all others. Rows that repeat the largest page_id of
-a payload are all responses. An empty table gives no archive and no row. Other columns are ignored.
+a payload are all responses. An empty table gives no archive and no row. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +38,11 @@ VERSION = b"WARC/1.1\r\n"
 START = re.compile(rb"WARC/1\.[01]\r\n")
 MAGIC = b"\x1f\x8b\x08"
 ARCHIVE_BYTES = 8 << 20
+#: Repeated payloads whose digests are broadcast at most; beyond, the same join shuffles digests.
 BROADCAST_ROWS = 500_000
+#: Header names that are known, in the form that they are kept in.
+NAMES = {x.lower(): x for x in ("WARC-Type", "WARC-Record-ID", "WARC-Date", "WARC-Target-URI", "Content-Type", "Content-Length", "WARC-Payload-Digest", "WARC-Payload-Length", "WARC-Block-Digest", "WARC-Profile", "WARC-Refers-To")}
+ALGORITHMS = {"md5": "md5", "sha1": "sha1", "sha-1": "sha1", "sha256": "sha256", "sha-256": "sha256", "sha512": "sha512", "sha-512": "sha512"}
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SCHEMA = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
 
@@ -52,22 +59,29 @@ class Record:
     offset: int = 0
 
 
-def render(page_id: int | None, uri: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
-    """A response record, or a revisit record without the payload, which still has its digest and length."""
-    block = b"" if revisit else payload
-    headers = {
-        "WARC-Type": "revisit" if revisit else "response",
-        "WARC-Record-ID": f"<urn:page:{'' if page_id is None else page_id}>",
-        "WARC-Date": "1970-01-01T00:00:00Z",
-        "WARC-Target-URI": re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", uri or "urn:none"),
-        "Content-Type": "text/html; charset=utf-8",
-        "WARC-Payload-Digest": f"sha1:{sha1(payload)}",
-        "WARC-Payload-Length": str(len(payload)),
-        "WARC-Block-Digest": f"sha1:{sha1(block)}",
-        "Content-Length": str(len(block)),
-    }
-    if revisit:
-        headers |= {"WARC-Profile": PROFILE, "WARC-Refers-To": f"<urn:page:{'' if refers_to is None else refers_to}>"}
+def render(page_id: int | None, uri: str | None, payload: bytes) -> bytes:
+    """A response record."""
+    return rendered(
+        {
+            "WARC-Type": "response",
+            "WARC-Record-ID": f"<urn:page:{'' if page_id is None else page_id}>",
+            "WARC-Date": "1970-01-01T00:00:00Z",
+            "WARC-Target-URI": re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", uri or "urn:none"),
+            "Content-Type": "text/html; charset=utf-8",
+            "WARC-Payload-Digest": f"sha1:{sha1(payload)}",
+            "WARC-Payload-Length": str(len(payload)),
+        },
+        payload,
+    )
+
+
+def revisiting(record: Record, refers_to: int | None) -> bytes:
+    """The record without its payload, whose digest and length it keeps."""
+    return rendered(record.headers | {"WARC-Type": "revisit", "WARC-Profile": PROFILE, "WARC-Refers-To": f"<urn:page:{'' if refers_to is None else refers_to}>"}, b"")
+
+
+def rendered(headers: dict[str, str], block: bytes) -> bytes:
+    headers = headers | {"WARC-Block-Digest": f"sha1:{sha1(block)}", "Content-Length": str(len(block))}
     return VERSION + "".join(f"{k}: {v}\r\n" for k, v in headers.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
@@ -76,6 +90,31 @@ def member(record: bytes) -> bytes:
     return z.compress(record) + z.flush()
 
 
+def agrees(digest: str, data: bytes) -> bool:
+    """Whether a digest header, in base32, hexadecimal or base64 digits, is that of ``data``; an unknown algorithm is taken on trust."""
+    name, colon, digits = digest.partition(":")
+    if not colon or name.lower() not in ALGORITHMS:
+        return True
+    raw = hashlib.new(ALGORITHMS[name.lower()], data).digest()
+    plain = digits.rstrip("=")
+    return plain.lower() in (raw.hex(), base64.b32encode(raw).decode().rstrip("=").lower()) or plain == base64.b64encode(raw).decode().rstrip("=")
+
+
+def payloads(headers: dict[str, str], block: bytes) -> Iterator[bytes]:
+    """What may be the payload: the block, or what follows the headers of an HTTP message in it, as it is or with its chunks joined."""
+    if not headers.get("Content-Type", "").lower().startswith("application/http"):
+        yield block
+        return
+    head, _, body = block.partition(b"\r\n\r\n")
+    yield body
+    if re.search(rb"(?im)^transfer-encoding:.*chunked", head):
+        out, rest = [], body
+        while (m := re.match(rb"([0-9A-Fa-f]+)[^\r\n]*\r\n", rest)) and (size := int(m[1], 16)):
+            out.append(rest[m.end() : m.end() + size])
+            rest = rest[m.end() + size + 2 :]
+        yield b"".join(out)
+
+
 def parse(data: bytes, at: int) -> tuple[Record, int]:
     """The record that begins at ``at`` and where it ends; ValueError if a check fails."""
     if not (m := START.match(data, at)):
@@ -87,28 +126,32 @@ def parse(data: bytes, at: int) -> tuple[Record, int]:
         name, colon, value = line.partition(b":")
         if not colon:
             raise ValueError("a header without a colon")
-        headers[name.decode("utf-8", "strict").strip()] = value.decode("utf-8", "strict").strip()
+        name = name.decode("utf-8", "strict").strip()
+        headers[NAMES.get(name.lower(), name)] = value.decode("utf-8", "strict").strip()
     if not (size := headers.get("Content-Length", "")).isdecimal():
         raise ValueError("no Content-Length")
     block, stop = data[end + 4 : end + 4 + int(size)], end + 4 + int(size)
     if data[stop : stop + 4] != b"\r\n\r\n":
         raise ValueError("Content-Length misses the record's end")
-    for name in ("WARC-Block-Digest",) + ("WARC-Payload-Digest",) * (headers.get("WARC-Type") == "response"):
-        if name in headers and headers[name] != f"sha1:{sha1(block)}":
-            raise ValueError(f"{name} differs")
+    if not agrees(headers.get("WARC-Block-Digest", ""), block):
+        raise ValueError("WARC-Block-Digest differs")
+    if headers.get("WARC-Type") == "response" and not any(agrees(headers.get("WARC-Payload-Digest", ""), p) for p in payloads(headers, block)):
+        raise ValueError("WARC-Payload-Digest differs")
     return Record(headers, block, at), stop + 4
 
 
 def inflate(data: bytes, at: int) -> tuple[bytes, int]:
     """The gzip member at ``at`` and where it ends; ValueError if it isn't whole."""
-    z = zlib.decompressobj(31)
-    try:
-        out = z.decompress(memoryview(data)[at:])
-    except zlib.error as e:
-        raise ValueError(str(e)) from e
+    z, out, view, step = zlib.decompressobj(31), [], memoryview(data), 1 << 12
+    while at < len(data) and not z.eof:
+        try:
+            out.append(z.decompress(view[at : at + step]))
+        except zlib.error as e:
+            raise ValueError(str(e)) from e
+        at, step = min(len(data), at + step), min(step * 2, 1 << 18)
     if not z.eof:
         raise ValueError("the member has no end")
-    return out, len(data) - len(z.unused_data)
+    return b"".join(out), at - len(z.unused_data)
 
 
 def partial(data: bytes, at: int) -> tuple[bytes, bool]:
@@ -201,80 +244,132 @@ def following(data: bytes, at: int) -> int:
     return plain
 
 
-def repeats(pages: DataFrame) -> DataFrame:
-    """_page, _refers: each page with a payload that a larger page_id has too, and the largest such. One row for a page and payload."""
-    low = F.lit(-(1 << 63))
-    ids = pages.select(F.coalesce(F.col("page_id").cast("long"), low).alias("_page"), F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("_digest"), F.octet_length(F.coalesce("html", F.lit(""))).alias("_bytes"))
-    largest = ids.groupBy("_digest", "_bytes").agg(F.max("_page").alias("_refers"), F.min("_page").alias("_least")).where("_least < _refers")
-    return ids.join(largest, ["_digest", "_bytes"]).where("_page < _refers").groupBy("_page", "_digest").agg(F.max("_refers").alias("_refers"))
-
-
-def with_types(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, _refers (null for responses) of each page."""
-    low = F.lit(-(1 << 63))
-    known = written(repeats(pages), "revisits")
-    bounded = known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("_text"))
-    keyed = rows.withColumn("_page", F.coalesce("page_id", low)).withColumn("_digest", F.sha1(F.coalesce("_text", F.lit("")).cast("binary")))
-    return keyed.join(F.broadcast(known) if bounded else known, ["_page", "_digest"], "left").select("page_id", "url", "_text", "_refers")
-
-
-def write(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Writes a record for each row (page_id, url, html) to archives in ``folder``; returns the written table of them: path, records, bytes."""
+def drafted(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """Writes a response for each row (page_id, url, html) to archives in ``folder``; the written rows path, start, end, page_id, digest, payload_bytes."""
+    names, schema = ["path", "start", "end", "page_id", "digest", "payload_bytes"], "path string, start bigint, end bigint, page_id bigint, digest string, payload_bytes bigint"
 
     def run(batches):
         fs, root = pfs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
-        held, size = [], 0
+        held, rows, size = [], [], 0
 
         def close():
-            name = f"{root}/{uuid.uuid4().hex}.warc.gz"
-            with fs.open_output_stream(name, compression=None) as f:
+            name = f"{uuid.uuid4().hex}.warc.gz"
+            with fs.open_output_stream(f"{root}/{name}", compression=None) as f:
                 for x in held:
                     f.write(x)
-            return pa.RecordBatch.from_pydict({"path": [f"{folder}/{name.rsplit('/', 1)[1]}"], "records": pa.array([len(held)], pa.int64()), "bytes": pa.array([size], pa.int64())})
+            cols = list(zip(*rows, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"] * len(rows)), *(pa.array(c, pa.string() if k == 3 else pa.int64()) for k, c in enumerate(cols))], names)
 
         for batch, texts in slices(batches, "_text"):
-            for page, url, html, refers in zip(*(batch.column(i).to_pylist() for i in (0, 1)), texts, batch.column(3).to_pylist(), strict=True):
-                held.append(member(render(page, url, (html or "").encode("utf-8", "replace"), refers, refers is not None)))
+            for page, url, html in zip(*(batch.column(i).to_pylist() for i in (0, 1)), texts, strict=True):
+                payload = (html or "").encode("utf-8", "replace")
+                held.append(member(render(page, url, payload)))
+                rows.append((size, size + len(held[-1]), page, sha1(payload), len(payload)))
                 size += len(held[-1])
                 if size >= archive_bytes:
                     yield close()
-                    held, size = [], 0
+                    held, rows, size = [], [], 0
         if held:
             yield close()
 
-    return written(with_types(pages).mapInArrow(run, "path string, records bigint, bytes bigint"), "archives")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("_text"))
+    return written(rows.mapInArrow(run, schema), "members")
+
+
+def revisits(members: DataFrame) -> DataFrame:
+    """path, start, refers: each member whose payload a larger page_id has too, and the largest such."""
+    page = F.coalesce("page_id", F.lit(-(1 << 63)))
+    largest = members.groupBy("digest", "payload_bytes").agg(F.max(page).alias("refers"), F.min(page).alias("_least")).where("_least < refers").drop("_least")
+    largest = written(largest, "repeats")
+    some = F.broadcast(largest) if largest.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else largest
+    return members.join(some, ["digest", "payload_bytes"]).where(page < F.col("refers")).select("path", "start", "refers")
 
 
-def records(archives: DataFrame) -> DataFrame:
-    """path, kind (record or gap), start, end, reason, headers, block of each record and gap in the archives that have a row (path)."""
+def write(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """Writes a record for each row (page_id, url, html) to archives in ``folder``; returns the written table of them: path, records, bytes."""
+    spark, drafts = pages.sparkSession, f"{folder}/drafts"
+    members = drafted(pages, drafts, archive_bytes)
+    # an archive has as many members as fit in it, so its list is bounded
+    of = members.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("members"))
+    which = revisits(members).groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("start", "refers"))).alias("refers"))
+
+    def run(batches):
+        fs, root = pfs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for path, places, refers in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                refers = dict(refers or ())
+                with pfs.FileSystem.from_uri(path)[0].open_input_stream(pfs.FileSystem.from_uri(path)[1], compression=None) as f:
+                    data = f.read()
+                name, size = f"{uuid.uuid4().hex}.warc.gz", 0
+                with fs.open_output_stream(f"{root}/{name}", compression=None) as f:
+                    for place in places:
+                        x = data[place["start"] : place["end"]]
+                        if place["start"] in refers:
+                            x = member(revisiting(parse(inflate(x, 0)[0], 0)[0], refers[place["start"]]))
+                        size += f.write(x)
+                yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "records": pa.array([len(places)], pa.int64()), "bytes": pa.array([size], pa.int64())})
+
+    out = written(spread(of.join(which, "path", "left")).mapInArrow(run, "path string, records bigint, bytes bigint"), "archives")
+    delete_archives(drafts)
+    return out
+
+
+def spread(archives: DataFrame) -> DataFrame:
     spark = archives.sparkSession
+    return archives.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def delete_archives(folder: str) -> None:
+    """Removes a folder of archives. Call it once nothing reads them any more; a folder that isn't there is no error."""
+    fs, root = pfs.FileSystem.from_uri(folder)
+    if fs.get_file_info(root).type == pfs.FileType.Directory:
+        fs.delete_dir(root)
+
+
+def records(archives: DataFrame, strict: bool = False) -> DataFrame:
+    """path, kind (record or gap), start, end, reason, headers, block of each record and gap in the archives that have a row (path, and records if it is known).
+
+    If ``strict``, a gap or another number of records than ``records`` ends the job."""
+
+    def table_of(path, some):
+        gap = [isinstance(x, tuple) for x in some]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([path] * len(some)),
+                pa.array(["gap" if g else "record" for g in gap]),
+                pa.array([x[0] if g else x.offset for x, g in zip(some, gap, strict=True)], pa.int64()),
+                pa.array([x[1] if g else None for x, g in zip(some, gap, strict=True)], pa.int64()),
+                pa.array([x[2] if g else None for x, g in zip(some, gap, strict=True)], pa.string()),
+                pa.array([[] if g else list(x.headers.items()) for x, g in zip(some, gap, strict=True)], pa.map_(pa.string(), pa.string())),
+                pa.array([None if g else x.block for x, g in zip(some, gap, strict=True)], pa.binary()),
+            ],
+            ["path", "kind", "start", "end", "reason", "headers", "block"],
+        )
 
     def run(batches):
         for batch in batches:
-            for path in batch.column(0).to_pylist():
+            for path, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 fs, name = pfs.FileSystem.from_uri(path)
                 with fs.open_input_stream(name, compression=None) as f:
-                    found = list(salvage(f.read()))
-                for i in range(0, len(found), 200):
-                    some = found[i : i + 200]
-                    gap = [isinstance(x, tuple) for x in some]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([path] * len(some)),
-                            pa.array(["gap" if g else "record" for g in gap]),
-                            pa.array([x[0] if g else x.offset for x, g in zip(some, gap, strict=True)], pa.int64()),
-                            pa.array([x[1] if g else None for x, g in zip(some, gap, strict=True)], pa.int64()),
-                            pa.array([x[2] if g else None for x, g in zip(some, gap, strict=True)], pa.string()),
-                            pa.array([[] if g else list(x.headers.items()) for x, g in zip(some, gap, strict=True)], pa.map_(pa.string(), pa.string())),
-                            pa.array([None if g else x.block for x, g in zip(some, gap, strict=True)], pa.binary()),
-                        ],
-                        ["path", "kind", "start", "end", "reason", "headers", "block"],
-                    )
-
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return archives.select("path").repartition(tasks).mapInArrow(run, "path string, kind string, start bigint, end bigint, reason string, headers map<string,string>, block binary")
+                    data = f.read()
+                held, size, n = [], 0, 0
+                for x in salvage(data):
+                    if strict and isinstance(x, tuple):
+                        raise ValueError(f"{path} from {x[0]} to {x[1]}: {x[2]}")
+                    n += not isinstance(x, tuple)
+                    held.append(x)
+                    size += 0 if isinstance(x, tuple) else len(x.block)
+                    if size > 1 << 20 or len(held) >= 200:
+                        yield table_of(path, held)
+                        held, size = [], 0
+                if held:
+                    yield table_of(path, held)
+                if strict and known is not None and n != known:
+                    raise ValueError(f"{path} has {n} records instead of {known}")
+
+    known = F.col("records").cast("long") if "records" in archives.columns else F.lit(None).cast("long")
+    return spread(archives.select("path", known.alias("records"))).mapInArrow(run, "path string, kind string, start bigint, end bigint, reason string, headers map<string,string>, block binary")
 
 
 def digests(read: DataFrame) -> DataFrame:
@@ -292,7 +387,7 @@ def digests(read: DataFrame) -> DataFrame:
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = write(table(spark, sf_dir, "pages"), new_path(spark, "warc"))
-    return digests(records(archives))
+    return digests(records(archives, strict=True))
 
 
 #: DuckDB's sha1() gives hexadecimal digits; their bits, five at a time, are the base32 digits.
