@@ -1,5 +1,6 @@
 """Operators that SQL can't express, against plain Python written from their rules, and inputs that once broke them."""
 
+import base64
 import datetime
 import hashlib
 import os
@@ -13,7 +14,9 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from eventloom.llm import chat, leakage, nearcopies, packing, privacy, secrets, toxicity
+from pyspark.sql import functions as F
+
+from eventloom.llm import chat, leakage, nearcopies, packing, privacy, secrets, toxicity, warc
 
 SF = "/root/testdata/sf0.01"
 KEY = "test key"
@@ -229,3 +232,57 @@ def test_long_documents_and_repeated_anchors():
     assert leakage.covered([(a, b) for a, b, i in w.matches(words) if i == 1]) == [(50_000 + k * 51_000, 51_000 + k * 51_000) for k in range(4)]
     assert leakage.covered([(a, b) for a, b, i in w.matches(words) if i == 2]) == [(204_000, 207_000)]
     assert [(a, b) for a, b, i in w.matches(words) if i == 3] == [(207_000, 207_002)]
+
+
+# archives
+
+
+def raw_record(headers, block):
+    return b"WARC/1.0\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in headers.items()) + b"\r\n" + block + b"\r\n\r\n"
+
+
+def test_archives_of_others():
+    """Header names in any case, payloads of HTTP messages, and digests in other forms are what crawlers write."""
+    body = b"<html>" * 40
+    sha, md5 = hashlib.sha1(body), hashlib.md5(body)
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + b"".join(b"%x\r\n%s\r\n" % (len(x), x) for x in (body[:100], body[100:])) + b"0\r\n\r\n"
+    digests = [f"sha1:{base64.b32encode(sha.digest()).decode()}", f"sha1:{sha.hexdigest()}", f"SHA-1:{base64.b32encode(sha.digest()).decode().lower()}", f"md5:{base64.b64encode(md5.digest()).decode()}", "blake3:whatever", f"sha256:{hashlib.sha256(body).hexdigest()}"]
+    for block in (http, chunked):
+        for digest in digests:
+            for length in ("Content-Length", "content-length", "CONTENT-LENGTH"):
+                data = raw_record({"warc-type": "response", "Content-Type": "application/http; msgtype=response", "WARC-payload-DIGEST": digest, length: len(block)}, block)
+                found = list(warc.salvage(data + warc.member(data)))
+                assert [type(x) for x in found] == [warc.Record] * 2 and found[0].block == block and found[0].headers["WARC-Type"] == "response"
+    wrong = raw_record({"WARC-Type": "response", "Content-Type": "application/http", "WARC-Payload-Digest": digests[0][:-3] + "AAA", "Content-Length": len(http)}, http)
+    assert [type(x) for x in warc.salvage(wrong)] == [tuple]
+
+
+def test_archives_take_time_in_proportion():
+    page = warc.member(warc.render(1, "http://x", np.random.default_rng(0).bytes(900)))
+    took = []
+    for n in (2_000, 16_000):
+        data = page * n
+        began = time.perf_counter()
+        assert sum(isinstance(x, warc.Record) for x in warc.salvage(data)) == n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 8 * took[0] * 2 + 0.5
+
+
+def test_missing_records_end_the_job(spark):
+    pages = spark.createDataFrame([(k, f"http://x/{k}", f"page {k % 7} " * 90) for k in range(60)], "page_id long, url string, html string")
+    folder = warc.new_path(spark, "strict")
+    archives = warc.write(pages, folder)
+    assert warc.digests(warc.records(archives, strict=True)).count() == 60 and not os.path.exists(f"{folder.removeprefix('file://')}/drafts")
+    with pytest.raises(Exception, match="records instead of"):
+        warc.records(archives.withColumn("records", F.col("records") + 1), strict=True).count()
+    path = archives.orderBy(F.desc("records")).first().path.removeprefix("file://")
+    with open(path, "r+b") as f:
+        f.seek(30)
+        f.write(b"\0\0\0\0")
+    with pytest.raises(Exception, match="from 0 to"):
+        warc.records(archives, strict=True).count()
+    assert {r.kind for r in warc.records(archives).collect()} == {"record", "gap"}
+    warc.delete_archives(folder)
+    warc.delete_archives(folder)
+    assert not os.path.exists(folder.removeprefix("file://"))

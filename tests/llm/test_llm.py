@@ -233,7 +233,7 @@ def test_best_level_is_the_least_sum_of_squares():
 
 
 def archive(n=6):
-    return [warc.member(warc.render(i, f"http://x/{i}", b"payload %d " % i * 50, None, False)) for i in range(n)]
+    return [warc.member(warc.render(i, f"http://x/{i}", b"payload %d " % i * 50)) for i in range(n)]
 
 
 def ids(found):
@@ -247,7 +247,7 @@ def test_salvage_reads_clean_archives_whole():
 
 @pytest.mark.parametrize("plain", [False, True])
 def test_salvage_skips_damage_and_logs_gaps(plain):
-    parts = [warc.render(i, f"http://x/{i}", b"payload %d " % i * 50, None, False) for i in range(6)] if plain else archive()
+    parts = [warc.render(i, f"http://x/{i}", b"payload %d " % i * 50) for i in range(6)] if plain else archive()
     bad = bytearray(parts[2])
     bad[len(bad) // 2] ^= 0xFF
     data = b"".join([*parts[:2], bytes(bad), b"junk\x1f\x8b\x08 junk", *parts[3:5], parts[5][:-9]])
@@ -272,7 +272,7 @@ def test_salvage_survives_any_flipped_byte():
 def test_salvage_reads_members_of_several_records():
     import gzip
 
-    parts = [warc.render(i, f"http://x/{i}", random.Random(i).randbytes(3000), None, False) for i in range(6)]
+    parts = [warc.render(i, f"http://x/{i}", random.Random(i).randbytes(3000)) for i in range(6)]
     whole = gzip.compress(b"".join(parts))
     found = list(warc.salvage(whole))
     assert ids(found) == [f"<urn:page:{i}>" for i in range(6)] and len(found) == 6
@@ -570,8 +570,12 @@ def mutated(r, words, n):
     return " ".join(w)
 
 
-@pytest.mark.parametrize(("large", "open_pairs", "bits"), [(16, 4, 22), (3, 0, 22), (4, 0.01, 12)])
-def test_near_copies_by_all_pairs(spark, monkeypatch, large, open_pairs, bits):
+@pytest.mark.parametrize(("large", "open_pairs", "bits", "hot"), [(16, 4, 22, 20_000), (3, 0, 22, 4), (4, 0.01, 12, 20_000), (16, 4, 12, 0)])
+def test_near_copies_by_all_pairs(spark, monkeypatch, large, open_pairs, bits, hot):
+    """Also with lists dealt in parts of a few documents, leads with a part for every two pairs, and counters added up two at a time."""
+    if hot < 100:
+        for name, value in (("HOT", max(hot, 1)), ("HOT_PAIRS", 2), ("FAN", 2), ("BROADCAST_IDS", 3)):
+            monkeypatch.setattr(nearcopies, name, value)
     monkeypatch.setattr(nearcopies, "LARGE", large)
     monkeypatch.setattr(nearcopies, "OPEN_PAIRS", open_pairs)
     monkeypatch.setattr(nearcopies, "COUNTER_BITS", bits)
@@ -615,6 +619,23 @@ def test_near_copies_odd_rows(spark):
     assert one.columns == docs(spark).columns and 5 not in {x.doc_id for x in one.collect()} and one.count() == len(ODD) - 1
 
 
+def test_near_copies_of_ids_with_unlike_texts(spark, duck):
+    """An id links with whatever any of its rows links with; the SQL says the same."""
+    x, y, z = (" ".join(f"{c}{k}" for k in range(30)) for c in "xyz")
+    rows = [(1, x), (5, x), (5, y), (7, y), (9, z), (9, None), (11, ""), (12, z + " z"), (12, y + " q"), (13, "unlike in all")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in nearcopies.near_copies(d).collect())
+    frame = d.toPandas()
+    duck.register("odd_documents", frame)
+    want = duck.execute(nearcopies.OP10_SQL.replace("FROM documents", "FROM odd_documents")).fetchall()
+    assert got == sorted(want) and {(i, c) for i, _, c in got} == {(1, 1), (5, 1), (7, 1), (9, 1), (11, 11), (12, 1), (13, 13)}
+
+
+def test_clashing_columns(spark):
+    d = docs(spark).withColumn("_gone", F.lit(1)).withColumn("_id", F.lit(2)).withColumn("rep", F.lit(3))
+    assert nearcopies.one_of_each(d).columns == d.columns
+
+
 def test_filters_lose_no_link():
     r = np.random.default_rng(8)
     for _ in range(300):
@@ -628,8 +649,8 @@ def test_filters_lose_no_link():
         pa_, pb = (list(x[: nearcopies.prefix_length(len(x))]) for x in (a, b))
         shared = set(pa_) & set(pb)
         assert shared
-        for x in shared:
-            assert nearcopies.may_link(np.array([pa_.index(x)]), np.array([len(a)]), np.array([pb.index(x)]), np.array([len(b)]))[0]
+        x = next(x for x in pa_ if x in shared)
+        assert nearcopies.may_link(np.array([pa_.index(x)]), np.array([len(a)]), np.array([pb.index(x)]), np.array([len(b)]))[0]
 
 
 def test_components_of_chains_and_hubs(spark):
