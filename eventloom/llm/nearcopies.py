@@ -3,14 +3,15 @@
 A document is its set of distinct shingles of five words, as 64-bit hashes; documents link when 100 x common >= 80 x all.
 
 1. Sizes, a 128-bit digest and a histogram of each set, of 64 to 4096 parts. Equal digests are one class, whose least id stands for it. Shingle
-   frequencies over all documents are added up in a table of 2^22 counters, which is all that is broadcast.
+   frequencies over all documents are added up, ``FAN`` tasks at a time, in a table of 2^22 counters, which is broadcast.
 2. Prefixes: each set is ordered by frequency, rarest first; two sets that link share one of the first n - ceil(0.8 n) + 1.
-   Each task packs its prefix shingles by bucket into compressed blobs, a copy within the task once; this is the only large shuffle.
-3. Lists: within a bucket, shingles that one document has are dropped. Each other list pairs all its documents with one
-   of them, so a list of m gives m - 1 pairs. Pairs pass the length and the positional filter; then, each pair once, the suffix
+   Postings are rows, dealt by shingle and sorted; a copy within a task is posted once. This is the only large shuffle.
+3. Lists: shingles that one document has are dropped. Each other list pairs all its documents with its
+   first, so a list of m gives m - 1 pairs, and a task holds that one alone. Lists far longer than most are dealt in parts. Pairs pass the length and the
+   positional filter, for the first shingle that they share; then, each pair once, the suffix
    filter on the histograms (unlike counts bound the symmetric difference from below); then they are verified on whole sets.
    Ids in lists and pairs become those of their classes' representatives.
-4. Lists whose documents lie in different components after that are unresolved. While their open pairs are many, and get fewer, each pairs its
+4. Lists whose documents lie in different components after that are unresolved; of lists with the same documents one is enough. While their open pairs are many, and get fewer, each pairs its
    documents with another of its members. At last all pairs of different components that may still link are verified; for large components
    the triangle inequality of Jaccard distance tells which (see ``crossing``). So a large group of near copies never
    becomes all its pairs, and no link between components is missed.
@@ -18,34 +19,38 @@ A document is its set of distinct shingles of five words, as 64-bit hashes; docu
 Components come from rounds of the least label with pointer jumping on written tables.
 
 Defined results: null and wordless texts have no shingle and link with nothing; a text of fewer than five words is one shingle.
-A null id is a component of its own, null. Rows that repeat an id are answered one by one with that id's component. Other columns are ignored.
+A null id is a component of its own, null. Rows that repeat an id are answered one by one, each with its own size and all with that id's component: an id
+links with whatever any of its rows links with. An empty table gives no row. Other columns are ignored, whatever their names, and kept by ``one_of_each``,
+which keeps all rows of the least id. Very long texts are sets in memory, one at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import delete, settings, slices, table, written
 
 SHINGLE, PERCENT = 5, 80
-COUNTER_BITS, BLOCKS = 22, 64
-#: Prefix shingles of a bucket, about; ids of candidates that are broadcast at most.
-BUCKET_ROWS, BROADCAST_IDS = 1_000_000, 1_000_000
-#: Bytes of text, and prefix shingles, that a task holds at a time.
-SLICE, HELD = 300_000, 500_000
+COUNTER_BITS, BLOCKS, FAN = 22, 64, 64
+#: Prefix shingles of a task, about; ids or shingles that are broadcast at most (beyond, the same join shuffles them).
+TASK_ROWS, BROADCAST_IDS = 1_000_000, 1_000_000
+#: Bytes of text that a task holds at a time; digests that it remembers, so as not to post copies (the result is the same without).
+SLICE, SEEN = 300_000, 1_000_000
+#: Documents in a part of a list that is dealt by document too; pairs of a document in a part of its comparisons.
+HOT, HOT_PAIRS = 20_000, 1_000
+POSTINGS = "sh bigint, salt int, id bigint, pos int, n int"
 #: Batches between the JVM and Python are small, as long texts and whole sets pass.
 ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 #: Open pairs, for each row of the unresolved lists, up to which no more turns are taken.
 OPEN_PAIRS = 4
 #: Documents of a component that gets a pivot; how much nearer to it a document may be than one that it links with.
 LARGE, REACH, BLOCK = 16, 0.2 + 1e-9, 200
-COLUMNS = ("id", "pos", "n", "c")
+COLUMNS = ("id", "pos", "n", "c", "odd")
 MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
 #: The multiplier's inverse modulo 2^64.
 BACK = np.uint64(pow(int(MULT), -1, 1 << 64))
@@ -133,7 +138,7 @@ def apart(x: bytes, y: bytes) -> int:
     return int(np.abs(p - q).sum())
 
 
-SUMMARY = "doc_id bigint, n bigint, c1 bigint, c2 bigint, parts binary, block int, counts binary"
+SUMMARY = "doc_id bigint, n bigint, c1 bigint, c2 bigint, parts binary, part int, block int, counts binary"
 
 
 def summaries(rows: DataFrame) -> DataFrame:
@@ -148,108 +153,113 @@ def summaries(rows: DataFrame) -> DataFrame:
             counters[at.astype(np.int64)] += times.astype(np.uint32)
             parts = [histogram(s) for s in sets]
             d = np.array([digest(s) for s in sets], np.int64).reshape(-1, 2)
-            none = pa.nulls(len(texts), pa.int32()), pa.nulls(len(texts), pa.binary())
+            none = pa.nulls(len(texts), pa.int32()), pa.nulls(len(texts), pa.int32()), pa.nulls(len(texts), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), ints([len(s) for s in sets]), ints(d[:, 0]), ints(d[:, 1]), pa.array(parts, pa.binary()), *none], names)
         if counters.any():
             packed = [zstandard.compress(x.tobytes(), 1) for x in counters.reshape(BLOCKS, -1)]
             empty = [pa.nulls(BLOCKS, t) for t in (pa.int64(),) * 4 + (pa.binary(),)]
-            yield pa.RecordBatch.from_arrays([*empty, pa.array(np.arange(BLOCKS, dtype=np.int32)), pa.array(packed, pa.binary())], names)
+            task = pa.array([TaskContext.get().partitionId()] * BLOCKS, pa.int32())
+            yield pa.RecordBatch.from_arrays([*empty, task, pa.array(np.arange(BLOCKS, dtype=np.int32)), pa.array(packed, pa.binary())], names)
 
     return rows.mapInArrow(run, SUMMARY)
 
 
 def frequencies(summary: DataFrame) -> np.ndarray:
-    """The counters of all tasks added up: 2^22 numbers, whatever the input is."""
+    """The counters of all tasks added up, ``FAN`` of a block's at a time: 2^22 numbers, whatever the input is."""
 
     def add(part: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(zstandard.decompress(x), np.uint32).astype(np.uint64) for x in part.column("counts").to_pylist())
-        return pa.table({"block": part.column("block").slice(0, 1), "counts": pa.array([zstandard.compress(np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes(), 1)], pa.binary())})
-
+        total = np.zeros((1 << COUNTER_BITS) // BLOCKS, np.uint64)
+        for x in part.column("counts"):
+            total += np.frombuffer(zstandard.decompress(x.as_py()), np.uint32)
+        packed = zstandard.compress(np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes(), 1)
+        return pa.table({"block": part.column("block").slice(0, 1), "part": part.column("part").slice(0, 1), "counts": pa.array([packed], pa.binary())})
+
+    spark, schema = summary.sparkSession, "block int, part int, counts binary"
+    parts = summary.where("block is not null").select("block", "part", "counts")
+    n, before = (parts.agg(F.max("part")).first()[0] or 0) + 1, None
+    while n > FAN:
+        parts = written(parts.withColumn("part", F.floor(F.col("part") / FAN).cast("int")).groupBy("block", "part").applyInArrow(add, schema), "counters")
+        if before is not None:
+            delete(spark, before)
+        n, before = -(-n // FAN), parts
     out = np.zeros((BLOCKS, (1 << COUNTER_BITS) // BLOCKS), np.uint32)
-    for block, counts in summary.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(add, "block int, counts binary").collect():
+    for block, _, counts in parts.groupBy("block").applyInArrow(add, schema).collect():
         out[block] = np.frombuffer(zstandard.decompress(counts), np.uint32)
     return out.ravel()
 
 
-def prefixes(rows: DataFrame, shared, buckets: int) -> DataFrame:
-    """bucket, postings: packed (shingle, id, position, size) of the prefixes of each row (_id, _text). A set that its task had before is left out."""
+def prefixes(rows: DataFrame, shared) -> DataFrame:
+    """sh, salt, id, pos, n: the shingles of the prefix of each row (_id, _text), their places, and the set's size. A set that its task had before is left out.
 
-    def packed(held: list) -> Iterator[pa.RecordBatch]:
-        sh, doc, pos, n = (np.concatenate(x) for x in zip(*held, strict=True))
-        bucket = (mixed(sh) % np.uint64(buckets)).astype(np.int64)
-        at = np.lexsort((sh, bucket))
-        cut = np.searchsorted(bucket[at], np.arange(buckets + 1))
-        got = [(k, pack(sh[i], doc[i], pos[i], n[i])) for k in range(buckets) if len(i := at[cut[k] : cut[k + 1]])]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.int32()), pa.array([x for _, x in got], pa.binary())], ["bucket", "postings"])
+    The lists of shingles that far more documents have than most are dealt by the document too, in parts of about ``HOT``; their salt isn't -1."""
 
     def run(batches):
-        seen, held, size = set(), [], 0
+        seen, usual = set(), 2 * float(shared.value.mean())
         for batch, texts in slices(batches, "_text", SLICE):
+            held = []
             for doc, s in zip(batch.column(0).to_pylist(), shingle_sets(texts), strict=True):
                 if doc is None or not len(s) or (d := digest(s)) in seen:
                     continue
-                if len(seen) < 1_000_000:
+                if len(seen) < SEEN:
                     seen.add(d)
                 k = prefix_length(len(s))
                 f = shared.value[(s >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
-                first = s[np.lexsort((s, f))[:k]]
-                held.append((first, np.full(k, doc, np.int64), np.arange(k, dtype=np.uint32), np.full(k, len(s), np.uint32)))
-                size += k
-            if size >= HELD:
-                yield from packed(held)
-                held, size = [], 0
-        if held:
-            yield from packed(held)
-
-    return rows.mapInArrow(run, "bucket int, postings binary")
-
+                at = np.lexsort((s, f))[:k]
+                times = f[at].astype(np.int64)
+                salt = np.where(times > usual + HOT, int(mixed(np.array([doc], np.int64).view(np.uint64))[0] >> np.uint64(1)) % (times // HOT + 1), -1)
+                held.append((s[at].view(np.int64), salt.astype(np.int32), np.full(k, doc, np.int64), np.arange(k, dtype=np.int32), np.full(k, len(s), np.int32)))
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], ["sh", "salt", "id", "pos", "n"])
 
-def pack(sh: np.ndarray, doc: np.ndarray, pos: np.ndarray, n: np.ndarray) -> bytes:
-    return zstandard.compress(sh.tobytes() + doc.tobytes() + pos.tobytes() + n.tobytes(), 1)
-
-
-def unpack(data: bytes) -> tuple[np.ndarray, ...]:
-    raw = zstandard.decompress(data)
-    k = len(raw) // 24
-    return np.frombuffer(raw, np.uint64, k), np.frombuffer(raw, np.int64, k, 8 * k), np.frombuffer(raw, np.uint32, k, 16 * k), np.frombuffer(raw, np.uint32, k, 20 * k)
+    return rows.mapInArrow(run, POSTINGS)
 
 
 def may_link(pos_a, n_a, pos_b, n_b) -> np.ndarray:
-    """Length filter, and positional filter for a shingle at these places of two ordered sets."""
+    """Length filter, and positional filter for the first shingle that two ordered sets share, at these places: all they share comes from there on."""
     n_a, n_b, pos_a, pos_b = (x.astype(np.int64) for x in (n_a, n_b, pos_a, pos_b))
     length = 100 * np.minimum(n_a, n_b) >= PERCENT * np.maximum(n_a, n_b)
-    most = np.minimum(pos_a, pos_b) + np.minimum(n_a - pos_a, n_b - pos_b)
+    most = np.minimum(n_a - pos_a, n_b - pos_b)
     return length & (most >= least_common(n_a, n_b))
 
 
-def lists(blobs: DataFrame) -> DataFrame:
-    """From packed postings, by bucket: pairs (x < y, pos and n null) to test, and the rows (x shingle, y id, pos, n) of lists of two documents or more."""
-
-    def group(part: pa.Table) -> pa.Table:
-        sh, doc, pos, n = (np.concatenate(x) for x in zip(*(unpack(b) for b in part.column("postings").to_pylist()), strict=True))
-        at = np.lexsort((doc, sh))
-        sh, doc, pos, n = sh[at], doc[at], pos[at], n[at]
-        if len(sh):
-            fresh = np.concatenate([[True], (sh[1:] != sh[:-1]) | (doc[1:] != doc[:-1])])
-            sh, doc, pos, n = sh[fresh], doc[fresh], pos[fresh], n[fresh]
-            first = np.concatenate([[True], sh[1:] != sh[:-1]])
-            run = np.cumsum(first) - 1
-            many = np.bincount(run)[run] > 1
-            lead = np.nonzero(first)[0][run]
-            ok = many & ~first & may_link(pos[lead], n[lead], pos, n)
-            pairs = np.unique(np.stack([doc[lead[ok]], doc[ok]]), axis=1) if ok.any() else np.zeros((2, 0), np.int64)
-            sh, doc, pos, n = sh[many], doc[many], pos[many], n[many]
-        else:
-            pairs = np.zeros((2, 0), np.int64)
-        none = pa.nulls(pairs.shape[1], pa.int32())
-        return pa.table(
-            {
-                "x": pa.concat_arrays([ints(pairs[0]), ints(sh.view(np.int64))]), "y": pa.concat_arrays([ints(pairs[1]), ints(doc)]),
-                "pos": pa.concat_arrays([none, pa.array(pos.astype(np.int32))]), "n": pa.concat_arrays([none, pa.array(n.astype(np.int32))]),
-            }
-        )
+def lists(postings: DataFrame, parts: int) -> DataFrame:
+    """Pairs (x < y, pos and n null) to test, and the rows (x shingle, y id, pos, n) of lists of two documents or more.
 
-    return blobs.groupBy("bucket").applyInArrow(group, "x bigint, y bigint, pos int, n int")
+    Each task reads its postings sorted, and holds the first of the list that it is in. A salted part of a list may be of one document."""
+    dealt = postings.repartition(parts, "sh", "salt").sortWithinPartitions("sh", "salt", "id")
+
+    def run(batches):
+        lead, told = None, False
+        for batch in batches:
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            if not len(cols[0]):
+                continue
+            if lead is not None:
+                cols = [np.concatenate([[x], c]).astype(c.dtype) for x, c in zip(lead, cols, strict=True)]
+            sh, salt, doc, pos, n = cols
+            first = np.concatenate([[True], (sh[1:] != sh[:-1]) | (salt[1:] != salt[:-1])])
+            at = np.cumsum(first) - 1
+            leads = np.flatnonzero(first)[at]
+            many = (np.bincount(at)[at] > 1) | (salt >= 0)
+            ok = many & ~first & (doc != doc[leads]) & may_link(pos[leads], n[leads], pos, n)
+            again = lead is not None and told
+            j = leads[-1]
+            told = bool(many[-1]) or again and j == 0
+            lead = [c[j] for c in cols]
+            if again:
+                many[0] = False
+            x, y = doc[leads[ok]], doc[ok]
+            order = np.lexsort((y, x))
+            x, y = x[order], y[order]
+            fresh = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]) if len(x) else np.zeros(0, bool)
+            x, y = x[fresh], y[fresh]
+            none = pa.nulls(len(x), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [ints(np.concatenate([x, sh[many]])), ints(np.concatenate([y, doc[many]])), pa.concat_arrays([none, pa.array(pos[many])]), pa.concat_arrays([none, pa.array(n[many])])],
+                ["x", "y", "pos", "n"],
+            )
+
+    return dealt.mapInArrow(run, "x bigint, y bigint, pos int, n int")
 
 
 def plausible(pairs: DataFrame, facts: DataFrame) -> DataFrame:
@@ -267,32 +277,43 @@ def plausible(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     return both.select("rep_x", "rep_y", "n_x", "n_y", "parts_x", "parts_y").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, a written table, to be broadcast if it has ``BROADCAST_IDS`` rows at most."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
 def compared(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """a, b, common, whole: the sizes of intersection and union of the whole sets of each pair (a, b). Only rows of ids in a pair are looked at."""
+    """a, b, common, whole: the sizes of intersection and union of the whole sets of each pair (a, b). Only rows of ids in a pair are looked at.
+
+    A set goes to its pairs first, a part of them at a time where they are many, and with them to the other set, so that no task gets all sets that one document is compared with."""
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), "ids")
-    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
 
     def run(batches):
         for batch, texts in slices(batches, "_text", SLICE):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())], ["id", "s"])
 
-    sets = written(rows.join(F.broadcast(ids) if small else ids, "_id", "left_semi").mapInArrow(run, "id bigint, s binary"), "sets")
+    sets = written(rows.join(bounded(ids), "_id", "left_semi").mapInArrow(run, "id bigint, s binary"), "sets")
 
     def test(batches):
         for batch in batches:
-            held: dict = {}
             common, whole = [], []
-            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                if a not in held:
-                    held = {a: np.frombuffer(x.as_buffer(), np.uint64)}
-                both = np.concatenate([held[a], np.frombuffer(y.as_buffer(), np.uint64)])
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                both = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)])
                 both.sort(kind="stable")
                 common.append(int((both[1:] == both[:-1]).sum()))
                 whole.append(len(both) - common[-1])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ints(common), ints(whole)], ["a", "b", "common", "whole"])
 
-    with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("t")), "b")
-    out = with_b.join(sets.select(F.col("id").alias("a"), "s"), "a").select("a", "b", "s", "t").mapInArrow(test, "a bigint, b bigint, common bigint, whole bigint")
+    given = sets.select(F.col("id").alias("a"), "s")
+    if pairs.count() < HOT_PAIRS:
+        with_a = pairs.join(given, "a")
+    else:
+        many = written(pairs.groupBy("a").agg(F.floor(F.count(F.lit(1)) / HOT_PAIRS).alias("k")).where("k > 0"), "hot")
+        hot = bounded(many)
+        dealt = pairs.join(hot, "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("k", F.lit(0)) + 1)).drop("k")
+        given = given.join(hot, "a", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("k", F.lit(0))))).drop("k")
+        with_a = dealt.join(given, ["a", "salt"]).select("a", "b", "s")
+    out = with_a.join(sets.select(F.col("id").alias("b"), F.col("s").alias("t")), "b").select("a", "b", "s", "t").mapInArrow(test, "a bigint, b bigint, common bigint, whole bigint")
     out = written(out, "compared")
     delete(rows.sparkSession, ids, sets)
     return out
@@ -320,12 +341,13 @@ def star(postings: DataFrame, turn: int) -> DataFrame:
     """x, y: the documents of each list (sh, id, pos, n, c) with one of them, another in each turn."""
     key = F.xxhash64("id", F.lit(turn))
     lead = postings.groupBy("sh").agg(F.min(F.struct(key, *COLUMNS)).alias("s")).select("sh", *(F.col(f"s.{c}").alias(f"{c}2") for c in COLUMNS))
+    lead = bounded(written(lead, "leads"))
     return filtered(postings.join(lead, "sh").where("c <> c2"))
 
 
 def filtered(cross: DataFrame) -> DataFrame:
     length = "100 * least(n, n2) >= 80 * greatest(n, n2)"
-    place = "180 * (least(pos, pos2) + least(n - pos, n2 - pos2)) >= 80 * (n + n2)"
+    place = "180 * least(n - pos, n2 - pos2) >= 80 * (n + n2)"
     return cross.where(length).where(place).select(F.least("id", "id2").alias("x"), F.greatest("id", "id2").alias("y")).distinct()
 
 
@@ -360,7 +382,6 @@ def crossing(postings: DataFrame, parts: DataFrame, links: DataFrame, rows: Data
     outside = written(known.drop("p").join(near, "sh").where("c <> c2 and (size2 > size or size2 = size and c2 > c)"), "outside")
     far = written(distances(outside.select("id", "p").distinct(), rows, facts), "distances")
     radius = inside.groupBy("p").agg(F.max("d2").alias("r"))
-    reach = far.join(radius, "p").where(F.col("d") <= F.col("r") + REACH).select("id", "p", "d")
     shell = blocked(far.join(radius, "p").where(F.col("d") <= F.col("r") + REACH).select("id", "p", "d"), inside, facts)
     linked = far.where(f"100 * common >= {PERCENT} * whole").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))
     return plain.union(shell).distinct(), linked
@@ -403,36 +424,42 @@ def joined(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text).cast("string").alias("_text"))
     summary = written(summaries(rows), "summary")
     shared = spark.sparkContext.broadcast(frequencies(summary))
-    sets = summary.where("block is null").drop("block", "counts")
+    sets = summary.where("block is null").drop("part", "block", "counts")
     classes = written(sets.where("n > 0 and doc_id is not null").groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k"), "classes")
     facts = written(sets.join(classes, ["c1", "c2", "n"], "left").select("doc_id", "n", "parts", F.coalesce("rep", "doc_id").alias("rep")), "facts")
     delete(spark, summary, classes)
     total = facts.agg(F.sum("n")).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * (100 - PERCENT) // 100 // BUCKET_ROWS))
-    found = written(lists(prefixes(rows, shared, buckets)), "lists")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * (100 - PERCENT) // 100 // TASK_ROWS))
+    found = written(lists(prefixes(rows, shared), tasks), "lists")
 
     one = facts.where("doc_id is not null and n > 0")
     linking = lambda pairs: compared(pairs, rows).where(f"100 * common >= {PERCENT} * whole").select("a", "b")
     tested = written(plausible(found.where("pos is null").select("x", "y"), one), "pairs")
-    links = written(linking(tested), "links")
+    # an id of rows with unlike texts links with the class of each
+    several = facts.where("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("r1"), F.max("rep").alias("r2")).where("r1 < r2").select("doc_id")
+    own = facts.join(several, "doc_id", "left_semi").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    links = written(linking(tested).union(own).distinct(), "links")
     parts = components(links)
     # a task posts the copy that it reads first; from here on ids are those of representatives
-    reps = one.select(F.col("doc_id").alias("y"), F.col("rep").alias("id")).distinct()
-    postings = found.where("pos is not null").join(reps, "y").select(F.col("x").alias("sh"), "id", "pos", "n").distinct()
+    reps = one.groupBy(F.col("doc_id").alias("y")).agg(F.collect_set("rep").alias("ids")).select("y", F.explode("ids").alias("id"), (F.size("ids") > 1).alias("odd"))
+    postings = found.where("pos is not null").join(reps, "y").select(F.col("x").alias("sh"), "id", "pos", "n", "odd").distinct()
     turn, before, last = 0, None, False
     while not last:
         labelled = written(postings.join(parts.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id")), "labelled")
         if not turn:
             delete(spark, found)
+        # of lists of the same documents that with the first shingle is enough, as all pairs share that first; members are told by sums of hashes and their number
+        low = lambda h: h.bitwiseAND(F.lit((1 << 32) - 1))
+        marks = [F.sum(low(F.xxhash64("id", "n"))).alias("m1"), F.sum(low(F.xxhash64("n", "id", F.lit(7)))).alias("m2"), F.sum(low(F.xxhash64(F.lit(3), "id", "n"))).alias("m3")]
+        lists_open = labelled.groupBy("sh").agg(F.count(F.lit(1)).alias("k"), F.min("c").alias("c1"), F.max("c").alias("c2"), F.min(F.struct("id", "pos"))["pos"].alias("first"), F.max("odd").alias("odd"), *marks).where("c1 < c2")
+        size = written(lists_open.groupBy("k", "m1", "m2", "m3", F.when(F.col("odd"), F.col("sh"))).agg(F.min_by("sh", F.struct("first", "sh")).alias("sh")).select("sh", "k"), "open")
         # as an open list has at least one document of each component, its pairs are estimated by the square of its size
-        size = labelled.groupBy("sh").agg(F.count(F.lit(1)).alias("k"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("sh", "k")
-        size = written(size, "open")
         rows_open, pairs_open = size.agg(F.sum("k"), F.sum(F.col("k") * F.col("k") / 2)).first()
         if not rows_open:
             break
         last = pairs_open <= OPEN_PAIRS * rows_open or before is not None and pairs_open > 0.8 * before
         before, turn = pairs_open, turn + 1
-        postings = written(labelled.join(size.select("sh"), "sh", "left_semi").select("sh", *COLUMNS), "postings")
+        postings = written(labelled.join(bounded(size.select("sh")), "sh", "left_semi").select("sh", *COLUMNS), "postings")
         delete(spark, labelled, size)
         if last:
             pairs, more = crossing(postings, parts, links, rows, one)
@@ -451,8 +478,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose id is the least of its component."""
     found = near_copies(docs)
     gone = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    small = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if small else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(bounded(gone), docs["doc_id"] == gone["_gone"], "left_anti")
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -460,12 +486,12 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP10_SQL = r"""
-WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
-s AS (SELECT DISTINCT doc_id, md5_number(array_to_string(w[i:i + 4], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
-n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
-i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY 1, 2),
-e AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT rid, md5_number(array_to_string(w[i:i + 4], ' ')) AS h FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT rid, doc_id, count(*) AS n FROM s JOIN d USING (rid) GROUP BY 1, 2),
+i AS (SELECT a.rid AS a, b.rid AS b, count(*) AS k FROM s a JOIN s b ON a.h = b.h AND a.rid <> b.rid GROUP BY 1, 2),
+e AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM i JOIN n x ON x.rid = a JOIN n y ON y.rid = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
 r(doc_id, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.c)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id
-FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY 1) m USING (doc_id)
+FROM d LEFT JOIN n USING (rid) LEFT JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY 1) m ON m.doc_id = d.doc_id
 """
