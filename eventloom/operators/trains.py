@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import band_join, last_before
+from .joins import last_before, pair_counts
 
 HOUR, MINUTE, DAY = 3_600_000_000, 60_000_000, 86_400_000_000
 
@@ -40,64 +42,157 @@ def presence(trains: DataFrame, bins: int = 120) -> DataFrame:
     return trains.crossJoin(F.broadcast(span)).select("unit", part.alias("part")).groupBy("unit").agg(F.round(F.count_distinct("part") / bins, 6).alias("presence"))
 
 
-def quality(trains: DataFrame, max_violations: float = 0.02, least_presence: float = 0.1, least_events: int = 20) -> DataFrame:
-    """unit, n, fraction, presence, flags: which limits the unit misses, comma-separated."""
-    q = violations(trains).join(presence(trains), "unit")
-    flags = F.concat_ws(",", F.when(F.col("fraction") > max_violations, "isi"), F.when(F.col("presence") < least_presence, "presence"), F.when(F.col("n") < least_events, "few"))
+def quality(trains: DataFrame, refractory: int = HOUR, censor: int = MINUTE, bins: int = 120, max_violations: float = 0.01, least_presence: float = 0.5, least_snr: float = 4.0, least: int = 20, reserved: tuple[int, ...] = (0, 1), snr: DataFrame | None = None) -> DataFrame:
+    """unit, n, fraction, presence, flags: which limits a unit misses, comma-separated (isi, snr, presence); snr (unit, snr) is checked if it is given. Reserved ids and units of fewer than ``least`` events
+    are left out. One pass: gaps and occupied bins come from one aggregate."""
+    span = trains.agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
+    part = F.least(F.floor((F.col("t") - F.col("t0")) * bins / F.greatest(F.col("t1") - F.col("t0"), F.lit(1))), F.lit(bins - 1))
+    g = gaps(trains.where(~F.col("unit").isin(list(reserved)))).crossJoin(F.broadcast(span))
+    bad = F.count(F.when((F.col("gap") > censor) & (F.col("gap") <= refractory), 1))
+    q = g.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), bad.alias("bad"), F.count_distinct(part).alias("parts")).where(F.col("n") >= least)
+    q = q.select("unit", "n", F.coalesce(share(F.col("bad"), F.col("n") - 1), F.lit(0.0)).alias("fraction"), F.round(F.col("parts") / bins, 6).alias("presence"))
+    q = q.withColumn("snr", F.lit(None).cast("double")) if snr is None else q.join(snr, "unit", "left")
+    flags = F.concat_ws(",", F.when(F.col("fraction") > max_violations, "isi"), F.when(F.col("snr") < least_snr, "snr"), F.when(F.col("presence") < least_presence, "presence"))
     return q.select("unit", "n", "fraction", "presence", flags.alias("flags"))
 
 
-def burst(trains: DataFrame, short: int = HOUR, least: int = 10) -> DataFrame:
-    """unit, n, burst (share of gaps under ``short``), cv (deviation of gaps by mean), hill_fp (false positives from violations); null up to ``least`` events."""
+def burst(trains: DataFrame, short: int = 3 * HOUR, refractory: int = HOUR, least: int = 10) -> DataFrame:
+    """unit, n, burst (share of gaps under ``short``), cv (deviation of gaps by mean), hill_fp (false positives from gaps under ``refractory``, null if there are too many); null up to ``least`` events."""
     g = gaps(trains).groupBy("unit").agg(
         F.count(F.lit(1)).alias("n"), F.avg((F.col("gap") < short).cast("double")).alias("b"), F.avg(F.col("gap") / 1e6).alias("m"), F.stddev_pop(F.col("gap") / 1e6).alias("sd"),
-        F.count(F.when(F.col("gap") < short, 1)).alias("rpv"), ((F.max("t") - F.min("t")) / 1e6).alias("dur"),
+        F.count(F.when(F.col("gap") < refractory, 1)).alias("rpv"), ((F.max("t") - F.min("t")) / 1e6).alias("dur"),
     )
-    q = F.col("rpv") * F.col("dur") / (2 * F.col("n") * F.col("n") * (short / 1e6))
+    q = F.col("rpv") * F.col("dur") / (2 * F.col("n") * F.col("n") * (refractory / 1e6))
     on = F.col("n") > least
     return g.select("unit", "n", F.when(on, F.round("b", 6)).alias("burst"), F.when(on, F.round(F.col("sd") / (F.col("m") + 1e-9), 6)).alias("cv"), F.when(on & (q <= 0.25), F.round(0.5 * (1 - F.sqrt(1 - 4 * q)), 6)).alias("hill_fp"))
 
 
 def coincidences(trains: DataFrame, refractory: int = HOUR, censor: int = MINUTE) -> DataFrame:
     """a, b (a < b), n: pairs of events of two units with censor < distance <= refractory."""
-    a, b = trains.select(F.col("unit").alias("a"), "t"), trains.select(F.col("unit").alias("b"), F.col("t").alias("u"))
-    return band_join(a, b, refractory).where("a < b").where(F.abs(F.col("t") - F.col("u")) > censor).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    return pair_counts(trains, [(censor, refractory)]).where("n0 > 0").select("a", "b", F.col("n0").alias("n"))
+
+
+def judged(pairs: DataFrame, least: float, limit: float, names: tuple[str, str, str]) -> DataFrame:
+    """``pairs`` (n, expected) with a verdict: too few expected, more than ``limit`` of what is expected, or a dip."""
+    return pairs.withColumn("verdict", F.when(F.col("expected") < least, names[0]).when(F.col("n") > limit * F.col("expected"), names[1]).otherwise(names[2]))
+
 
+def powered(trains: DataFrame, width: float, least: float) -> DataFrame:
+    """a, b (a < b), n_a, n_b, expected: the pairs of units of which ``least`` coincidences are expected in a band of this width. A unit meets only those that have as many events as it needs for that."""
+    n = trains.groupBy("unit").agg(F.count(F.lit(1)).alias("n_unit")).crossJoin(F.broadcast(trains.agg((F.max("t") - F.min("t")).alias("span"))))
+    top = n.agg(F.max("n_unit").alias("top"))
+    able = n.crossJoin(F.broadcast(top)).where(F.lit(width) * F.col("n_unit") * F.col("top") / F.col("span") >= least - 1e-6)
+    side = lambda c: able.select(F.col("unit").cast("bigint").alias(c), F.col("n_unit").alias(f"n_{c}"), *([F.col("span")] if c == "a" else []))
+    expected = F.round(F.lit(width) * F.col("n_a") * F.col("n_b") / F.col("span"), 6)
+    return side("a").join(side("b"), F.col("a") < F.col("b")).withColumn("expected", expected).where(F.col("expected") >= least).drop("span")
 
-def refractory_gate(trains: DataFrame, refractory: int = HOUR, censor: int = MINUTE, least: float = 5.0, limit: float = 0.3) -> DataFrame:
-    """a, b, n, expected, verdict of pairs of units with a coincidence: abstain if fewer than ``least`` are expected, veto above ``limit`` of that, else allow."""
-    n = trains.groupBy("unit").agg(F.count(F.lit(1)).alias("n_unit"))
-    span = trains.agg((F.max("t") - F.min("t")).alias("span"))
-    side = lambda c: n.select(F.col("unit").alias(c), F.col("n_unit").alias(f"n_{c}"))
-    p = coincidences(trains, refractory, censor).join(side("a"), "a").join(side("b"), "b").crossJoin(F.broadcast(span))
-    expected = F.round(F.lit(2.0 * (refractory - censor)) * F.col("n_a") * F.col("n_b") / F.col("span"), 6)
-    p = p.withColumn("expected", expected)
-    return p.select("a", "b", "n", "expected", F.when(F.col("expected") < least, "abstain").when(F.col("n") > limit * F.col("expected"), "veto").otherwise("allow").alias("verdict"))
+
+def refractory_gate(trains: DataFrame, refractory: int = HOUR, censor: int = MINUTE, least: float = 5.0, limit: float = 0.3, names: tuple[str, str, str] = ("abstain", "veto", "allow")) -> DataFrame:
+    """a, b, n, expected, verdict of all pairs of units of which ``least`` coincidences are expected, those without any too: veto above ``limit`` of that, else allow. The pairs that aren't listed abstain."""
+    pairs = powered(trains, 2.0 * (refractory - censor), least).join(coincidences(trains, refractory, censor), ["a", "b"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return judged(pairs, least, limit, names).select("a", "b", "n", "expected", "verdict")
+
+
+def split_gate(trains: DataFrame, refractory: int = HOUR, censor: int = MINUTE, least: float = 5.0, limit: float = 0.3) -> DataFrame:
+    """The same for parts of what was one cluster: at chance the split is genuine, with a dip spurious."""
+    return refractory_gate(trains, refractory, censor, least, limit, ("abstain", "genuine", "spurious"))
+
+
+def overlap_gate(trains: DataFrame, pairs: DataFrame, refractory: int = HOUR, censor: int = MINUTE, least: float = 5.0, limit: float = 0.3) -> DataFrame:
+    """a, b, n_a, n_b, n, expected, verdict of pairs (a, b), on the time that both trains span; pairs apart in time abstain."""
+    ends = trains.groupBy("unit").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+    side = lambda c: ends.select(F.col("unit").alias(c), F.col("lo").alias(f"lo_{c}"), F.col("hi").alias(f"hi_{c}"))
+    spans = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", F.greatest("lo_a", "lo_b").alias("lo"), F.least("hi_a", "hi_b").alias("hi"))
+    inside = lambda c: trains.select(F.col("unit").alias(c), "t").join(spans.where("hi > lo"), c).where("t between lo and hi")
+    counts = lambda c: inside(c).groupBy("a", "b").agg(F.count(F.lit(1)).alias(f"n_{c}"))
+    reach = F.lit(refractory)
+    bucket = F.floor(F.col("t") / reach)
+    left = inside("a").select("a", "b", "t", F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_w"))
+    right = inside("b").select("a", "b", F.col("t").alias("u"), F.floor(F.col("t") / reach).alias("_w"))
+    apart = F.abs(F.col("t") - F.col("u"))
+    n = left.join(right, ["a", "b", "_w"]).where((apart > censor) & (apart <= refractory)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    rows = spans.join(counts("a"), ["a", "b"], "left").join(counts("b"), ["a", "b"], "left").join(n, ["a", "b"], "left").fillna(0, ["n", "n_a", "n_b"])
+    expected = F.when(F.col("hi") > F.col("lo"), F.round(F.lit(2.0 * (refractory - censor)) * F.col("n_a") * F.col("n_b") / (F.col("hi") - F.col("lo")), 6)).otherwise(0.0)
+    return judged(rows.withColumn("expected", expected), least, limit, ("abstain", "veto", "allow")).select("a", "b", "n_a", "n_b", "n", "expected", "verdict")
 
 
 def lag_bands(trains: DataFrame, bands=((0, 1), (1, 2), (2, 6), (6, 12)), unit: int = HOUR) -> DataFrame:
-    """a, b, band_0 ...: events of b at a lag of [lo, hi) after or [-hi, -lo) before those of a, by unit of time."""
-    a, b = trains.select(F.col("unit").alias("a"), "t"), trains.select(F.col("unit").alias("b"), F.col("t").alias("u"))
-    p = band_join(a, b, bands[-1][1] * unit).where("a < b").withColumn("lag", F.col("u") - F.col("t"))
-    within = lambda lo, hi: ((F.col("lag") >= lo * unit) & (F.col("lag") < hi * unit)) | ((F.col("lag") >= -hi * unit) & (F.col("lag") < -lo * unit))
-    return p.groupBy("a", "b").agg(*(F.round(F.count(F.when(within(lo, hi), 1)) / (2 * (hi - lo)), 6).alias(f"band_{k}") for k, (lo, hi) in enumerate(bands)))
+    """a, b, band_0 ...: events of b at a lag of [lo, hi) after or [-hi, -lo) before those of a, by unit of time. Lags are whole microseconds, so a side's open end is one of them.
+
+    A distance of lo * unit counts after, one of hi * unit before."""
+    edges = [(lo * unit, hi * unit) for lo, hi in bands]
+    rows = pair_counts(trains, [(lo, hi - 1) for lo, hi in edges]).join(exact_lags(trains, sorted({e for pair in edges for e in pair})), ["a", "b"], "full").na.fill(0)
+    of = lambda k: F.col(f"n{k}") + F.col(f"after_{edges[k][0]}") + F.col(f"before_{edges[k][1]}")
+    out = rows.select("a", "b", *(F.round(of(k) / (2 * (hi - lo)), 6).alias(f"band_{k}") for k, (lo, hi) in enumerate(bands)))
+    return out.where(" or ".join(f"band_{k} > 0" for k in range(len(bands))))
+
+
+def exact_lags(trains: DataFrame, lags: list[int]) -> DataFrame:
+    """a, b (a < b), after_<lag>, before_<lag>: how many events of b come exactly a lag after, or before, one of a. A lag of 0 is after."""
+    t = trains.select(F.col("unit").cast("bigint").alias("a"), "t")
+    far = t.select("a", F.explode(F.array(*(F.struct((F.col("t") + s * k).alias("u"), F.lit(f"{n}_{k}").alias("k")) for k in lags for s, n in ((1, "after"), (-1, "before")) if k or s > 0))).alias("s")).select("a", "s.u", "s.k")
+    hit = far.join(trains.select(F.col("unit").cast("bigint").alias("b"), F.col("t").alias("u")), "u").where("a < b")
+    names = [f"{n}_{k}" for k in lags for n in ("after", "before")]
+    return hit.groupBy("a", "b").agg(*(F.count(F.when(F.col("k") == n, 1)).alias(n) for n in names))
+
+
+def merge_verdict(trains: DataFrame, pairs: DataFrame, unit: int = HOUR, step: int = DAY, least: int = 30) -> DataFrame:
+    """a, b, dip (events per unit of time at lags of 2 to 5, by those at 10 to 20), r (of binned counts), verdict of pairs (a, b): SAME? with a dip and rates that don't rise together, distinct? without a dip, else review. Units of
+    fewer than ``least`` events are left out."""
+    n = trains.groupBy("unit").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select("unit")
+    some = pairs.select("a", "b").join(n.withColumnRenamed("unit", "a"), "a", "left_semi").join(n.withColumnRenamed("unit", "b"), "b", "left_semi")
+    bands = lag_bands(trains, ((2, 5), (10, 20)), unit)
+    rows = some.join(bands, ["a", "b"], "left").na.fill(0.0, ["band_0", "band_1"]).join(rate_correlation(trains, some, step), ["a", "b"], "left")
+    dip = F.round(F.col("band_0") / (F.col("band_1") + 1e-9), 6)
+    verdict = F.when((F.col("dip") < 0.5) & (F.col("r") < 0.2), "SAME?").when(F.col("dip") > 0.8, "distinct?").otherwise("review")
+    return rows.withColumn("dip", dip).select("a", "b", "dip", "r", verdict.alias("verdict"))
 
 
 def latency(trains: DataFrame, first: str, then: str, window: int = HOUR) -> DataFrame:
-    """unit, n, n_after, observed, expected: how often ``then`` comes within ``window`` after ``first``, and how often it would by rate alone."""
+    """unit, n, n_after, observed, expected: of the events of kind ``then`` that have one of kind ``first`` strictly before them, how many come within ``window`` (exclusive) of the last; and how
+    many would by the rate of ``first`` over its own span. Units with fewer than two of ``first`` are left out."""
     a, b = trains.where(F.col("kind") == then).select("unit", "t"), trains.where(F.col("kind") == first).select("unit", F.col("t").alias("u"))
-    span = trains.agg((F.max("t") - F.min("t")).alias("span"))
-    hit = last_before(a, b, ["unit"]).groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("t") - F.col("u") <= window, 1)).alias("n_after"))
-    rate = b.groupBy("unit").agg(F.count(F.lit(1)).alias("n_first"))
-    p = hit.join(rate, "unit", "left").crossJoin(F.broadcast(span))
-    return p.select("unit", "n", "n_after", F.round(F.col("n_after") / F.col("n"), 6).alias("observed"), F.round(1 - F.exp(-F.coalesce("n_first", F.lit(0)) * F.lit(float(window)) / F.col("span")), 6).alias("expected"))
+    hit = last_before(a, b, ["unit"], strict=True).where("u is not null").groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("t") - F.col("u") < window, 1)).alias("n_after"))
+    rate = b.groupBy("unit").agg(F.count(F.lit(1)).alias("n_first"), (F.max("u") - F.min("u")).alias("span")).where("n_first >= 2")
+    expected = 1 - F.exp(-F.col("n_first") * F.lit(float(window)) / F.greatest(F.col("span"), F.lit(1)))
+    return hit.join(rate, "unit").select("unit", "n", "n_after", F.round(F.col("n_after") / F.col("n"), 6).alias("observed"), F.round(expected, 6).alias("expected"))
 
 
-def recovery(trains: DataFrame, step: int = 6 * HOUR, steps: int = 8) -> DataFrame:
-    """bin, n, amp_ratio: amplitude by that of the unit's event before, by the gap between them."""
-    w = Window.partitionBy("unit").orderBy("t", "event")
-    g = trains.select(((F.col("t") - F.lag("t").over(w)) / step).cast("long").alias("bin"), (F.col("amp") / F.nullif(F.lag("amp").over(w), F.lit(0.0))).alias("r"))
-    return g.where(F.col("bin").isNotNull() & (F.col("bin") < steps)).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("r"), 6).alias("amp_ratio"))
+def recovery(trains: DataFrame, edges: list[int], isolated: int, by: str = "kind", least: int = 20) -> DataFrame:
+    """``by``, bin, n, ratio: the median amplitude of events whose gap to the one before is in [edge, next edge), by that of isolated ones (no event within ``isolated`` before); bins of fewer than ``least`` events are left
+    out, and trains with fewer isolated ones. The last bin is open."""
+    w = Window.partitionBy(by).orderBy("t", "event")
+    g = trains.select(by, "amp", (F.col("t") - F.lag("t").over(w)).alias("gap"))
+    base = g.where(F.col("gap").isNull() | (F.col("gap") > isolated)).groupBy(by).agg(F.median("amp").alias("base"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).drop("_n")
+    part = reduce(lambda e, k: e.when(F.col("gap") >= edges[k], k), reversed(range(len(edges) - 1)), F.when(F.col("gap").isNull() | (F.col("gap") >= edges[-1]), len(edges) - 1))
+    rows = g.withColumn("bin", part).where("bin is not null").groupBy(by, "bin").agg(F.count(F.lit(1)).alias("n"), F.median("amp").alias("m")).where(F.col("n") >= least)
+    return rows.join(base, by).select(by, "bin", "n", F.round(F.col("m") / F.nullif("base", F.lit(0.0)), 6).alias("ratio"))
+
+
+def union_violations(trains: DataFrame, groups: DataFrame, refractory: int = HOUR) -> DataFrame:
+    """group, n, fraction: gaps under the refractory time in the trains of a group (group, unit) taken together."""
+    w = Window.partitionBy("group").orderBy("t", "event")
+    g = trains.join(groups, "unit").withColumn("gap", F.col("t") - F.lag("t").over(w))
+    return g.groupBy("group").agg(F.count(F.lit(1)).alias("n"), share(F.count(F.when(F.col("gap") < refractory, 1)), F.count("gap")).alias("fraction"))
+
+
+def half_rates(trains: DataFrame) -> DataFrame:
+    """unit, n, ratio: of the events in the two halves of a unit's span, the fewer by the more."""
+    ends = Window.partitionBy("unit")
+    late = F.col("t") * 2 >= F.min("t").over(ends) + F.max("t").over(ends)
+    g = trains.select("unit", late.alias("late")).groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("late"), 1)).alias("b"))
+    return g.select("unit", "n", F.round(F.least(F.col("b"), F.col("n") - F.col("b")) / F.greatest(F.col("b"), F.col("n") - F.col("b")), 6).alias("ratio"))
+
+
+def aligned_labels(found: DataFrame, truth: DataFrame) -> DataFrame:
+    """t, found, truth: two labellings (t, label) of events, met by their times."""
+    return found.select("t", F.col("label").alias("found")).join(truth.select("t", F.col("label").alias("truth")), "t")
+
+
+def near_ratio(trains: DataFrame, near: int, far: int) -> DataFrame:
+    """a, b, near, far, ratio: coincidences within ``near``, by those that the rate within ``far`` gives for it."""
+    p = pair_counts(trains, [(-1, near), (-1, far)])
+    return p.select("a", "b", F.col("n0").alias("near"), F.col("n1").alias("far"), F.round(F.col("n0") / F.nullif(F.col("n1") * (near / far), F.lit(0.0)), 6).alias("ratio"))
 
 
 def episodes(trains: DataFrame, pause: int = DAY) -> DataFrame:
@@ -108,27 +203,30 @@ def episodes(trains: DataFrame, pause: int = DAY) -> DataFrame:
 
 
 def local_center(trains: DataFrame, half: int = DAY) -> DataFrame:
-    """event, center: the unit's mean amplitude within ``half`` of the event."""
-    return trains.select("event", F.round(F.avg("amp").over(Window.partitionBy("unit").orderBy("t").rangeBetween(-half, half)), 6).alias("center"))
-
-
-def bimodality(trains: DataFrame, least: int = 10) -> DataFrame:
-    """unit, n, coefficient: Sarle's, from population moments of the amplitude."""
-    m = [F.avg(F.pow("amp", F.lit(k))).alias(f"m{k}") for k in (1, 2, 3, 4)]
-    g = trains.groupBy("unit").agg(F.count("amp").alias("n"), *m)
-    v = F.col("m2") - F.col("m1") * F.col("m1")
-    c3 = F.col("m3") - 3 * F.col("m1") * F.col("m2") + 2 * F.pow("m1", F.lit(3))
-    c4 = F.col("m4") - 4 * F.col("m1") * F.col("m3") + 6 * F.pow("m1", F.lit(2)) * F.col("m2") - 3 * F.pow("m1", F.lit(4))
-    return g.where(F.col("n") >= least).select("unit", "n", F.round((c3 * c3 / F.pow(v, F.lit(3)) + 1) / (c4 / (v * v)), 4).alias("coefficient"))
-
-
-def rate_correlation(trains: DataFrame, step: int = DAY) -> DataFrame:
-    """a, b, r: correlation of daily counts, days without an event counting 0."""
-    days = F.floor(F.col("t") / step)
-    grid = trains.agg(F.min(days).alias("lo"), F.max(days).alias("hi")).select(F.explode(F.sequence("lo", "hi")).alias("day"))
-    full = trains.select("unit").distinct().join(F.broadcast(grid), F.lit(True)).join(trains.groupBy("unit", days.alias("day")).agg(F.count(F.lit(1)).alias("n")), ["unit", "day"], "left").fillna(0, ["n"])
-    a, b = full.select(F.col("unit").alias("a"), "day", F.col("n").alias("x")), full.select(F.col("unit").alias("b"), "day", F.col("n").alias("y"))
-    return a.join(b, "day").where("a < b").groupBy("a", "b").agg(F.round(F.corr("x", "y"), 6).alias("r"))
+    """event, center: the amplitude less the unit's mean from ``half`` before the event to just under ``half`` after it."""
+    w = Window.partitionBy("unit").orderBy("t").rangeBetween(-half, half - 1)
+    return trains.select("event", F.round(F.col("amp") - F.avg("amp").over(w), 6).alias("center"))
+
+
+def bimodality(trains: DataFrame, least: int = 12) -> DataFrame:
+    """unit, n, coefficient: Sarle's, of the amplitude, with the term for the size of the sample; 0 for fewer than ``least`` events or equal amplitudes."""
+    g = trains.groupBy("unit").agg(F.count("amp").alias("n"), F.skewness("amp").alias("g"), F.kurtosis("amp").alias("k"), F.stddev_pop("amp").alias("s"))
+    n = F.col("n")
+    c = (F.col("g") * F.col("g") + 1) / (F.col("k") + 3 * (n - 1) * (n - 1) / F.nullif((n - 2) * (n - 3), F.lit(0)))
+    return g.select("unit", "n", F.when((n < least) | (F.col("s") < 1e-9), F.lit(0.0)).otherwise(F.round(c, 5)).alias("coefficient"))
+
+
+def rate_correlation(trains: DataFrame, pairs: DataFrame, step: int = DAY) -> DataFrame:
+    """a, b, r of pairs (a, b): the correlation of their counts in bins from the first event of either to the last; null for fewer than four bins or counts that are all equal. Only bins that have an event
+    are rows; the others count as zeros in the sums."""
+    t = trains.select("unit", "t")
+    both = pairs.select("a", "b").join(t.withColumnRenamed("unit", "a"), "a").select("a", "b", "t", F.lit(1).alias("x"), F.lit(0).alias("y")).unionByName(pairs.select("a", "b").join(t.withColumnRenamed("unit", "b"), "b").select("a", "b", "t", F.lit(0).alias("x"), F.lit(1).alias("y")))
+    ends = both.groupBy("a", "b").agg(F.min("t").alias("t0"), F.ceil((F.max("t") - F.min("t")) / step).alias("k"))
+    bins = both.join(ends, ["a", "b"]).groupBy("a", "b", "k", F.least(F.floor((F.col("t") - F.col("t0")) / step), F.col("k") - 1).alias("bin")).agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    s = bins.groupBy("a", "b", "k").agg(*(F.sum(F.col(p) * F.col(q)).cast("double").alias(p + q) for p, q in ("xx", "yy", "xy")), F.sum("x").alias("x"), F.sum("y").alias("y"))
+    cov = lambda p, q: F.col(p + q) * F.col("k") - F.col(p) * F.col(q)
+    r = F.round(cov("x", "y") / F.sqrt(F.nullif(cov("x", "x") * cov("y", "y"), F.lit(0.0))), 6)
+    return s.select("a", "b", F.when(F.col("k") >= 4, r).alias("r"))
 
 
 def chunks(trains: DataFrame, length: int = DAY, overlap: int = 8 * HOUR) -> DataFrame:

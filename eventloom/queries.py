@@ -6,34 +6,12 @@ is the unit modulo 10 with one event in five dealt elsewhere.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .named import D, E, G, H, L, M, ORACLES, QUERIES, W, query
 from .operators import curves, graphs, hierarchy, scoring, states, templates, trains
 from .sources.tables import table, trains as event_trains, waves
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-E = "e AS (SELECT event_id AS event, user_id AS unit, epoch_us(ts) AS t, event_type AS kind, value AS amp FROM events)"
-G = E + ", g AS (SELECT *, t - lag(t) OVER (PARTITION BY unit ORDER BY t, event) AS gap FROM e)"
-L = "l AS (SELECT event_id AS event, user_id % 10 AS truth, CASE WHEN event_id % 5 = 0 THEN event_id % 7 ELSE user_id % 10 END AS found FROM events), c AS (SELECT truth, found, count(*) AS n FROM l GROUP BY 1, 2)"
-W = "x AS (SELECT vec_id AS event, label AS cluster, unnest(range(1, 65)) - 1 AS k, unnest(embedding::DOUBLE[]) AS x FROM embeddings), t AS (SELECT cluster, k, avg(x) AS m, var_pop(x) AS v, count(*) AS n FROM x GROUP BY 1, 2)"
-H, D, M = 3_600_000_000, 86_400_000_000, 60_000_000
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 def labels(spark, d):
     e = table(spark, d, "events")
     return e.select(F.col("event_id").alias("event"), (F.col("user_id") % 10).alias("truth"), F.when(F.col("event_id") % 5 == 0, F.col("event_id") % 7).otherwise(F.col("user_id") % 10).alias("found"))
@@ -57,13 +35,13 @@ def presence_ratio(spark, d):
     return trains.presence(event_trains(spark, d))
 
 
-@query(f"""WITH {G}, {PRESENCE}, v AS (SELECT unit, count(*) AS n, coalesce(round(count(*) FILTER (gap > {M} AND gap <= {H}) / nullif(count(*) - 1, 0), 6), 0) AS fraction FROM g GROUP BY unit)
-SELECT unit, n, fraction, presence, concat_ws(',', CASE WHEN fraction > 0.02 THEN 'isi' END, CASE WHEN presence < 0.1 THEN 'presence' END, CASE WHEN n < 20 THEN 'few' END) AS flags FROM v JOIN p USING (unit)""")
+@query(f"""WITH {G}, {PRESENCE}, v AS (SELECT unit, count(*) AS n, coalesce(round(count(*) FILTER (gap > {M} AND gap <= {H}) / nullif(count(*) - 1, 0), 6), 0) AS fraction FROM g WHERE unit NOT IN (0, 1) GROUP BY unit HAVING count(*) >= 20)
+SELECT unit, n, fraction, presence, concat_ws(',', CASE WHEN fraction > 0.01 THEN 'isi' END, CASE WHEN presence < 0.5 THEN 'presence' END) AS flags FROM v JOIN p USING (unit)""")
 def qc_flags(spark, d):
     return trains.quality(event_trains(spark, d))
 
 
-@query(f"""WITH {G}, s AS (SELECT unit, count(*) AS n, avg((gap < {H})::INT) AS b, avg(gap / 1e6) AS m, stddev_pop(gap / 1e6) AS sd, count(*) FILTER (gap < {H}) AS rpv, (max(t) - min(t)) / 1e6 AS dur FROM g GROUP BY unit), q AS (SELECT *, rpv * dur / (2 * n * n * 3600.0) AS q FROM s)
+@query(f"""WITH {G}, s AS (SELECT unit, count(*) AS n, avg((gap < {3 * H})::INT) AS b, avg(gap / 1e6) AS m, stddev_pop(gap / 1e6) AS sd, count(*) FILTER (gap < {H}) AS rpv, (max(t) - min(t)) / 1e6 AS dur FROM g GROUP BY unit), q AS (SELECT *, rpv * dur / (2 * n * n * 3600.0) AS q FROM s)
 SELECT unit, n, CASE WHEN n > 10 THEN round(b, 6) END AS burst, CASE WHEN n > 10 THEN round(sd / (m + 1e-9), 6) END AS cv, CASE WHEN n > 10 AND q <= 0.25 THEN round(0.5 * (1 - sqrt(1 - 4 * q)), 6) END AS hill_fp FROM q""")
 def burst_cv(spark, d):
     return trains.burst(event_trains(spark, d))
@@ -77,26 +55,56 @@ def coincidences(spark, d):
     return trains.coincidences(event_trains(spark, d))
 
 
-@query(f"""WITH {E}, {COINCIDE}, u AS (SELECT unit, count(*) AS k FROM e GROUP BY 1), x AS (SELECT p.*, round({2.0 * (H - M)} * x.k * y.k / (SELECT max(t) - min(t) FROM e), 6) AS expected FROM p JOIN u x ON x.unit = a JOIN u y ON y.unit = b)
-SELECT a, b, n, expected, CASE WHEN expected < 5 THEN 'abstain' WHEN n > 0.3 * expected THEN 'veto' ELSE 'allow' END AS verdict FROM x""")
+GATE = f"""{COINCIDE}, u AS (SELECT unit, count(*) AS k FROM e GROUP BY 1), x AS (SELECT a.unit AS a, b.unit AS b, round({2.0 * (H - M)} * a.k * b.k / (SELECT max(t) - min(t) FROM e), 6) AS expected FROM u a JOIN u b ON a.unit < b.unit),
+y AS (SELECT a, b, coalesce(n, 0) AS n, expected FROM x LEFT JOIN p USING (a, b) WHERE expected >= 5)"""
+
+
+@query(f"WITH {E}, {GATE} SELECT a, b, n, expected, CASE WHEN n > 0.3 * expected THEN 'veto' ELSE 'allow' END AS verdict FROM y")
 def refractory_gate(spark, d):
     return trains.refractory_gate(event_trains(spark, d))
 
 
+@query(f"WITH {E}, {GATE} SELECT a, b, n, expected, CASE WHEN n > 0.3 * expected THEN 'genuine' ELSE 'spurious' END AS verdict FROM y")
+def split_gate(spark, d):
+    return trains.split_gate(event_trains(spark, d))
+
+
+def next_pairs(spark, d):
+    """a, b: units and those numbered next."""
+    u = event_trains(spark, d).select(F.col("unit").alias("a")).distinct()
+    return u.withColumn("b", F.col("a") + 1).join(u.withColumnRenamed("a", "b"), "b", "left_semi").select("a", "b")
+
+
+NEXT = "np AS (SELECT a.unit AS a, b.unit AS b FROM (SELECT DISTINCT unit FROM e) a JOIN (SELECT DISTINCT unit FROM e) b ON b.unit = a.unit + 1)"
+
+
+@query(f"""WITH {E}, {NEXT}, s AS (SELECT unit, min(t) AS lo, max(t) AS hi FROM e GROUP BY 1), o AS (SELECT a, b, greatest(x.lo, y.lo) AS lo, least(x.hi, y.hi) AS hi FROM np JOIN s x ON x.unit = a JOIN s y ON y.unit = b),
+x AS (SELECT a, b, t FROM o JOIN e ON unit = a AND t BETWEEN lo AND hi WHERE hi > lo), y AS (SELECT a, b, t FROM o JOIN e ON unit = b AND t BETWEEN lo AND hi WHERE hi > lo),
+n AS (SELECT x.a, x.b, count(*) AS n FROM x JOIN y ON x.a = y.a AND x.b = y.b AND abs(x.t - y.t) > {M} AND abs(x.t - y.t) <= {H} GROUP BY 1, 2),
+z AS (SELECT o.a, o.b, coalesce(n_a, 0) AS n_a, coalesce(n_b, 0) AS n_b, coalesce(n, 0) AS n, CASE WHEN hi > lo THEN round({2.0 * (H - M)} * coalesce(n_a, 0) * coalesce(n_b, 0) / (hi - lo), 6) ELSE 0 END AS expected FROM o LEFT JOIN (SELECT a, b, count(*) AS n_a FROM x GROUP BY 1, 2) USING (a, b) LEFT JOIN (SELECT a, b, count(*) AS n_b FROM y GROUP BY 1, 2) USING (a, b) LEFT JOIN n USING (a, b))
+SELECT *, CASE WHEN expected < 5 THEN 'abstain' WHEN n > 0.3 * expected THEN 'veto' ELSE 'allow' END AS verdict FROM z""")
+def overlap_gate(spark, d):
+    return trains.overlap_gate(event_trains(spark, d), next_pairs(spark, d))
+
+
 @query(f"WITH {E}, p AS (SELECT a.unit AS a, b.unit AS b, b.t - a.t AS lag FROM e a JOIN e b ON a.unit < b.unit AND b.t BETWEEN a.t - {12 * H} AND a.t + {12 * H}) SELECT a, b, " + ", ".join(f"round(count(*) FILTER ((lag >= {lo * H} AND lag < {hi * H}) OR (lag >= {-hi * H} AND lag < {-lo * H})) / {2 * (hi - lo)}, 6) AS band_{k}" for k, (lo, hi) in enumerate(((0, 1), (1, 2), (2, 6), (6, 12)))) + " FROM p GROUP BY 1, 2")
 def ccg_bands(spark, d):
     return trains.lag_bands(event_trains(spark, d))
 
 
-@query(f"""WITH {E}, f AS (SELECT unit, t AS u FROM e WHERE kind = 'click'), h AS (SELECT e.unit, e.t, f.u FROM (SELECT * FROM e WHERE kind = 'purchase') e ASOF LEFT JOIN f ON e.unit = f.unit AND e.t >= f.u), r AS (SELECT unit, count(*) AS k FROM f GROUP BY 1)
-SELECT unit, n, n_after, round(n_after / n, 6) AS observed, round(1 - exp(-coalesce(k, 0) * {float(H)} / (SELECT max(t) - min(t) FROM e)), 6) AS expected FROM (SELECT unit, count(*) AS n, count(*) FILTER (t - u <= {H}) AS n_after FROM h GROUP BY 1) LEFT JOIN r USING (unit)""")
+@query(f"""WITH {E}, f AS (SELECT unit, t AS u FROM e WHERE kind = 'click'), h AS (SELECT e.unit, e.t, f.u FROM (SELECT * FROM e WHERE kind = 'purchase') e ASOF JOIN f ON e.unit = f.unit AND e.t > f.u), r AS (SELECT unit, count(*) AS k, max(u) - min(u) AS span FROM f GROUP BY 1 HAVING count(*) >= 2)
+SELECT unit, n, n_after, round(n_after / n, 6) AS observed, round(1 - exp(-k * {float(H)} / greatest(span, 1)), 6) AS expected FROM (SELECT unit, count(*) AS n, count(*) FILTER (t - u < {H}) AS n_after FROM h GROUP BY 1) JOIN r USING (unit)""")
 def latency_enrichment(spark, d):
     return trains.latency(event_trains(spark, d), "click", "purchase")
 
 
-@query(f"WITH {E}, r AS (SELECT (t - lag(t) OVER w) // {6 * H} AS bin, amp / nullif(lag(amp) OVER w, 0) AS r FROM e WINDOW w AS (PARTITION BY unit ORDER BY t, event)) SELECT bin, count(*) AS n, round(avg(r), 6) AS amp_ratio FROM r WHERE bin < 8 GROUP BY 1")
+EDGES = [0, 5 * M, 10 * M, 20 * M, 40 * M]
+
+
+@query(f"""WITH {E}, g AS (SELECT kind, amp, t - lag(t) OVER (PARTITION BY kind ORDER BY t, event) AS gap FROM e), i AS (SELECT kind, median(amp) AS base FROM g WHERE gap IS NULL OR gap > {40 * M} GROUP BY 1 HAVING count(*) >= 20),
+b AS (SELECT kind, CASE WHEN gap IS NULL THEN 4 ELSE {" + ".join(f"(gap >= {x})::INT" for x in EDGES[1:])} END AS bin, amp FROM g) SELECT kind, bin, count(*) AS n, round(median(amp) / any_value(base), 6) AS ratio FROM b JOIN i USING (kind) GROUP BY 1, 2 HAVING count(*) >= 20""")
 def recovery_curve(spark, d):
-    return trains.recovery(event_trains(spark, d))
+    return trains.recovery(event_trains(spark, d), EDGES, 40 * M)
 
 
 @query(f"WITH {G}, s AS (SELECT *, sum((coalesce(gap, 0) > {D})::INT) OVER (PARTITION BY unit ORDER BY t, event) AS episode FROM g) SELECT unit, episode::BIGINT AS episode, count(*) AS n, max(t) - min(t) AS length FROM s GROUP BY 1, 2")
@@ -104,21 +112,55 @@ def episodes(spark, d):
     return trains.episodes(event_trains(spark, d))
 
 
-@query(f"WITH {E} SELECT event, round(avg(amp) OVER (PARTITION BY unit ORDER BY t RANGE BETWEEN {D} PRECEDING AND {D} FOLLOWING), 6) AS center FROM e")
+@query(f"WITH {E} SELECT event, round(amp - avg(amp) OVER (PARTITION BY unit ORDER BY t RANGE BETWEEN {D} PRECEDING AND {D - 1} FOLLOWING), 6) + 0.0 AS center FROM e")
 def local_center(spark, d):
-    return trains.local_center(event_trains(spark, d))
+    return trains.local_center(event_trains(spark, d)).withColumn("center", F.col("center") + 0.0)
 
 
-@query(f"""WITH {E}, m AS (SELECT unit, count(amp) AS n, avg(amp) AS a, avg(amp ** 2) AS b, avg(amp ** 3) AS c, avg(amp ** 4) AS d FROM e GROUP BY 1)
-SELECT unit, n, round((((c - 3 * a * b + 2 * a ** 3) ** 2) / ((b - a * a) ** 3) + 1) / ((d - 4 * a * c + 6 * a ** 2 * b - 3 * a ** 4) / ((b - a * a) ** 2)), 4) AS coefficient FROM m WHERE n >= 10""")
+@query(f"""WITH {E}, c AS (SELECT unit, amp - avg(amp) OVER (PARTITION BY unit) AS x FROM e), m AS (SELECT unit, count(x) AS n, avg(x ** 2) AS b, avg(x ** 3) AS c, avg(x ** 4) AS d FROM c GROUP BY 1)
+SELECT unit, n, CASE WHEN n < 12 OR sqrt(b) < 1e-9 THEN 0 ELSE round((c ** 2 / b ** 3 + 1) / (d / b ** 2 - 3 + 3.0 * (n - 1) * (n - 1) / ((n - 2) * (n - 3))), 5) END AS coefficient FROM m""")
 def bimodality(spark, d):
     return trains.bimodality(event_trains(spark, d))
 
 
-@query(f"""WITH {E}, f AS (SELECT unit, t // {D} AS day FROM e), z AS (SELECT unit, day, count(f.unit) AS n FROM (SELECT DISTINCT unit FROM f) u CROSS JOIN (SELECT unnest(range(min(day), max(day) + 1)) AS day FROM f) k LEFT JOIN f USING (unit, day) GROUP BY 1, 2)
-SELECT a.unit AS a, b.unit AS b, round(corr(a.n, b.n), 6) + 0.0 AS r FROM z a JOIN z b ON a.day = b.day AND a.unit < b.unit GROUP BY 1, 2""")
+RATE = f"""{NEXT}, pt AS (SELECT a, b, t, (unit = a)::INT AS x, (unit = b)::INT AS y FROM np JOIN e ON unit IN (a, b)), pe AS (SELECT a, b, min(t) AS t0, ceil((max(t) - min(t)) / {D})::BIGINT AS k FROM pt GROUP BY 1, 2),
+pg AS (SELECT a, b, k, unnest(range(k)) AS bin FROM pe), pc AS (SELECT a, b, least((t - t0) // {D}, k - 1) AS bin, sum(x) AS x, sum(y) AS y FROM pt JOIN pe USING (a, b) GROUP BY 1, 2, 3),
+pr AS (SELECT a, b, CASE WHEN any_value(k) >= 4 AND var_pop(coalesce(x, 0)) > 0 AND var_pop(coalesce(y, 0)) > 0 THEN round(corr(coalesce(x, 0), coalesce(y, 0)), 6) + 0.0 END AS r FROM pg LEFT JOIN pc USING (a, b, bin) GROUP BY 1, 2)"""
+
+
+@query(f"WITH {E}, {RATE} SELECT a, b, r FROM pr")
 def rate_corr(spark, d):
-    return trains.rate_correlation(event_trains(spark, d))
+    return trains.rate_correlation(event_trains(spark, d), next_pairs(spark, d)).withColumn("r", F.col("r") + 0.0)
+
+
+@query(f"""WITH {E}, {RATE}, s AS (SELECT unit FROM e GROUP BY 1 HAVING count(*) >= 30), l AS (SELECT np.a, np.b, y.t - x.t AS lag FROM np JOIN e x ON x.unit = np.a JOIN e y ON y.unit = np.b WHERE np.a IN (FROM s) AND np.b IN (FROM s) AND abs(y.t - x.t) <= {20 * H}),
+c AS (SELECT a, b, round(count(*) FILTER ((lag >= {2 * H} AND lag < {5 * H}) OR (lag >= {-5 * H} AND lag < {-2 * H})) / 6, 6) AS near, round(count(*) FILTER ((lag >= {10 * H} AND lag < {20 * H}) OR (lag >= {-20 * H} AND lag < {-10 * H})) / 20, 6) AS far FROM l GROUP BY 1, 2),
+v AS (SELECT np.a, np.b, round(coalesce(near, 0) / (coalesce(far, 0) + 1e-9), 6) AS dip, r FROM np LEFT JOIN c USING (a, b) JOIN pr USING (a, b) WHERE np.a IN (FROM s) AND np.b IN (FROM s))
+SELECT a, b, dip, r, CASE WHEN dip < 0.5 AND r < 0.2 THEN 'SAME?' WHEN dip > 0.8 THEN 'distinct?' ELSE 'review' END AS verdict FROM v""")
+def merge_verdict(spark, d):
+    return trains.merge_verdict(event_trains(spark, d), next_pairs(spark, d)).withColumn("r", F.col("r") + 0.0)
+
+
+@query(f"WITH {E}, g AS (SELECT unit % 10 AS grp, t - lag(t) OVER (PARTITION BY unit % 10 ORDER BY t, event) AS gap FROM e) SELECT grp AS \"group\", count(*) AS n, round(count(*) FILTER (gap < {H}) / nullif(count(gap), 0), 6) AS fraction FROM g GROUP BY 1")
+def union_violations(spark, d):
+    e = event_trains(spark, d)
+    return trains.union_violations(e, e.select("unit").distinct().withColumn("group", F.col("unit") % 10))
+
+
+@query(f"WITH {E}, h AS (SELECT unit, t * 2 >= min(t) OVER (PARTITION BY unit) + max(t) OVER (PARTITION BY unit) AS late FROM e), c AS (SELECT unit, count(*) AS n, count(*) FILTER (late) AS b FROM h GROUP BY 1) SELECT unit, n, round(least(b, n - b) / greatest(b, n - b), 6) AS ratio FROM c")
+def half_rates(spark, d):
+    return trains.half_rates(event_trains(spark, d))
+
+
+@query(f"WITH {E}, c AS (SELECT x.unit AS a, y.unit AS b, count(*) FILTER (abs(x.t - y.t) <= {H}) AS near, count(*) AS far FROM e x JOIN e y ON x.unit < y.unit AND y.t BETWEEN x.t - {6 * H} AND x.t + {6 * H} GROUP BY 1, 2) SELECT a, b, near, far, round(near / nullif(far * ({H} / {6 * H}), 0), 6) AS ratio FROM c")
+def near_ratio(spark, d):
+    return trains.near_ratio(event_trains(spark, d), H, 6 * H)
+
+
+@query(f"WITH {E} SELECT a.t, a.unit % 10 AS found, b.unit % 7 AS truth FROM e a JOIN e b ON a.t = b.t AND b.event % 3 <> 0 WHERE a.event % 2 = 0")
+def aligned_labels(spark, d):
+    e = event_trains(spark, d)
+    return trains.aligned_labels(e.where("event % 2 = 0").select("t", (F.col("unit") % 10).alias("label")), e.where("event % 3 <> 0").select("t", (F.col("unit") % 7).alias("label")))
 
 
 @query(f"""WITH {E}, k AS (SELECT event, t, t0, (t - t0) // {D} AS k FROM e, (SELECT min(t) AS t0 FROM e)), x AS (SELECT *, unnest([k - 1, k, k + 1]) AS chunk FROM k)
@@ -150,9 +192,10 @@ def unit_match(spark, d):
     return scoring.unit_match(labels(spark, d))
 
 
-@query(f"WITH {L}, x AS (SELECT *, sum(n) OVER (PARTITION BY found) AS nf FROM c) SELECT found, count(*) AS n_truths FROM x WHERE n >= 0.2 * nf GROUP BY 1 HAVING count(*) >= 2")
+@query("WITH c AS (SELECT user_id % 10 AS truth, user_id % 5 AS found, count(*) AS n FROM events GROUP BY 1, 2), x AS (SELECT *, sum(n) OVER (PARTITION BY found) AS nf FROM c) SELECT found, count(*) AS n_truths FROM x WHERE n >= 0.2 * nf GROUP BY 1 HAVING count(*) >= 2")
 def merged_candidates(spark, d):
-    return scoring.merged(labels(spark, d))
+    e = table(spark, d, "events")
+    return scoring.merged(e.select(F.col("event_id").alias("event"), (F.col("user_id") % 10).alias("truth"), (F.col("user_id") % 5).alias("found")))
 
 
 @query(f"WITH {W}, n AS (SELECT cluster, sqrt(sum(m * m)) AS norm FROM t GROUP BY 1) SELECT a.cluster AS a, b.cluster AS b, round(sum(a.m * b.m) / (x.norm * y.norm), 6) AS cosine, round(sqrt(sum((a.m - b.m) ** 2) / 64), 6) AS rms FROM t a JOIN t b ON a.k = b.k AND a.cluster < b.cluster JOIN n x ON x.cluster = a.cluster JOIN n y ON y.cluster = b.cluster GROUP BY 1, 2, x.norm, y.norm")

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from eventloom import queries as engine
+from eventloom import named as engine
 
 SF = "/root/testdata/sf0.001"
 

@@ -47,7 +47,7 @@ def test_decaying_count(spark, stream, tmp_path):
 
 def test_plans(spark):
     e = event_trains(spark, SF)
-    steps = [plan.Step("bad", lambda q: q.where("flags <> ''"), ("quality",)), plan.Step("quality", trains.quality, ("events",), {"least_events": 5}), plan.Step("other", trains.episodes, ("events",))]
+    steps = [plan.Step("bad", lambda q: q.where("flags <> ''"), ("quality",)), plan.Step("quality", trains.quality, ("events",), {"least": 5}), plan.Step("other", trains.episodes, ("events",))]
     made = plan.run(steps, {"events": e}, "bad")
     assert set(made) == {"events", "quality", "bad"} and made["bad"].count() <= made["quality"].count()
     assert plan.lint([plan.Step("a", len, ("b",)), plan.Step("b", len, ("a",))], set())[0].startswith("a circle")
