@@ -83,18 +83,19 @@ def grams(text: bytes) -> np.ndarray:
     return sum((b[k : k + n] << np.uint64(8 * (GRAM - 1 - k)) for k in range(GRAM)), np.zeros(n, np.uint64))
 
 
-def document_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams of the texts, in order, and in how many texts each is; added up every few million."""
-    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+def document_counts(texts: list[str], flush: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of the texts, in order, and in how many texts each is; merged every ``flush`` n-grams, so little is held twice."""
+    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int32)
     held, size = [], 0
     for i, t in enumerate(texts):
         held.append(np.unique(grams(plain(t))))
         size += len(held[-1])
-        if size > 3_000_000 or i == len(texts) - 1:
-            new = np.concatenate([keys, *held])
-            times = np.concatenate([counts, np.ones(size, np.int64)])
-            keys, at = np.unique(new, return_inverse=True)
-            counts = np.bincount(at, times, len(keys)).astype(np.int64)
+        if size > flush or i == len(texts) - 1:
+            new, times = np.unique(np.concatenate(held), return_counts=True)
+            at = np.searchsorted(keys, new)
+            old = keys[np.minimum(at, len(keys) - 1)] == new if len(keys) else np.zeros(len(new), bool)
+            counts[at[old]] += times[old].astype(np.int32)
+            keys, counts = np.insert(keys, at[~old], new[~old]), np.insert(counts, at[~old], times[~old])
             held, size = [], 0
     return keys, counts
 
