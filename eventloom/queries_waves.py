@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .named import ORACLES, QUERIES, query
-from .operators import templates
+from .operators import places, templates
 from .operators import waves as kernels
 from .sources.tables import waves
 
@@ -147,3 +147,26 @@ def basis_projection(spark, d):
 @query()
 def loop_shapes(spark, d):
     return kernels.loops(waves(spark, d), S, C).select("event", F.transform("shape", lambda x: F.round(x, 6)).alias("shape"), F.round("size", 6).alias("size"), F.round("turn", 6).alias("turn"))
+
+
+SITES = [(0.0, 0.0), (16.0, 20.0), (0.0, 40.0), (16.0, 60.0)]
+
+
+@query(f"""WITH {X}, p AS (SELECT event, cluster, c, max(x) - min(x) AS p FROM x GROUP BY 1, 2, 3), m AS (SELECT cluster, c, median(p) AS p FROM p GROUP BY 1, 2)
+SELECT cluster, round(max(p) FILTER (c = 0), 6) AS p0, round(max(p) FILTER (c = 1), 6) AS p1, round(max(p) FILTER (c = 2), 6) AS p2, round(max(p) FILTER (c = 3), 6) AS p3, arg_max(c, (p, -c)) IN (0, 3) AS one_flank FROM m GROUP BY 1""")
+def amplitude_profile(spark, d):
+    p = places.profiles(waves(spark, d), S, C)
+    loudest = F.array_position("p", F.array_max("p"))
+    return p.select("cluster", *(F.round(F.col("p")[k], 6).alias(f"p{k}") for k in range(C)), loudest.isin(1, C).alias("one_flank"))
+
+
+@query()
+def unit_positions(spark, d):
+    w = waves(spark, d)
+    return places.located(w, S, C, SITES, basis=places.common_basis(w, S, C)).drop("template")
+
+
+@query()
+def event_positions(spark, d):
+    w = waves(spark, d)
+    return places.event_places(w.select(F.col("event").alias("spike_idx"), F.col("cluster").alias("label")), places.located(w, S, C, SITES, kind="ptp"))
