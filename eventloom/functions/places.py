@@ -45,12 +45,12 @@ def field(place, sites) -> tuple[np.ndarray, np.ndarray]:
     return value, np.stack(by, 1)
 
 
-def least_squares(a, model: Callable, start, low, high, scale: float, rounds: int = 500) -> tuple[np.ndarray, np.ndarray, float]:
-    """Numbers within bounds that minimise the soft sum of squares, 2 (sqrt(1 + (r / scale)^2) - 1) for each residual r, by damped steps; what bounds hold stays where it is.
-    Also the derivatives, weighted by the loss's curvature, and half the loss."""
+def least_squares(a, model: Callable, start, low, high, scale: float = np.inf, rounds: int = 500) -> tuple[np.ndarray, np.ndarray, float]:
+    """Numbers within bounds that minimise the soft sum of squares, 2 scale^2 (sqrt(1 + (r / scale)^2) - 1) for each residual r, or the plain one without a scale, by damped steps; what bounds hold stays
+    where it is. Also the derivatives, weighted by the loss's curvature, and half the loss."""
     low, high = np.asarray(low, float), np.asarray(high, float)
     p = np.clip(np.asarray(start, float), low, high)
-    cost = lambda r: scale**2 * float((np.sqrt(1 + (r / scale) ** 2) - 1).sum())
+    cost = lambda r: float((r**2 / (np.sqrt(1 + (r / scale) ** 2) + 1)).sum())
     value, slopes = model(p)
     now, damping = cost(a - value), 1e-3
     for _ in range(rounds):

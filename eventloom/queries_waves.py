@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .named import ORACLES, QUERIES, query
-from .operators import places, templates
+from .operators import envelopes, places, templates
 from .operators import waves as kernels
 from .sources.tables import waves
 
@@ -170,3 +170,23 @@ def unit_positions(spark, d):
 def event_positions(spark, d):
     w = waves(spark, d)
     return places.event_places(w.select(F.col("event").alias("spike_idx"), F.col("cluster").alias("label")), places.located(w, S, C, SITES, kind="ptp"))
+
+
+def louder(spark, d):
+    """Waves of many amplitudes."""
+    return waves(spark, d).withColumn("w", F.transform("w", lambda x: x * (F.col("event") * 7919 % 1000 / 250 + 1)))
+
+
+@query(f"""WITH {X}, v AS (SELECT vec_id AS event, label AS cluster, embedding::DOUBLE[] AS w, vec_id * 7919 % 1000 / 250 + 1 AS g FROM embeddings), p AS (SELECT a.cluster, sqrt(list_dot_product(a.w, a.w)) * a.g AS m, sqrt(list_dot_product(b.w, b.w)) * b.g AS n,
+greatest(-1, least(1, list_dot_product(a.w, b.w) / sqrt(list_dot_product(a.w, a.w) * list_dot_product(b.w, b.w)))) AS c FROM v a JOIN v b ON a.cluster = b.cluster AND a.event < b.event), r AS (SELECT greatest(m, n) / least(m, n) AS ratio, 1 - c AS distance FROM p),
+lim AS (SELECT greatest(min(ratio), 1 + 1e-6) AS lo, greatest(max(ratio), 1 + 1e-5) AS hi FROM r), e AS (SELECT 0 AS k, 1.0 AS edge UNION ALL SELECT i + 1, CASE i WHEN 0 THEN lo WHEN 7 THEN hi ELSE lo * (hi / lo) ** (i / 7.0) END FROM lim, unnest(range(8)) t(i)),
+b AS (SELECT *, coalesce(lead(edge) OVER (ORDER BY k), 'inf'::DOUBLE) AS up FROM e), q AS (SELECT k, any_value(edge) AS edge, CASE WHEN count(distance) >= 5 THEN quantile_cont(distance, 0.99) ELSE 0 END AS q FROM b LEFT JOIN r ON ratio >= edge AND ratio < up GROUP BY 1)
+SELECT k, round(edge, 6) AS edge, round(greatest(0, max(q) OVER (ORDER BY k)), 6) AS most FROM q""")
+def envelope_bands(spark, d):
+    found = envelopes.envelope(envelopes.changes(louder(spark, d), S, C, 1000))
+    return spark.createDataFrame([(k, round(float(e), 6), round(float(m), 6)) for k, (e, m) in enumerate(zip(found.edges, found.limits, strict=True))], "k bigint, edge double, most double")
+
+
+@query()
+def along_curve(spark, d):
+    return envelopes.along_curve(louder(spark, d), S, C)
