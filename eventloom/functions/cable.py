@@ -1,0 +1,318 @@
+"""Cells as trees of compartments: their shapes, their potentials over time, and the field they make outside.
+
+A batch of cells of one shape and of different membranes runs at once: potentials and currents are (cells, compartments). Units: um, ms, mV, nA, uS, nF; resistivity in ohm cm, densities in S / cm^2.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, replace
+
+import numpy as np
+
+from . import gates, transforms
+
+SOMA, AXON, BASAL, APICAL = 1, 2, 3, 4
+CONDUCTIVITY = 0.3
+
+
+@dataclass(frozen=True)
+class Section:
+    """An unbranched run of points (x, y, z, diameter), from a place (0 to 1) of its parent section on."""
+
+    points: np.ndarray
+    kind: int
+    parent: int = -1
+    at: float = 1.0
+
+    @property
+    def length(self) -> float:
+        return float(np.linalg.norm(np.diff(np.asarray(self.points, float)[:, :3], axis=0), axis=1).sum())
+
+
+@dataclass(frozen=True)
+class Cable:
+    """Compartments, each after its parent; the first, with parent -1, is the root."""
+
+    first: np.ndarray
+    last: np.ndarray
+    length: np.ndarray
+    diameter: np.ndarray
+    area: np.ndarray
+    parent: np.ndarray
+    kind: np.ndarray
+    distance: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.parent)
+
+    @property
+    def middle(self) -> np.ndarray:
+        return (self.first + self.last) / 2
+
+
+def space_constant(diameter, resistivity, capacity, hertz: float = 100.0):
+    """Length (um) over which an alternating potential falls e-fold."""
+    return 1e5 * np.sqrt(diameter / (4 * np.pi * hertz * resistivity * capacity))
+
+
+def pieces(section: Section, share: float, resistivity: float, capacity: float, hertz: float) -> int:
+    """Odd number of compartments that are at most ``share`` of the space constant; a soma is one."""
+    d = float(np.mean(np.asarray(section.points, float)[:, 3]))
+    if section.kind == SOMA or section.length <= 0 or d <= 0:
+        return 1
+    return int((section.length / (share * space_constant(d, resistivity, capacity, hertz)) + 0.9) / 2) * 2 + 1
+
+
+def divided(sections: list[Section], share: float = 0.1, resistivity: float = 150.0, capacity: float = 1.0, hertz: float = 100.0, most: int = 4000) -> Cable:
+    """Compartments of a cell, whose sections come after their parents, the soma first; ``share`` grows, 11 times by 1.35 at most, until there are ``most`` or fewer. Sections without length are left out, and all must hang together."""
+    for _ in range(12):  # the first as given
+        counts = [pieces(s, share, resistivity, capacity, hertz) for s in sections]
+        if sum(counts) <= most:
+            break
+        share *= 1.35
+    rows, start = [], {}
+    for k, (s, n) in enumerate(zip(sections, counts, strict=True)):
+        p = np.asarray(s.points, float)
+        along = np.append(0.0, np.cumsum(np.linalg.norm(np.diff(p[:, :3], axis=0), axis=1)))
+        if along[-1] <= 0:
+            continue
+        if s.parent in start:
+            begin, of = start[s.parent]
+            up = begin + min(max(int(min(max(s.at, 0.0), 1.0) * of), 0), of - 1)
+        elif not rows:
+            up = -1
+        else:
+            raise ValueError(f"section {k} hangs on no other")
+        start[k] = (len(rows), n)
+        edges = np.linspace(0, along[-1], n + 1)
+        at = lambda d: np.stack([np.interp(d, along, p[:, c]) for c in range(4)], -1)  # noqa: B023,E731
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            q = at(np.concatenate([[a], along[(along > a) & (along < b)], [b]]))
+            side = np.pi * ((q[:-1, 3] + q[1:, 3]) / 2 * np.linalg.norm(np.diff(q[:, :3], axis=0), axis=1)).sum()
+            rows.append((q[0, :3], q[-1, :3], b - a, (q[0, 3] + q[-1, 3]) / 2, side, up, s.kind))
+            up = len(rows) - 1
+    if not rows:
+        raise ValueError("no section has a length")
+    first, last, length, diameter, area, parent, kind = (np.array(x) for x in zip(*rows, strict=True))
+    distance = np.zeros(len(rows))
+    for i in range(1, len(rows)):
+        distance[i] = distance[parent[i]] + (length[parent[i]] + length[i]) / 2
+    return Cable(first, last, length, diameter, area, parent, kind, distance)
+
+
+def upright(cable: Cable, axis=None, centred: bool = True) -> Cable:
+    """The cell turned so that its axis, from the soma to the middle of the apical (else all) dendrites' membrane, is +y, and its soma at 0."""
+    soma = cable.kind == SOMA
+    origin = cable.middle[soma].mean(0) if soma.any() else cable.middle[0]
+    if axis is None:
+        tree = cable.kind == APICAL
+        tree = tree if tree.any() else cable.kind == BASAL
+        axis = cable.area[tree] @ (cable.middle[tree] - origin) if tree.any() else (0.0, 1.0, 0.0)
+    axis = np.asarray(axis, float)
+    size = np.linalg.norm(axis)
+    turn = np.eye(3)
+    if size > 1e-9:
+        # half turns about the axis, then about the line midway between it and +y
+        u, y = axis / size, np.array([0.0, 1.0, 0.0])
+        between = u + y
+        turn = np.diag([1.0, -1.0, -1.0]) if between @ between < 1e-18 else (2 * np.outer(between, between) / (between @ between) - np.eye(3)) @ (2 * np.outer(u, u) - np.eye(3))
+    off = origin if centred else 0.0
+    return replace(cable, first=(cable.first - off) @ turn.T, last=(cable.last - off) @ turn.T)
+
+
+# ---------------------------------------------------------------- membranes
+
+
+@dataclass(frozen=True)
+class Membrane:
+    """What a cell's membrane is made of; the values are those of a published hippocampal pyramidal cell."""
+
+    resistance: float = 28_000.0
+    resistivity: float = 150.0
+    axon_resistivity: float = 50.0
+    capacity: float = 1.0
+    rest: float = -65.0
+    sodium: float = 0.025
+    axon_sodium: float = 5.0
+    soma_sodium: float = 1.0
+    kept_sodium: float = 1.0
+    rectifier: float = 0.01
+    transient: float = 0.03
+    transient_scale: float = 1.0
+    transient_slope: float = 1.0
+    transient_end: float = 350.0
+    transient_near: float = 100.0
+    sodium_mv: float = 55.0
+    potassium_mv: float = -90.0
+    celsius: float = 35.0
+
+    def densities(self, cable: Cable) -> dict[str, np.ndarray]:
+        """S / cm^2 of each channel by compartment: sodium by kind; the transient channel grows with distance, and from ``transient_near`` on it is the far one."""
+        axon, soma = cable.kind == AXON, cable.kind == SOMA
+        a = self.transient * self.transient_scale * np.where(axon, 1.0, 1 + self.transient_slope * np.minimum(cable.distance, self.transient_end) / 100)
+        far = ~axon & (cable.distance > self.transient_near)
+        return {
+            "sodium": self.sodium * np.where(axon, self.axon_sodium, 1.0) * np.where(soma, self.soma_sodium, 1.0),
+            "rectifier": np.full(len(cable), self.rectifier),
+            "near": np.where(far, 0.0, a),
+            "far": np.where(far, a, 0.0),
+        }
+
+
+def coupling(cable: Cable, resistivity) -> np.ndarray:
+    """Conductance (uS) from each compartment to its parent, half of each in series; 0 for the root."""
+    half = np.asarray(resistivity, float) * cable.length * 1e-4 / 2 / (np.pi * (cable.diameter * 1e-4) ** 2 / 4)
+    up = cable.parent
+    return np.where(up >= 0, 1e6 / (half + half[..., np.maximum(up, 0)]), 0.0)
+
+
+def tree_order(parent) -> list[np.ndarray]:
+    """Compartments by their steps from the root, which come first."""
+    depth = np.zeros(len(parent), int)
+    for i in range(1, len(parent)):
+        depth[i] = depth[parent[i]] + 1
+    return [np.flatnonzero(depth == k) for k in range(depth.max() + 1)]
+
+
+def solved(diagonal, right, g, parent, order) -> np.ndarray:
+    """Potentials of a tree: diagonal v - g v(parent) - sum of g v(children) = right, for all cells at once. From the farthest level in, a level's nodes are put into their parents; then values go out again."""
+    d, b = diagonal.copy(), right.copy()
+    for level in reversed(order[1:]):
+        up, share = parent[level], g[:, level] / d[:, level]
+        np.subtract.at(d, (slice(None), up), g[:, level] * share)
+        np.add.at(b, (slice(None), up), share * b[:, level])
+    v = b / d
+    for level in order[1:]:
+        v[:, level] = (b[:, level] + g[:, level] * v[:, parent[level]]) / d[:, level]
+    return v
+
+
+class Cells:
+    """Cells of one shape with membranes of their own, at rest at first: the leak's potential makes the rest potential steady."""
+
+    def __init__(self, cable: Cable, membranes: list[Membrane]):
+        self.cable, self.membranes = cable, membranes
+        column = lambda name: np.array([[getattr(m, name)] for m in membranes], float)
+        cm2 = cable.area * 1e-8
+        self.capacity = column("capacity") * cm2 * 1e3
+        self.leak = cm2 * 1e6 / column("resistance")
+        self.g = coupling(cable, np.where(cable.kind == AXON, column("axon_resistivity"), column("resistivity")))
+        self.order = tree_order(cable.parent)
+        many = [m.densities(cable) for m in membranes]
+        t = column("celsius")
+        made = {"sodium": (gates.sodium(t, column("kept_sodium")), "sodium_mv"), "rectifier": (gates.rectifier(t), "potassium_mv"), "near": (gates.transient("near", t), "potassium_mv"), "far": (gates.transient("far", t), "potassium_mv")}
+        self.channels = [(c, np.stack([d[k] for d in many]) * cm2 * 1e6, column(mv)) for k, (c, mv) in made.items()]
+        self.v = np.repeat(column("rest"), len(cable), 1)
+        self.states = [[gate.steady(self.v) for gate in c.gates] for c, _, _ in self.channels]
+        inward = sum(g * c.open(s) * (self.v - mv) for (c, g, mv), s in zip(self.channels, self.states, strict=True))
+        self.leak_mv = self.v + inward / self.leak
+        self.links = self.g.copy()
+        np.add.at(self.links, (slice(None), cable.parent[1:]), self.g[:, 1:])
+
+    def step(self, dt: float, given=0.0, synapses=()) -> tuple[np.ndarray, np.ndarray]:
+        """Potentials after dt, implicitly, and the current through each compartment's membrane without the electrode's. ``synapses`` are (conductance, potential)."""
+        total, pull = self.leak.copy(), self.leak * self.leak_mv
+        for (channel, g, mv), states in zip(self.channels, self.states, strict=True):
+            for k, gate in enumerate(channel.gates):
+                steady = gate.steady(self.v)
+                states[k] = steady + (states[k] - steady) * np.exp(-dt / gate.ms(self.v))
+            now = g * channel.open(states)
+            total, pull = total + now, pull + now * mv
+        for g, mv in synapses:
+            total, pull = total + g, pull + g * mv
+        rate = self.capacity / dt
+        v = solved(rate + total + self.links, rate * self.v + pull + given, self.g, self.cable.parent, self.order)
+        current = rate * (v - self.v) + total * v - pull - given
+        self.v = v
+        return v, current
+
+
+@dataclass
+class Run:
+    """Potentials and membrane currents (cells, steps, compartments), dt apart."""
+
+    v: np.ndarray
+    current: np.ndarray
+    dt: float
+
+
+def run(cells: Cells, stop: float = 15.0, dt: float = 0.01, times=(2.0,), amplitude: float = 2.0, length: float = 1.0, plateau: float = 0.0, pad: float = 2.0, at: int = 0) -> Run:
+    """The cells over time, with pulses (nA) into one compartment from each of the times on, and a plateau from before the first to after the last."""
+    steps, n = round(stop / dt), len(cells.cable)
+    v, current = np.zeros((2, len(cells.membranes), steps, n), np.float32)
+    for k in range(steps):
+        t = k * dt
+        given = np.zeros(n)
+        if plateau and min(times) - pad <= t < max(times) + pad:
+            given[at] = plateau
+        if any(x <= t < x + length for x in times):
+            given[at] = amplitude
+        v[:, k], current[:, k] = cells.step(dt, given)
+    return Run(v, current, dt)
+
+
+def spike_at(v, threshold: float = -20.0, at: int = 0) -> int | None:
+    """Step of the highest potential of a cell's compartment (steps, compartments); None if it stays at the threshold or below."""
+    k = int(v[:, at].argmax())
+    return k if v[k, at] > threshold else None
+
+
+def back_propagation(v, dt: float, cable: Cable) -> dict[str, np.ndarray]:
+    """For each compartment its distance, its rise over the first ms, and how long after the soma it is highest, from 2 ms before the soma's peak to 6 after."""
+    peak = int(v[:, 0].argmax())
+    begin = max(0, peak - int(2 / dt))
+    part = v[begin : peak + int(6 / dt)]
+    return {"distance": cable.distance, "rise": part.max(0) - v[: max(1, int(1 / dt))].mean(0), "after": (part.argmax(0) + begin - peak) * dt}
+
+
+# ---------------------------------------------------------------- outside
+
+
+def line_source(cable: Cable, sites, conductivity: float = CONDUCTIVITY, least: float = 1.0) -> np.ndarray:
+    """uV at each site (x, y, z) for 1 nA through each compartment, spread evenly over its axis; no site is nearer than a compartment's radius or ``least``. Compartments without length are points."""
+    sites = np.asarray(sites, float)
+    axis = cable.last - cable.first
+    size = np.linalg.norm(axis, axis=1)
+    radius = np.maximum(cable.diameter / 2, least)[:, None]
+    scale = 1e3 / (4 * np.pi * conductivity)
+    away = sites[None] - cable.first[:, None]
+    along = np.einsum("nsk,nk->ns", away, axis / np.maximum(size, 1e-12)[:, None])
+    rho = np.maximum(np.sqrt(np.maximum((away**2).sum(2) - along**2, 0)), radius)
+    line = (np.arcsinh(along / rho) - np.arcsinh((along - size[:, None]) / rho)) / np.maximum(size, 1e-9)[:, None]
+    point = 1 / np.maximum(np.linalg.norm(sites[None] - cable.middle[:, None], axis=2), radius)
+    return scale * np.where(size[:, None] > 1e-9, line, point)
+
+
+def band_passed(x, dt: float, low: float = 300.0, high: float = 6000.0, order: int = 3) -> np.ndarray:
+    """x (steps, ...) through a Butterworth band forth and back, so without delay: its squared gain on the spectrum of the steps mirrored at both ends."""
+    x = np.asarray(x, float)
+    n, rate = len(x), 1e3 / dt
+    pad = min(n - 1, max(3 * (2 * order + 1), int(rate / max(low, 1.0))))
+    long = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]]) if pad else x
+    warp = lambda hz: np.tan(np.pi * np.asarray(hz) / rate)
+    f, a, b = warp(np.minimum(np.fft.rfftfreq(len(long), 1 / rate), 0.4999 * rate)), warp(low), warp(min(high, 0.45 * rate))
+    with np.errstate(divide="ignore", over="ignore"):
+        gain = 1 / (1 + ((f**2 - a * b) / (f * (b - a))) ** (2 * order)) if low > 0 else 1 / (1 + (f / b) ** (2 * order))
+    return np.fft.irfft(np.fft.rfft(long, axis=0) * gain.reshape(-1, *[1] * (x.ndim - 1)), len(long), axis=0)[pad : pad + n]
+
+
+def footprints(run: Run, cell: int, field, times, rate: float = 32_552.0, samples: int = 42, peak: int = 21, within: float = 3.0, threshold: float = 0.0, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Waves (events, samples, sites) of the pulses that made the soma pass the threshold, and their times. The trough is looked for within 3 ms, on the channel that is loudest at the first pulse; waves that
+    are quieter than ``least`` or don't fit are left out."""
+    x = band_passed(run.current[cell] @ field, run.dt)
+    x, grid = transforms.resampled(x, run.dt, rate)
+    part = lambda t: (int(np.searchsorted(grid, t)), int(np.searchsorted(grid, t + within)))
+    a, b = part(times[0])
+    loud = int(np.ptp(x[a:b] if b > a else x, axis=0).argmax())
+    waves, kept = [], []
+    for t in times:
+        a, b = part(t)
+        soma = run.v[cell, int(t / run.dt) : int((t + within) / run.dt), 0]
+        if b <= a or not soma.size or soma.max() < threshold:
+            continue
+        begin = a + int(x[a:b, loud].argmin()) - peak
+        w = x[max(begin, 0) : begin + samples]
+        if begin >= 0 and len(w) == samples and np.ptp(w, axis=0).max() >= least:
+            waves.append(w)
+            kept.append(t)
+    return np.array(waves).reshape(len(waves), samples, x.shape[1]), np.array(kept)

@@ -1,0 +1,101 @@
+"""Channels of a membrane: the share of a conductance that is open, from gates that each move to a steady value with a time constant (ms, mV)."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass
+
+import numpy as np
+
+# Fixed values of the published hippocampal channels, in the units of their tables.
+FARADAY, GAS, ZERO_CELSIUS = 9.648e4, 8.315, 273.16
+SODIUM_M = {"half": -30.0, "slope": 7.2, "up": 0.4, "down": 0.124, "least_ms": 0.02}
+SODIUM_H = {"half": -45.0, "slope": 1.5, "up": 0.03, "down": 0.01, "least_ms": 0.5, "steady_half": -50.0, "steady_slope": 4.0}
+SODIUM_S = {"half": -58.0, "slope": 2.0, "rate_half": -60.0, "rate": 0.0003, "valence": 12.0, "share": 0.2, "least_ms": 10.0}
+SODIUM_Q10, SODIUM_CELSIUS = 2.0, 24.0
+RECTIFIER_N = {"half": 13.0, "rate": 0.02, "valence": -3.0, "share": 0.7, "least_ms": 2.0}
+TRANSIENT_N = {
+    "near": {"half": 11.0, "rate": 0.05, "valence": -1.5, "share": 0.55, "least_ms": 0.1},
+    "far": {"half": -1.0, "rate": 0.10, "valence": -1.8, "share": 0.39, "least_ms": 0.2},
+}
+TRANSIENT_L = {"half": -56.0, "valence": 3.0, "least_ms": 2.0, "ms_per_mv": 0.26, "from": -50.0}
+TRANSIENT_VALENCE = {"more": -1.0, "half": -40.0, "slope": 5.0}
+TRANSIENT_Q10 = 5.0
+
+
+@dataclass(frozen=True)
+class Gate:
+    """steady(v) and ms(v), and the power with which the gate counts."""
+
+    steady: Callable
+    ms: Callable
+    power: int = 1
+
+
+@dataclass(frozen=True)
+class Channel:
+    gates: tuple[Gate, ...]
+
+    def open(self, states) -> np.ndarray:
+        return np.prod([s**g.power for g, s in zip(self.gates, states, strict=True)], axis=0)
+
+
+def ramp(x, rate: float, slope: float) -> np.ndarray:
+    """rate x / (1 - exp(-x / slope)), and its limit at 0."""
+    z = np.asarray(x, float) / slope
+    near = np.abs(z) < 1e-7
+    return rate * slope * np.where(near, 1.0, z / -np.expm1(-np.where(near, 1.0, np.clip(z, -500, 500))))
+
+
+def sigmoid(x) -> np.ndarray:
+    return 1 / (1 + np.exp(np.clip(x, -500, 500)))
+
+
+def per_mv(celsius: float) -> float:
+    """Elementary charge over thermal energy, per mV."""
+    return 1e-3 * FARADAY / (GAS * (ZERO_CELSIUS + celsius))
+
+
+def two_rates(half: float, slope: float, up: float, down: float, least_ms: float, speed: float) -> tuple[Callable, Callable]:
+    rates = lambda v: (ramp(v - half, up, slope), ramp(half - v, down, slope))
+    return lambda v: rates(v)[0] / sum(rates(v)), lambda v: np.maximum(1 / (sum(rates(v)) * speed), least_ms)
+
+
+def sodium(celsius: float = 35.0, kept: float = 1.0) -> Channel:
+    """Fast sodium, m^3 h s; ``kept`` is the share of channels without slow inactivation."""
+    speed = SODIUM_Q10 ** ((celsius - SODIUM_CELSIUS) / 10)
+    m = two_rates(**SODIUM_M, speed=speed)
+    h, s = dict(SODIUM_H), SODIUM_S
+    half, slope = h.pop("steady_half"), h.pop("steady_slope")
+    pull = lambda v: s["valence"] * per_mv(celsius) * (v - s["rate_half"])
+    slow = Gate(
+        lambda v: kept + (1 - kept) * sigmoid((v - s["half"]) / s["slope"]),
+        lambda v: np.maximum(np.exp(np.clip(s["share"] * pull(v), -500, 500)) * sigmoid(pull(v)) / s["rate"], s["least_ms"]),
+    )
+    return Channel((Gate(*m, 3), Gate(lambda v: sigmoid((v - half) / slope), two_rates(**h, speed=speed)[1]), slow))
+
+
+def by_valence(half: float, rate: float, valence: Callable, share: float, least_ms: float, speed: float = 1.0) -> Gate:
+    """A gate whose steady value and speed follow from the charge it moves."""
+    return Gate(
+        lambda v: sigmoid(valence(v) * (v - half)),
+        lambda v: np.maximum(np.exp(np.clip(share * valence(v) * (v - half), -500, 500)) * sigmoid(valence(v) * (v - half)) / (speed * rate), least_ms),
+    )
+
+
+def rectifier(celsius: float = 35.0) -> Channel:
+    """Delayed rectifier, n."""
+    how = dict(RECTIFIER_N)
+    charge = how.pop("valence") * per_mv(celsius)
+    return Channel((by_valence(valence=lambda v: charge, **how),))
+
+
+def transient(place: str = "near", celsius: float = 35.0) -> Channel:
+    """A-type potassium, n l, as it is near the soma or far out."""
+    if place not in TRANSIENT_N:
+        raise ValueError(f"a transient channel is near or far, not {place!r}")
+    how, more, late = dict(TRANSIENT_N[place]), TRANSIENT_VALENCE, TRANSIENT_L
+    valence, unit = how.pop("valence"), per_mv(celsius)
+    n = by_valence(valence=lambda v: unit * (valence + more["more"] * sigmoid((v - more["half"]) / more["slope"])), speed=TRANSIENT_Q10 ** ((celsius - SODIUM_CELSIUS) / 10), **how)
+    inactive = Gate(lambda v: sigmoid(late["valence"] * unit * (v - late["half"])), lambda v: np.maximum(late["ms_per_mv"] * (v - late["from"]), late["least_ms"]))
+    return Channel((n, inactive))

@@ -173,9 +173,17 @@ def band_of_detection(x, rate: float = RATE, half: int = 16, cut: float = 6000.0
 
 
 def spline(x, places) -> np.ndarray:
-    """The not-a-knot cubic spline through samples 0, 1, 2 ... of axis 0, at ``places``."""
+    """The not-a-knot cubic spline through samples 0, 1, 2 ... of axis 0, at ``places``. Long x goes in overlapping parts: a sample's weight falls by 3.7 with each step."""
     x = np.asarray(x, float)
     n = len(x)
+    if n > 1024:
+        p = np.asarray(places, float)
+        part = np.clip(p // 512, 0, (n - 2) // 512).astype(int)
+        out = np.zeros((len(p), *x.shape[1:]))
+        for k in np.unique(part):
+            lo = max(0, 512 * k - 40)
+            out[part == k] = spline(x[lo : 512 * k + 552], p[part == k] - lo)
+        return out
     shape = x.shape
     y = x.reshape(n, -1)
     # second derivatives: the third is the same in the first two intervals, and in the last two

@@ -1,0 +1,46 @@
+"""Simulated cells as a source of rows: a table of membranes gives the waves that its cells would show at a probe."""
+
+from __future__ import annotations
+
+from dataclasses import fields
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import cable as cables
+
+TOGETHER = 16
+
+
+def simulated(membranes: DataFrame, cable: cables.Cable, sites, times=(5.0,), stop: float | None = None, dt: float = 0.02, amplitude: float = 10.0, length: float = 0.8, plateau: float = 0.0, rate: float = 32_552.0, samples: int = 42, peak: int = 21, least: float = 0.0) -> DataFrame:
+    """cell, k, t, w: the wave of the k-th pulse, for each row of membranes: cell, and columns named as fields of ``Membrane``, whose defaults stand for missing columns and nulls; other columns are ignored.
+
+    A row needs nothing of other rows, so a sweep is one pass without a shuffle; TOGETHER cells run at once in a task. Pulses that make no spike give no row. The cell's shape travels with the tasks."""
+    names = [f.name for f in fields(cables.Membrane) if f.name in membranes.columns]
+    field = cables.line_source(cable, sites)
+    end = max(times) + 6.0 if stop is None else stop
+
+    def run(batches):
+        for batch in batches:
+            for begin in range(0, batch.num_rows, TOGETHER):
+                rows = batch.slice(begin, TOGETHER).to_pylist()
+                cells = cables.Cells(cable, [cables.Membrane(**{n: r[n] for n in names if r[n] is not None}) for r in rows])
+                made = cables.run(cells, end, dt, times, amplitude, length, plateau)
+                for i, r in enumerate(rows):
+                    waves, kept = cables.footprints(made, i, field, times, rate, samples, peak, least=least)
+                    if len(waves):
+                        order = [list(times).index(t) for t in kept]
+                        yield pa.RecordBatch.from_arrays([pa.array([r["cell"]] * len(kept), pa.int64()), pa.array(order, pa.int32()), pa.array(kept, pa.float64()), pa.array([w.ravel().tolist() for w in waves], pa.list_(pa.float64()))], ["cell", "k", "t", "w"])
+
+    return membranes.select(F.col("cell").cast("bigint").alias("cell"), *(F.col(n).cast("double").alias(n) for n in names)).mapInArrow(run, "cell bigint, k int, t double, w array<double>")
+
+
+def recovery(waves: DataFrame, gap: float, samples: int, sites: int) -> DataFrame:
+    """cell, gap, ratio: the second wave's peak to peak by the first's, on each one's loudest channel, of cells with both."""
+    at = lambda c: F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda s: F.element_at("w", s * sites + c + 1))
+    loud = F.greatest(*(F.array_max(at(c)) - F.array_min(at(c)) for c in range(sites))) if sites > 1 else F.array_max("w") - F.array_min("w")
+    p = waves.where("k < 2").select("cell", "k", loud.alias("p"))
+    both = p.groupBy("cell").agg(F.max(F.when(F.col("k") == 0, F.col("p"))).alias("a"), F.max(F.when(F.col("k") == 1, F.col("p"))).alias("b"))
+    return both.where("a is not null and b is not null").select("cell", F.lit(float(gap)).alias("gap"), (F.col("b") / F.greatest("a", F.lit(1e-30))).alias("ratio"))

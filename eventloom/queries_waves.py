@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from .named import ORACLES, QUERIES, query
-from .operators import envelopes, places, templates
+from .functions import cable
+from .operators import bundles, cells, envelopes, places, templates
 from .operators import waves as kernels
-from .sources.tables import waves
+from .sources.tables import table, waves
 
 S, C = 16, 4
 X = "x AS (SELECT vec_id AS event, label AS cluster, unnest(range(64)) // 4 AS s, unnest(range(64)) % 4 AS c, unnest(embedding::DOUBLE[]) AS x FROM embeddings)"
@@ -190,3 +192,23 @@ def envelope_bands(spark, d):
 @query()
 def along_curve(spark, d):
     return envelopes.along_curve(louder(spark, d), S, C)
+
+
+def small_cell():
+    """A soma, an apical trunk, a basal dendrite and an axon."""
+    parts = [([[0, -8, 0, 16], [0, 8, 0, 16]], cable.SOMA, -1, 1.0), ([[0, 8, 0, 3], [0, 200, 0, 2]], cable.APICAL, 0, 1.0), ([[0, -8, 0, 2], [0, -120, 0, 1]], cable.BASAL, 0, 0.0), ([[0, -8, 0, 1.5], [30, -60, 0, 1]], cable.AXON, 0, 0.0)]
+    return cable.divided([cable.Section(np.array(points, float), kind, parent, at) for points, kind, parent, at in parts], 0.3)
+
+
+@query()
+def simulated_cells(spark, d):
+    """A cell for each nation, of growing sodium density, at a probe beside it; the second of two pulses by the first."""
+    membranes = table(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("cell"), (F.col("n_nationkey") * 0.001 + 0.02).alias("sodium"))
+    sites = [(20.0, 20.0 * k - 40, 0.0) for k in range(4)]
+    return cells.recovery(cells.simulated(membranes, small_cell(), sites, (5.0, 17.0), dt=0.025, amplitude=1.5), 12.0, 42, 4)
+
+
+@query()
+def bundle_drift(spark, d):
+    w = waves(spark, d)
+    return bundles.bundle_table(w.select(F.col("cluster").alias("gid"), F.col("event").alias("chunk"), F.col("event").cast("double").alias("t"), F.lit(1).alias("n"), F.col("w").alias("curve")), C).drop("mean_bend", "mean_r_cv")

@@ -328,6 +328,19 @@ def probe_sites(spark: SparkSession, lines: list[str], channels: list[int] | Non
     return found if channels is None else found.where(F.col("channel").isin(channels))
 
 
+def probe_geometry(paths: list[str], channels: list[int]) -> np.ndarray:
+    """x and y (um) of a group's channels, from probe descriptions whose sites are numbered through all of them."""
+    sites = []
+    for path in paths:
+        found = ((load_yaml(path).get("probeFile") or {}).get("sites") or {}).get("geometry")
+        if found is None:
+            raise ValueError(f"{path} has no probeFile.sites.geometry")
+        sites += found
+    if channels and max(channels) >= len(sites):
+        raise ValueError(f"channel {max(channels)} is beyond the {len(sites)} sites; give all probes, in the order of their channels")
+    return np.array(sites, float).reshape(-1, 2)[list(channels)]
+
+
 # ---------------------------------------------------------------- other tables
 
 

@@ -1,0 +1,158 @@
+"""Cells against dense solutions, closed forms and conserved quantities."""
+
+from dataclasses import replace
+
+import numpy as np
+import pytest
+
+from eventloom.functions import cable as cables
+from eventloom.functions import gates, transforms
+from eventloom.operators import cells as tables
+
+R = np.random.default_rng(5)
+SITES = np.array([[20.0, 20.0 * k - 60, 0.0] for k in range(6)])
+
+
+def ball_and_sticks():
+    soma = cables.Section(np.array([[0, -8, 0, 16], [0, 8, 0, 16]]), cables.SOMA)
+    apical = cables.Section(np.array([[0, 8, 0, 3], [0, 150, 0, 2], [0, 300, 0, 1.5]]), cables.APICAL, 0, 1.0)
+    branch = cables.Section(np.array([[0, 150, 0, 1.2], [60, 200, 0, 1]]), cables.APICAL, 1, 0.5)
+    basal = cables.Section(np.array([[0, -8, 0, 2], [0, -120, 0, 1]]), cables.BASAL, 0, 0.0)
+    axon = cables.Section(np.array([[0, -8, 0, 1.5], [30, -60, 0, 1]]), cables.AXON, 0, 0.0)
+    return cables.divided([soma, apical, branch, basal, axon], 0.2)
+
+
+CELL = ball_and_sticks()
+
+
+def test_compartments():
+    assert (CELL.parent[1:] < np.arange(1, len(CELL))).all() and CELL.parent[0] == -1 and CELL.kind[0] == cables.SOMA
+    assert np.isclose(CELL.length[CELL.kind == cables.APICAL].sum(), 292 + np.hypot(60, 50))
+    assert np.isclose(CELL.area[0], np.pi * 16 * 16) and CELL.distance[0] == 0 and CELL.distance.max() > 250
+    few = cables.divided([cables.Section(np.array([[0, 0, 0, 1.0], [0, 5000, 0, 1]]), cables.APICAL)], 0.01, most=100)
+    assert len(few) <= 100
+    with pytest.raises(ValueError):
+        cables.divided([cables.Section(np.array([[0, 0, 0, 1.0], [0, 9, 0, 1]]), 3), cables.Section(np.array([[0, 0, 0, 1.0], [0, 9, 0, 1]]), 3, 7)])
+    with pytest.raises(ValueError):
+        cables.divided([])
+
+
+@pytest.mark.parametrize("axis", [(0, 1, 0), (0, -1, 0), (1, 2, 3), (0, 0, 1)])
+def test_upright(axis):
+    turned = cables.upright(CELL, axis)
+    u = np.asarray(axis) / np.linalg.norm(axis)
+    assert np.allclose(((turned.middle - turned.middle[0])[:, 1]), (CELL.middle - CELL.middle[0]) @ u)
+    d = lambda c: np.linalg.norm(c.middle[:, None] - c.middle[None], axis=2)
+    assert np.allclose(d(turned), d(CELL))
+    # no mirror: the volume of three steps keeps its sign
+    solid = replace(CELL, first=R.normal(size=CELL.first.shape), last=R.normal(size=CELL.last.shape))
+    volume = lambda c: np.linalg.det(c.middle[1:4] - c.middle[0])
+    assert np.isclose(volume(cables.upright(solid, axis)), volume(solid))
+    assert np.allclose(cables.upright(CELL).middle[0], 0)
+
+
+def test_tree_is_solved_as_a_matrix():
+    g = cables.coupling(CELL, np.full((2, len(CELL)), 150.0))
+    own, right = R.uniform(0.1, 1, (2, len(CELL))), R.normal(size=(2, len(CELL)))
+    links = g.copy()
+    np.add.at(links, (slice(None), CELL.parent[1:]), g[:, 1:])
+    got = cables.solved(own + links, right, g, CELL.parent, cables.tree_order(CELL.parent))
+    for c in range(2):
+        m = np.diag(own[c] + links[c])
+        for i in range(1, len(CELL)):
+            m[i, CELL.parent[i]] = m[CELL.parent[i], i] = -g[c, i]
+        assert np.allclose(got[c], np.linalg.solve(m, right[c]))
+
+
+def test_passive_cable():
+    """The input resistance of a sealed cylinder."""
+    length, d, r, ri = 800.0, 2.0, 10_000.0, 100.0
+    stick = cables.divided([cables.Section(np.array([[0, 0, 0, d], [0, length, 0, d]]), cables.APICAL)], 0.01)
+    cells = cables.Cells(stick, [cables.Membrane(resistance=r, resistivity=ri, sodium=0, rectifier=0, transient=0)])
+    for _ in range(400):
+        v, _ = cells.step(1.0, np.eye(len(stick))[0] * 0.001)
+    constant = np.sqrt(r * d * 1e-4 / (4 * ri)) * 1e4
+    infinite = 2 / np.pi * np.sqrt(r * ri) * (d * 1e-4) ** -1.5 * 1e-6
+    assert np.isclose((v[0, 0] + 65) / 0.001, infinite / np.tanh(length / constant), rtol=0.02)
+
+
+def test_rest_is_steady_and_currents_add_up_to_nothing():
+    cells = cables.Cells(CELL, [cables.Membrane(), cables.Membrane(rest=-70.0, celsius=30.0, kept_sodium=0.5)])
+    quiet = cables.run(cells, 5, 0.02, (), 0)
+    assert np.allclose(quiet.v[0], -65, atol=1e-3) and np.allclose(quiet.v[1], -70, atol=1e-3)
+    loud = cables.run(cells, 8, 0.02, (1.0,), 10.0, 0.8)
+    assert np.abs(loud.current.sum(2)).max() < 1e-4 * np.abs(loud.current).max()
+
+
+def test_a_spike_and_its_way_back():
+    cells = cables.Cells(CELL, [cables.Membrane(), cables.Membrane(sodium=0.0)])
+    made = cables.run(cells, 12, 0.02, (2.0,), 1.5, 0.8)
+    at = cables.spike_at(made.v[0])
+    assert at is not None and 2.0 < at * 0.02 < 5 and made.v[0, at, 0] > 0 and made.v[0, -1, 0] < -50 and cables.spike_at(made.v[1], 0.0) is None
+    back = cables.back_propagation(made.v[0], 0.02, CELL)
+    far = back["distance"].argmax()
+    assert back["rise"][0] > 60 and back["after"][0] == 0 and back["after"][far] > 0
+    # alone or in a batch, a cell is the same
+    alone = cables.run(cables.Cells(CELL, [cables.Membrane()]), 12, 0.02, (2.0,), 1.5, 0.8)
+    assert np.allclose(alone.v[0], made.v[0], atol=1e-3)
+
+
+def test_gates():
+    v = np.array([-90.0, -65.0, -45.0, -30.0, 0.0, 13.0, 40.0])
+    zf = 1e-3 * 9.648e4 / (8.315 * (273.16 + 35))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        up, down = 0.4 * (v + 30) / (1 - np.exp(-(v + 30) / 7.2)), 0.124 * (-30 - v) / (1 - np.exp((v + 30) / 7.2))
+    up[3], down[3] = 0.4 * 7.2, 0.124 * 7.2
+    m, h, s = gates.sodium().gates
+    assert np.allclose(m.steady(v), up / (up + down)) and np.allclose(m.ms(v), np.maximum(1 / (up + down) / 2**1.1, 0.02))
+    assert np.allclose(h.steady(v), 1 / (1 + np.exp((v + 50) / 4))) and (h.ms(v) >= 0.5).all() and np.allclose(s.steady(v), 1) and (s.ms(v) >= 10).all()
+    assert np.allclose(gates.sodium(kept=0.2).gates[2].steady(np.array([100.0])), 0.2)
+    n = gates.rectifier().gates[0]
+    a, b = np.exp(-3 * zf * (v - 13)), np.exp(-2.1 * zf * (v - 13))
+    assert np.allclose(n.steady(v), 1 / (1 + a)) and np.allclose(n.ms(v), np.maximum(b / (0.02 * (1 + a)), 2))
+    for place, half, rate, z0, share, least in (("near", 11, 0.05, -1.5, 0.55, 0.1), ("far", -1, 0.1, -1.8, 0.39, 0.2)):
+        n, late = gates.transient(place).gates
+        z = z0 - 1 / (1 + np.exp((v + 40) / 5))
+        a, b = np.exp(z * zf * (v - half)), np.exp(z * share * zf * (v - half))
+        assert np.allclose(n.steady(v), 1 / (1 + a)) and np.allclose(n.ms(v), np.maximum(b / (5**1.1 * rate * (1 + a)), least))
+        assert np.allclose(late.steady(v), 1 / (1 + np.exp(3 * zf * (v + 56)))) and np.allclose(late.ms(v), np.maximum(0.26 * (v + 50), 2))
+    with pytest.raises(ValueError):
+        gates.transient("middle")
+
+
+def test_line_source_is_many_points():
+    field = cables.line_source(CELL, SITES)
+    for i in range(len(CELL)):
+        u = (np.arange(4000) + 0.5) / 4000
+        points = CELL.first[i] + u[:, None] * (CELL.last[i] - CELL.first[i])
+        want = (1 / np.linalg.norm(SITES[None] - points[:, None], axis=2)).mean(0) * 1e3 / (4 * np.pi * 0.3)
+        assert np.allclose(field[i], want, rtol=2e-2)
+
+
+def test_band_and_long_splines():
+    t = np.arange(0, 60, 0.02)
+    wave = lambda hz: np.sin(2 * np.pi * hz * t / 1e3)[:, None]
+    middle = slice(1000, 2000)
+    size = lambda hz: np.abs(cables.band_passed(wave(hz), 0.02)[middle]).max()
+    assert abs(size(1500) - 1) < 0.02 and size(30) < 0.01 and size(15_000) < 0.02 and abs(size(300) - 0.5) < 0.05
+    x, places = R.normal(size=(1500, 2)), R.uniform(0, 1499, 300)
+    parts = transforms.spline(x, places)
+    whole = np.stack([transforms.spline(np.concatenate([x[max(0, int(p) - 60) : int(p) + 60]]), [p - max(0, int(p) - 60)])[0] for p in places])
+    assert np.allclose(parts, whole, atol=1e-9)
+
+
+def test_sweep(spark):
+    rows = [(1, 0.025, None, "a"), (2, 0.0, 150.0, "b"), (3, 0.03, 120.0, "c")]
+    params = spark.createDataFrame(rows, "cell int, sodium double, resistivity double, note string")
+    found = tables.simulated(params, CELL, SITES, (5.0, 20.0), dt=0.025, amplitude=1.5).persist()
+    got = {(r.cell, r.k): np.array(r.w).reshape(42, 6) for r in found.collect()}
+    assert {c for c, _ in got} == {1, 3}
+    made = cables.run(cables.Cells(CELL, [cables.Membrane()]), 26, 0.025, (5.0, 20.0), 1.5, 0.8)
+    waves, kept = cables.footprints(made, 0, cables.line_source(CELL, SITES), (5.0, 20.0))
+    assert len(kept) and np.allclose(got[1, 0], waves[0], rtol=1e-3, atol=1e-3)
+    loud = np.ptp(waves[0], axis=0)
+    assert waves[0][21, loud.argmax()] == waves[0][:, loud.argmax()].min() and loud.max() > 5 * 1e-3
+    ratio = {r.cell: r.ratio for r in tables.recovery(found, 15.0, 42, 6).collect()}
+    assert all(np.isclose(ratio[c], np.ptp(got[c, 1], axis=0).max() / np.ptp(got[c, 0], axis=0).max()) for c in ratio)
+    assert tables.simulated(params.where("false"), CELL, SITES).count() == 0
+    found.unpersist()

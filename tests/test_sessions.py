@@ -321,3 +321,15 @@ def test_wave_operators_are_the_kernels(spark):
     assert moved[3] == pytest.approx(transforms.aligned(x[1::2])[0][1].ravel().tolist())
     offsets = waves.template_offsets(w, 8, 3, 2, 5).collect()
     assert {q.event for q in offsets} == set(range(40)) and waves.dispersions(w, 8, 3).count() == 2 and waves.polynomials(w, 8, 3).first().f is not None
+
+
+def test_probe_geometry(tmp_path):
+    pytest.importorskip("yaml")
+    for k in range(2):
+        (tmp_path / f"p{k}.probe").write_text("probeFile:\n  sites:\n    geometry:\n" + "".join(f"      - [{k}, {20 * i}]\n" for i in range(3)))
+    (tmp_path / "none.probe").write_text("probeFile: {}\n")
+    both = [str(tmp_path / f"p{k}.probe") for k in range(2)]
+    assert session.probe_geometry(both, [5, 0]).tolist() == [[1, 40], [0, 0]]
+    for paths, channels in ((both[:1], [3]), ([str(tmp_path / "none.probe")], [0])):
+        with pytest.raises(ValueError):
+            session.probe_geometry(paths, channels)
