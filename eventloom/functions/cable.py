@@ -145,20 +145,67 @@ class Membrane:
     sodium_mv: float = 55.0
     potassium_mv: float = -90.0
     celsius: float = 35.0
+    channels: str = ""
+    dendrite_sodium: float = 1.0
+    transient_out: float | None = None
+    kv3: float = 0.0
+    hcn: float = 0.0
+    hcn_mv: float = -30.0
+    olm_hcn: float = 0.0
+    olm_hcn_mv: float = -32.9
 
     def densities(self, cable: Cable) -> dict[str, np.ndarray]:
-        """S / cm^2 of each channel by compartment: sodium by kind; the transient channel grows with distance, and from ``transient_near`` on it is the far one."""
+        """S / cm^2 of each channel by compartment: sodium by kind; the transient channel grows with distance, and from ``transient_near`` on it is the far one, or with ``transient_out`` the far one has that density
+        everywhere but in the soma, where it has ``transient``."""
         axon, soma = cable.kind == AXON, cable.kind == SOMA
         a = self.transient * self.transient_scale * np.where(axon, 1.0, 1 + self.transient_slope * np.minimum(cable.distance, self.transient_end) / 100)
         far = ~axon & (cable.distance > self.transient_near)
+        tree = (cable.kind == BASAL) | (cable.kind == APICAL)
         return {
-            "sodium": self.sodium * np.where(axon, self.axon_sodium, 1.0) * np.where(soma, self.soma_sodium, 1.0),
+            "kv3": np.full(len(cable), self.kv3),
+            "hcn": np.full(len(cable), self.hcn),
+            "olm_hcn": np.full(len(cable), self.olm_hcn),
+            "sodium": self.sodium * np.where(axon, self.axon_sodium, 1.0) * np.where(soma, self.soma_sodium, 1.0) * np.where(tree, self.dendrite_sodium, 1.0),
             "rectifier": np.full(len(cable), self.rectifier),
             "near": np.where(far, 0.0, a),
-            "far": np.where(far, a, 0.0),
+            "far": np.where(far, a, 0.0) if self.transient_out is None else np.where(soma, self.transient, self.transient_out),
         }
 
 
+# Fixed values of the published models of hippocampal cell types. Of some the reference models have further channels, of calcium above all, that aren't here.
+BASKET = {"channels": "nav", "resistance": 5555.0, "capacity": 1.4, "resistivity": 100.0, "rest": -65.0, "sodium": 0.15, "rectifier": 0.013, "transient": 0.00015, "hcn": 0.00015, "kv3": 0.05}
+GLIAFORM = {"channels": "navngf", "resistance": 5555.0, "capacity": 1.4, "resistivity": 100.0, "rest": -65.0, "sodium": 0.15, "rectifier": 0.013, "transient": 5.2203905e-06}
+CELL_TYPES = {
+    "pyramidal": {"resistance": 28_000.0, "capacity": 1.0, "resistivity": 150.0, "axon_resistivity": 50.0, "rest": -65.0, "sodium": 0.032, "axon_sodium": 2.0, "rectifier": 0.003, "transient": 0.008},
+    "pvbasket": BASKET,
+    "axoaxonic": BASKET,
+    "bistratified": {"channels": "navbis", "resistance": 11_110.0, "capacity": 1.4, "resistivity": 100.0, "rest": -67.0, "sodium": 0.07, "rectifier": 0.016, "transient": 5e-05, "hcn": 0.0002, "kv3": 0.01},
+    "cck": {"channels": "navcck", "resistance": 27_000.0, "capacity": 1.0, "resistivity": 150.0, "rest": -61.0, "sodium": 0.009, "rectifier": 0.003, "transient": 0.001},
+    "ngf": GLIAFORM,
+    "ivy": GLIAFORM,
+    "sca": {"channels": "navcck", "resistance": 45_000.0, "capacity": 1.0, "resistivity": 150.0, "rest": -57.0, "sodium": 0.004, "rectifier": 7.2e-06, "transient": 0.0001},
+    "olm": {"channels": "olm", "resistance": 100_000.0, "capacity": 1.0, "resistivity": 150.0, "rest": -67.0, "sodium": 0.0107, "axon_sodium": 1.6, "dendrite_sodium": 2.0, "rectifier": 0.07337, "transient": 0.007425, "transient_out": 0.0042, "olm_hcn": 0.0005},
+}
+
+
+def cell_type(name: str, **other) -> Membrane:
+    """The membrane of a cell type, at 34 degrees; its axon is like the rest where the model says no more."""
+    if name not in CELL_TYPES:
+        raise ValueError(f"no cell type {name!r}; there are {sorted(CELL_TYPES)}")
+    own = CELL_TYPES[name]
+    return Membrane(**({"celsius": 34.0, "axon_resistivity": own["resistivity"]} | own | other))
+
+
+def channels_of(kind: str, celsius, kept) -> dict[str, gates.Channel]:
+    """Channels by the names of their densities; an empty kind has the pyramidal cell's."""
+    if not kind:
+        main = {"sodium": gates.sodium(celsius, kept), "rectifier": gates.rectifier(celsius), "near": gates.transient("near", celsius), "far": gates.transient("far", celsius)}
+    else:
+        late = gates.olm_transient() if kind == "olm" else gates.interneuron_transient(kind == "navngf", celsius)
+        main = {"sodium": gates.interneuron_sodium("nav" if kind == "olm" else kind, celsius), "rectifier": gates.fast_rectifier(kind == "navngf", celsius), "near": late, "far": late}
+    return main | {"kv3": gates.fast_potassium(celsius), "hcn": gates.hyperpolarised(celsius), "olm_hcn": gates.olm_hyperpolarised()}
+
+
 def coupling(cable: Cable, resistivity) -> np.ndarray:
     """Conductance (uS) from each compartment to its parent, half of each in series; 0 for the root."""
     half = np.asarray(resistivity, float) * cable.length * 1e-4 / 2 / (np.pi * (cable.diameter * 1e-4) ** 2 / 4)
@@ -199,8 +246,11 @@ class Cells:
         self.g = coupling(cable, np.where(cable.kind == AXON, column("axon_resistivity"), column("resistivity")))
         self.order = tree_order(cable.parent)
         many = [m.densities(cable) for m in membranes]
-        t = column("celsius")
-        made = {"sodium": (gates.sodium(t, column("kept_sodium")), "sodium_mv"), "rectifier": (gates.rectifier(t), "potassium_mv"), "near": (gates.transient("near", t), "potassium_mv"), "far": (gates.transient("far", t), "potassium_mv")}
+        if len({m.channels for m in membranes}) > 1:
+            raise ValueError("cells of a batch have the same channels")
+        reverses = {"sodium": "sodium_mv", "hcn": "hcn_mv", "olm_hcn": "olm_hcn_mv"}
+        made = channels_of(membranes[0].channels, column("celsius"), column("kept_sodium"))
+        made = {k: (c, reverses.get(k, "potassium_mv")) for k, c in made.items() if any(d[k].any() for d in many)}
         self.channels = [(c, np.stack([d[k] for d in many]) * cm2 * 1e6, column(mv)) for k, (c, mv) in made.items()]
         self.v = np.repeat(column("rest"), len(cable), 1)
         self.states = [[gate.steady(self.v) for gate in c.gates] for c, _, _ in self.channels]

@@ -21,6 +21,16 @@ TRANSIENT_N = {
 TRANSIENT_L = {"half": -56.0, "valence": 3.0, "least_ms": 2.0, "ms_per_mv": 0.26, "from": -50.0}
 TRANSIENT_VALENCE = {"more": -1.0, "half": -40.0, "slope": 5.0}
 TRANSIENT_Q10 = 5.0
+# Fixed values of the published interneuron models. Sodium: rates of m (per ms and mV, half), up and down, and of h, up and down.
+INTERNEURON_SODIUM = {
+    "nav": (0.3, -43.0, 0.3, -15.0, 0.23, -65.0, 3.33, -12.5),
+    "navbis": (0.2, -38.0, 0.5, -10.0, 0.23, -62.0, 2.0, -9.5),
+    "navcck": (0.5, -42.0, 0.3, -13.0, 0.6, -65.0, 1.3, -12.5),
+    "navngf": (0.34133, -24.0, 0.28483, 4.0, 0.29648, -64.4184, 3.0931, -12.1463),
+}
+INTERNEURON_TRANSIENT_N = {"rate": 0.02, "valence": -3.0, "share": 0.6, "least_ms": 0.1}
+INTERNEURON_TRANSIENT_L = {"half": -83.0, "rate": 0.08, "valence": 4.0, "share": 1.0, "least_ms": 2.0}
+LEAST_MS = 0.001
 
 
 @dataclass(frozen=True)
@@ -99,3 +109,59 @@ def transient(place: str = "near", celsius: float = 35.0) -> Channel:
     n = by_valence(valence=lambda v: unit * (valence + more["more"] * sigmoid((v - more["half"]) / more["slope"])), speed=TRANSIENT_Q10 ** ((celsius - SODIUM_CELSIUS) / 10), **how)
     inactive = Gate(lambda v: sigmoid(late["valence"] * unit * (v - late["half"])), lambda v: np.maximum(late["ms_per_mv"] * (v - late["from"]), late["least_ms"]))
     return Channel((n, inactive))
+
+
+# ---------------------------------------------------------------- channels of interneurons
+
+
+def of_rates(up: Callable, down: Callable, speed=1.0, power: int = 1) -> Gate:
+    """A gate from its rates per ms of opening and closing."""
+    return Gate(lambda v: up(v) / (up(v) + down(v)), lambda v: np.maximum(1 / (up(v) + down(v)) / speed, LEAST_MS), power)
+
+
+def interneuron_sodium(kind: str = "nav", celsius=34.0) -> Channel:
+    """m^3 h of basket, bistratified, cck or neurogliaform cells."""
+    if kind not in INTERNEURON_SODIUM:
+        raise ValueError(f"no sodium channel {kind!r}; there are {sorted(INTERNEURON_SODIUM)}")
+    m_up, m_up_half, m_down, m_down_half, h_up, h_up_half, h_down, h_down_half = INTERNEURON_SODIUM[kind]
+    speed = 3.0 ** ((np.asarray(celsius) - 34) / 10)
+    m = of_rates(lambda v: ramp(v - m_up_half, m_up, 5.0), lambda v: ramp(m_down_half - v, m_down, 5.0), speed, 3)
+    h = of_rates(lambda v: h_up * np.exp((h_up_half - v) / 20), lambda v: h_down * sigmoid((h_down_half - v) / 10), speed)
+    return Channel((m, h))
+
+
+def fast_rectifier(gliaform: bool = False, celsius=34.0) -> Channel:
+    """n^4; 10 mV higher in neurogliaform cells."""
+    off = 10.0 if gliaform else 0.0
+    return Channel((of_rates(lambda v: ramp(v + 18 - off, 0.07, 6.0), lambda v: 0.264 * np.exp((off - 43 - v) / 40), 3.0 ** ((np.asarray(celsius) - 34) / 10), 4),))
+
+
+def interneuron_transient(gliaform: bool = False, celsius=34.0) -> Channel:
+    """A-type, n l; n is 10 mV higher in neurogliaform cells."""
+    speed = 3.0 ** ((np.asarray(celsius) - 30) / 10)
+    gate = lambda half, how: by_valence(half, how["rate"], lambda v: how["valence"] * per_mv(celsius), how["share"], how["least_ms"], speed)
+    late = INTERNEURON_TRANSIENT_L
+    return Channel((gate(-23.6 if gliaform else -33.6, INTERNEURON_TRANSIENT_N), gate(late["half"], late)))
+
+
+def olm_transient() -> Channel:
+    """A-type of oriens cells."""
+    slow = lambda v: 9e-6 * np.exp((26 - v) / 18.5) + 0.014 / (np.exp(-(v + 70) / 11) + 0.2)
+    return Channel((Gate(lambda v: sigmoid(-(v + 14) / 16.6), lambda v: np.full_like(np.asarray(v, float), 5.0)), Gate(lambda v: sigmoid((v + 71) / 7.3), lambda v: np.clip(1 / np.maximum(slow(v), 1e-12), LEAST_MS, 1e5))))
+
+
+def fast_potassium(celsius=34.0) -> Channel:
+    """Kv3, n^4."""
+    return Channel((of_rates(lambda v: 0.22 * np.exp((v + 16) / 26.5), lambda v: 0.22 * np.exp(-(v + 16) / 26.5), 2.7 ** ((np.asarray(celsius) - 22) / 10), 4),))
+
+
+def hyperpolarised(celsius=34.0) -> Channel:
+    """HCN, h^2."""
+    speed = 3.0 ** ((np.asarray(celsius) - 34) / 10)
+    return Channel((Gate(lambda v: sigmoid((v + 91) / 10), lambda v: np.maximum((120 + 129.5 * sigmoid((v + 59.3) / 0.83)) / speed, LEAST_MS), 2),))
+
+
+def olm_hyperpolarised() -> Channel:
+    """HCN of oriens cells."""
+    rates = lambda v: np.exp(np.clip(-17.9 - 0.116 * v, -500, 500)) + np.exp(np.clip(-1.84 + 0.09 * v, -500, 500))
+    return Channel((Gate(lambda v: sigmoid((v + 84.1) / 10.2), lambda v: np.clip(100 + 1 / np.maximum(rates(v), 1e-12), LEAST_MS, 1e5)),))

@@ -15,18 +15,24 @@ TOGETHER = 16
 
 
 def simulated(membranes: DataFrame, cable: cables.Cable, sites, times=(5.0,), stop: float | None = None, dt: float = 0.02, amplitude: float = 10.0, length: float = 0.8, plateau: float = 0.0, rate: float = 32_552.0, samples: int = 42, peak: int = 21, least: float = 0.0) -> DataFrame:
-    """cell, k, t, w: the wave of the k-th pulse, for each row of membranes: cell, and columns named as fields of ``Membrane``, whose defaults stand for missing columns and nulls; other columns are ignored.
+    """cell, k, t, w: the wave of the k-th pulse, for each row of membranes: cell, type if there is one (of ``CELL_TYPES``; null is the plain membrane), and columns named as number
+    fields of ``Membrane``, whose defaults, or the type's, stand for missing columns and nulls; other columns are ignored.
 
     A row needs nothing of other rows, so a sweep is one pass without a shuffle; TOGETHER cells run at once in a task. Pulses that make no spike give no row. The cell's shape travels with the tasks."""
-    names = [f.name for f in fields(cables.Membrane) if f.name in membranes.columns]
+    names = [f.name for f in fields(cables.Membrane) if f.name in membranes.columns and f.name != "channels"]
+    kind = F.col("type").cast("string") if "type" in membranes.columns else F.lit(None).cast("string")
     field = cables.line_source(cable, sites)
     end = max(times) + 6.0 if stop is None else stop
 
     def run(batches):
         for batch in batches:
-            for begin in range(0, batch.num_rows, TOGETHER):
-                rows = batch.slice(begin, TOGETHER).to_pylist()
-                cells = cables.Cells(cable, [cables.Membrane(**{n: r[n] for n in names if r[n] is not None}) for r in rows])
+            every = batch.to_pylist()
+            by_type = {}
+            for r in every:
+                by_type.setdefault(r["type"], []).append(r)
+            for rows in (own[k : k + TOGETHER] for own in by_type.values() for k in range(0, len(own), TOGETHER)):
+                given = [{n: r[n] for n in names if r[n] is not None} for r in rows]
+                cells = cables.Cells(cable, [cables.cell_type(r["type"], **g) if r["type"] is not None else cables.Membrane(**g) for r, g in zip(rows, given, strict=True)])
                 made = cables.run(cells, end, dt, times, amplitude, length, plateau)
                 for i, r in enumerate(rows):
                     waves, kept = cables.footprints(made, i, field, times, rate, samples, peak, least=least)
@@ -34,7 +40,7 @@ def simulated(membranes: DataFrame, cable: cables.Cable, sites, times=(5.0,), st
                         order = [list(times).index(t) for t in kept]
                         yield pa.RecordBatch.from_arrays([pa.array([r["cell"]] * len(kept), pa.int64()), pa.array(order, pa.int32()), pa.array(kept, pa.float64()), pa.array([w.ravel().tolist() for w in waves], pa.list_(pa.float64()))], ["cell", "k", "t", "w"])
 
-    return membranes.select(F.col("cell").cast("bigint").alias("cell"), *(F.col(n).cast("double").alias(n) for n in names)).mapInArrow(run, "cell bigint, k int, t double, w array<double>")
+    return membranes.select(F.col("cell").cast("bigint").alias("cell"), kind.alias("type"), *(F.col(n).cast("double").alias(n) for n in names)).mapInArrow(run, "cell bigint, k int, t double, w array<double>")
 
 
 def recovery(waves: DataFrame, gap: float, samples: int, sites: int) -> DataFrame:

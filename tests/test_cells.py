@@ -156,3 +156,56 @@ def test_sweep(spark):
     assert all(np.isclose(ratio[c], np.ptp(got[c, 1], axis=0).max() / np.ptp(got[c, 0], axis=0).max()) for c in ratio)
     assert tables.simulated(params.where("false"), CELL, SITES).count() == 0
     found.unpersist()
+
+
+def test_interneuron_gates():
+    v = np.array([-90.0, -64.0, -41.0, -20.0, 1.0, 30.0])
+    trap = lambda x, y: x / (np.exp(x / y) - 1)
+    for kind, (a, av, b, bv, c, cv, d, dv) in {"nav": (-0.3, 43, 0.3, 15, 0.23, 65, 3.33, 12.5), "navngf": (-0.34133, 24, 0.28483, -4, 0.29648, 64.4184, 3.0931, 12.1463)}.items():
+        m, h = gates.interneuron_sodium(kind, 24.0).gates
+        up, down = a * trap(v + av, -5), b * trap(v + bv, 5)
+        hu, hd = c / np.exp((v + cv) / 20), d / (1 + np.exp(-(v + dv) / 10))
+        assert np.allclose(m.steady(v), up / (up + down)) and np.allclose(m.ms(v), 3 / (up + down)) and m.power == 3
+        assert np.allclose(h.steady(v), hu / (hu + hd)) and np.allclose(h.ms(v), 3 / (hu + hd))
+    for off in (0, 10):
+        n = gates.fast_rectifier(off > 0).gates[0]
+        up, down = -0.07 * trap(v + 65 - 47 - off, -6), 0.264 / np.exp((v + 65 - 22 - off) / 40)
+        assert np.allclose(n.steady(v), up / (up + down)) and np.allclose(n.ms(v), 1 / (up + down)) and n.power == 4
+        zf = 1e-3 * 9.648e4 / (8.315 * (273.16 + 34))
+        n, late = gates.interneuron_transient(off > 0).gates
+        x, y = np.exp(-3 * zf * (v + 33.6 - off)), np.exp(-1.8 * zf * (v + 33.6 - off))
+        assert np.allclose(n.steady(v), 1 / (1 + x)) and np.allclose(n.ms(v), np.maximum(y / (3**0.4 * 0.02 * (1 + x)), 0.1))
+        x = np.exp(4 * zf * (v + 83))
+        assert np.allclose(late.steady(v), 1 / (1 + x)) and np.allclose(late.ms(v), np.maximum(x / (3**0.4 * 0.08 * (1 + x)), 2))
+    n = gates.fast_potassium().gates[0]
+    up, down = 2.7**1.2 * 0.22 * np.exp((v + 16) / 26.5), 2.7**1.2 * 0.22 * np.exp(-(v + 16) / 26.5)
+    assert np.allclose(n.steady(v), up / (up + down)) and np.allclose(n.ms(v), 1 / (up + down))
+    h = gates.hyperpolarised().gates[0]
+    assert np.allclose(h.steady(v), 1 / (1 + np.exp((v + 91) / 10))) and np.allclose(h.ms(v), 120 + 129.5 / (1 + np.exp((v + 59.3) / 0.83))) and h.power == 2
+    a, b = gates.olm_transient().gates
+    assert np.allclose(a.steady(v), 1 / (1 + np.exp(-(v + 14) / 16.6))) and (a.ms(v) == 5).all() and np.allclose(b.ms(v), 1 / (9e-6 / np.exp((v - 26) / 18.5) + 0.014 / (np.exp((v + 70) / -11) + 0.2)))
+    r = gates.olm_hyperpolarised().gates[0]
+    assert np.allclose(r.steady(v), 1 / (1 + np.exp((v + 84.1) / 10.2))) and np.allclose(r.ms(v), 100 + 1 / (np.exp(-17.9 - 0.116 * v) + np.exp(-1.84 + 0.09 * v)))
+    with pytest.raises(ValueError):
+        gates.interneuron_sodium("none")
+
+
+@pytest.mark.parametrize("name", sorted(cables.CELL_TYPES))
+def test_types_rest(name):
+    kind = cables.cell_type(name)
+    quiet = cables.run(cables.Cells(CELL, [kind]), 3, 0.02, (), 0)
+    assert np.allclose(quiet.v, kind.rest, atol=1e-2)
+    loud = cables.run(cables.Cells(CELL, [kind, cables.cell_type(name, sodium=kind.sodium * 1.1)]), 8, 0.02, (1.0,), 2.0, 0.8)
+    assert np.isfinite(loud.v).all() and loud.v[0, :, 0].max() > -20
+
+
+def test_sweep_of_types(spark):
+    params = spark.createDataFrame([(1, "pvbasket", None), (2, None, 0.03), (3, "bistratified", 0.08), (4, "pvbasket", 0.2)], "cell int, type string, sodium double")
+    found = tables.simulated(params, CELL, SITES, (5.0,), dt=0.025, amplitude=2.0).collect()
+    made = cables.run(cables.Cells(CELL, [cables.cell_type("pvbasket")]), 11, 0.025, (5.0,), 2.0, 0.8)
+    plain, _ = cables.footprints(made, 0, cables.line_source(CELL, SITES), (5.0,))
+    assert {r.cell for r in found} <= {1, 2, 3, 4} and len(plain) == 1 and np.allclose([r.w for r in found if r.cell == 1], plain.reshape(1, -1), rtol=1e-3, atol=1e-3)
+    with pytest.raises(ValueError):
+        cables.Cells(CELL, [cables.cell_type("pvbasket"), cables.Membrane()])
+    with pytest.raises(ValueError):
+        cables.cell_type("none")
