@@ -349,7 +349,8 @@ def test_field_finds_secrets_in_text_without_spaces(field):
 
 
 def test_shape_is_of_the_whole_token():
-    assert secrets.shape("a" * 1000) != secrets.shape("a" * 500 + "B7" * 250)
+    a, b = secrets.Tokens(["a" * 1000]), secrets.Tokens(["a" * 500 + "B7" * 250])
+    assert (a.index() != b.index()).sum() > 4
 
 
 class Fixed:
@@ -384,13 +385,71 @@ def test_viterbi_by_brute_force():
         assert tuple(secrets.viterbi(u, pair)) == best
 
 
-def test_gradient_raises_likelihood():
-    f, text = secrets.Field(), "key ghp_0123456789abcdefABCDEF0123456789abcd end"
-    (chain,) = secrets.chains(text)
-    seen, mask = secrets.observed(text, chain), secrets.allowed(text, chain)
-    for _ in range(20):
-        f.step(seen, mask, [1], 0.1)
-    assert f.spans(text) == [(4, 44)]
+def test_gradient_by_brute_force():
+    """Of the likelihood, summed over all taggings, against differences."""
+    import itertools
+
+    examples = [("key ghp_0123456789abcdefABCDEF0123456789abcd end", [(4, 44)], 60), ("plain words\nand more here", [], 5000), ("a", [(0, 1)], 1)]
+    data, rng = secrets.Chains(examples), np.random.default_rng(4)
+    f = secrets.Field()
+    f.w += rng.normal(size=f.w.shape).astype(np.float32)
+    f.sign += rng.normal(size=f.sign.shape).astype(np.float32)
+    f.pair += rng.normal(size=(3, 3)) * (f.pair > secrets.NEVER / 2)
+
+    def likelihood(u, pair):
+        total = 0.0
+        for i, n in zip(data.first, data.n, strict=True):
+            score = lambda t, i=i: sum(u[i + k, x - 1] if x else 0.0 for k, x in enumerate(t)) + sum(pair[a, b] for a, b in zip(t, t[1:], strict=False))
+            ways = [score(t) for t in itertools.product(range(3), repeat=n) if t[0] != 2 and (0, 2) not in zip(t, t[1:], strict=False)]
+            total += score(tuple(data.tags[i : i + n])) - np.log(np.exp(ways).sum())
+        return total
+
+    u = f.scores(data.tokens).astype(float)
+    by_token, by_pair, told = data.gradient(f)
+    assert abs(told - likelihood(u, f.pair)) < 1e-4
+    for k, tag in itertools.product(range(len(u)), range(2)):
+        step = np.zeros_like(u)
+        step[k, tag] = 1e-4
+        assert abs((likelihood(u + step, f.pair) - likelihood(u - step, f.pair)) / 2e-4 - by_token[k, tag]) < 1e-3
+    for a, b in itertools.product(range(3), repeat=2):
+        if (a, b) != (0, 2):
+            step = np.zeros((3, 3))
+            step[a, b] = 1e-4
+            assert abs((likelihood(u, f.pair + step) - likelihood(u, f.pair - step)) / 2e-4 - by_pair[a, b]) < 1e-3
+
+
+def test_scores_are_sums_of_weights():
+    """Looked up together or feature by feature."""
+    rng, t = np.random.default_rng(6), secrets.Tokens(["key: Tr0ub4d0r&3 x=1 (a.b) 'q'", "", "é漢 ::: password=1\nnext https://a.b/c?d=e"])
+    f = secrets.Field()
+    f.w += rng.normal(size=f.w.shape).astype(np.float32)
+    f.sign += rng.normal(size=f.sign.shape).astype(np.float32)
+    want = f.w[t.index()].sum(1)
+    for at, sign in zip(*np.divmod(t.signs, len(secrets.SIGNS)), strict=True):
+        want[at] += f.sign[sign]
+    assert np.allclose(f.scores(t), want, atol=1e-4)
+    words = ["key", "Tr0ub4d0r&3", "x=1", "a.b", "q", "é漢", "password=1", "next", "https://a.b/c?d=e"]
+    whole = ["key: Tr0ub4d0r&3 x=1 (a.b) 'q'", "", "é漢 ::: password=1\nnext https://a.b/c?d=e"]
+    assert [whole[k][a - t.begins[k] : b - t.begins[k]] for k, a, b in zip(t.text, t.start, t.end, strict=True)] == words
+    assert t.length.tolist() == [5, 2, 2]
+
+
+def test_lines_left_undecoded_have_no_secret(field):
+    """Every line decoded gives the same as those alone that can have one."""
+    made = [t for t, _ in secrets.made_lines(300, seed=5)] + ["passphrase hunter2 and Zx9!kLm3 too", "no secret here", "", "x" * 3000]
+
+    class Wide(secrets.Field):
+        def slack(self):
+            return 1e9
+
+    wide = Wide()
+    wide.w, wide.sign, wide.pair = field.w, field.sign, field.pair
+    assert field.many(made) == wide.many(made) == [field.spans(t) for t in made]
+
+
+def test_field_finds_short_secrets_after_key_words(field):
+    assert [t[a:b] for t in ("my passphrase: Tr0ub4d0r&3 ok", "login: hUnter42x then") for a, b in field.spans(t)] == ["Tr0ub4d0r&3", "hUnter42x"]
+    assert field.spans("a password is required for the token ring network, the secret garden key") == []
 
 
 def test_secrets_odd_rows(spark, field):
@@ -631,6 +690,15 @@ def test_near_copies_of_ids_with_unlike_texts(spark, duck):
     assert got == sorted(want) and {(i, c) for i, _, c in got} == {(1, 1), (5, 1), (7, 1), (9, 1), (11, 11), (12, 1), (13, 13)}
 
 
+def test_one_row_of_each_class_stays(spark):
+    """Repeated rows, copies without an id, and one id with unlike texts."""
+    x, y, z = (" ".join(f"{c}{k}" for k in range(30)) for c in "xyz")
+    rows = [(1, x, "a"), (1, x, "a"), (None, x, "b"), (2, x + " q", "c"), (3, y, "d"), (3, z, "e"), (None, z, "f"), (None, "only here without an id at all", "g"), (None, None, "h"), (None, None, "h"), (7, "", "i")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, _row string").repartition(3)
+    got = sorted(((r.doc_id or 0, r.text or "", r._row) for r in nearcopies.one_of_each(d).collect()))
+    assert got == sorted([(1, x, "a"), (3, y, "d"), (3, z, "e"), (0, "only here without an id at all", "g"), (0, "", "h"), (0, "", "h"), (7, "", "i")])
+
+
 def test_clashing_columns(spark):
     d = docs(spark).withColumn("_gone", F.lit(1)).withColumn("_id", F.lit(2)).withColumn("rep", F.lit(3))
     assert nearcopies.one_of_each(d).columns == d.columns
