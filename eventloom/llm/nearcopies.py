@@ -21,7 +21,7 @@ Components come from rounds of the least label with pointer jumping on written t
 Defined results: null and wordless texts have no shingle and link with nothing; a text of fewer than five words is one shingle.
 A null id is a component of its own, null. Rows that repeat an id are answered one by one, each with its own size and all with that id's component: an id
 links with whatever any of its rows links with. An empty table gives no row. Other columns are ignored, whatever their names, and kept by ``one_of_each``,
-which keeps all rows of the least id. Very long texts are sets in memory, one at a time.
+which keeps one row of each component. Very long texts are sets in memory, one at a time.
 """
 
 from __future__ import annotations
@@ -392,7 +392,7 @@ def blocked(outside: DataFrame, members: DataFrame, facts: DataFrame) -> DataFra
     n_out = outside.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("ko"))
     n_in = members.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("ki"))
     blocks = written(n_out.join(n_in, "p"), "blocks")
-    known = facts.where("doc_id = rep").groupBy(F.col("doc_id").alias("id")).agg(F.first("n").alias("n"), F.first("parts").alias("parts"))
+    known = facts.where("doc_id = rep").select(F.col("doc_id").alias("id"), "n", "parts").distinct()  # an id may have several sets
     spread = lambda df, own, other: written(df.join(known, "id").join(blocks, "p").select("p", "id", "n", "parts", "d", F.pmod(F.xxhash64("id"), own).alias(own), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other)), "blocks")
 
     def test(out: pa.Table, inside: pa.Table) -> pa.Table:
@@ -474,11 +474,19 @@ def joined(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return facts.join(parts, facts["rep"] == parts["id"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose id is the least of its component."""
-    found = near_copies(docs)
-    gone = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(bounded(gone), docs["doc_id"] == gone["_gone"], "left_anti")
+def one_of_each(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """One row of each component of ``docs``, with all its columns: that of the least id, nulls last. Each row is a document of its own here, so repeated rows, copies without an id, and rows of one id
+    with unlike texts are told apart, or found to be copies, by their texts alone. Rows without words are all kept."""
+    name = "_row"
+    while name in docs.columns:
+        name += "_"
+    own = written(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
+    found = near_copies(own.select(name, "text"), name).select(F.col("doc_id").alias(name), "component_id")
+    both = written(found.join(own.select(name, F.col(id_col).alias("_id")), name), "found")
+    best = both.groupBy("component_id").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct(F.col("_id").isNull(), "_id", name))[name].alias("best")).where("k > 1")
+    # of a large component all rows but one go; they are found by an equi-join in which Spark splits what is skewed
+    gone = written(both.join(best, "component_id").where(F.col(name) != F.col("best")).select(F.col(name).alias("_gone")), "gone")
+    return own.join(bounded(gone), own[name] == gone["_gone"], "left_anti").drop(name)
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
