@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import settings, table, written
 
-SLICE = 4_000_000
-SEEN = 300_000
+SLICE = 2_000_000
+SEEN = 150_000
 #: Rows of long arrays, and texts, go to Python few at a time.
 ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 SPACED = regex.compile(r"\s ")
