@@ -2,9 +2,9 @@
 
 Texts are normalised to their words: A-Z lower-cased, runs of ASCII letters, digits and other code points from U+0080. A document word is hit if it is
 inside an occurrence of ``WINDOW`` consecutive words of an item, or of a whole shorter item. The automaton runs over words, as numbers: it
-holds, of each item, the ``ANCHOR`` words from every ``ANCHOR``th word on (any window has one of these whole), and shorter items whole. A document is
-scanned once; each anchor found is extended to either side as far as the item's words agree, and runs of ``WINDOW`` words or more are hits. So it
-holds a node for each item word or less, not all windows. ``original_spans`` maps hit words back to code points of the text.
+holds, of each item, the ``ANCHOR`` words from every ``ANCHOR``th word on (any window has one of these whole), and shorter items whole; so it
+holds a node for each item word or less, not all windows. A document is scanned once; the few windows that an anchor can be part of are looked up in a table of the
+items' windows, by number and then word by word, however many items share the anchor: time is in proportion to text and items. ``original_spans`` maps hit words back to code points of the text.
 
 The items are broadcast only if they have ``LIMIT_WORDS`` words at most, which take about 250 MB in a Python worker. More are dealt by a hash of
 the item into blocks of about that size; each block scans the documents in turn, and what it finds is written before the next begins, so that one
@@ -49,7 +49,7 @@ def lettered(words: np.ndarray) -> str:
 
 
 class Windows:
-    """The words of items (id, text) and, once it is needed, the automaton of their anchors."""
+    """The words of items (id, text) and, once it is needed, what finds their windows: the automaton of anchors, and a table of windows."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], size: int = WINDOW):
         self.size, self.step = size, max(1, size // 2)
@@ -61,60 +61,127 @@ class Windows:
         self.automaton = None
 
     def __getstate__(self):
-        return self.__dict__ | {"automaton": None}
+        return {"size": self.size, "step": self.step, "number": self.number, "items": self.items, "automaton": None}
 
     def built(self):
         import ahocorasick
 
-        places: dict[str, list] = {}
+        short: dict[str, list] = {}
         for k, (_, words) in enumerate(self.items):
-            n, text = len(words), lettered(words)
-            if n < self.size:
-                places.setdefault(text, []).append((k, 0))
-            else:
-                for s in range(0, n - self.step + 1, self.step):
-                    places.setdefault(text[2 * s : 2 * (s + self.step)], []).append((k, s))
+            if len(words) < self.size:
+                short.setdefault(lettered(words), []).append(k)
+        self.lists: list[np.ndarray] = [np.array(x) for x in short.values()]
+        self.tabled()
         automaton = ahocorasick.Automaton()
-        for key, at in places.items():
-            automaton.add_word(key, (len(key) // 2, at))
+        for _, words in self.items:
+            if len(words) >= self.size:
+                text = lettered(words)
+                for s in range(0, len(words) - self.step + 1, self.step):
+                    automaton.add_word(text[2 * s : 2 * (s + self.step)], (self.step, -1))
+        for at, key in enumerate(short):
+            # a short item's words may be an anchor too
+            automaton.add_word(key, (len(key) // 2, at, key in automaton))
         automaton.make_automaton()
         return automaton
 
-    def matches(self, words: list[bytes]) -> list[tuple[int, int, int | None]]:
-        """(first word, end word, item) of the longest passages that a document shares with items, of ``size`` words or a whole shorter item."""
+    def hashed(self, words: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """A number for each window that begins at one of these places."""
+        out = np.zeros(len(at), np.uint64)
+        for k, factor in enumerate(self.factors):
+            out += words[at + k].astype(np.uint64) * factor
+        out ^= out >> np.uint64(29)
+        out *= np.uint64(0xBF58476D1CE4E5B9)
+        return out ^ out >> np.uint64(32)
+
+    def same(self, a: np.ndarray, at: np.ndarray, b: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Whether the windows of a at ``at`` are those of b at ``other``, word by word."""
+        ok = np.ones(len(at), bool)
+        for k in range(self.size):
+            ok &= a[at + k] == b[other + k]
+        return ok
+
+    def tabled(self) -> None:
+        """The items' windows by their numbers, each with a place to compare with and the list of items that it is in; windows of the same items have one list."""
+        long = [(k, words) for k, (_, words) in enumerate(self.items) if len(words) >= self.size]
+        self.words = np.concatenate([words for _, words in long]) if long else np.zeros(0, np.int32)
+        sizes = np.array([len(words) for _, words in long], np.int32)
+        counts = sizes - self.size + 1
+        at = np.repeat(np.cumsum(sizes, dtype=np.int32) - sizes - np.cumsum(counts, dtype=np.int32) + counts, counts) + np.arange(counts.sum(), dtype=np.int32)
+        owner = np.repeat(np.array([k for k, _ in long], np.int32), counts)
+        for seed in range(100):
+            self.factors = np.random.default_rng(seed).integers(1, 2**63, self.size, np.uint64) * np.uint64(2) + np.uint64(1)
+            numbers = self.hashed(self.words, at)
+            order = np.lexsort((owner, numbers))
+            numbers, place, item = numbers[order], at[order], owner[order]
+            first = np.r_[True, numbers[1:] != numbers[:-1]] if len(numbers) else np.zeros(0, bool)
+            group = np.cumsum(first) - 1
+            if self.same(self.words, place, self.words, place[first][group] if len(place) else place).all():
+                break
+        self.windows, self.place = numbers[first], place[first]
+        # one row for each window and item, then one list for each set of items
+        new = first | np.r_[True, item[1:] != item[:-1]] if len(item) else first
+        group, item = group[new], item[new]
+        size = np.bincount(group, minlength=len(self.windows))
+        start = np.cumsum(size) - size
+        mixed = (item.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(31)
+        sign = np.add.reduceat(mixed * np.uint64(0x94D049BB133111EB), start) if len(start) else np.zeros(0, np.uint64)
+        _, rep, which = np.unique(sign, return_index=True, return_inverse=True)
+        alike = np.array_equal(size[rep[which]], size)
+        if not alike or not np.array_equal(item[np.repeat(start[rep[which]] - start, size) + np.arange(size.sum())], item):
+            rep, which = np.arange(len(size)), np.arange(len(size))
+        self.list = which + len(self.lists)
+        self.lists += [item[start[r] : start[r] + size[r]] for r in rep]
+
+    def found(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where items occur in a document: first word, end word and list of items, for each window and each whole shorter item.
+
+        The text is scanned once. An anchor tells of ``size - step + 1`` windows that may be there, whatever the number of items that have it, and each is looked up once."""
+        none = np.zeros(0, np.int64)
         if not self.items or not words:
-            return []
+            return none, none, none
         if self.automaton is None:
             self.automaton = self.built()
         known = self.number.get
         seen = np.fromiter((known(w, 0) for w in words), np.int32, len(words))
-        out, reached = [], {}
-        for letter, (k, places) in self.automaton.iter(lettered(seen)):
-            end = letter // 2
-            at = end - k + 1
-            for item, s in places:
-                name, of = self.items[item]
-                if len(of) < self.size:
-                    out.append((at, end + 1, name))
-                elif reached.get((item, at - s), -1) < end:
-                    back = agreeing(seen[max(0, at - s) : at][::-1], of[max(0, s - at) : s][::-1])
-                    on = agreeing(seen[end + 1 : end + 1 + len(of)], of[s + k :])
-                    reached[item, at - s] = end + on
-                    if back + k + on >= self.size:
-                        out.append((at - back, end + 1 + on, name))
-        return out
-
-
-def agreeing(a: np.ndarray, b: np.ndarray) -> int:
-    """How many elements are equal from the start on."""
-    n, done = min(len(a), len(b)), 0
-    step = 16
-    while done < n:
-        unlike = np.flatnonzero(a[done : min(n, done + step)] != b[done : min(n, done + step)])
-        if len(unlike):
-            return done + int(unlike[0])
-        done, step = min(n, done + step), step * 4
-    return n
+        anchors, short = [], []
+        for letter, (k, which, *both) in self.automaton.iter(lettered(seen)):
+            at = letter // 2 - k + 1
+            if which >= 0:
+                short.append((at, at + k, which))
+            if which < 0 or both[0]:
+                anchors.append(at)
+        begins, whole = none, np.array(short, np.int64).reshape(-1, 3)
+        if anchors and len(seen) >= self.size:
+            may = (np.array(anchors)[:, None] - np.arange(self.size - self.step + 1)).ravel()
+            begins = np.unique(may[(may >= 0) & (may <= len(seen) - self.size)])
+            numbers = self.hashed(seen, begins)
+            row = np.minimum(np.searchsorted(self.windows, numbers), len(self.windows) - 1)
+            ok = self.windows[row] == numbers
+            begins, row = begins[ok], row[ok]
+            ok = self.same(seen, begins, self.words, self.place[row])
+            begins, row = begins[ok], row[ok]
+            whole = np.concatenate([whole, np.stack([begins, begins + self.size, self.list[row]], 1)])
+        return whole[:, 0], whole[:, 1], whole[:, 2]
+
+    def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
+        """The passages of a document that are items' windows, joined where they overlap or touch, and the ids of those items."""
+        start, end, lists = self.found(words)
+        return joined(start, end), {self.items[k][0] for x in np.unique(lists).tolist() for k in self.lists[x].tolist()}
+
+    def matches(self, words: list[bytes]) -> list[tuple[int, int, int | None]]:
+        """(first word, end word, item) of each window, and each shorter item, in a document."""
+        return [(a, b, self.items[k][0]) for a, b, x in zip(*(c.tolist() for c in self.found(words)), strict=True) for k in self.lists[x].tolist()]
+
+
+def joined(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
+    """``covered``, of arrays."""
+    if not len(start):
+        return []
+    order = np.argsort(start, kind="stable")
+    start, reach = start[order], np.maximum.accumulate(end[order])
+    new = np.r_[True, start[1:] > reach[:-1]]
+    return list(zip(start[new].tolist(), reach[np.r_[np.flatnonzero(new)[1:] - 1, len(start) - 1]].tolist(), strict=True))
 
 
 def covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -176,9 +243,9 @@ def part_scanned(rows: DataFrame, shared, last: bool) -> DataFrame:
     def matches(batch, texts):
         for before, t in zip(batch.column(1).to_pylist(), texts, strict=True):
             words = normal(t).split()
-            found = shared.value.matches(words)
+            found, items = shared.value.hits(words)
             old_spans, old_items = pickle.loads(before) if before else ([], set())
-            yield words, covered(old_spans + [(a, b) for a, b, _ in found]), old_items.union(x for *_, x in found)
+            yield words, covered(old_spans + found), old_items | items
 
     def more(batch, texts):
         return [batch.column(0), pa.array([pickle.dumps((s, i)) for _, s, i in matches(batch, texts)], pa.binary()), pa.array(texts, pa.string())]
@@ -206,7 +273,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, limit: int = LIMIT_WORDS) -
 
         def run(batches, shared=shared):
             for batch, texts in slices(batches, "text"):
-                yield batch.filter(pa.array([not shared.value.matches(normal(t).split()) for t in texts], pa.bool_()))
+                yield batch.filter(pa.array([not len(shared.value.found(normal(t).split())[0]) for t in texts], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
         if k < len(parts) - 1:

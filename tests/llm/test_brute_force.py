@@ -5,6 +5,7 @@ import datetime
 import hashlib
 import os
 import re
+import random
 import subprocess
 import sys
 import time
@@ -234,6 +235,46 @@ def test_long_documents_and_repeated_anchors():
     assert [(a, b) for a, b, i in w.matches(words) if i == 3] == [(207_000, 207_002)]
 
 
+def plain_windows(items, words, size):
+    """(first word, end word, item) of each window, by comparing all with all."""
+    out = []
+    for name, text in items:
+        w = leakage.normal(text).split()
+        n = min(size, len(w))
+        for i in range(len(w) - n + 1 if n else 0):
+            out += [(a, a + n, name) for a in range(len(words) - n + 1) if words[a : a + n] == w[i : i + n]]
+    return set(out)
+
+
+def test_windows_by_brute_force():
+    r = random.Random(8)
+    some = lambda n: " ".join(r.choice("abc") for _ in range(n))
+    for size in (1, 2, 5, 10):
+        items = [(k % 7 if k % 5 else None, some(r.choice([0, 1, size - 1, size, size + 1, 14, 30]))) for k in range(25)]
+        w = leakage.Windows(items, size)
+        for text in (some(60), some(3), "", "zz " * 20, items[3][1] + " q " + items[4][1]):
+            words = leakage.normal(text).split()
+            want = plain_windows(items, words, size)
+            assert set(w.matches(words)) == want
+            spans, names = w.hits(words)
+            assert spans == leakage.covered([x[:2] for x in want]) and names == {x[2] for x in want}
+
+
+def test_shared_stems_take_time_in_proportion():
+    """Items and a document that begin alike, thousands of times."""
+    w = leakage.Windows([(k, f"which of the following is q{k} x{k} y{k} z{k} u{k} v{k}") for k in range(2000)])
+    w.matches([b"warm"])
+    words = leakage.normal("which of the following is r s t " * 2000).split()
+    began = time.perf_counter()
+    assert w.hits(words) == ([], set())
+    assert time.perf_counter() - began < 1.0
+    # a window that all items have names them all, once
+    w = leakage.Windows([(k, "one two three four five six seven eight nine ten " + f"q{k}") for k in range(2000)])
+    began = time.perf_counter()
+    spans, names = w.hits(leakage.normal("one two three four five six seven eight nine ten z " * 2000).split())
+    assert len(spans) == 2000 and len(names) == 2000 and time.perf_counter() - began < 2.0
+
+
 # archives
 
 
