@@ -45,7 +45,7 @@ def bank(templates: DataFrame, channels: int, shifts: range = range(-8, 9), whit
     some = rows.orderBy("cluster").collect()
     keys = np.array([r.cluster for r in some], np.int64)
     waves = np.array([r.w for r in some], float).reshape(count, (width or 0) // channels, channels)
-    atoms = np.stack([np.roll(waves, s, axis=1).reshape(count, -1) for s in shifts], 1).reshape(n, width or 0)
+    atoms = np.stack([np.roll(waves, s, axis=1).reshape(count, width or 0) for s in shifts], 1).reshape(n, width or 0)
     if whitener is not None:
         atoms = (atoms - whitener[0]) @ whitener[1]
     return Bank(np.repeat(keys, len(shifts)), np.tile(np.array(shifts, np.int32), count), atoms, (atoms**2).sum(1) + 1e-12, atoms @ atoms.T)
@@ -78,10 +78,10 @@ def split(x: np.ndarray, held: Bank, near: int = 0, pinned: tuple[np.ndarray, np
     det = np.maximum(g11 * g22 - g12**2, 1e-12 * g11 * g22)
     b1, b2 = (g22 * p1 - g12 * p2) / det, (g11 * p2 - g12 * p1) / det
     left = np.maximum(power - b1 * p1 - b2 * p2, 0)
-    blank = lambda v: np.where(there, v, np.nan)
+    blank = lambda v: np.ma.masked_array(v, ~there)
     return {
         "k1": held.keys[first], "shift1": held.shifts[first], "a1": a1,
-        "k2": np.ma.masked_array(held.keys[second], ~there), "shift2": np.ma.masked_array(held.shifts[second], ~there), "a2": blank(a2),
+        "k2": blank(held.keys[second]), "shift2": blank(held.shifts[second]), "a2": blank(a2),
         "r1": np.sqrt(r1), "r2": blank(np.sqrt(r2)), "gain": blank(1 - r2 / (r1 + 1e-12)), "joint_a1": blank(b1), "joint_a2": blank(b2), "joint_r2": blank(np.sqrt(left)),
     }
 
@@ -107,7 +107,7 @@ def decomposed(waves: DataFrame, held: Bank, near: int = 0, whitener: tuple[np.n
             if whitener is not None:
                 x = (x - whitener[0]) @ whitener[1]
             got = split(x, held, near, (batch.column(2).to_numpy(), batch.column(3).to_numpy()) if pin else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ma.getdata(got[n]), kinds[t], mask=np.ma.getmaskarray(got[n]), from_pandas=True) for n, t in names)], ["event", *(n for n, _ in names)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ma.getdata(got[n]), kinds[t], mask=np.ma.getmaskarray(got[n])) for n, t in names)], ["event", *(n for n, _ in names)])
 
     more = [F.col("cluster").cast("bigint").alias("cluster"), F.col(pin).cast("double").alias("_pin")] if pin else []
     return known.select("event", F.col("w").cast("array<double>").alias("w"), *more).mapInArrow(run, SPLIT)

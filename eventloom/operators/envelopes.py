@@ -1,55 +1,71 @@
-"""Envelopes of what one unit's waveforms may look like, from tables of waves: see ``functions/envelopes.py``."""
+"""What one unit's waveforms may look like: how far their directions may part as their amplitudes do, and how much of their scatter goes along the amplitude.
+
+Defined results: waves with a null cluster, a null or zero waveform are left out. An empty table gives no pair and no row; limits of no pairs are an error, as nothing could be admitted by them.
+"""
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import envelopes
+from ..functions.arrays import dot, norm
 from .places import sampled
-from .waves import by_cluster, cube
 
-def changes(waves: DataFrame, samples: int, channels: int, most: int = 200) -> DataFrame:
-    """cluster, ratio, distance of pairs of a cluster's events, of which about ``most`` take part: at most most^2 / 2 rows a cluster."""
 
-    def run(part: pa.Table) -> pa.Table:
-        part = part.sort_by("event")
-        ratio, distance = envelopes.pair_changes(cube(part.column("w"), samples, channels))
-        return pa.table({"cluster": pa.array(np.full(len(ratio), part.column("cluster")[0].as_py(), np.int64)), "ratio": ratio, "distance": distance})
+def directions(waves: DataFrame) -> DataFrame:
+    """cluster, event, size (the norm), u (the waveform by its norm)."""
+    x = waves.where("cluster IS NOT NULL AND w IS NOT NULL").select(F.col("cluster").cast("bigint").alias("cluster"), "event", "w", norm(F.col("w")).alias("size")).where("size > 0")
+    return x.select("cluster", "event", "size", F.transform("w", lambda v: v / F.col("size")).alias("u"))
+
 
-    few = sampled(waves.where("cluster is not null"), most).select(F.col("cluster").cast("bigint").alias("cluster"), "event", "w")
-    return few.groupBy("cluster").applyInArrow(run, "cluster bigint, ratio double, distance double")
+def changes(waves: DataFrame, most: int | None = 200) -> DataFrame:
+    """cluster, ratio, distance: of the norms, the larger by the smaller, and one less the cosine, for the pairs of a cluster's events. Of larger clusters about ``most`` events take part (None: all), so a cluster has
+    about most * most / 2 rows."""
+    few = directions(waves if most is None else sampled(waves.where("cluster IS NOT NULL"), most))
+    side = lambda c: few.select("cluster", *(F.col(k).alias(f"{k}_{c}") for k in ("event", "size", "u")))
+    far = 1 - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("u_a"), F.col("u_b"))))
+    return side("a").join(side("b"), "cluster").where("event_a < event_b").select("cluster", (F.greatest("size_a", "size_b") / F.least("size_a", "size_b")).alias("ratio"), far.alias("distance"))
 
 
-def band(ratio: Column, edges) -> Column:
+def band(ratio: Column, edges: list[float]) -> Column:
     """The last edge at or below a ratio, as its number."""
     return F.size(F.filter(F.array(*(F.lit(float(e)) for e in edges)), lambda e: e <= ratio)) - 1
 
 
-def envelope(pairs: DataFrame, quantile: float = 0.99, bands: int = 8, most: float | None = None, least: int = 5) -> envelopes.Envelope:
-    """The envelope of pairs (ratio, distance). One row comes to the driver for the range, and one for each band; exact quantiles keep a band's distances in one task's memory."""
+def limits(pairs: DataFrame, quantile: float = 0.99, bands: int = 8, most: float | None = None, least: int = 5) -> DataFrame:
+    """k, edge, n, distance: the bands of the ratio, from 1 and then by equal factors from the least to the most (``most``, if it is given), and the distance that each allows: the quantile of its pairs, and no less than
+    a band before. Bands with fewer than ``least`` pairs allow what the band before does, the first of them none. One row comes to the driver, for the range; exact quantiles keep a band's different distances in one task."""
     good = pairs.where(~F.isnan("ratio") & ~F.isnan("distance") & (F.col("ratio") >= 1) & (F.col("ratio") < float("inf")) & (F.abs("distance") < float("inf")))
     low, high = good.agg(F.min("ratio"), F.max("ratio")).first()
     if low is None:
-        raise ValueError("no pairs to make an envelope of")
-    top = float(high if most is None else most)
-    edges = envelopes.ratio_edges(low, top, bands)
-    rows = good.groupBy(band(F.col("ratio"), edges).alias("k")).agg(F.count(F.lit(1)).alias("n"), F.percentile("distance", F.lit(quantile)).alias("q")).collect()
-    limits = np.full(len(edges), np.nan)
-    for r in rows:
-        if r.n >= least:
-            limits[r.k] = r.q
-    return envelopes.Envelope(edges, envelopes.rising(limits), quantile, top)
-
-
-def admitted(pairs: DataFrame, limits: envelopes.Envelope) -> DataFrame:
-    """Pairs (ratio, distance) with limit and admitted: whether one unit can have both."""
-    limit = F.array(*(F.lit(float(x)) for x in limits.limits))[F.greatest(band(F.col("ratio"), limits.edges), F.lit(0))]
-    return pairs.withColumn("limit", limit).withColumn("admitted", (F.col("ratio") <= limits.most) & (F.col("distance") <= limit))
-
-
-def along_curve(waves: DataFrame, samples: int, channels: int, bands: int = 5, most: int = 2000) -> DataFrame:
-    """cluster, share, scatter: how much of the scatter of directions goes along the curve of amplitude."""
-    return by_cluster(sampled(waves, most), samples, channels, lambda w, _: dict(zip(("share", "scatter"), envelopes.share_along_curve(w, bands), strict=True)), "share double, scatter double")
+        raise ValueError("no pairs to make limits of")
+    first, last = max(low, 1 + 1e-6), max(float(high if most is None else most), 1 + 1e-5)
+    edges = sorted({1.0, *np.geomspace(first, last, bands).tolist()})
+    told = good.groupBy(band(F.col("ratio"), edges).alias("k")).agg(F.count(F.lit(1)).alias("n"), F.percentile("distance", F.lit(quantile)).alias("q"))
+    table = pairs.sparkSession.createDataFrame(list(enumerate(edges)), "k int, edge double").join(told, "k", "left")
+    own = F.when(F.col("n") >= least, F.greatest("q", F.lit(0.0))).otherwise(0.0)
+    return table.select("k", "edge", F.coalesce("n", F.lit(0)).alias("n"), F.max(own).over(Window.orderBy("k")).alias("distance"))  # bands + 1 rows
+
+
+def admitted(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs (ratio, distance) with ``allowed`` and ``admitted``: whether one unit can have both, by ``limits``. Ratios beyond the last edge are not admitted."""
+    rows = found.orderBy("k").collect()
+    edges, most = [r.edge for r in rows], [r.distance for r in rows]
+    allowed = F.array(*map(F.lit, most))[F.greatest(band(F.col("ratio"), edges), F.lit(0))]
+    return pairs.withColumn("allowed", allowed).withColumn("admitted", (F.col("ratio") <= edges[-1]) & (F.col("distance") <= allowed))
+
+
+def along_curve(waves: DataFrame, bands: int = 5) -> DataFrame:
+    """cluster, share, scatter: the scatter of directions about their mean, and what share of it the mean directions of bands of the norm account for; null for clusters of ``bands`` events or fewer.
+
+    Bands part the norms at their exact quantiles. Scatter is of sums by cluster, band and element, so no cluster is gathered."""
+    d = directions(waves)
+    cuts = d.groupBy("cluster").agg(F.percentile("size", F.array(*(F.lit(k / bands) for k in range(1, bands)))).alias("cuts"))
+    inside = d.join(cuts, "cluster").withColumn("band", F.size(F.filter("cuts", lambda c: c <= F.col("size"))))
+    sums = inside.select("cluster", "band", F.posexplode("u").alias("at", "v")).groupBy("cluster", "band", "at").agg(F.sum("v").alias("s"), F.count(F.lit(1)).alias("n"))
+    whole = Window.partitionBy("cluster", "at")
+    each = sums.select("cluster", "at", (F.col("s") * F.col("s") / F.col("n")).alias("own"), F.sum("s").over(whole).alias("all"), F.sum("n").over(whole).alias("total"), F.row_number().over(whole.orderBy("band")).alias("k"))
+    one = each.groupBy("cluster").agg(F.sum("own").alias("own"), F.sum(F.when(F.col("k") == 1, F.col("all") * F.col("all") / F.col("total"))).alias("middle"), F.max("total").alias("total"))
+    scatter, enough = F.col("total") - F.col("middle"), F.col("total") > bands
+    return one.select("cluster", F.when(enough, (F.col("own") - F.col("middle")) / F.greatest(scatter, F.lit(1e-30))).alias("share"), F.when(enough, scatter).alias("scatter"))

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import last_before, pair_counts
+from .joins import last_before, pair_counts, squares
+
+#: Parts that units are dealt into where all pairs of them are asked for; and events that a part of them has, about, where their trains are compared.
+PARTS, PART_EVENTS = 16, 10_000
 
 HOUR, MINUTE, DAY = 3_600_000_000, 60_000_000, 86_400_000_000
 
@@ -82,9 +87,9 @@ def powered(trains: DataFrame, width: float, least: float) -> DataFrame:
     n = trains.groupBy("unit").agg(F.count(F.lit(1)).alias("n_unit")).crossJoin(F.broadcast(trains.agg((F.max("t") - F.min("t")).alias("span"))))
     top = n.agg(F.max("n_unit").alias("top"))
     able = n.crossJoin(F.broadcast(top)).where(F.lit(width) * F.col("n_unit") * F.col("top") / F.col("span") >= least - 1e-6)
-    side = lambda c: able.select(F.col("unit").cast("bigint").alias(c), F.col("n_unit").alias(f"n_{c}"), *([F.col("span")] if c == "a" else []))
     expected = F.round(F.lit(width) * F.col("n_a") * F.col("n_b") / F.col("span"), 6)
-    return side("a").join(side("b"), F.col("a") < F.col("b")).withColumn("expected", expected).where(F.col("expected") >= least).drop("span")
+    pairs = squares(able.select("unit", F.col("n_unit").alias("n"), "span"), PARTS, "n", "span").withColumnRenamed("span_a", "span")
+    return pairs.withColumn("expected", expected).where(F.col("expected") >= least).select("a", "b", "n_a", "n_b", "expected")
 
 
 def refractory_gate(trains: DataFrame, refractory: int = HOUR, censor: int = MINUTE, least: float = 5.0, limit: float = 0.3, names: tuple[str, str, str] = ("abstain", "veto", "allow")) -> DataFrame:
@@ -98,21 +103,31 @@ def split_gate(trains: DataFrame, refractory: int = HOUR, censor: int = MINUTE,
     return refractory_gate(trains, refractory, censor, least, limit, ("abstain", "genuine", "spurious"))
 
 
-def overlap_gate(trains: DataFrame, pairs: DataFrame, refractory: int = HOUR, censor: int = MINUTE, least: float = 5.0, limit: float = 0.3) -> DataFrame:
-    """a, b, n_a, n_b, n, expected, verdict of pairs (a, b), on the time that both trains span; pairs apart in time abstain."""
+def counts_between(trains: DataFrame, asked: DataFrame) -> DataFrame:
+    """``asked`` (unit, lo, hi and others) with ``n``, how many events the unit has from lo to hi: the events up to hi less those before lo, both told by one running count over the unit's events and bounds."""
+    bounds = F.explode(F.array(F.struct(F.col("lo").alias("t"), F.lit(0).alias("_s")), F.struct(F.col("hi").alias("t"), F.lit(2).alias("_s"))))
+    marks = asked.select(*asked.columns, bounds.alias("_m")).select(*asked.columns, F.col("_m.t").alias("t"), F.col("_m._s").alias("_s"))
+    both = marks.unionByName(trains.select("unit", "t").withColumn("_s", F.lit(1)), allowMissingColumns=True)
+    upto = F.count(F.when(F.col("_s") == 1, 1)).over(Window.partitionBy("unit").orderBy("t", "_s").rowsBetween(Window.unboundedPreceding, 0))
+    told = both.withColumn("_n", upto).where("_s <> 1")
+    return told.groupBy(*asked.columns).agg((F.max(F.when(F.col("_s") == 2, F.col("_n"))) - F.max(F.when(F.col("_s") == 0, F.col("_n")))).alias("n"))
+
+
+def overlap_gate(trains: DataFrame, pairs: DataFrame | None = None, refractory: int = HOUR, censor: int = MINUTE, least: float = 5.0, limit: float = 0.3) -> DataFrame:
+    """a, b, n_a, n_b, n, expected, verdict of pairs (a, b), all if none are given, on the time that both trains span; pairs apart in time abstain."""
     ends = trains.groupBy("unit").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
-    side = lambda c: ends.select(F.col("unit").alias(c), F.col("lo").alias(f"lo_{c}"), F.col("hi").alias(f"hi_{c}"))
-    spans = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", F.greatest("lo_a", "lo_b").alias("lo"), F.least("hi_a", "hi_b").alias("hi"))
-    inside = lambda c: trains.select(F.col("unit").alias(c), "t").join(spans.where("hi > lo"), c).where("t between lo and hi")
-    counts = lambda c: inside(c).groupBy("a", "b").agg(F.count(F.lit(1)).alias(f"n_{c}"))
-    reach = F.lit(refractory)
-    bucket = F.floor(F.col("t") / reach)
-    left = inside("a").select("a", "b", "t", F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_w"))
-    right = inside("b").select("a", "b", F.col("t").alias("u"), F.floor(F.col("t") / reach).alias("_w"))
-    apart = F.abs(F.col("t") - F.col("u"))
-    n = left.join(right, ["a", "b", "_w"]).where((apart > censor) & (apart <= refractory)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    if pairs is None:
+        spans = squares(ends, PARTS, "lo", "hi")
+    else:
+        side = lambda c: ends.select(F.col("unit").alias(c), F.col("lo").alias(f"lo_{c}"), F.col("hi").alias(f"hi_{c}"))
+        spans = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    spans = spans.select("a", "b", F.greatest("lo_a", "lo_b").alias("lo"), F.least("hi_a", "hi_b").alias("hi"))
+    meet = spans.where("hi > lo")
+    counts = lambda c: counts_between(trains, meet.withColumn("unit", F.col(c))).select("a", "b", F.col("n").alias(f"n_{c}"))
+    n = pair_counts(trains.join(ends, "unit"), [(censor, refractory)], shared=True).select("a", "b", F.col("n0").alias("n"))
     rows = spans.join(counts("a"), ["a", "b"], "left").join(counts("b"), ["a", "b"], "left").join(n, ["a", "b"], "left").fillna(0, ["n", "n_a", "n_b"])
     expected = F.when(F.col("hi") > F.col("lo"), F.round(F.lit(2.0 * (refractory - censor)) * F.col("n_a") * F.col("n_b") / (F.col("hi") - F.col("lo")), 6)).otherwise(0.0)
+    rows = rows.withColumn("n", F.when(F.col("hi") > F.col("lo"), F.col("n")).otherwise(0))
     return judged(rows.withColumn("expected", expected), least, limit, ("abstain", "veto", "allow")).select("a", "b", "n_a", "n_b", "n", "expected", "verdict")
 
 
@@ -136,13 +151,13 @@ def exact_lags(trains: DataFrame, lags: list[int]) -> DataFrame:
     return hit.groupBy("a", "b").agg(*(F.count(F.when(F.col("k") == n, 1)).alias(n) for n in names))
 
 
-def merge_verdict(trains: DataFrame, pairs: DataFrame, unit: int = HOUR, step: int = DAY, least: int = 30) -> DataFrame:
-    """a, b, dip (events per unit of time at lags of 2 to 5, by those at 10 to 20), r (of binned counts), verdict of pairs (a, b): SAME? with a dip and rates that don't rise together, distinct? without a dip, else review. Units of
+def merge_verdict(trains: DataFrame, unit: int = HOUR, step: int = DAY, least: int = 30) -> DataFrame:
+    """a, b, dip (events per unit of time at lags of 2 to 5, by those at 10 to 20), r (of binned counts), verdict of all pairs a < b: SAME? with a dip and rates that don't rise together, distinct? without a dip, else review. Units of
     fewer than ``least`` events are left out."""
     n = trains.groupBy("unit").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select("unit")
-    some = pairs.select("a", "b").join(n.withColumnRenamed("unit", "a"), "a", "left_semi").join(n.withColumnRenamed("unit", "b"), "b", "left_semi")
-    bands = lag_bands(trains, ((2, 5), (10, 20)), unit)
-    rows = some.join(bands, ["a", "b"], "left").na.fill(0.0, ["band_0", "band_1"]).join(rate_correlation(trains, some, step), ["a", "b"], "left")
+    some = trains.join(n, "unit", "left_semi")
+    bands = lag_bands(some, ((2, 5), (10, 20)), unit)
+    rows = rate_correlation(some, step).join(bands, ["a", "b"], "left").na.fill(0.0, ["band_0", "band_1"])
     dip = F.round(F.col("band_0") / (F.col("band_1") + 1e-9), 6)
     verdict = F.when((F.col("dip") < 0.5) & (F.col("r") < 0.2), "SAME?").when(F.col("dip") > 0.8, "distinct?").otherwise("review")
     return rows.withColumn("dip", dip).select("a", "b", "dip", "r", verdict.alias("verdict"))
@@ -216,17 +231,64 @@ def bimodality(trains: DataFrame, least: int = 12) -> DataFrame:
     return g.select("unit", "n", F.when((n < least) | (F.col("s") < 1e-9), F.lit(0.0)).otherwise(F.round(c, 5)).alias("coefficient"))
 
 
-def rate_correlation(trains: DataFrame, pairs: DataFrame, step: int = DAY) -> DataFrame:
-    """a, b, r of pairs (a, b): the correlation of their counts in bins from the first event of either to the last; null for fewer than four bins or counts that are all equal. Only bins that have an event
-    are rows; the others count as zeros in the sums."""
-    t = trains.select("unit", "t")
-    both = pairs.select("a", "b").join(t.withColumnRenamed("unit", "a"), "a").select("a", "b", "t", F.lit(1).alias("x"), F.lit(0).alias("y")).unionByName(pairs.select("a", "b").join(t.withColumnRenamed("unit", "b"), "b").select("a", "b", "t", F.lit(0).alias("x"), F.lit(1).alias("y")))
-    ends = both.groupBy("a", "b").agg(F.min("t").alias("t0"), F.ceil((F.max("t") - F.min("t")) / step).alias("k"))
-    bins = both.join(ends, ["a", "b"]).groupBy("a", "b", "k", F.least(F.floor((F.col("t") - F.col("t0")) / step), F.col("k") - 1).alias("bin")).agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-    s = bins.groupBy("a", "b", "k").agg(*(F.sum(F.col(p) * F.col(q)).cast("double").alias(p + q) for p, q in ("xx", "yy", "xy")), F.sum("x").alias("x"), F.sum("y").alias("y"))
-    cov = lambda p, q: F.col(p + q) * F.col("k") - F.col(p) * F.col(q)
-    r = F.round(cov("x", "y") / F.sqrt(F.nullif(cov("x", "x") * cov("y", "y"), F.lit(0.0))), 6)
-    return s.select("a", "b", F.when(F.col("k") >= 4, r).alias("r"))
+def rate_correlation(trains: DataFrame, step: int = DAY, part_events: int = PART_EVENTS) -> DataFrame:
+    """a, b, r of all pairs a < b of units: the correlation of their counts in bins from the first event of either to the last; null for fewer than four bins or counts that are all equal.
+
+    Units are dealt into parts of about ``part_events`` events by a hash, and each pair of parts is a task's work, so a train is sent once for each part and neither side whole. A pair's bins begin with the earlier train, so
+    for each unit the bins of all that begin later are counted at once; only bins with an event are held. The times of a unit are in one task together, 8 bytes an event."""
+    n = trains.count()
+    parts = max(1, -(-n // part_events))
+    own = F.pmod(F.xxhash64("unit"), F.lit(parts)).cast("int")
+    square = lambda k: F.struct(F.least(own, k).alias("p"), F.greatest(own, k).alias("q"))
+    dealt = trains.where("unit IS NOT NULL AND t IS NOT NULL").select(F.col("unit").cast("bigint").alias("unit"), "t", own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("k")).withColumn("s", square(F.col("k")))
+
+    def pairs(part: pa.Table) -> pa.Table:
+        unit, t, own = (part.column(c).to_numpy() for c in ("unit", "t", "own"))
+        alone = len(set(part.column("s")[0].as_py().values())) == 1
+        order = np.lexsort((t, unit))
+        unit, t, own = unit[order], t[order], own[order]
+        ids, first, code = np.unique(unit, return_index=True, return_inverse=True)
+        begin, end, home = t[first], t[np.r_[first[1:] - 1, len(t) - 1]] if len(t) else t, own[first]
+        size = np.diff(np.r_[first, len(t)])
+        out: list[np.ndarray] = []
+        for a in range(len(ids)):
+            # units that begin later, or with it and have a larger id; of two parts, those of the other one
+            other = ((begin > begin[a]) | ((begin == begin[a]) & (np.arange(len(ids)) > a))) & (alone | (home != home[a]))
+            if not other.any():
+                continue
+            bins = np.ceil((np.maximum(end, end[a]) - begin[a]) / step).astype(np.int64)
+            index, mine = np.unique((t[first[a] : first[a] + size[a]] - begin[a]) // step, return_counts=True)
+            some = other[code]
+            which, k = code[some], (t[some] - begin[a]) // step
+            # an event at the very end is in the last bin
+            k = np.clip(k, 0, np.maximum(bins[which] - 1, 0))
+            keys, counts = np.unique(which * (int(bins.max()) + 1) + k, return_counts=True)
+            which, k = keys // (int(bins.max()) + 1), keys % (int(bins.max()) + 1)
+            total = np.bincount(which, counts, len(ids))
+            square = np.bincount(which, counts.astype(float) ** 2, len(ids))
+            rest = np.flatnonzero(other)
+            # the last bin of a itself depends on the pair
+            last = np.minimum(index[None, :], bins[rest][:, None] - 1)
+            clipped = (index[None, :] > bins[rest][:, None] - 1).any(1) & (bins[rest] >= 4)
+            at = np.searchsorted(index, k)
+            hit = (at < len(index)) & (index[np.minimum(at, len(index) - 1)] == k)
+            product = np.bincount(which[hit], counts[hit] * mine[at[hit]], len(ids))
+            own_square = np.full(len(ids), float((mine.astype(float) ** 2).sum()))
+            for j in np.flatnonzero(clipped):
+                b = rest[j]
+                x = np.bincount(last[j], mine, bins[b])
+                y = np.bincount(k[which == b], counts[which == b], bins[b])
+                product[b], own_square[b] = float(x @ y), float(x @ x)
+            out.append(np.stack([np.full(len(rest), a), rest, bins[rest], np.full(len(rest), mine.sum()), total[rest], own_square[rest], square[rest], product[rest]], 1))
+        got = np.concatenate(out) if out else np.zeros((0, 8))
+        m, x, y, xx, yy, xy = got[:, 2:].T
+        with np.errstate(all="ignore"):
+            r = (xy * m - x * y) / np.sqrt((xx * m - x * x) * (yy * m - y * y))
+        r = np.where((m >= 4) & (xx * m - x * x > 0) & (yy * m - y * y > 0), r, np.nan)
+        a, b = ids[got[:, 0].astype(int)] if len(got) else np.zeros(0, np.int64), ids[got[:, 1].astype(int)] if len(got) else np.zeros(0, np.int64)
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64()), "r": pa.array(r, pa.float64(), from_pandas=True)})
+
+    return dealt.select("unit", "t", "own", "s").groupBy("s").applyInArrow(pairs, "a bigint, b bigint, r double").withColumn("r", F.round("r", 6))
 
 
 def chunks(trains: DataFrame, length: int = DAY, overlap: int = 8 * HOUR) -> DataFrame:

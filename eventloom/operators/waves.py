@@ -218,11 +218,6 @@ def mean_shift(waves: DataFrame, samples: int, channels: int, matrix=None, mean=
     return relabelled(waves, samples, channels, kernel)
 
 
-def mixture(waves: DataFrame, samples: int, channels: int, parts: int = 6, most: int = 8, least: int = 20) -> DataFrame:
-    """event, cluster (the chunk), part: the classification mixture of principal components, -1 for noise and small clusters."""
-    return relabelled(waves, samples, channels, lambda w: clusters.mixture_or_none(clusters.scores(w.reshape(len(w), -1), min(parts, len(w))), most, least))
-
-
 def split_by_dip(waves: DataFrame, samples: int, channels: int, parts: int = 3, least: int = 40, alpha: float = 0.01) -> DataFrame:
     return relabelled(waves, samples, channels, lambda w: clusters.dip_tree_realigned(w, np.arange(samples), parts, least, alpha))
 

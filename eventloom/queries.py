@@ -69,13 +69,7 @@ def split_gate(spark, d):
     return trains.split_gate(event_trains(spark, d))
 
 
-def next_pairs(spark, d):
-    """a, b: units and those numbered next."""
-    u = event_trains(spark, d).select(F.col("unit").alias("a")).distinct()
-    return u.withColumn("b", F.col("a") + 1).join(u.withColumnRenamed("a", "b"), "b", "left_semi").select("a", "b")
-
-
-NEXT = "np AS (SELECT a.unit AS a, b.unit AS b FROM (SELECT DISTINCT unit FROM e) a JOIN (SELECT DISTINCT unit FROM e) b ON b.unit = a.unit + 1)"
+NEXT = "np AS (SELECT a.unit AS a, b.unit AS b FROM (SELECT DISTINCT unit FROM e) a JOIN (SELECT DISTINCT unit FROM e) b ON a.unit < b.unit)"
 
 
 @query(f"""WITH {E}, {NEXT}, s AS (SELECT unit, min(t) AS lo, max(t) AS hi FROM e GROUP BY 1), o AS (SELECT a, b, greatest(x.lo, y.lo) AS lo, least(x.hi, y.hi) AS hi FROM np JOIN s x ON x.unit = a JOIN s y ON y.unit = b),
@@ -84,7 +78,7 @@ n AS (SELECT x.a, x.b, count(*) AS n FROM x JOIN y ON x.a = y.a AND x.b = y.b AN
 z AS (SELECT o.a, o.b, coalesce(n_a, 0) AS n_a, coalesce(n_b, 0) AS n_b, coalesce(n, 0) AS n, CASE WHEN hi > lo THEN round({2.0 * (H - M)} * coalesce(n_a, 0) * coalesce(n_b, 0) / (hi - lo), 6) ELSE 0 END AS expected FROM o LEFT JOIN (SELECT a, b, count(*) AS n_a FROM x GROUP BY 1, 2) USING (a, b) LEFT JOIN (SELECT a, b, count(*) AS n_b FROM y GROUP BY 1, 2) USING (a, b) LEFT JOIN n USING (a, b))
 SELECT *, CASE WHEN expected < 5 THEN 'abstain' WHEN n > 0.3 * expected THEN 'veto' ELSE 'allow' END AS verdict FROM z""")
 def overlap_gate(spark, d):
-    return trains.overlap_gate(event_trains(spark, d), next_pairs(spark, d))
+    return trains.overlap_gate(event_trains(spark, d))
 
 
 @query(f"WITH {E}, p AS (SELECT a.unit AS a, b.unit AS b, b.t - a.t AS lag FROM e a JOIN e b ON a.unit < b.unit AND b.t BETWEEN a.t - {12 * H} AND a.t + {12 * H}) SELECT a, b, " + ", ".join(f"round(count(*) FILTER ((lag >= {lo * H} AND lag < {hi * H}) OR (lag >= {-hi * H} AND lag < {-lo * H})) / {2 * (hi - lo)}, 6) AS band_{k}" for k, (lo, hi) in enumerate(((0, 1), (1, 2), (2, 6), (6, 12)))) + " FROM p GROUP BY 1, 2")
@@ -123,14 +117,14 @@ def bimodality(spark, d):
     return trains.bimodality(event_trains(spark, d))
 
 
-RATE = f"""{NEXT}, pt AS (SELECT a, b, t, (unit = a)::INT AS x, (unit = b)::INT AS y FROM np JOIN e ON unit IN (a, b)), pe AS (SELECT a, b, min(t) AS t0, ceil((max(t) - min(t)) / {D})::BIGINT AS k FROM pt GROUP BY 1, 2),
+RATE = f"""{NEXT}, pt AS (SELECT a, b, t, 1 AS x, 0 AS y FROM np JOIN e ON unit = a UNION ALL SELECT a, b, t, 0, 1 FROM np JOIN e ON unit = b), pe AS (SELECT a, b, min(t) AS t0, ceil((max(t) - min(t)) / {D})::BIGINT AS k FROM pt GROUP BY 1, 2),
 pg AS (SELECT a, b, k, unnest(range(k)) AS bin FROM pe), pc AS (SELECT a, b, least((t - t0) // {D}, k - 1) AS bin, sum(x) AS x, sum(y) AS y FROM pt JOIN pe USING (a, b) GROUP BY 1, 2, 3),
 pr AS (SELECT a, b, CASE WHEN any_value(k) >= 4 AND var_pop(coalesce(x, 0)) > 0 AND var_pop(coalesce(y, 0)) > 0 THEN round(corr(coalesce(x, 0), coalesce(y, 0)), 6) + 0.0 END AS r FROM pg LEFT JOIN pc USING (a, b, bin) GROUP BY 1, 2)"""
 
 
 @query(f"WITH {E}, {RATE} SELECT a, b, r FROM pr")
 def rate_corr(spark, d):
-    return trains.rate_correlation(event_trains(spark, d), next_pairs(spark, d)).withColumn("r", F.col("r") + 0.0)
+    return trains.rate_correlation(event_trains(spark, d)).withColumn("r", F.col("r") + 0.0)
 
 
 @query(f"""WITH {E}, {RATE}, s AS (SELECT unit FROM e GROUP BY 1 HAVING count(*) >= 30), l AS (SELECT np.a, np.b, y.t - x.t AS lag FROM np JOIN e x ON x.unit = np.a JOIN e y ON y.unit = np.b WHERE np.a IN (FROM s) AND np.b IN (FROM s) AND abs(y.t - x.t) <= {20 * H}),
@@ -138,7 +132,7 @@ c AS (SELECT a, b, round(count(*) FILTER ((lag >= {2 * H} AND lag < {5 * H}) OR
 v AS (SELECT np.a, np.b, round(coalesce(near, 0) / (coalesce(far, 0) + 1e-9), 6) AS dip, r FROM np LEFT JOIN c USING (a, b) JOIN pr USING (a, b) WHERE np.a IN (FROM s) AND np.b IN (FROM s))
 SELECT a, b, dip, r, CASE WHEN dip < 0.5 AND r < 0.2 THEN 'SAME?' WHEN dip > 0.8 THEN 'distinct?' ELSE 'review' END AS verdict FROM v""")
 def merge_verdict(spark, d):
-    return trains.merge_verdict(event_trains(spark, d), next_pairs(spark, d)).withColumn("r", F.col("r") + 0.0)
+    return trains.merge_verdict(event_trains(spark, d)).withColumn("r", F.col("r") + 0.0)
 
 
 @query(f"WITH {E}, g AS (SELECT unit % 10 AS grp, t - lag(t) OVER (PARTITION BY unit % 10 ORDER BY t, event) AS gap FROM e) SELECT grp AS \"group\", count(*) AS n, round(count(*) FILTER (gap < {H}) / nullif(count(gap), 0), 6) AS fraction FROM g GROUP BY 1")

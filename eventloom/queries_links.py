@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .named import D, E, G, H, query
-from .operators import baseline, collisions, consensus, continuity, robust, templates, trains
+from .operators import adaptation, baseline, collisions, consensus, continuity, linkage, paths, robust, templates, trains
 from .sources.tables import table, trains as event_trains, waves
 
 #: Tracks: a unit between two pauses of six hours, numbered by the unit and the pauses before.
@@ -171,3 +171,43 @@ def collision_pairs(spark, d):
     w = waves(spark, d)
     held = collisions.bank(templates.templates(w), 4, range(-2, 3))
     return collisions.decomposed(w, held).select("event", "k1", F.round("a1", 5).alias("a1"), "k2", F.col("shift2").cast("bigint").alias("shift2"), F.round("a2", 5).alias("a2"), F.round("r1", 5).alias("r1"), F.round("gain", 5).alias("gain"))
+
+
+TAUS = (2 * H, 8 * H, D)
+
+
+@query(f"""WITH {E}, ld AS (SELECT x.event, x.unit, x.amp, x.t, k.tau, coalesce(sum(exp(-(x.t - y.t) / k.tau::DOUBLE)), 0) AS a FROM e x CROSS JOIN (SELECT unnest([{", ".join(map(str, TAUS))}]) AS tau) k LEFT JOIN e y ON y.unit = x.unit AND (y.t, y.event) < (x.t, x.event) GROUP BY ALL),
+rk AS (SELECT event, row_number() OVER (PARTITION BY unit ORDER BY amp, t, event) AS r FROM e), cr AS (SELECT unit, tau, count(*) AS n, corr(a, -r) AS c, regr_slope(amp, a) AS b1, regr_intercept(amp, a) AS b0 FROM ld JOIN rk USING (event) GROUP BY 1, 2 HAVING count(*) >= 10),
+bs AS (SELECT * FROM cr QUALIFY row_number() OVER (PARTITION BY unit ORDER BY abs(c) DESC, tau) = 1), ev AS (SELECT ld.event, ld.unit, ld.tau, a, amp, c, b0, b0 + b1 * a AS law FROM ld JOIN bs USING (unit, tau)),
+md AS (SELECT unit, median(amp - law) AS m FROM ev GROUP BY 1), sg AS (SELECT unit, median(abs(amp - law - m)) * 1.4826 + 1e-9 AS s FROM ev JOIN md USING (unit) GROUP BY 1)
+SELECT event, unit, tau::BIGINT AS tau, round(a, 5) AS load, round(amp * CASE WHEN abs(c) >= 0.2 THEN least(5, greatest(0.2, b0 / greatest(law, 1e-6))) ELSE 1 END, 4) AS amp, round((amp - law) / s, 4) AS z FROM ev JOIN sg USING (unit)""")
+def deadapted_amplitudes(spark, d):
+    e = adaptation.deadapted(event_trains(spark, d), list(TAUS))
+    return e.select("event", "unit", "tau", F.round("load", 5).alias("load"), F.round("amp", 4).alias("amp"), F.round("z", 4).alias("z"))
+
+
+def cramer(k: int) -> str:
+    """The sums of round k, and the path by them."""
+    sums = ", ".join(f"sum(w * x ** {j}) AS s{j}" for j in range(5)) + ", " + ", ".join(f"sum(w * x ** {j} * v) AS y{j}" for j in range(3))
+    d3 = "(s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2))"
+    a, b, c = "y0 * (s2 * s4 - s3 * s3) - s1 * (y1 * s4 - s3 * y2) + s2 * (y1 * s3 - s2 * y2)", "s0 * (y1 * s4 - y2 * s3) - y0 * (s1 * s4 - s3 * s2) + s2 * (s1 * y2 - y1 * s2)", "s0 * (s2 * y2 - s3 * y1) - s1 * (s1 * y2 - s2 * y1) + y0 * (s1 * s3 - s2 * s2)"
+    line = "(y0 * s2 - y1 * s1) / (s0 * s2 - s1 * s1) + x * (s0 * y1 - s1 * y0) / (s0 * s2 - s1 * s1)"
+    return f"""f{k} AS (SELECT bundle, {sums} FROM w{k} GROUP BY 1), p{k} AS (SELECT w.*, v - CASE WHEN n >= 4 AND {d3} > 1e-9 * s0 ** 3 THEN ({a} + x * ({b}) + x * x * ({c})) / {d3}
+WHEN n >= 2 AND s0 * s2 - s1 * s1 > 1e-9 * s0 * s0 THEN {line} ELSE y0 / s0 END AS r FROM w{k} w JOIN f{k} USING (bundle)), q{k} AS (SELECT bundle, median(abs(r)) * 1.4826 + 1e-9 AS s FROM p{k} GROUP BY 1),
+w{k + 1} AS (SELECT bundle, member, n, x, v, (1 / (1 + (r / (3 * s)) ** 2)) ** 2 AS w FROM p{k} JOIN q{k} USING (bundle))"""
+
+
+@query(f"""WITH {ATOMS}, m AS (SELECT local AS bundle, chunk AS member, chunk AS t, depth AS v FROM am), b AS (SELECT bundle, count(*) AS n, avg(t) AS mid, coalesce(nullif(stddev_pop(t), 0), 1) AS wide FROM m GROUP BY 1),
+w0 AS (SELECT bundle, member, n, (t - mid) / wide AS x, v, 1.0 AS w FROM m JOIN b USING (bundle)), {cramer(0)}, {cramer(1)}, {cramer(2)} SELECT bundle, member, n, round(r, 5) + 0.0 AS residual, round(w, 5) AS weight FROM p2""")
+def robust_paths(spark, d):
+    m = atoms(spark, d).select(F.col("local").alias("bundle"), F.col("chunk").alias("member"), F.col("chunk").alias("t"), "depth")
+    return paths.paths(m, "depth", rounds=2).select("bundle", "member", "n", (F.round("residual", 5) + 0.0).alias("residual"), F.round("weight", 5).alias("weight"))
+
+
+@query()
+def linked_cliques(spark, d):
+    """Waveforms of one chunk in six with cosines of 0.15 or more."""
+    w = waves(spark, d).select(F.col("event").alias("node"), (F.col("event") % 6).alias("chunk"), "w")
+    side = lambda c, v: w.select(F.col("node").alias(c), "chunk", F.col("w").alias(v))
+    pairs = side("a", "u").join(side("b", "v"), "chunk").where("a < b").withColumn("distance", 1 - continuity.cosine("u", "v")).where("distance <= 0.85")
+    return linkage.complete_linkage(w, pairs.select("a", "b", "distance"))

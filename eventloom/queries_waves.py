@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from .named import ORACLES, QUERIES, query
-from .functions import cable
-from .operators import bundles, cells, envelopes, places, templates
+from .operators import bundles, envelopes, mixtures, places, templates
 from .operators import waves as kernels
 from .sources.tables import table, waves
 
@@ -115,13 +113,15 @@ def curve_statistics(spark, d):
 
 @query()
 def directional_mean_shift(spark, d):
-    """All waves as one chunk."""
-    return kernels.mean_shift(waves(spark, d).withColumn("w", F.transform("w", lambda x: x * (1 + F.col("event") % 97 / 97.0))).withColumn("cluster", F.lit(0)), S, C, least=20, band=1.0, near_radius=9.0)
+    """A chunk is a hundred waves."""
+    return kernels.mean_shift(waves(spark, d).withColumn("w", F.transform("w", lambda x: x * (1 + F.col("event") % 97 / 97.0))).withColumn("cluster", F.floor(F.col("event") / 100)), S, C, least=20, band=1.0, near_radius=9.0)
 
 
 @query()
 def classification_mixture(spark, d):
-    return kernels.mixture(waves(spark, d).withColumn("cluster", F.lit(0)), S, C, 4, 6)
+    """The first four values of a waveform, moved for each third of the clusters."""
+    x = waves(spark, d).select("event", F.transform(F.slice("w", 1, 4), lambda v, k: v + F.when(k == F.col("cluster") % 3, 2.0).otherwise(0.0)).alias("x"))
+    return mixtures.mixture(x, 4, rounds=8)
 
 
 @query()
@@ -185,27 +185,15 @@ lim AS (SELECT greatest(min(ratio), 1 + 1e-6) AS lo, greatest(max(ratio), 1 + 1e
 b AS (SELECT *, coalesce(lead(edge) OVER (ORDER BY k), 'inf'::DOUBLE) AS up FROM e), q AS (SELECT k, any_value(edge) AS edge, CASE WHEN count(distance) >= 5 THEN quantile_cont(distance, 0.99) ELSE 0 END AS q FROM b LEFT JOIN r ON ratio >= edge AND ratio < up GROUP BY 1)
 SELECT k, round(edge, 6) AS edge, round(greatest(0, max(q) OVER (ORDER BY k)), 6) AS most FROM q""")
 def envelope_bands(spark, d):
-    found = envelopes.envelope(envelopes.changes(louder(spark, d), S, C, 1000))
-    return spark.createDataFrame([(k, round(float(e), 6), round(float(m), 6)) for k, (e, m) in enumerate(zip(found.edges, found.limits, strict=True))], "k bigint, edge double, most double")
+    return envelopes.limits(envelopes.changes(louder(spark, d), None)).select(F.col("k").cast("bigint").alias("k"), F.round("edge", 6).alias("edge"), F.round("distance", 6).alias("most"))
 
 
-@query()
+@query("""WITH v AS (SELECT vec_id AS event, label AS cluster, embedding::DOUBLE[] AS w, vec_id * 7919 % 1000 / 250 + 1 AS g FROM embeddings), n AS (SELECT event, cluster, sqrt(list_dot_product(w, w)) * g AS size, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) AS u FROM v),
+q AS (SELECT cluster, quantile_cont(size, [0.2, 0.4, 0.6, 0.8]) AS cuts FROM n GROUP BY 1), b AS (SELECT cluster, len(list_filter(cuts, lambda c: c <= size)) AS band, unnest(range(64)) AS k, unnest(u) AS u FROM n JOIN q USING (cluster)),
+m AS (SELECT cluster, k, avg(u) AS m, sum(u * u) AS uu, count(*) AS n FROM b GROUP BY 1, 2), g AS (SELECT cluster, band, k, avg(u) AS g, count(*) AS c FROM b GROUP BY 1, 2, 3), t AS (SELECT cluster, sum(uu - n * m * m) AS scatter FROM m GROUP BY 1)
+SELECT cluster::BIGINT AS cluster, round(sum(c * (g - m) ** 2) / any_value(scatter), 6) AS share, round(any_value(scatter), 6) AS scatter FROM g JOIN m USING (cluster, k) JOIN t USING (cluster) GROUP BY 1""")
 def along_curve(spark, d):
-    return envelopes.along_curve(louder(spark, d), S, C)
-
-
-def small_cell():
-    """A soma, an apical trunk, a basal dendrite and an axon."""
-    parts = [([[0, -8, 0, 16], [0, 8, 0, 16]], cable.SOMA, -1, 1.0), ([[0, 8, 0, 3], [0, 200, 0, 2]], cable.APICAL, 0, 1.0), ([[0, -8, 0, 2], [0, -120, 0, 1]], cable.BASAL, 0, 0.0), ([[0, -8, 0, 1.5], [30, -60, 0, 1]], cable.AXON, 0, 0.0)]
-    return cable.divided([cable.Section(np.array(points, float), kind, parent, at) for points, kind, parent, at in parts], 0.3)
-
-
-@query()
-def simulated_cells(spark, d):
-    """A cell for each nation, of growing sodium density, at a probe beside it; the second of two pulses by the first."""
-    membranes = table(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("cell"), (F.col("n_nationkey") * 0.001 + 0.02).alias("sodium"))
-    sites = [(20.0, 20.0 * k - 40, 0.0) for k in range(4)]
-    return cells.recovery(cells.simulated(membranes, small_cell(), sites, (5.0, 17.0), dt=0.025, amplitude=1.5), 12.0, 42, 4)
+    return envelopes.along_curve(louder(spark, d)).select("cluster", F.round("share", 6).alias("share"), F.round("scatter", 6).alias("scatter"))
 
 
 @query()

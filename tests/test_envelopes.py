@@ -1,103 +1,115 @@
-"""Envelopes and recoveries against plain loops and planted curves."""
+"""Limits of change, shares along the curve and mixtures against plain loops and planted cases."""
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from eventloom.functions import envelopes
-from eventloom.operators import envelopes as tables
+from eventloom.operators import envelopes, mixtures
 
 R = np.random.default_rng(3)
 WAVES = R.normal(size=(60, 8, 4)) * R.uniform(1, 6, 60)[:, None, None] + np.ones((60, 8, 4))
+ROWS = [(k, k % 2, (WAVES[k] if k % 2 else WAVES[k][::-1] * 2).ravel().tolist()) for k in range(60)]
+ODD = [(99, 7, WAVES[0].ravel().tolist()), (100, None, WAVES[0].ravel().tolist()), (101, 1, None), (102, 1, [0.0] * 32)]
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, "event bigint, cluster int, w array<double>")
 
 
 def plain_pairs(w):
-    flat = [x.ravel() for x in w]
+    flat = [np.ravel(x) for x in w]
     for i in range(len(flat)):
         for j in range(i + 1, len(flat)):
             n, m = np.linalg.norm(flat[i]), np.linalg.norm(flat[j])
             yield max(n, m) / min(n, m), 1 - flat[i] @ flat[j] / n / m
 
 
-def test_trains_by_name():
-    assert envelopes.train("single", 2) == [2]
-    assert envelopes.train("burst4_5") == [5, 10, 15, 20]
-    assert envelopes.train("tonic_10") == [5 + 100 * k for k in range(6)] and len(envelopes.train("tonic_4_3")) == 3
-    assert envelopes.train("recover") == [5, 9, 13, 17, 317] and envelopes.train("recover_2_50") == [5, 7, 9, 11, 61]
-    for wrong in ("", "burst", "burst4", "tonic", "pause_3"):
-        with pytest.raises(ValueError):
-            envelopes.train(wrong)
-
-
-def test_pairs_and_bands():
-    r, d = envelopes.pair_changes(WAVES)
-    assert np.allclose(np.stack([r, d], 1), list(plain_pairs(WAVES)))
-    e = envelopes.fitted_envelope(r, d, 0.9, 6)
-    top = 0.0
-    for k, low in enumerate(e.edges):
-        high = e.edges[k + 1] if k + 1 < len(e.edges) else np.inf
-        inside = d[(r >= low) & (r < high)]
-        top = max(top, np.quantile(inside, 0.9) if len(inside) >= 5 else 0.0)
-        assert np.isclose(e.limits[k], top)
-    assert e.most == r.max() and (np.diff(e.limits) >= 0).all() and e.allowed(0.5) == e.limits[0] and e.allowed(1e9) == e.limits[-1]
+def plain_limits(r, d, quantile, bands, least=5):
+    edges = np.unique([1.0, *np.geomspace(max(r.min(), 1 + 1e-6), max(r.max(), 1 + 1e-5), bands)])
+    top, out = 0.0, []
+    for k, low in enumerate(edges):
+        inside = d[(r >= low) & (r < (edges[k + 1] if k + 1 < len(edges) else np.inf))]
+        top = max(top, np.quantile(inside, quantile) if len(inside) >= least else 0.0)
+        out.append(top)
+    return edges, np.array(out)
+
+
+def test_pairs_and_limits(spark):
+    pairs = envelopes.changes(frame(spark, ROWS + ODD), None).persist()
+    plain = np.array([p for c in (0, 1) for p in plain_pairs([r[2] for r in ROWS if r[1] == c])])
+    assert np.allclose(sorted(map(tuple, pairs.select("ratio", "distance").collect())), sorted(map(tuple, plain)))
+    for quantile, bands in ((0.9, 5), (0.99, 8), (0.5, 1)):
+        got = envelopes.limits(pairs, quantile, bands).orderBy("k").collect()
+        edges, most = plain_limits(*plain.T, quantile, bands)
+        assert np.allclose([r.edge for r in got], edges) and np.allclose([r.distance for r in got], most) and sum(r.n for r in got) == len(plain)
+    found = envelopes.limits(pairs, 0.9, 5)
+    edges, most = plain_limits(*plain.T, 0.9, 5)
+    judged = envelopes.admitted(pairs, found).collect()
+    assert any(not r.admitted for r in judged) and all(r.admitted == (r.ratio <= edges[-1] and r.distance <= most[max(np.searchsorted(edges, r.ratio, "right") - 1, 0)]) for r in judged)
+    pairs.unpersist()
 
 
-def test_what_is_admitted(tmp_path):
-    e = envelopes.Envelope(np.array([1.0, 2.0]), np.array([0.01, 0.2]), 0.99, 3.0, more={"cell": "a"})
-    a, b = np.array([1.0, 0.0]), np.array([1.0, 0.5])
-    assert e.admits(a, 1.5 * a)[0] and not e.admits(a, b)[0] and e.admits(a, 2.2 * b)[0] and not e.admits(a, 4 * a)[0]
-    e.write(str(tmp_path / "e.npz"))
-    back = envelopes.Envelope.read(str(tmp_path / "e.npz"))
-    assert (back.edges == e.edges).all() and (back.limits == e.limits).all() and back.most == 3 and back.more == {"cell": "a"} and np.isnan(back.along)
+def test_sampled_pairs(spark):
+    n = envelopes.changes(frame(spark, ROWS), 10).groupBy("cluster").count().collect()
+    assert all(0 < r["count"] < 29 * 30 / 2 for r in n)
 
 
-def test_no_pairs():
+def test_no_pairs(spark):
+    none = envelopes.changes(frame(spark, []))
+    assert none.count() == 0
     with pytest.raises(ValueError):
-        envelopes.fitted_envelope([], [])
+        envelopes.limits(none)
     with pytest.raises(ValueError):
-        envelopes.fitted_envelope([np.nan, 0.5], [0.1, 0.1])
+        envelopes.limits(spark.createDataFrame([(1, float("nan"), 0.1), (1, 0.5, 0.1)], "cluster bigint, ratio double, distance double"))
 
 
-def test_share_along_a_curve():
+def test_share_along_a_curve(spark):
     t = np.linspace(0, 1, 200)
     curve = (1 + 4 * t)[:, None] * np.stack([np.cos(t), np.sin(t)], 1)
     noise = R.normal(size=(200, 2))
-    along, scatter = envelopes.share_along_curve(curve)
-    assert along > 0.95 and scatter > 0 and envelopes.share_along_curve(noise)[0] < 0.2
-    assert np.isnan(envelopes.share_along_curve(curve[:5])).all()
+    rows = [(k, c, x.tolist()) for c, part in enumerate((curve, noise, curve[:5])) for k, x in enumerate(part)]
+    got = {r.cluster: r for r in envelopes.along_curve(frame(spark, rows)).collect()}
+    assert got[0].share > 0.95 and got[1].share < 0.2 and got[2].share is None and got[2].scatter is None
     n, d = np.linalg.norm(curve, axis=1), curve / np.linalg.norm(curve, axis=1)[:, None]
     edges = np.quantile(n, [0.2, 0.4, 0.6, 0.8])
     groups = [d[[sum(x >= e for e in edges) == k for x in n]] for k in range(5)]
-    assert np.isclose(along, sum(len(g) * ((g.mean(0) - d.mean(0)) ** 2).sum() for g in groups) / ((d - d.mean(0)) ** 2).sum())
-
-
-def test_planted_recovery(tmp_path):
-    t = np.r_[np.arange(2, 30, 0.5), np.arange(30, 2000, 20)]
-    true = envelopes.Recovery(0.5, 6.0, 0.1, 300.0, 0.98, 2.0)
-    found = envelopes.fitted_recovery(t, true.predicted(t), state="rest")
-    assert np.allclose(found.predicted(t), true.predicted(t), atol=1e-4) and np.isnan(found.predicted(1.0))
-    noisy = envelopes.fitted_recovery(t, true.predicted(t) + R.normal(0, 0.02, len(t)))
-    assert np.abs(noisy.predicted(t) - true.predicted(t)).max() < 0.05
-    found.write(str(tmp_path / "r.npz"))
-    back = envelopes.Recovery.read(str(tmp_path / "r.npz"))
-    assert back.fast_ms == found.fast_ms and (back.gaps == t).all() and back.more == {"state": "rest"}
-    with pytest.raises(ValueError):
-        envelopes.fitted_recovery([1, 2, np.nan, 4], [1, 1, 1, 1])
-
-
-def test_tables(spark):
-    rows = [(k, k % 2, (WAVES[k] if k % 2 else WAVES[k][::-1] * 2).ravel().tolist()) for k in range(60)] + [(99, 7, WAVES[0].ravel().tolist()), (100, None, WAVES[0].ravel().tolist())]
-    w = spark.createDataFrame(rows, "event bigint, cluster int, w array<double>")
-    pairs = tables.changes(w, 8, 4).persist()
-    plain = [p for c in (0, 1) for p in plain_pairs(np.array([r[2] for r in rows if r[1] == c]))]
-    assert np.allclose(sorted(map(tuple, pairs.select("ratio", "distance").collect())), sorted(plain))
-    got, want = tables.envelope(pairs, 0.9, 5), envelopes.fitted_envelope(*np.array(plain).T, 0.9, 5)
-    assert np.allclose(got.edges, want.edges) and np.allclose(got.limits, want.limits) and np.isclose(got.most, want.most)
-    judged = tables.admitted(pairs, want).collect()
-    assert all(r.admitted == (r.ratio <= want.most and r.distance <= want.allowed(r.ratio)) for r in judged) and any(not r.admitted for r in judged)
-    assert {r.cluster: round(r.share, 9) for r in tables.along_curve(w.where("cluster < 2"), 8, 4).collect()} == {
-        c: round(envelopes.share_along_curve(np.array([r[2] for r in rows if r[1] == c]))[0], 9) for c in (0, 1)
-    }
-    with pytest.raises(ValueError):
-        tables.envelope(pairs.where("false"))
-    assert tables.changes(w.where("false"), 8, 4).count() == 0
-    pairs.unpersist()
+    between, scatter = sum(len(g) * ((g.mean(0) - d.mean(0)) ** 2).sum() for g in groups), ((d - d.mean(0)) ** 2).sum()
+    assert np.isclose(got[0].share, between / scatter) and np.isclose(got[0].scatter, scatter)
+    assert envelopes.along_curve(frame(spark, [])).count() == 0
+
+
+def three(n=120, d=3):
+    rng = np.random.default_rng(5)
+    centres = np.array([[0, 0, 0], [8, 0, 0], [0, 9, 4.0]])[:, :d]
+    y = np.repeat([0, 1, 2], n)
+    return centres[y] + rng.normal(size=(3 * n, d)) @ (np.eye(d) + 0.3 * rng.normal(size=(d, d))), y
+
+
+def vectors(spark, x):
+    return spark.createDataFrame([(k, v.tolist(), 0, 0.0) for k, v in enumerate(x)] + [(None, [0.0] * x.shape[1], 1, 1.0), (900, None, 1, 1.0)], "event bigint, x array<double>, part int, cost double").repartition(4)
+
+
+def test_mixture_finds_planted_groups(spark):
+    x, y = three()
+    got = {r.event: r.part for r in mixtures.mixture(vectors(spark, x), 4).collect()}
+    assert len(got) == len(x) and set(got.values()) == {0, 1, 2}
+    assert np.mean([got[k] == y[k] for k in range(len(x))]) > 0.98
+    one = {r.part for r in mixtures.mixture(vectors(spark, R.normal(size=(200, 3))), 3).collect()}
+    assert one == {0}
+    assert mixtures.mixture(vectors(spark, x).where("false"), 2).count() == 0
+
+
+def test_turns_are_those_of_a_plain_version(spark):
+    x, _ = three(40)
+    rows = vectors(spark, x).where("event IS NOT NULL AND x IS NOT NULL")
+    models = mixtures.seeds(rows, 3)
+    assert all(np.allclose(c, np.cov(x.T, bias=True) + mixtures.RIDGE * np.eye(3)) for _, _, c in models) and all(any(np.allclose(m, v) for v in x) for _, m, _ in models)
+    got, score = mixtures.fitted(rows, 3, rounds=4, settle=-1.0)
+    for turn in range(4):
+        cost = np.stack([np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m) + np.linalg.slogdet(c)[1] + 3 * np.log(2 * np.pi) - 2 * np.log(w) for w, m, c in models], 1)
+        part = cost.argmin(1)
+        if turn < 3:
+            models = [(np.mean(part == k), x[part == k].mean(0), np.cov(x[part == k].T, bias=True) + mixtures.RIDGE * np.eye(3)) for k in range(3) if (part == k).sum() >= 4]
+    assert {r.event: r.part for r in got.collect()} == dict(enumerate(part.tolist()))
+    assert np.isclose(score, cost.min(1).sum() + (len(set(part)) * 10 - 1) * np.log(len(x)))
+    assert got.agg(F.count("*")).first()[0] == len(x)

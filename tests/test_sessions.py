@@ -1,6 +1,5 @@
-"""Names, catalogue, binary files and descriptions of sessions; configuration and plan files; edits that are refused."""
+"""Names, catalogue, binary files and descriptions of sessions; plan files; edits that are refused."""
 
-import argparse
 import os
 import struct
 
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions import tokens, transforms
 from eventloom.operators import edits, joins, trains, waves
-from eventloom.plans import config, script
+from eventloom.plans import script
 from eventloom.sources import session
 
 
@@ -212,34 +211,7 @@ def test_descriptions(tmp_path):
         session.described("/none")
 
 
-# configuration and plans
-
-
-def test_layers_of_settings(tmp_path, monkeypatch):
-    C = config.IntrachunkConfig  # noqa: N806
-    parser = argparse.ArgumentParser()
-    C.add_arguments(parser)
-    args = parser.parse_args(["--cos-thr", "0.7", "--iter", "4"])
-    got = C.resolve(args, {"FK_INTRA_COS_THR": "0.6", "FK_INTRA_OFF_THR": "2", "FK_INTRA_GATE": ""}, {"depth_gate": "20", "FK_INTRA_KK_DIMS": 7, "off_thr": 9}, global_cfg={"FK_INTRA_GATE": "mmd", "FK_INTRA_OFF_THR": 3})
-    assert (got.cos_thr, got.n_iter, got.off_thr, got.gate, got.depth_gate, got.kk_dims, got.linkage) == (0.7, 4, 2.0, "mmd", 20.0, 7, "complete")
-    assert C.resolve(profile="recommended", global_cfg={}).sig_cap == 8000 and C.resolve(global_cfg={}).sig_cap is None
-    with pytest.raises(SystemExit):
-        parser.parse_args(["--gate", "other"])
-    assert got.apply_to(argparse.Namespace(x=1)).cos_thr == 0.7
-    lines = C.to_yaml("intra.").splitlines()
-    assert lines[1].startswith("intra.cos_thr: 0.85") and 'intra.sig_cap: ""' in C.to_yaml("intra.") and len(lines) == len(config.fields(C))
-    (tmp_path / "g.yaml").write_text("FK_INTRA_COS_THR: 0.5\n")
-    monkeypatch.setenv("FK_CONFIG", str(tmp_path / "g.yaml"))
-    assert C.resolve().cos_thr == 0.5 and config.global_settings("/none") == {}
-    (tmp_path / "g.yaml").write_text("[1, 2")
-    assert config.global_settings(str(tmp_path / "g.yaml")) == {}
-
-    class Kit(config.Plugin):
-        name, help, stages = "kit", "h", (("intrachunk", C),)
-
-    import yaml
-
-    assert yaml.safe_load(Kit.describe())["program"]["parameters"][1] == {"name": "intrachunk.cos_thr", "value": 0.85, "status": "Optional"} and yaml.safe_load(Kit.program_entry("default"))[0]["name"] == "kit"
+# plans
 
 
 STAGES = {"session": script.Stage(("in", "out")), "link": script.Stage(("in", "units", "out"), {"gap": int}), "cpos": script.Stage(("in", "cpos", "out"), {})}
