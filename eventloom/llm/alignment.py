@@ -35,7 +35,7 @@ from .common import settings, table, written
 SLICE = 2_000_000
 SEEN = 150_000
 #: Rows of long arrays, and texts, go to Python few at a time.
-ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 SPACED = regex.compile(r"\s ")
 CUT = regex.compile(r"(?<=\S)(?= )")
 #: B's sign for a space.

@@ -8,7 +8,7 @@ difference from the source stops the job. Percent signs and line ends in roles a
 
 Defined results: turns are sorted by turn, nulls first, then role, then text, so ties and repeated rows have one order. A null role or
 text is empty. Rows with a null conv_id are one conversation. An empty table gives no conversation; other columns, whatever their names, are ignored.
-A conversation is held in one row, as its digest needs, so all its text has 2 GB at most; its turns are sorted on disk where they don't fit.
+A conversation is held in one row, as its digest needs, so all its text has 2 GB at most; its turns are sorted on disk where they don't fit. A very long text is a turn like others.
 """
 
 from __future__ import annotations

@@ -1,12 +1,13 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Texts are lower-cased and encoded in UTF-8. N-grams of 1 to 4 bytes are hashed into ``BUCKETS`` columns. Counting is a
+Texts are lower-cased; n-grams of 1 to 4 code points, those at the end filled up with zeros, are hashed into ``BUCKETS`` columns. Counting is a
 distributed sum, the matrix of log probabilities (BUCKETS x languages, 4 bytes each) is broadcast, and each batch of texts is
-scored in numpy as a sparse product: rows of the matrix are gathered by n-gram and summed by document.
+scored in numpy as a sparse product: rows of the matrix are gathered by n-gram and summed by document. A language's share of the learnt documents is its prior.
 
 Defined results: a null text and a text without a letter give ``und`` with score 0; without a labelled text to learn from all
 rows give that. Ties go to the language first in alphabetical order. A null id is in the learnt fold. Repeated rows are
-answered one by one, and other columns are ignored.
+answered one by one, and learnt from one by one; other columns, whatever their names, are ignored. An empty table gives no row. Very long texts are scored whole, one at a time. More
+than ``MOST_LANGS`` languages are an error, as the matrix would be too large to send to the tasks.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from .common import by_text, held_out, slices, table
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3, 4)
-GAP = b"\0" * max(ORDERS)
+GAP = "\0" * max(ORDERS)
+MOST_LANGS = 500
 #: Labelled rows learnt from, at most about so many (taken by a hash of the id).
 TRAIN_ROWS = 20_000
 SMOOTHING = 0.05
@@ -29,15 +31,16 @@ LETTER = regex.compile(r"\p{L}")
 
 
 def grams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
-    """The hashed n-grams of all texts, for each order, and where in them each text begins."""
-    raw = [(t or "").lower().encode("utf-8", "replace") + GAP for t in texts]
-    starts = np.cumsum([0, *map(len, raw)])[:-1]
-    b = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint32)
-    out, h = [], np.zeros(len(b), np.uint32)
+    """The hashed n-grams that begin in each text, for each order, and where in them each text begins."""
+    own = [(t or "").lower() for t in texts]
+    c = np.frombuffer("".join(t + GAP for t in own).encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = np.array([len(t) for t in own], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    # none begins in the gap, so that no text tells on the next
+    at = np.arange(sizes.sum()) + np.repeat(np.arange(len(own)) * len(GAP), sizes)
+    out, h = [], np.zeros(len(at), np.uint32)
     for n in ORDERS:
-        shifted = np.zeros(len(b), np.uint32)
-        shifted[: len(b) - n + 1] = b[n - 1 :]
-        h = h * np.uint32(0x01000193) + shifted + np.uint32(1)
+        h = h * np.uint32(0x01000193) + c[at + n - 1] + np.uint32(1)
         out.append((h * np.uint32(0x9E3779B1)) >> np.uint32(16))
     return out, starts
 
@@ -63,17 +66,21 @@ def counts(labelled: DataFrame, text: str, lang: str) -> DataFrame:
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", train_rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages and the matrix of log probabilities. At most about ``train_rows`` rows are learnt from; what comes to the driver has BUCKETS rows a language at most."""
+    """Languages and the matrix of log probabilities, whose last row is the priors'. At most about ``train_rows`` rows are learnt from; what comes to the driver has BUCKETS rows a language at most."""
     usable = labelled.where(F.col(lang).isNotNull())
     n = usable.agg(F.count(F.lit(1))).first()[0]
     if n > train_rows:
         usable = usable.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20)) < int((1 << 20) * train_rows / n))
+    shares = dict(usable.where(F.col(text).isNotNull()).groupBy(F.col(lang).cast("string").alias("l")).agg(F.count(F.lit(1))).limit(MOST_LANGS + 1).collect())
+    if len(shares) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages: the matrix of log probabilities would be too large")
     got = counts(usable, text, lang).toPandas()
     langs = sorted(got["lang"].unique())
     m = np.full((BUCKETS, len(langs)), SMOOTHING)
     if langs:
         m[got["bucket"].to_numpy(), [langs.index(x) for x in got["lang"]]] += got["n"].to_numpy()
-    return langs, np.log(m / m.sum(axis=0)).astype(np.float32)
+    prior = np.array([[shares[x] for x in langs]], float)
+    return langs, np.concatenate([np.log(m / m.sum(axis=0)), np.log(prior / max(prior.sum(), 1))]).astype(np.float32)
 
 
 def score(texts: list[str], langs: list[str], m: np.ndarray) -> tuple[list[str], np.ndarray]:
@@ -82,7 +89,7 @@ def score(texts: list[str], langs: list[str], m: np.ndarray) -> tuple[list[str],
     some = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if langs else []
     if some:
         orders, starts = grams([texts[i] for i in some])
-        total = np.zeros((len(some), len(langs)))
+        total = np.zeros((len(some), len(langs))) + m[BUCKETS:].sum(axis=0)
         for h in orders:
             total += np.add.reduceat(m[h], starts, axis=0, dtype=np.float64)
         p = np.exp(total - total.max(axis=1, keepdims=True))

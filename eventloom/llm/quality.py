@@ -6,7 +6,8 @@ that rejects it. The verdict doesn't depend on the order, so results are the sam
 
 Words are split at ASCII white space. The base statistics are computed for every text; the rules work on what those leave open.
 
-Defined results: a null text has no words, and is rejected as too short. Repeated rows are answered one by one.
+Defined results: a null text has no words, and is rejected as too short. Repeated rows are answered one by one. An empty
+table gives no row. Very long texts are judged whole, one at a time, but take no part in the estimate of costs. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

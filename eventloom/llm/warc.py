@@ -14,7 +14,8 @@ The reader holds one archive, and one member unpacked, at a time. Header names a
 what follows its headers; digests by an unknown algorithm are not checked. Read strictly, an archive with a gap, or with fewer records than were written, is an error.
 
 Defined results: a null html is an empty payload. A null page_id sorts before all others. Rows that repeat the largest page_id of
-a payload are all responses. An empty table gives no archive and no row. Other columns, whatever their names, are ignored.
+a payload are all responses. Equal payloads of fewer bytes than the limit are all responses. A very long payload is a record like others, held in one task while it is written and read. An empty
+table gives no archive and no row. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -69,6 +69,47 @@ def test_language_counts_and_scores_by_brute_force():
         assert names[k] == langs[int(total.argmax())]
 
 
+def test_language_by_plain_counting(spark):
+    """Code point by code point, in dictionaries: buckets, smoothing, priors, sums and shares."""
+    r = random.Random(9)
+    make = lambda letters, n: " ".join("".join(r.choice(letters) for _ in range(r.randint(1, 7))) for _ in range(n))
+    rows = [(i, make("abcdeé ÄÖ", 8) if i % 3 else make("бвгде漢字", 6), "x" if i % 3 else "y") for i in range(60)] + [(90, "abc", None), (91, None, "x"), (92, "bz", "z")]
+    got = {d.doc_id: d for d in language.identify(spark.createDataFrame([(i, t, None) for i, t, _ in rows], "doc_id long, text string, lang string"), language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))).collect()}
+
+    def buckets(text):
+        text = text.lower()
+        for i in range(len(text)):
+            h = 0
+            for c in (text + "\0\0\0\0")[i : i + 4]:
+                h = (h * 0x01000193 + ord(c) + 1) % 2**32
+                yield (h * 0x9E3779B1 % 2**32) >> 16
+
+    learnt = [(t, lang) for _, t, lang in rows if t is not None and lang is not None]
+    langs = sorted({lang for _, lang in learnt})
+    table = {lang: {} for lang in langs}
+    for t, lang in learnt:
+        for b in buckets(t):
+            table[lang][b] = table[lang].get(b, 0) + 1
+    whole = {lang: sum(table[lang].values()) + 0.05 * 65536 for lang in langs}
+    for i, t, _ in rows:
+        if t is not None:
+            total = {lang: math.log(sum(x == lang for _, x in learnt) / len(learnt)) + sum(math.log((table[lang].get(b, 0) + 0.05) / whole[lang]) for b in buckets(t)) for lang in langs}
+            best = max(langs, key=lambda lang: total[lang])
+            assert got[i].lang_pred == best and abs(got[i].score - 1 / sum(math.exp(v - total[best]) for v in total.values())) < 1e-3
+
+
+def test_language_does_not_depend_on_neighbours():
+    m = np.log(np.random.default_rng(1).dirichlet(np.ones(language.BUCKETS), 3).T).astype(np.float32)
+    texts = ["abc", "x" * 3000, "z", "漢字 kana"]
+    assert np.allclose(language.score(texts, ["a", "b", "c"], m)[1], [language.score([t], ["a", "b", "c"], m)[1][0] for t in texts])
+
+
+def test_language_limits(spark):
+    d = spark.createDataFrame([(i, "abc", f"l{i}") for i in range(language.MOST_LANGS + 1)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError):
+        language.fit(d)
+
+
 def test_language_odd_rows(spark):
     d = docs(spark)
     got = language.identify(d, language.fit(d)).collect()
