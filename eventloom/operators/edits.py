@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import numbered
+
 
 def fresh(parents: DataFrame) -> int:
     """The least fiber id beyond all there are."""
@@ -49,8 +51,8 @@ def split_parent(parents: DataFrame, fiber: int, children: Iterable[int], into:
 
 def dissolve_parent(parents: DataFrame, fiber: int) -> DataFrame:
     """Every child of a fiber as a fiber of its own, numbered in their order."""
-    new = parents.where(F.col("parent") == fiber).select("child", (F.row_number().over(Window.orderBy("child")) + F.lit(fresh(parents) - 1)).alias("_new"))
-    return parents.join(F.broadcast(new), "child", "left").withColumn("parent", F.coalesce("_new", "parent")).drop("_new")
+    new = numbered(parents.where(F.col("parent") == fiber).select("child"), "_new", "child").withColumn("_new", F.col("_new") + fresh(parents))
+    return parents.join(new, "child", "left").withColumn("parent", F.coalesce("_new", "parent")).drop("_new")
 
 
 def merge_children(atoms: DataFrame, parents: DataFrame, keep: int, *absorb: int) -> tuple[DataFrame, DataFrame]:
@@ -70,7 +72,7 @@ def fibers(atoms: DataFrame, parents: DataFrame, renumber: bool = True) -> tuple
     if not renumber:
         return rows, parents
     kept = rows.where("fiber not in (0, 1)").select("fiber").distinct()
-    new = kept.select("fiber", (F.row_number().over(Window.orderBy("fiber")) + 1).alias("_new"))
+    new = numbered(kept, "_new", "fiber").withColumn("_new", F.col("_new") + 2)
     again = lambda df, c: df.join(new.withColumnRenamed("fiber", c), c, "left").withColumn(c, F.coalesce("_new", c)).drop("_new")
     return again(rows, "fiber").select("event", "child", "fiber"), again(parents, "parent").select("child", "parent")
 
@@ -133,17 +135,19 @@ def parents_of_groups(ids: DataFrame, groups: DataFrame) -> DataFrame:
     sized = groups.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min("child").alias("first")).where("n > 1")
     many = groups.join(sized, "group").select("child", (-F.col("n")).alias("k"), "first")
     rest = ids.join(many, "child", "left_anti").select("child", F.lit(0).cast("bigint").alias("k"), F.col("child").alias("first"))
-    return many.unionByName(rest).select("child", (F.dense_rank().over(Window.orderBy("k", "first")) + 1).cast("bigint").alias("parent"))
+    all_ = many.unionByName(rest)
+    new = numbered(all_.select("k", "first").distinct(), "_new", "k", "first")
+    return all_.join(new, ["k", "first"]).select("child", (F.col("_new") + 2).alias("parent"))
 
 
 def bundle_labels(labels: DataFrame, bundles: DataFrame, reserved: tuple[int, ...] = (0, 1)) -> DataFrame:
     """event, label: the fragments (event, label) of a bundle (bundle, label) share an id from beyond the reserved ones, bundles in their order; other ids follow, by their first event; reserved ids stay."""
     base = max(reserved) + 1
-    number = bundles.select("bundle").distinct().select("bundle", (F.row_number().over(Window.orderBy("bundle")) + base - 1).alias("new"))
+    number = numbered(bundles.select("bundle").distinct(), "new", "bundle").withColumn("new", F.col("new") + base)
     mapped = bundles.join(number, "bundle").select("label", "new")
     n = number.agg(F.count(F.lit(1)).alias("_n"))
     rest = labels.where(~F.col("label").isin(list(reserved))).join(mapped, "label", "left_anti").groupBy("label").agg(F.min("event").alias("first"))
-    rest = rest.crossJoin(F.broadcast(n)).select("label", (F.row_number().over(Window.orderBy("first")) + F.col("_n") + base - 1).alias("new"))
+    rest = numbered(rest, "new", "first").crossJoin(F.broadcast(n)).select("label", (F.col("new") + F.col("_n") + base).alias("new"))  # one row
     return labels.join(mapped.unionByName(rest), "label", "left").select("event", F.coalesce("new", "label").cast("bigint").alias("label"))
 
 
@@ -155,7 +159,8 @@ def unit_bundle_labels(labels: DataFrame, units: DataFrame, bundles: DataFrame,
 def chunk_unit_labels(labels: DataFrame, units: DataFrame, reserved: tuple[int, ...] = (0, 1)) -> DataFrame:
     """event, label: the unit (label, unit) of each fragment; reserved ids stay, and fragments of no unit get new ids in their order."""
     base = units.agg(F.coalesce(F.max("unit"), F.lit(max(reserved))).alias("_m"))
-    rest = labels.where(~F.col("label").isin(list(reserved))).select("label").distinct().join(units, "label", "left_anti").crossJoin(F.broadcast(base)).select("label", (F.col("_m") + F.row_number().over(Window.orderBy("label"))).alias("unit"))
+    rest = labels.where(~F.col("label").isin(list(reserved))).select("label").distinct().join(units, "label", "left_anti")
+    rest = numbered(rest, "_new", "label").crossJoin(F.broadcast(base)).select("label", (F.col("_m") + F.col("_new") + 1).alias("unit"))  # one row
     return labels.join(units.unionByName(rest), "label", "left").select("event", F.coalesce("unit", "label").cast("bigint").alias("label"))
 
 
@@ -167,15 +172,16 @@ def unit_events(labels: DataFrame, units: DataFrame) -> DataFrame:
 def without_small(labels: DataFrame, least: int) -> DataFrame:
     """event, label: labels of fewer events become -1, the others are numbered from 0 in their order."""
     n = labels.where("label >= 0").groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    new = n.select("label", (F.row_number().over(Window.orderBy("label")) - 1).alias("new"))
-    return labels.join(F.broadcast(new), "label", "left").select("event", F.coalesce("new", F.lit(-1)).cast("bigint").alias("label"))
+    new = numbered(n.select("label"), "new", "label")
+    return labels.join(new, "label", "left").select("event", F.coalesce("new", F.lit(-1)).cast("bigint").alias("label"))
 
 
 def by_first_event(labels: DataFrame, units: DataFrame) -> DataFrame:
     """event, label: fragments (event, label) as their units (label, unit), numbered from 1 by their first event; 0 and fragments without a unit stay 0."""
     rows = labels.join(units, "label", "left")
-    new = rows.where("unit is not null and label <> 0").groupBy("unit").agg(F.min("event").alias("first")).select("unit", F.row_number().over(Window.orderBy("first")).alias("new"))
-    return rows.join(F.broadcast(new), "unit", "left").select("event", F.when(F.col("label") == 0, F.lit(0)).otherwise(F.coalesce("new", F.lit(0))).cast("bigint").alias("label"))
+    new = rows.where("unit is not null and label <> 0").groupBy("unit").agg(F.min("event").alias("first"))
+    new = numbered(new, "new", "first").select("unit", (F.col("new") + 1).alias("new"))
+    return rows.join(new, "unit", "left").select("event", F.when(F.col("label") == 0, F.lit(0)).otherwise(F.coalesce("new", F.lit(0))).cast("bigint").alias("label"))
 
 
 def picked(sizes: DataFrame, spec: str) -> DataFrame:
@@ -192,4 +198,4 @@ def voted(votes: DataFrame, least: int = 1) -> DataFrame:
     n = votes.groupBy("event", "label").agg(F.count(F.lit(1)).alias("n"))
     top = n.groupBy("event").agg(F.min_by("label", F.struct(-F.col("n"), "label")).alias("label"))
     size = top.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    return top.join(F.broadcast(size.select("label", F.col("label").alias("kept"))), "label", "left").select("event", F.coalesce("kept", F.lit(0)).alias("label"))
+    return top.join(size.select("label", F.col("label").alias("kept")), "label", "left").select("event", F.coalesce("kept", F.lit(0)).alias("label"))

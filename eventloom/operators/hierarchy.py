@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import numbered
+
 
 def compact(labels: DataFrame, first: int = 2) -> DataFrame:
-    """event, label, new: labels renumbered without holes from ``first``; 0 stays 0. Distinct labels are few."""
+    """event, label, new: labels renumbered without holes from ``first``; 0 stays 0."""
     kept = labels.where("label <> 0").select("label").distinct()
-    ranked = kept.withColumn("new", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("label")) + first - 1)
-    return labels.join(F.broadcast(ranked), "label", "left").select("event", "label", F.coalesce("new", F.lit(0)).alias("new"))
+    ranked = numbered(kept, "new", "label").withColumn("new", F.col("new") + first)
+    return labels.join(ranked, "label", "left").select("event", "label", F.coalesce("new", F.lit(0)).alias("new"))
 
 
 def reparent(labels: DataFrame, parents: DataFrame) -> DataFrame:

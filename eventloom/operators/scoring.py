@@ -33,8 +33,7 @@ def v_measure(labels: DataFrame) -> DataFrame:
     """homogeneity, completeness, v from conditional entropies."""
     c = contingency(labels)
     c = c.withColumn("nt", F.sum("n").over(Window.partitionBy("truth"))).withColumn("nf", F.sum("n").over(Window.partitionBy("found")))
-    total = F.sum("n").over(Window.partitionBy(F.lit(1)))
-    x = c.withColumn("total", total)
+    x = c.crossJoin(F.broadcast(labels.agg(F.count(F.lit(1)).alias("total"))))  # one row
     e = x.agg(
         F.sum(-F.col("n") / F.col("total") * F.log(F.col("n") / F.col("nf"))).alias("htf"), F.sum(-F.col("n") / F.col("total") * F.log(F.col("n") / F.col("nt"))).alias("hft"),
         F.sum(-F.col("n") / F.col("total") * F.log(F.col("nt") / F.col("total"))).alias("ht"), F.sum(-F.col("n") / F.col("total") * F.log(F.col("nf") / F.col("total"))).alias("hf"),

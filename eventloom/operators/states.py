@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import written
 from .trains import DAY, HOUR, gaps
 
 #: A block of ``decaying`` is so many tau long; what is more than REACH blocks old adds less than exp(-48) an event.
@@ -85,28 +87,46 @@ def episode_position(trains: DataFrame, half: int = DAY) -> DataFrame:
 
 
 def without_repeats(trains: DataFrame, floor: int) -> DataFrame:
-    """event, unit, t, amp of the events that stay: one nearer than ``floor`` to the last kept takes its place if its amplitude is larger, else goes.
+    """event, unit, t, amp of the events that stay: one nearer than ``floor`` to the last kept takes its place if its amplitude is larger, else goes. Of equal times the smaller event is first; a null amplitude isn't larger.
 
-    What follows a gap of ``floor`` is independent of what was before, so the rule runs inside such islands of a unit.
-    """
+    One sorted pass that holds the last kept event of the unit at hand. Events are dealt by the unit and by a thousand of its islands, which gaps of ``floor`` part: what follows such a gap doesn't depend on what was before."""
     w = Window.partitionBy("unit").orderBy("t", "event")
-    e = gaps(trains).withColumn("island", F.sum((F.coalesce("gap", F.lit(floor)) >= floor).cast("long")).over(w))
-    runs = e.groupBy("unit", "island").agg(F.array_sort(F.collect_list(F.struct("t", "event", "amp"))).alias("run"))
-    def take(kept, x):
-        last = F.element_at(kept, -1)
-        one = F.array(x)
-        return F.when(x["t"] - last["t"] >= floor, F.concat(kept, one)).when(x["amp"] > last["amp"], F.concat(F.slice(kept, 1, F.size(kept) - 1), one)).otherwise(kept)
-
-    kept = F.aggregate(F.slice("run", 2, F.greatest(F.size("run") - 1, F.lit(0))), F.slice("run", 1, 1), take)
-    return runs.select("unit", F.explode(kept).alias("x")).select("x.event", "unit", "x.t", "x.amp")
-
-
-def drift(depths: DataFrame, rounds: int = 1) -> DataFrame:
-    """chunk, drift of depth(unit, chunk) = base(unit) + drift(chunk), by medians in turn; the first chunk has drift 0. One row for each unit and chunk comes in."""
+    e = gaps(trains).withColumn("_island", F.sum((F.coalesce("gap", F.lit(floor)) >= floor).cast("long")).over(w)).select("event", "unit", "t", "amp", "_island")
+    schema = e.drop("_island").schema
+
+    def run(batches):
+        key, last, kind = None, None, None
+        for batch in batches:
+            kind = kind or pa.schema([batch.schema.field(k) for k in range(4)])
+            out = []
+            for event, unit, t, amp, island in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                now = (event, unit, t, amp)
+                if last is None or (unit, island) != key or t - last[2] >= floor:
+                    if last is not None:
+                        out.append(last)
+                    key, last = (unit, island), now
+                elif amp is not None and last[3] is not None and amp > last[3]:
+                    last = now
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind.field(k).type) for k in range(4)], schema=kind)
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([last[k]], kind.field(k).type) for k in range(4)], schema=kind)
+
+    return e.repartition("unit", F.floor(F.col("_island") / 1000)).sortWithinPartitions("unit", "_island", "t", "event").mapInArrow(run, schema)
+
+
+def drift(depths: DataFrame, rounds: int = 1, settle: float = 1e-4) -> DataFrame:
+    """chunk, drift of depth(unit, chunk) = base(unit) + drift(chunk), by medians in turn; the first chunk has drift 0. One row for each unit and chunk comes in. Turns end after ``rounds``, or when no drift changes by more than ``settle``; each is written."""
     now = depths.select("chunk").distinct().withColumn("drift", F.lit(0.0))
-    for _ in range(rounds):
+    for k in range(rounds):
         base = depths.join(now, "chunk").groupBy("unit").agg(F.percentile(F.col("depth") - F.col("drift"), F.lit(0.5)).alias("base"))
         d = depths.join(base, "unit").groupBy("chunk").agg(F.percentile(F.col("depth") - F.col("base"), F.lit(0.5)).alias("d"))
         first = d.agg(F.min_by("d", "chunk").alias("first"))
-        now = d.crossJoin(F.broadcast(first)).select("chunk", (F.col("d") - F.col("first")).alias("drift"))
+        after = d.crossJoin(F.broadcast(first)).select("chunk", (F.col("d") - F.col("first")).alias("drift"))
+        if k < rounds - 1:
+            after = written(after, "drift")
+            change = after.join(now.withColumnRenamed("drift", "_o"), "chunk").agg(F.max(F.abs(F.col("drift") - F.col("_o")))).first()[0]
+            if change is None or change <= settle:
+                now = after
+                break
+        now = after
     return now.select("chunk", F.round("drift", 6).alias("drift"))

@@ -43,3 +43,9 @@ def before(rows: DataFrame, name: str, value: Column, how: Callable[[Column], Co
     carry = own.groupBy("_part").agg(how("_v").alias("_c")).select("_part", how("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_c"))
     both = F.greatest("_w", "_c") if how is F.max else F.coalesce(F.col("_w") + F.col("_c"), "_w", "_c")
     return own.withColumn("_w", within).join(F.broadcast(carry), "_part").withColumn(name, both).drop("_v", "_w", "_c")
+
+
+def numbered(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
+    """``df`` with each row's place in the order, from 0; no task holds all rows. The order is to be total, as rows that are equal in it have any of their places."""
+    rows = before(ordered(df, *order), name, F.lit(1).cast("bigint"))
+    return rows.withColumn(name, F.coalesce(name, F.lit(0).cast("bigint"))).drop("_part", "_row")

@@ -239,8 +239,8 @@ def rate_correlation(trains: DataFrame, step: int = DAY, part_events: int = PART
     n = trains.count()
     parts = max(1, -(-n // part_events))
     own = F.pmod(F.xxhash64("unit"), F.lit(parts)).cast("int")
-    square = lambda k: F.struct(F.least(own, k).alias("p"), F.greatest(own, k).alias("q"))
-    dealt = trains.where("unit IS NOT NULL AND t IS NOT NULL").select(F.col("unit").cast("bigint").alias("unit"), "t", own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("k")).withColumn("s", square(F.col("k")))
+    square = F.struct(F.least("own", "k").alias("p"), F.greatest("own", "k").alias("q"))
+    dealt = trains.where("unit IS NOT NULL AND t IS NOT NULL").select(F.col("unit").cast("bigint").alias("unit"), "t", own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("k")).withColumn("s", square)
 
     def pairs(part: pa.Table) -> pa.Table:
         unit, t, own = (part.column(c).to_numpy() for c in ("unit", "t", "own"))

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tokens
 from ..functions.transforms import Basis, Method
+from ..operators.storage import numbered
 from .binary import parse, read_binary
 
 # ---------------------------------------------------------------- tokens and preferences
@@ -501,12 +502,8 @@ def report_html(df: DataFrame, title: str, most: int = 100_000) -> str:
 
 def kept_events(df: DataFrame, keep: DataFrame) -> DataFrame:
     """The rows of a per-event table (spike_idx) that are kept (spike_idx), numbered anew in their order."""
-    small = keep.select("spike_idx").distinct()
-    # numbers come from the counts of ranges before each, so that no task sorts all events
-    ranged = small.repartitionByRange("spike_idx").sortWithinPartitions("spike_idx").withColumn("_p", F.spark_partition_id())
-    first = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    base = first.withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_base")
-    new = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy("spike_idx")) - 1).join(F.broadcast(base), "_p").select("spike_idx", (F.col("_base") + F.col("_r")).alias("_new"))
+    # numbers come from a sorted and written table, so no task sorts all events and none is numbered twice
+    new = numbered(keep.where("spike_idx IS NOT NULL").select("spike_idx").distinct(), "_new", "spike_idx")
     return df.join(new, "spike_idx").drop("spike_idx").withColumnRenamed("_new", "spike_idx").select(*df.columns)
 
 
