@@ -1,6 +1,6 @@
 """A corpus, from documents to packed windows, as stages that each read what the one before wrote.
 
-Defined results: rows with a null text stay in all stages that filter and are packed as the end id alone; rows without an id are judged by their texts like others. Copies and repeated rows are one row after
+Defined results: a null text is judged like an empty one, stays in the stages after toxicity and is packed as the end id alone; rows without an id are judged by their texts like others. Copies and repeated rows are one row after
 the near copies. Very long texts are taken whole. Ties are as each operator says. Empty tables go through and give no row. Further columns of the documents, whatever their names, are
 kept up to the packing.
 """

@@ -9,6 +9,7 @@ import random
 import subprocess
 import sys
 import time
+import zlib
 
 import numpy as np
 import pytest
@@ -327,3 +328,94 @@ def test_missing_records_end_the_job(spark):
     warc.delete_archives(folder)
     warc.delete_archives(folder)
     assert not os.path.exists(folder.removeprefix("file://"))
+
+
+# the pipeline
+
+
+def corpus(n=60, seed=12):
+    """Documents, labels and benchmark with planted toxic texts, copies, leaks and secrets, odd rows among them."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("aeiorstnlhdm") for _ in range(r.randint(2, 8)))
+    text = lambda k=60: " ".join(word() for _ in range(k))
+    item = [text(14), text(12), text(6)]
+    docs = [(i, text(), "en", "s", 1) for i in range(n)]
+    for i in range(0, n, 5):
+        docs[i] = (i, f"{text(10)} utter scumbag filth {text(10)} vile scumbag filth {text(5)}", "en", "s", 1)
+    docs += [(100, docs[1][1], "en", "s", 1), (101, docs[1][1] + " " + word(), "en", "s", 1), (None, docs[1][1], None, None, None), (2, docs[2][1], "en", "s", 1)]
+    docs += [(110, f"{text(20)} {item[0]} {text(9)}", "en", "s", 1), (111, f"{text(9)} {item[2].upper()}. {text(9)}", "en", "s", 1), (112, f"{text(9)} password = Zx81LmQ0vTb7 {text(5)}\n{text(5)} AKIA{'A1B2' * 4} {text(3)}", "en", "s", 1)]
+    docs += [(120, None, None, None, None), (121, "", "en", "s", 0), (122, "a", "en", "s", 1), (123, " \n\t", "en", "s", 3), (124, "word " * 3000, "en", "s", None)]
+    labels = [(i, 1, int(i % 5 == 0)) for i in range(n)] + [(None, 0, 1), (3, None, None)]
+    return docs, labels, [(k, t) for k, t in enumerate(item)] + [(9, None), (10, "")]
+
+
+def tables(spark, path, docs, labels, items):
+    for name, rows, schema in (("documents", docs, "doc_id long, text string, lang string, source string, n_chars long"), ("labels", labels, "doc_id long, quality int, toxic int"), ("benchmark", items, "item_id long, text string")):
+        spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{path}/{name}.parquet")
+    return str(path)
+
+
+def near(a, b):
+    return bool(a and b) and 100 * len(a & b) >= 80 * len(a | b)
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    docs, labels, items = corpus()
+    sf = tables(spark, tmp_path, docs, labels, items)
+    read = lambda name: spark.read.parquet(f"{sf}/{name}.parquet")
+    model = toxicity.learn(read("documents"), read("labels"))
+    kept = [d for d in docs if toxicity.score([d[1]], model)[0] < 0.5]
+    assert not [d for d in kept if d[1] and "scumbag" in d[1]] and {d[0] for d in docs if d[1] and len(d[1]) > 50 and "scumbag" not in d[1]} <= {d[0] for d in kept}
+    # one row of each component of near copies
+    words = lambda t: re.findall(r"[^ \t\n\v\f\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := words(d[1])) else set() for d in kept]
+    low = list(range(len(kept)))
+    while True:
+        new = [min([low[j] for j in range(len(kept)) if near(sets[i], sets[j])] + [low[i]]) for i in range(len(kept))]
+        if new == low:
+            break
+        low = new
+    groups = {}
+    for i, g in enumerate(low):
+        groups.setdefault(g, []).append(i)
+    one = [min((kept[i] for i in g), key=lambda d: (d[0] is None, d[0] or 0)) for g in groups.values()]
+    assert len(one) < len(kept) and sum(d[0] in (1, 100, 101, None) for d in one) == 1
+    clean = [d for d in one if not plain_windows(items, leakage.normal(d[1]).split(), 10)]
+    assert {110, 111} <= {d[0] for d in one} and not {110, 111} & {d[0] for d in clean}
+    secret = secrets.learn(spark.createDataFrame(clean, "doc_id long, text string, lang string, source string, n_chars long"))
+    want = {d[0]: secrets.redacted(d[1], secret) for d in clean}
+    assert want[112].count("[SECRET]") == 2 and "Zx81" not in want[112] and sum(t != d[1] for d, t in zip(clean, want.values(), strict=True)) == 1
+    # what is packed is those texts, token for token, and windows are full but for powers of two
+    from tokenizers import Tokenizer
+
+    coder = Tokenizer.from_file(packing.public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = corpus_pipeline.run(spark, sf).collect()
+    by = {}
+    for p in pieces:
+        by.setdefault(p.doc_id, []).append(p)
+    assert by.keys() == want.keys()
+    for doc, text in want.items():
+        ids = np.array([*coder.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+        at = 0
+        for p in sorted(by[doc], key=lambda p: p.start):
+            assert p.start == at and p.doc_tokens == len(ids) and p.ids_crc32 == zlib.crc32(ids[at : at + p.length].tobytes())
+            at += p.length
+        assert at == len(ids)
+    full = {}
+    for p in pieces:
+        full.setdefault(p.sequence_id, []).append(p)
+    for row in full.values():
+        n = sum(p.length for p in row)
+        assert sorted(p.offset for p in row) == np.cumsum([0, *[p.length for p in sorted(row, key=lambda p: p.offset)][:-1]]).tolist() and (n == 2048 or n & (n - 1) == 0)
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    assert corpus_pipeline.run(spark, tables(spark, tmp_path, [], [], [])).count() == 0
+
+
+def test_long_chains_of_tokens():
+    """A line of very many tokens is one chain."""
+    field = secrets.train([])
+    text = "plain words here " * 20_000 + "key ghp_0a1B2c3D4e5F6g7H8i9J0kLmNoPqRsTuVwXy end"
+    ((a, b),) = field.spans(text)
+    assert text[a:b] == "ghp_0a1B2c3D4e5F6g7H8i9J0kLmNoPqRsTuVwXy"
