@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .named import D, E, G, H, query
-from .operators import adaptation, baseline, collisions, consensus, continuity, linkage, paths, robust, templates, trains
+from .operators import adaptation, baseline, collisions, consensus, continuity, linkage, neighbours, paths, robust, templates, trains
 from .sources.tables import table, trains as event_trains, waves
 
 #: Tracks: a unit between two pauses of six hours, numbered by the unit and the pauses before.
@@ -211,3 +211,25 @@ def linked_cliques(spark, d):
     side = lambda c, v: w.select(F.col("node").alias(c), "chunk", F.col("w").alias(v))
     pairs = side("a", "u").join(side("b", "v"), "chunk").where("a < b").withColumn("distance", 1 - continuity.cosine("u", "v")).where("distance <= 0.85")
     return linkage.complete_linkage(w, pairs.select("a", "b", "distance"))
+
+
+NEAR = """pr AS (SELECT a.vec_id AS q, b.vec_id AS event, b.label, a.label AS own, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
+rk AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(d, 9), event) AS rank FROM pr)"""
+
+
+def vectors(spark, d):
+    rows = waves(spark, d).select("event", F.col("cluster").alias("label"), F.col("w").alias("x"))
+    return rows, rows.where("event % 20 = 0")
+
+
+@query(f"WITH {NEAR} SELECT q, event, rank, round(d, 6) AS distance FROM rk WHERE rank <= 10")
+def exact_neighbours(spark, d):
+    """Of every row whose id is divisible by 20, among all rows."""
+    return neighbours.nearest(*vectors(spark, d), 10)[0].select("q", "event", F.col("rank").cast("bigint").alias("rank"), F.round("distance", 6).alias("distance"))
+
+
+@query(f"""WITH {NEAR}, fo AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY rank) AS place FROM rk WHERE rank <= 24 AND label <> own), vt AS (SELECT q, own, label, count(*) AS n FROM fo WHERE place <= 6 GROUP BY 1, 2, 3)
+SELECT q AS event, own::BIGINT AS label, arg_max(label, (n, -label))::BIGINT AS other, max(n) AS votes FROM vt GROUP BY 1, 2 HAVING sum(n) = 6 AND max(n) >= 2""")
+def reclaimed_by_neighbours(spark, d):
+    got = neighbours.reclaimed(*vectors(spark, d), 6, 0.3, 10)
+    return got.select("event", F.col("label").cast("bigint").alias("label"), F.col("other").cast("bigint").alias("other"), "votes")

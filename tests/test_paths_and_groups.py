@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from eventloom.operators import adaptation, linkage, paths
+from eventloom.operators import adaptation, linkage, neighbours, paths
 
 
 def plain_loads(events, taus):
@@ -128,3 +128,34 @@ def test_complete_linkage_one_by_one(spark, seed):
     assert got == plain_linkage([*range(n), 99], edges) and 1 < len(set(got.values())) < n
     assert linkage.complete_linkage(nodes.where("false"), df.where("false")).count() == 0
     assert {x.unit for x in linkage.complete_linkage(nodes, df.where("false")).where(F.col("node") == 5).collect()} == {5}
+
+
+def test_neighbours_are_those_of_all_pairs(spark):
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(8, 6)) * 5
+    x = centres[rng.integers(0, 8, 300)] + rng.normal(size=(300, 6))
+    x[50:55] = x[10]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(None, x[0].tolist()), (999, None)], "event long, x array<double>").repartition(4)
+    queries = df.where("event % 7 = 0 OR event = 50")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    want = {(q, e): k + 1 for q in range(300) if q % 7 == 0 or q == 50 for k, e in enumerate(sorted((e for e in range(300) if e != q), key=lambda e: (round(d[q, e], 9), e))[:5])}
+    for cells, probes in ((12, 2), (1, 1), (64, 8)):
+        found, reached = neighbours.nearest(df, queries, 5, cells, probes)
+        assert {(r.q, r.event): r.rank for r in found.collect()} == want
+        told = reached.collect()
+        assert len(told) == 44 and (cells == 1 or np.mean([r.compared for r in told]) < 150)
+    few, _ = neighbours.nearest(df.where("event < 3"), queries, 5, 12)
+    assert few.groupBy("q").count().where("count > 3").count() == 0 and few.where("q = 0").count() == 2
+    assert neighbours.nearest(df.where("false"), queries, 5)[0].count() == 0
+    with pytest.raises(ValueError):
+        neighbours.nearest(df, queries, 5, 10_000)
+
+
+def test_planted_strays_are_reclaimed(spark):
+    rng = np.random.default_rng(8)
+    rows = [(k, k // 50, (rng.normal(size=3) + 20 * (k // 50)).tolist()) for k in range(150)]
+    rows += [(200 + k, 0, (rng.normal(size=3) + 20).tolist()) for k in range(3)]
+    df = spark.createDataFrame(rows, "event long, label int, x array<double>")
+    got = {r.event: (r.label, r.other, r.votes) for r in neighbours.reclaimed(df, df, 10, 0.8, 20, 6).collect()}
+    assert {e: v for e, v in got.items() if e >= 200} == {200 + k: (0, 1, 10) for k in range(3)} and not {e for e in got if e < 200 and got[e][2] < 8}
+    assert all(50 > e or e >= 200 or got[e][1] != got[e][0] for e in got)
