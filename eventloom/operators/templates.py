@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import cosine, dot, norm, peak_to_peak, rms_difference
 from .joins import mutual_best
+from .moments import matrix
+from .storage import written
+
+#: Models that a task holds at a time.
+BLOCK = 1024
 
 
 def templates(waves: DataFrame) -> DataFrame:
@@ -35,12 +44,46 @@ def dispersion(waves: DataFrame) -> DataFrame:
     return v.groupBy("cluster").agg(F.max("n").alias("n"), F.round(F.avg("v"), 6).alias("dispersion"), F.round(F.max("m") - F.min("m"), 6).alias("ptp"))
 
 
+def blocks(models: DataFrame, name: str = "cluster", block: int = BLOCK) -> Iterator[list]:
+    """The rows of a table of models, ``block`` of them at a time, in the order of ``name``."""
+    ids = [r[0] for r in models.where(F.col(name).isNotNull()).select(name).distinct().orderBy(name).toLocalIterator()]
+    for i in range(0, len(ids), block):
+        yield models.where(F.col(name).between(ids[i], ids[min(i + block, len(ids)) - 1])).orderBy(name).collect()
+
+
+def against(waves: DataFrame, models: DataFrame, kernel: Callable[[np.ndarray, np.ndarray, list], tuple], schema: str) -> DataFrame | None:
+    """event, cluster and what ``kernel(waves, their clusters, models)`` tells of each row, for each block of models: few models are in a task at a time, waves are read once a block, and no pair of both is a row."""
+    names, kinds = zip(*(f.split() for f in schema.split(", ")), strict=True)
+    arrow, found = {"bigint": pa.int64(), "double": pa.float64()}, None
+    for some in blocks(models):
+
+        def run(batches: Iterator[pa.RecordBatch], some=some) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if len(batch):
+                    got = kernel(matrix(batch.column(2)), batch.column(1).to_numpy(zero_copy_only=False), some)
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(g, arrow[k], from_pandas=True) for g, k in zip(got, kinds, strict=True))], ["event", "cluster", *names])
+
+        part = waves.where("w IS NOT NULL").select("event", F.col("cluster").cast("bigint").alias("cluster"), F.col("w").cast("array<double>").alias("w")).mapInArrow(run, f"event bigint, cluster bigint, {schema}")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 def assigned(waves: DataFrame, templates: DataFrame) -> DataFrame:
-    """event, cluster, best, cosine: the most alike template of each waveform. Templates are few and are broadcast."""
-    t = templates.select(F.col("cluster").alias("best"), F.col("w").alias("v"))
-    p = waves.join(F.broadcast(t), F.lit(True)).select("event", "cluster", "best", F.round(cosine(F.col("w"), F.col("v")), 6).alias("cosine"))
-    s = p.groupBy("event", "cluster").agg(F.max(F.struct("cosine", -F.col("best"))).alias("s"))
-    return s.select("event", "cluster", (-F.col("s")["col2"]).alias("best"), F.col("s.cosine").alias("cosine"))
+    """event, cluster, best, cosine: the most alike template of each waveform, ties to the smaller. A zero waveform has the first template and no cosine; null waveforms and tables without a template give no row."""
+
+    def best(x: np.ndarray, _: np.ndarray, some: list) -> tuple:
+        t = np.array([m.w for m in some], float)
+        with np.errstate(all="ignore"):
+            c = np.round(x @ t.T / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(t, axis=1)), 6)
+        k = np.where(np.isnan(c), -np.inf, c).argmax(1)
+        return c[np.arange(len(x)), k], np.array([m.cluster for m in some], np.int64)[k]
+
+    kind = waves.schema["cluster"].dataType
+    found = against(waves, written(templates.select("cluster", "w").where("w IS NOT NULL"), "templates"), best, "cosine double, best bigint")
+    if found is None:
+        return waves.where(F.lit(False)).select("event", "cluster", F.col("cluster").alias("best"), F.lit(None).cast("double").alias("cosine"))
+    s = found.groupBy("event", "cluster").agg(F.max(F.struct("cosine", -F.col("best"))).alias("s"))
+    return s.select("event", F.col("cluster").cast(kind).alias("cluster"), (-F.col("s")["col2"]).cast(kind).alias("best"), F.col("s.cosine").alias("cosine"))
 
 
 def shapes(waves: DataFrame) -> DataFrame:
@@ -94,11 +137,23 @@ def rolled_likeness(templates: DataFrame) -> DataFrame:
 
 
 def gated(waves: DataFrame, gate: float, floor: float = 1e-12, noise: int = 1) -> DataFrame:
-    """event, cluster, d2, label: the squared distance to the own cluster's template by its variances; beyond ``gate`` the label is the nearest other cluster's inside it, else ``noise``. Models are as few as clusters and are broadcast."""
+    """event, cluster, d2, label: the squared distance to the own cluster's template by its variances; beyond ``gate`` the label is the nearest other cluster's inside it, else ``noise``. Models go to the tasks in blocks."""
     v = by_element(waves).groupBy("cluster", "k").agg(F.avg("x").alias("m"), F.greatest(F.var_pop("x"), F.lit(floor)).alias("v"))
     model = v.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("k", "m", "v"))).alias("p")).select(F.col("cluster").alias("other"), "p")
-    d2 = F.aggregate(F.zip_with("w", "p", lambda x, p: (x - p["m"]) * (x - p["m"]) / p["v"]), F.lit(0.0), lambda s, x: s + x)
-    p = waves.join(F.broadcast(model), F.lit(True)).select("event", "cluster", "other", F.round(d2, 4).alias("d"))
-    own, other = F.max(F.when(F.col("other") == F.col("cluster"), F.col("d"))), F.min(F.when((F.col("other") != F.col("cluster")) & (F.col("d") <= gate), F.struct("d", "other")))
-    s = p.groupBy("event", "cluster").agg(own.alias("d2"), other.alias("near"))
-    return s.select("event", "cluster", "d2", F.when(F.col("d2") <= gate, F.col("cluster")).otherwise(F.coalesce("near.other", F.lit(noise))).alias("label"))
+    def told(x: np.ndarray, own: np.ndarray, some: list) -> tuple:
+        d = np.stack([np.round(((x - [q.m for q in m.p]) ** 2 / [q.v for q in m.p]).sum(1), 4) for m in some], 1)
+        ids = np.array([m.other for m in some])
+        mine = ids[None, :] == own[:, None]
+        far = np.where(mine | (d > gate), np.inf, d)
+        k = far.argmin(1)
+        near = far[np.arange(len(x)), k]
+        there = np.isfinite(near)
+        return np.where(mine.any(1), np.where(mine, d, 0).sum(1), np.nan), np.where(there, near, np.nan), np.where(there, ids[k], -1)
+
+    kind = waves.schema["cluster"].dataType
+    found = against(waves, written(model.select(F.col("other").alias("cluster"), "other", "p"), "models"), told, "own double, near double, other bigint")
+    if found is None:
+        return waves.where(F.lit(False)).select("event", "cluster", F.lit(None).cast("double").alias("d2"), F.col("cluster").alias("label"))
+    s = found.groupBy("event", "cluster").agg(F.max("own").alias("d2"), F.min(F.when(F.col("near").isNotNull(), F.struct("near", "other"))).alias("near"))
+    out = s.select("event", F.col("cluster").cast(kind).alias("cluster"), "d2", F.when(F.col("d2") <= gate, F.col("cluster")).otherwise(F.coalesce("near.other", F.lit(noise))).alias("label"))
+    return out.withColumn("label", F.col("label").cast(kind))
