@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .moments import matrix, summed
+from .moments import summed
 from .storage import written
 
 #: Events of a unit in a stretch, about.

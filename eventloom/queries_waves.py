@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .named import ORACLES, QUERIES, query
+from .named import query
 from .operators import bundles, envelopes, mixtures, places, templates
 from .operators import waves as kernels
-from .sources.tables import table, waves
+from .sources.tables import waves
 
 S, C = 16, 4
 X = "x AS (SELECT vec_id AS event, label AS cluster, unnest(range(64)) // 4 AS s, unnest(range(64)) % 4 AS c, unnest(embedding::DOUBLE[]) AS x FROM embeddings)"
