@@ -478,14 +478,21 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One row of each component of ``docs``, with all its columns: that of the least id, nulls last. Each row is a document of its own here, so repeated rows, copies without an id, and rows of one id
     with unlike texts are told apart, or found to be copies, by their texts alone. Rows without words are all kept."""
     name = "_row"
-    while name in docs.columns:
+    while {name, f"{name}_several"} & set(docs.columns):
         name += "_"
-    own = written(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
+    # ids stand for rows where they can, as the least id of a group of copies is often what the others were made from; rows without an id, or of an id that repeats, get numbers beyond all ids
+    mark = f"{name}_several"
+    several = written(docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(mark)).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(mark), "several")
+    low, high = docs.agg(F.min(id_col), F.max(id_col)).first()
+    far = F.monotonically_increasing_id()
+    number = far + F.lit(max(high or 0, -1) + 1) if (high or 0) < 1 << 62 else F.lit(min(low, 0) - 1) - far
+    told = docs.join(bounded(several), docs[id_col] == several[mark], "left")
+    own = written(told.withColumn(name, F.when(F.col(mark).isNull() & F.col(id_col).isNotNull(), F.col(id_col)).otherwise(number)).drop(mark), "rows")
     found = near_copies(own.select(name, "text"), name).select(F.col("doc_id").alias(name), "component_id")
     both = written(found.join(own.select(name, F.col(id_col).alias("_id")), name), "found")
-    best = both.groupBy("component_id").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct(F.col("_id").isNull(), "_id", name))[name].alias("best")).where("k > 1")
-    # of a large component all rows but one go; they are found by an equi-join in which Spark splits what is skewed
-    gone = written(both.join(best, "component_id").where(F.col(name) != F.col("best")).select(F.col(name).alias("_gone")), "gone")
+    best = both.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", name))[name].alias("_best")).select("_best")
+    # joined on rows, not on components, one of which may hold most rows
+    gone = written(both.join(best, both[name] == best["_best"], "left_anti").select(F.col(name).alias("_gone")), "gone")
     return own.join(bounded(gone), own[name] == gone["_gone"], "left_anti").drop(name)
 
 
