@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import places, transforms
 from ..sources.session import POSITION_COLUMNS
-from .waves import by_cluster, cube, transformed
+from .waves import by_cluster, by_event, cube, transformed
 
 PLACE = "x0 double, y0 double, z0 double, A double, dist double, dipoleB double, resid double, sig_y double, z_lo double, z_hi double, y_lo double, y_hi double, depth_shift double, one_flank bigint, edge_fit bigint, at_bound bigint"
 REPORT = ["unit", "nspk", "x0", "y0", "z0", "dist", "z_lo", "z_hi", "y_lo", "y_hi", "dipoleB", "depth_shift", "resid", "one_flank", "edge_fit", "at_bound", "low_n", "high_resid", "reliable"]
@@ -48,7 +48,11 @@ def common_basis(waves: DataFrame, samples: int, channels: int, parts: int = 12,
 
 
 def profiles(waves: DataFrame, samples: int, channels: int, kind: str = "ptp", basis=None, most: int = 2000) -> DataFrame:
-    """cluster, p: the amplitude on each channel."""
+    """cluster, p: the amplitude on each channel. Medians of peaks to peaks (``ptp`` without a basis) are exact over all events: a cluster's distinct values of a channel are in one task; other kinds are of about ``most`` events of a cluster."""
+    if kind == "ptp" and basis is None:
+        each = by_event(waves.where("w IS NOT NULL").select("w", F.col("cluster").cast("bigint").alias("event")), samples, channels, lambda w: {"p": places.amplitudes(w)}, "p array<double>")
+        middle = each.select("event", F.posexplode("p").alias("c", "v")).groupBy("event", "c").agg(F.median("v").alias("v"))
+        return middle.groupBy("event").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("p")).select(F.col("event").alias("cluster"), F.col("p.v").alias("p"))
     return by_cluster(sampled(waves, most), samples, channels, lambda w, _: {"p": places.profile(w, kind, basis)}, "p array<double>")
 
 
