@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 from eventloom.functions import bundles as plain
-from eventloom.operators import bundles, continuity, places
+from eventloom.operators import bundles, continuity, neighbours, places
 from pyspark.sql import functions as F
 
 
@@ -37,3 +37,23 @@ def test_drift_of_fibers_part_by_part(spark, monkeypatch, part):
     df = spark.createDataFrame(rows, "gid int, chunk int, t double, n int, curve array<double>")
     got = {b.id: b.drift for b in bundles.bundle_table(df, 4).collect()}
     assert got == {g: pytest.approx(plain.drift(list(x[g])), abs=1e-9) for g in x}
+
+
+@pytest.mark.parametrize("rows, held", [(7, 20), (50_000, 4_000_000)])
+def test_nearest_leave_the_tasks_alone(spark, monkeypatch, rows, held):
+    """Parts of a cell and blocks of any size; copies are ties; a query gets k rows of a part at most, however many it meets."""
+    monkeypatch.setattr(neighbours, "MOST_ROWS", rows)
+    monkeypatch.setattr(neighbours, "CELLS", held)
+    r = np.random.default_rng(4)
+    x = np.round(r.normal(size=(60, 3)), 1)
+    x[40:] = x[:20]
+    df = spark.createDataFrame([(k, x[k].tolist()) for k in range(60)], "event long, x array<double>")
+    found, reached = neighbours.nearest(df, df.where("event % 5 = 0"), 4, cells=3)
+    got = {(n.q, n.rank): n.event for n in found.collect()}
+    for q in range(0, 60, 5):
+        order = sorted((round(float(np.sqrt(((x[q] - x[e]) ** 2).sum())), 9), e) for e in range(60) if e != q)
+        assert [got[q, k + 1] for k in range(4)] == [e for _, e in order[:4]]
+    assert max(n.compared for n in reached.collect()) <= 59 and len(got) == 48
+    asked = spark.createDataFrame([(0, x[0].tolist(), float("inf"), 0.0, 0)], "q long, v array<double>, bound double, d double, cell int")
+    all_in = df.withColumn("cell", F.lit(0)).withColumn("r", F.lit(0.0))
+    assert neighbours.met(asked, all_in, 4).groupBy("part").count().agg(F.max("count")).first()[0] <= 4
