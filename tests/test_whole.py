@@ -57,3 +57,16 @@ def test_nearest_leave_the_tasks_alone(spark, monkeypatch, rows, held):
     asked = spark.createDataFrame([(0, x[0].tolist(), float("inf"), 0.0, 0)], "q long, v array<double>, bound double, d double, cell int")
     all_in = df.withColumn("cell", F.lit(0)).withColumn("r", F.lit(0.0))
     assert neighbours.met(asked, all_in, 4).groupBy("part").count().agg(F.max("count")).first()[0] <= 4
+
+
+@pytest.mark.parametrize("held", [10, 4_000_000])
+def test_successors_by_all_pairs(spark, held):
+    r = np.random.default_rng(5)
+    rows = [(int(k), int(lo), int(lo + n), float(v)) for k, lo, n, v in zip(range(80), r.integers(0, 300, 80), r.integers(0, 20, 80), r.integers(0, 6, 80), strict=True)]
+    pairs = [(abs(x[3] - y[3]), x, y) for x in rows for y in rows if x[0] != y[0] and 0 < y[1] - x[2] <= 25]
+    best_a = {x[0]: min((d, y[0]) for d, w, y in pairs if w == x)[1] for _, x, _ in pairs}
+    best_b = {y[0]: min((d, x[0]) for d, x, w in pairs if w == y)[1] for _, _, y in pairs}
+    want = {(x[0], y[0], y[1] - x[2], d) for d, x, y in pairs if best_a[x[0]] == y[0] and best_b[y[0]] == x[0]}
+    df = spark.createDataFrame(rows, "track long, lo long, hi long, level double")
+    assert {tuple(x) for x in continuity.successors(df, 25, held=held).select("a", "b", "gap", "apart").collect()} == want
+    assert continuity.successors(df.where("false"), 25).count() == 0
