@@ -185,7 +185,7 @@ lim AS (SELECT greatest(min(ratio), 1 + 1e-6) AS lo, greatest(max(ratio), 1 + 1e
 b AS (SELECT *, coalesce(lead(edge) OVER (ORDER BY k), 'inf'::DOUBLE) AS up FROM e), q AS (SELECT k, any_value(edge) AS edge, CASE WHEN count(distance) >= 5 THEN quantile_cont(distance, 0.99) ELSE 0 END AS q FROM b LEFT JOIN r ON ratio >= edge AND ratio < up GROUP BY 1)
 SELECT k, round(edge, 6) AS edge, round(greatest(0, max(q) OVER (ORDER BY k)), 6) AS most FROM q""")
 def envelope_bands(spark, d):
-    return envelopes.limits(envelopes.changes(louder(spark, d), None)).select(F.col("k").cast("bigint").alias("k"), F.round("edge", 6).alias("edge"), F.round("distance", 6).alias("most"))
+    return envelopes.limits_of_all(louder(spark, d)).select(F.col("k").cast("bigint").alias("k"), F.round("edge", 6).alias("edge"), F.round("distance", 6).alias("most"))
 
 
 @query("""WITH v AS (SELECT vec_id AS event, label AS cluster, embedding::DOUBLE[] AS w, vec_id * 7919 % 1000 / 250 + 1 AS g FROM embeddings), n AS (SELECT event, cluster, sqrt(list_dot_product(w, w)) * g AS size, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) AS u FROM v),

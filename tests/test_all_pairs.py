@@ -3,9 +3,10 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from eventloom.operators import continuity, linkage
+from eventloom.operators import continuity, envelopes, linkage
 from test_paths_and_groups import plain_linkage
 
 
@@ -41,3 +42,19 @@ def test_a_chain_of_merges_takes_no_round_each(spark, monkeypatch):
     df = spark.createDataFrame([(a, b, 0.0) for a in range(30) for b in range(a + 1, 30)], "a long, b long, distance double")
     got = linkage.complete_linkage(spark.range(30).withColumnRenamed("id", "node"), df).collect()
     assert {x.unit for x in got} == {0} and len(got) == 30 and len(told) < 8
+
+
+def test_limits_of_all_are_those_of_the_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(k, k % 3, (x * s).tolist()) for k, (x, s) in enumerate(zip(rng.normal(size=(90, 6)), rng.uniform(1, 6, 90), strict=True))]
+    rows += [(90 + k, 0, rows[0][2]) for k in range(12)] + [(5, 2, rows[7][2]), (5, 2, rows[8][2])]
+    odd = [(200, 0, [0.0] * 6), (201, None, rows[0][2]), (202, 1, None), (203, 1, [float("nan")] * 6), (204, 1, [float("inf")] * 6), (None, 1, rows[1][2]), (205, 7, rows[1][2])]
+    df = spark.createDataFrame(rows + odd, "event bigint, cluster int, w array<double>")
+    pairs = envelopes.changes(df, None).persist()
+    for held, part, quantile, bands in ((100_000, None, 0.99, 8), (0, 9, 0.9, 5), (40, 30, 0.5, 1), (100_000, 30, 0.0, 3)):
+        monkeypatch.setattr(envelopes, "HELD", held)
+        want, got = (x.orderBy("k").collect() for x in (envelopes.limits(pairs, quantile, bands), envelopes.limits_of_all(df, quantile, bands, part=part)))
+        assert [(r.k, r.edge, r.n) for r in got] == [(r.k, r.edge, r.n) for r in want] and np.allclose([r.distance for r in got], [r.distance for r in want], atol=1e-14, rtol=0)
+    pairs.unpersist()
+    with pytest.raises(ValueError):
+        envelopes.limits_of_all(df.where("event = 1"))
