@@ -159,3 +159,20 @@ def test_planted_strays_are_reclaimed(spark):
     got = {r.event: (r.label, r.other, r.votes) for r in neighbours.reclaimed(df, df, 10, 0.8, 20, 6).collect()}
     assert {e: v for e, v in got.items() if e >= 200} == {200 + k: (0, 1, 10) for k in range(3)} and not {e for e in got if e < 200 and got[e][2] < 8}
     assert all(50 > e or e >= 200 or got[e][1] != got[e][0] for e in got)
+
+
+def test_loads_of_a_batch_are_those_of_a_loop():
+    rng = np.random.default_rng(9)
+    tau, load = np.array([3.0, 40.0]), np.array([2.0, 5.0])
+    for n, joined in ((1, True), (1, False), (200, True), (333, False)):
+        same, gap, want = np.r_[joined, rng.random(n - 1) < 0.95], rng.integers(0, 9, n), []
+        for s, g in zip(same, gap, strict=True):
+            want.append(np.exp(-g / tau) * ((want[-1] if want else load) + 1) if s else np.zeros(2))
+        assert np.allclose(adaptation.carried_on(same, gap, load, tau), want)
+
+
+@pytest.mark.parametrize("full", [7, 20_000])
+def test_no_unit_is_a_python_call_of_its_own(spark, full):
+    df = spark.createDataFrame([(k, k % 9, k * 10, float(k % 5)) for k in range(300)], "event long, unit long, t long, amp double")
+    plan = adaptation.loads(df, [10, 100], full)._jdf.queryExecution().executedPlan().toString()
+    assert "InPandas" not in plan and plan.count("MapInArrow") == 1
