@@ -32,10 +32,10 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/eventloom/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of ``df`` as a table in the shared folder, so that a lost executor costs no recomputation before it."""
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """The rows of ``df`` as a table in the shared folder, so that a lost executor costs no recomputation before it. ``options`` are the Parquet writer's."""
     spark = df.sparkSession
-    df.write.parquet(path := new_path(spark, name))
+    df.write.options(**options).parquet(path := new_path(spark, name))
     return spark.read.schema(df.schema).parquet(path)
 
 
